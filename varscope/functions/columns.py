@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 ENTERO, DECIMAL, BOOL, FECHA, TEXTO = "entero", "decimal", "booleano", "fecha", "texto"
 
@@ -13,7 +15,21 @@ INFINITY = float("inf")
 
 def ref(name: str) -> Column:
     """Column by its literal name, whatever characters the header holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
+
+
+def quoted(name: str) -> str:
+    """A column name for use inside an SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_text(value: str) -> str:
+    """A text literal for use inside an SQL expression."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_array(values: Iterable[str]) -> str:
+    return "array(" + ", ".join(sql_text(v) for v in values) + ")"
 
 
 def kind_of(data_type: T.DataType) -> str:
@@ -48,25 +64,33 @@ def numeric_columns(df: DataFrame) -> list[str]:
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def finite(df: DataFrame, name: str) -> Column:
-    """The column as a double; NaN, infinities and text that is not a number become null."""
-    kind = kinds(df, [name])[name]
+def finite_sql(name: str, kind: str) -> str:
+    """SQL of :func:`finite`. Wide tables build one expression per column, and a parsed text is
+    much cheaper to build from Python than the same tree of Column objects."""
+    cell = quoted(name)
     if kind == ENTERO:
-        return ref(name).cast("double")
+        return f"CAST({cell} AS DOUBLE)"
     if kind == DECIMAL:
-        value = ref(name).cast("double")
-        return F.when(F.abs(value) < INFINITY, value)
+        return f"CASE WHEN abs({cell}) < double('Infinity') THEN CAST({cell} AS DOUBLE) END"
     if kind == TEXTO:
-        text = F.regexp_replace(ref(name).cast("string"), r"(?U)\s", "")
-        value = F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
-        return F.when(F.abs(value) < INFINITY, value)
-    return F.lit(None).cast("double")
+        text = f"regexp_replace(CAST({cell} AS STRING), {sql_text('(?U)' + chr(92) + 's')}, '')"
+        return f"CASE WHEN {text} RLIKE {sql_text(PLAIN_NUMBER)} THEN " \
+               f"nullif(try_cast({text} AS DOUBLE), double('Infinity')) END"
+    return "CAST(NULL AS DOUBLE)"
+
+
+def finite(df: DataFrame, name: str) -> Column:
+    """The column as a double; NaN, infinities and text that is not a number become null."""
+    return F.expr(finite_sql(name, kinds(df, [name])[name]))
 
 
 def present(df: DataFrame, name: str) -> Column:
-    """True where the cell holds a value (null, NaN and infinities do not)."""
+    """True where the cell holds a value (null, NaN and infinities do not).
+
+    Plain comparisons, which a scan can use; on a null number the result is null, not false.
+    """
     if kinds(df, [name])[name] == DECIMAL:
-        return ref(name).isNotNull() & (F.abs(ref(name)) < INFINITY)
+        return (ref(name) > -INFINITY) & (ref(name) < INFINITY)
     return ref(name).isNotNull()
 
 
@@ -76,15 +100,24 @@ def rounded(value: Column, places: int = 6) -> Column:
     return F.round(F.when(F.abs(value) < INFINITY, value), places)
 
 
-def number_text(value: Column) -> Column:
-    """Plain text of a double: ``3.0``, ``10000000.0``, ``12345678.9``, ``0.0001``."""
-    size = F.abs(value)
-    # Java switches to an exponent outside [1e-3, 1e7); a decimal cast spells the digits out.
-    spelled = F.regexp_replace(
-        value.cast("string").cast("decimal(38,18)").cast("string"), r"(\.\d+?)0+$", "$1"
-    )
-    plain = size.between(1e-3, 9999999.0) | (value == 0) | (size >= 1e16) | (size < 1e-4)
-    return F.when(plain, value.cast("string")).otherwise(spelled)
+# Java switches to an exponent outside [1e-3, 1e7); a decimal cast spells the digits out.
+NUMBER_TEXT_SQL = (
+    "CASE WHEN {x} = 0 OR abs({x}) BETWEEN 1e-3 AND 9999999.0 OR abs({x}) >= 1e16 OR abs({x}) < 1e-4 "
+    "THEN CAST({x} AS STRING) ELSE regexp_replace("
+    "CAST(CAST(CAST({x} AS STRING) AS DECIMAL(38,18)) AS STRING), '(\\\\.[0-9]+?)0+$', '$1') END"
+)
+
+
+def number_text(name: str) -> Column:
+    """Plain text of a double column: ``3.0``, ``10000000.0``, ``12345678.9``, ``0.0001``."""
+    return F.expr(NUMBER_TEXT_SQL.format(x=quoted(name)))
+
+
+def short_number(name: str) -> Column:
+    """Like :func:`number_text`, but whole numbers carry no decimals."""
+    whole = f"CAST(CAST({quoted(name)} AS DECIMAL(38,0)) AS STRING)"
+    return F.expr(f"CASE WHEN {quoted(name)} = rint({quoted(name)}) AND abs({quoted(name)}) < 1e18 "
+                  f"THEN {whole} ELSE {NUMBER_TEXT_SQL.format(x=quoted(name))} END")
 
 
 def numeric_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -93,13 +126,23 @@ def numeric_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()
     A long frame lets one short aggregate serve every column, which the JIT compiles far better
     than hundreds of aggregate expressions in one wide row.
     """
-    columns = list(columns)
-    wide = df.select(*[ref(k) for k in keep], *[finite(df, name).alias(name) for name in columns])
-    return wide.unpivot(
-        [ref(k) for k in keep], [ref(name) for name in columns], "columna", "x"
-    ).filter(F.col("x").isNotNull())
+    by_kind = kinds(df, columns)
+    kept = [quoted(k) for k in keep]
+    wide = df.selectExpr(*kept, *[f"{finite_sql(c, kind)} AS {quoted(c)}" for c, kind in by_kind.items()])
+    return wide.unpivot(kept, [quoted(c) for c in by_kind], "columna", "x").filter("x IS NOT NULL")
+
+
+def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
+    """Small driver-made table as a local relation (through Arrow), planned without any task."""
+    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(struct)
+    plain = lambda v: v.asDict(recursive=True) if isinstance(v, Row) else v
+    arrays = [
+        pa.array([plain(row[i]) for row in rows], type=arrow.field(i).type) for i in range(len(struct))
+    ]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), struct)
 
 
 def column_rows(df: DataFrame, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """Small driver-made table with one row per column (bounded by the width of the table)."""
-    return df.sparkSession.createDataFrame(list(rows), schema)
+    """Driver-made table with one row per column or rule (bounded by the width of the table)."""
+    return local_rows(df.sparkSession, rows, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from varscope.functions import vocab
 from varscope.functions.columns import (
-    BOOL, DECIMAL, ENTERO, FECHA, TEXTO, column_rows, finite, kinds, present, ref,
+    DECIMAL, ENTERO, TEXTO, column_rows, finite_sql, kinds, quoted, ref, sql_array, sql_text,
 )
 from varscope.functions.text import normalize, normalize_name
 from varscope.functions.vocab import (
@@ -28,16 +28,14 @@ def header_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return column_rows(df, rows, "pos int, columna string, clase string, nombre string")
 
 
-def first_hint(name: Column, hints: Sequence[str]) -> Column:
-    """First hint found in a normalised header, or null.
+def first_hint(hints: Sequence[str], name: str = "nombre") -> Column:
+    """First hint found in the normalised header column ``name``, or null.
 
     One-word hints match whole words, longer hints match as a substring.
     """
-    def found(hint: Column) -> Column:
-        return F.when(F.contains(hint, F.lit(" ")), F.contains(name, hint)).otherwise(
-            F.array_contains(F.split(name, " "), hint))
-
-    return F.try_element_at(F.filter(F.array(*[F.lit(h) for h in hints]), found), F.lit(1))
+    return F.expr(
+        f"try_element_at(filter({sql_array(hints)}, h -> IF(contains(h, ' '), contains({name}, h), "
+        f"array_contains(split({name}, ' '), h))), 1)")
 
 
 def header_hints(headers: DataFrame, hints: Mapping[str, Sequence[str]] = vocab.HINTS) -> DataFrame:
@@ -46,7 +44,7 @@ def header_hints(headers: DataFrame, hints: Mapping[str, Sequence[str]] = vocab.
     ``headers`` may hold the headers of many tables at once; each row is decided on its own.
     """
     found = F.array(*[
-        F.struct(F.lit(group).alias("grupo"), first_hint(F.col("nombre"), words).alias("pista"))
+        F.struct(F.lit(group).alias("grupo"), first_hint(words).alias("pista"))
         for group, words in hints.items()
     ])
     return headers.select("columna", F.inline(found)).filter(F.col("pista").isNotNull())
@@ -59,29 +57,26 @@ def cell_metrics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     ``n`` counts cells with a value; ``entera`` tells whether all finite values are whole;
     ``largo`` is the mean text length.
     """
-    by_kind = kinds(df, columns)
-    total = F.count("*").alias("_total")
-    parts: list[Column] = []
-    rows: list[Column] = []
-    for i, (name, kind) in enumerate(by_kind.items()):
-        n, whole, low, high, length = (f"_{k}{i}" for k in ("n", "w", "lo", "hi", "len"))
-        parts.append(F.count_if(present(df, name)).alias(n))
-        none = F.lit(None).cast("double")
+    parts: list[str] = ["count(*) AS _total"]
+    rows: list[str] = []
+    none = "CAST(NULL AS DOUBLE)"
+    for i, (name, kind) in enumerate(kinds(df, columns).items()):
+        cell, x = quoted(name), finite_sql(name, kind)
+        n, whole, low, high, length = f"_n{i}", "true", none, none, none
         if kind in (ENTERO, DECIMAL):
-            x = finite(df, name)
-            parts += [F.min(x).alias(low), F.max(x).alias(high)]
+            parts += [f"count({x}) AS _n{i}", f"min({x}) AS _lo{i}", f"max({x}) AS _hi{i}"]
+            low, high = f"_lo{i}", f"_hi{i}"
             if kind == DECIMAL:
-                parts.append(F.bool_and(F.abs(x - F.rint(x)) <= WHOLE_TOLERANCE).alias(whole))
-        elif kind == TEXTO:
-            parts.append(F.avg(F.length(ref(name).cast("string"))).alias(length))
-        rows.append(F.struct(
-            F.lit(name).alias("columna"), F.col("_total").alias("total"), F.col(n).alias("n"),
-            (F.coalesce(F.col(whole), F.lit(True)) if kind == DECIMAL else F.lit(True)).alias("entera"),
-            (F.col(low) if kind in (ENTERO, DECIMAL) else none).alias("minimo"),
-            (F.col(high) if kind in (ENTERO, DECIMAL) else none).alias("maximo"),
-            (F.col(length) if kind == TEXTO else none).alias("largo"),
-        ))
-    return df.agg(total, *parts).select(F.inline(F.array(*rows)))
+                parts.append(f"bool_and(abs({x} - rint({x})) <= {WHOLE_TOLERANCE}) AS _w{i}")
+                whole = f"coalesce(_w{i}, true)"
+        else:
+            parts.append(f"count({cell}) AS _n{i}")
+            if kind == TEXTO:
+                parts.append(f"avg(length(CAST({cell} AS STRING))) AS _len{i}")
+                length = f"_len{i}"
+        rows.append(f"named_struct('columna', {sql_text(name)}, 'total', _total, 'n', {n}, 'entera', {whole}, "
+                    f"'minimo', {low}, 'maximo', {high}, 'largo', {length})")
+    return df.agg(*[F.expr(p) for p in parts]).select(F.expr(f"inline(array({', '.join(rows)}))"))
 
 
 def integrality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -138,18 +133,16 @@ def fitting_scale(scales: Sequence[Sequence[str]] = vocab.ORDINAL_SCALES) -> Col
     Needs the fields of :func:`value_profile`. Labels that all lie in a scale use equally many
     levels of every scale they fit, so the first one in the list is also the fullest.
     """
-    used = F.col("escala_usadas")
-    table = F.array(*[
-        F.struct(F.lit(i).alias("escala_id"), F.lit(min(3, len(scale))).alias("minimo"),
-                 F.array(*[F.lit(level) for level in scale]).alias("niveles"))
-        for i, scale in enumerate(scales)
-    ])
-    fits = F.filter(table, lambda s: (F.size(used) >= F.greatest(s["minimo"], F.lit(2)))
-                    & (F.size(F.array_except(used, s["niveles"])) == 0))
-    first = F.try_element_at(fits, F.lit(1))
-    present_levels = F.filter(first["niveles"], lambda level: F.array_contains(used, level))
-    return F.when((F.col("escala_ajenas") == 0) & first.isNotNull(), F.struct(
-        first["escala_id"].alias("escala_id"), present_levels.alias("niveles")))
+    table = ", ".join(
+        f"named_struct('escala_id', {i}, 'minimo', {max(2, min(3, len(scale)))}, 'niveles', {sql_array(scale)})"
+        for i, scale in enumerate(scales))
+    first = (f"try_element_at(filter(array({table}), s -> size(escala_usadas) >= s.minimo "
+             "AND size(array_except(escala_usadas, s.niveles)) = 0), 1)")
+    # The transform over a one-element array names the scale once instead of repeating it.
+    return F.expr(
+        f"try_element_at(transform(filter(array(IF(escala_ajenas = 0, {first}, NULL)), s -> s IS NOT NULL), "
+        "s -> named_struct('escala_id', s.escala_id, "
+        "'niveles', filter(s.niveles, l -> array_contains(escala_usadas, l)))), 1)")
 
 
 def ordinal_scales(counts: DataFrame, scales: Sequence[Sequence[str]] = vocab.ORDINAL_SCALES) -> DataFrame:
@@ -163,10 +156,9 @@ def ordinal_scales(counts: DataFrame, scales: Sequence[Sequence[str]] = vocab.OR
 
 def in_boolean_pair(pairs: Sequence[Sequence[str]] = vocab.BOOLEAN_PAIRS) -> Column:
     """All labels lie in one known pair; a column whose labels normalise to nothing counts too."""
-    used = F.col("par_usadas")
-    table = F.array(*[F.array(*[F.lit(word) for word in pair]) for pair in pairs])
-    return (F.col("par_ajenas") == 0) & (F.size(used) <= 2) & F.exists(
-        table, lambda pair: F.size(F.array_except(used, pair)) == 0)
+    table = ", ".join(sql_array(pair) for pair in pairs)
+    return F.expr(f"par_ajenas = 0 AND size(par_usadas) <= 2 AND "
+                  f"exists(array({table}), p -> size(array_except(par_usadas, p)) = 0)")
 
 
 def boolean_labels(counts: DataFrame, pairs: Sequence[Sequence[str]] = vocab.BOOLEAN_PAIRS) -> DataFrame:
@@ -199,10 +191,13 @@ def column_metrics(df: DataFrame, columns: Sequence[str] | None = None, counts:
     counts = value_counts(df, columns) if counts is None else counts
     headers = header_table(df, columns)
     for group, words in vocab.HINTS.items():
-        headers = headers.withColumn(f"pista_{group}", first_hint(F.col("nombre"), words))
+        headers = headers.withColumn(f"pista_{group}", first_hint(words))
     # Every part below has at most one row per column of the table.
+    labels = value_profile(counts).select(
+        "columna", "unicos", "ratio", fitting_scale()["niveles"].alias("escala"),
+        in_boolean_pair().alias("booleana"))
     result = headers.join(F.broadcast(cell_metrics(df, columns)), "columna").join(
-        F.broadcast(value_profile(counts).drop("n")), "columna", "left")
+        F.broadcast(labels), "columna", "left")
     words = {hint: (" " in hint) for hint in vocab.ORDINAL_HINTS}
     hinted = [c for c in columns if any(
         h in normalize_name(c) if phrase else h in normalize_name(c).split() for h, phrase in words.items())]
@@ -210,79 +205,67 @@ def column_metrics(df: DataFrame, columns: Sequence[str] | None = None, counts:
         result = result.join(F.broadcast(hinted_levels(df, hinted)), "columna", "left")
     else:
         result = result.withColumn("niveles_texto", F.lit(None).cast("array<string>"))
-    text = (F.col("clase") == TEXTO) & (F.col("n") > 0)
-    return result.select(
-        "*", F.when(text, fitting_scale()["niveles"]).alias("escala"),
-        F.when(text, in_boolean_pair()).alias("booleana"),
-    ).withColumn("unicos", F.coalesce("unicos", F.lit(0)))
+    return result.withColumn("unicos", F.coalesce("unicos", F.lit(0)))
+
+
+# Decision list: condition, type, role, confidence, scale and reason. Conditions, scales and reasons
+# are SQL over the metrics of one column; the first condition that holds decides.
+NUMBER, TEXT = "(clase IN ('entero', 'decimal'))", "(clase = 'texto')"
+NEAR_UNIQUE = f"(ratio >= {vocab.IDENTIFIER_UNIQUE_RATIO} AND n > 20)"
+FEW = f"(unicos <= {MAX_ORDINAL_LEVELS})"
+RULES = (
+    ("n = 0", NOMINAL, CATEGORIA, 0.20, None, "'Sin valores: se toma como nominal.'"),
+    ("clase = 'fecha'", ORDINAL, TEMPORAL, 0.95, None, "'Fechas: se ordenan en el tiempo.'"),
+    ("clase = 'booleano'", NOMINAL, BOOLEANO, 0.98, None, "'Verdadero o falso: dos categorías.'"),
+    (f"{NUMBER} AND pista_identificador IS NOT NULL AND (ratio >= 0.9 OR entera)", NOMINAL, IDENTIFICADOR, 0.88,
+     None, "'El encabezado (' || pista_identificador || ') indica un identificador; los números son etiquetas.'"),
+    (f"{NUMBER} AND pista_ordinal IS NOT NULL AND entera AND {FEW}", ORDINAL, CATEGORIA, 0.82, "niveles_texto",
+     "'El encabezado (' || pista_ordinal || ') indica un orden con ' || unicos || ' niveles enteros.'"),
+    (f"{NUMBER} AND entera AND unicos = 2 AND minimo = 0 AND maximo = 1", NOMINAL, BOOLEANO, 0.85, None,
+     "'Solo ceros y unos: dos categorías.'"),
+    (f"{NUMBER} AND NOT entera AND pista_continua IS NOT NULL", CONTINUA, MEDIDA, 0.95, None,
+     "'Hay decimales y el encabezado (' || pista_continua || ') nombra una magnitud.'"),
+    (f"{NUMBER} AND NOT entera", CONTINUA, MEDIDA, 0.90, None, "'Hay decimales: magnitud medible.'"),
+    (f"{NUMBER} AND pista_conteo IS NOT NULL", DISCRETA, CONTEO, 0.93, None,
+     "'Enteros y encabezado de conteo (' || pista_conteo || ').'"),
+    (f"{NUMBER} AND pista_continua IS NOT NULL", CONTINUA, MEDIDA, 0.72, None,
+     "'Enteros, pero el encabezado (' || pista_continua || ') nombra una magnitud.'"),
+    (f"{NUMBER} AND unicos <= {vocab.DISCRETE_MAX_UNIQUE}", DISCRETA, CONTEO, 0.85, None,
+     "'Enteros con solo ' || unicos || ' valores distintos.'"),
+    (f"{NUMBER} AND {NEAR_UNIQUE}", NOMINAL, IDENTIFICADOR, 0.60, None,
+     "'Enteros casi todos distintos (' || unicos || ' de ' || n || ').'"),
+    (NUMBER, DISCRETA, CONTEO, 0.70, None, "'Todos los valores son enteros.'"),
+    (f"{TEXT} AND escala IS NOT NULL", ORDINAL, CATEGORIA, 0.94, "escala",
+     "'Las categorías forman una escala conocida (' || array_join(escala, ' < ') || ').'"),
+    (f"{TEXT} AND booleana", NOMINAL, BOOLEANO, 0.90, None, "'Texto con dos categorías opuestas.'"),
+    (f"{TEXT} AND pista_identificador IS NOT NULL", NOMINAL, IDENTIFICADOR, 0.80, None,
+     "'El encabezado (' || pista_identificador || ') indica un identificador.'"),
+    (f"{TEXT} AND {NEAR_UNIQUE}", NOMINAL, IDENTIFICADOR, 0.80, None,
+     "'Casi todos los valores son distintos (' || unicos || ' de ' || n || ').'"),
+    (f"{TEXT} AND pista_ordinal IS NOT NULL AND {FEW}", ORDINAL, CATEGORIA, 0.60, "niveles_texto",
+     "'El encabezado (' || pista_ordinal || ') indica un orden que conviene revisar.'"),
+    (f"{TEXT} AND largo > 40 AND ratio > 0.6", NOMINAL, TEXTO_LIBRE, 0.65, None,
+     "'Texto largo y casi siempre distinto.'"),
+    ("true", NOMINAL, CATEGORIA, 0.88, None,
+     "'Categorías de texto sin orden (' || unicos || ' valores distintos).'"),
+)
 
 
 def decide(metrics: DataFrame) -> DataFrame:
     """Type, role, confidence, reason and scale of every column; the first rule that holds wins."""
-    n, u, ratio = F.col("n"), F.col("unicos"), F.col("ratio")
-    kind, whole = F.col("clase"), F.col("entera")
-    number, text = kind.isin(ENTERO, DECIMAL), kind == TEXTO
-    id_hint, ordinal_hint = F.col("pista_identificador"), F.col("pista_ordinal")
-    count_hint, size_hint = F.col("pista_conteo"), F.col("pista_continua")
-    near_unique = (ratio >= vocab.IDENTIFIER_UNIQUE_RATIO) & (n > 20)
-    u_text, n_text = u.cast("string"), n.cast("string")
-    scale = F.col("escala")
-    none = F.lit(None).cast("array<string>")
-
-    def say(*parts) -> Column:
-        return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-
-    rules = [
-        (n == 0, NOMINAL, CATEGORIA, 0.20, none,
-         say("Sin valores: se toma como nominal.")),
-        (kind == FECHA, ORDINAL, TEMPORAL, 0.95, none,
-         say("Fechas: se ordenan en el tiempo.")),
-        (kind == BOOL, NOMINAL, BOOLEANO, 0.98, none,
-         say("Verdadero o falso: dos categorías.")),
-        (number & id_hint.isNotNull() & ((ratio >= 0.9) | whole), NOMINAL, IDENTIFICADOR, 0.88, none,
-         say("El encabezado ('", id_hint, "') indica un identificador; los números son etiquetas.")),
-        (number & ordinal_hint.isNotNull() & whole & (u <= MAX_ORDINAL_LEVELS), ORDINAL, CATEGORIA, 0.82,
-         F.col("niveles_texto"),
-         say("El encabezado ('", ordinal_hint, "') indica un orden con ", u_text, " niveles enteros.")),
-        (number & whole & (u == 2) & (F.col("minimo") == 0) & (F.col("maximo") == 1), NOMINAL, BOOLEANO, 0.85,
-         none, say("Solo ceros y unos: dos categorías.")),
-        (number & ~whole & size_hint.isNotNull(), CONTINUA, MEDIDA, 0.95, none,
-         say("Hay decimales y el encabezado ('", size_hint, "') nombra una magnitud.")),
-        (number & ~whole, CONTINUA, MEDIDA, 0.90, none,
-         say("Hay decimales: magnitud medible.")),
-        (number & count_hint.isNotNull(), DISCRETA, CONTEO, 0.93, none,
-         say("Enteros y encabezado de conteo ('", count_hint, "').")),
-        (number & size_hint.isNotNull(), CONTINUA, MEDIDA, 0.72, none,
-         say("Enteros, pero el encabezado ('", size_hint, "') nombra una magnitud.")),
-        (number & (u <= vocab.DISCRETE_MAX_UNIQUE), DISCRETA, CONTEO, 0.85, none,
-         say("Enteros con solo ", u_text, " valores distintos.")),
-        (number & near_unique, NOMINAL, IDENTIFICADOR, 0.60, none,
-         say("Enteros casi todos distintos (", u_text, " de ", n_text, ").")),
-        (number, DISCRETA, CONTEO, 0.70, none, say("Todos los valores son enteros.")),
-        (scale.isNotNull(), ORDINAL, CATEGORIA, 0.94, scale,
-         say("Las categorías forman una escala conocida (", F.array_join(scale, " < "), ").")),
-        (F.col("booleana"), NOMINAL, BOOLEANO, 0.90, none, say("Texto con dos categorías opuestas.")),
-        (text & id_hint.isNotNull(), NOMINAL, IDENTIFICADOR, 0.80, none,
-         say("El encabezado ('", id_hint, "') indica un identificador.")),
-        (text & near_unique, NOMINAL, IDENTIFICADOR, 0.80, none,
-         say("Casi todos los valores son distintos (", u_text, " de ", n_text, ").")),
-        (text & ordinal_hint.isNotNull() & (u <= MAX_ORDINAL_LEVELS), ORDINAL, CATEGORIA, 0.60,
-         F.col("niveles_texto"),
-         say("El encabezado ('", ordinal_hint, "') indica un orden que conviene revisar.")),
-        (text & (F.col("largo") > 40) & (ratio > 0.6), NOMINAL, TEXTO_LIBRE, 0.65, none,
-         say("Texto largo y casi siempre distinto.")),
-    ]
-    verdict = F.struct(
-        F.lit(NOMINAL).alias("tipo"), F.lit(CATEGORIA).alias("rol"), F.lit(0.88).alias("confianza"),
-        none.alias("escala_orden"),
-        say("Categorías de texto sin orden (", u_text, " valores distintos).").alias("justificacion"),
+    def chosen(by_rule: Sequence[str]) -> str:
+        return "CASE _regla " + " ".join(f"WHEN {i} THEN {value}" for i, value in enumerate(by_rule)) + " END"
+
+    rule = "CASE " + " ".join(f"WHEN {r[0]} THEN {i}" for i, r in enumerate(RULES)) + " END AS _regla"
+    none = "CAST(NULL AS ARRAY<STRING>)"
+    return metrics.selectExpr("*", rule).selectExpr(
+        *[quoted(c) for c in metrics.columns],
+        chosen([sql_text(r[1]) for r in RULES]) + " AS tipo",
+        chosen([sql_text(r[2]) for r in RULES]) + " AS rol",
+        chosen([f"{r[3]}D" for r in RULES]) + " AS confianza",
+        chosen([r[4] or none for r in RULES]) + " AS escala_orden",
+        chosen([r[5] for r in RULES]) + " AS justificacion",
     )
-    for test, tipo, rol, confidence, levels, reason in reversed(rules):
-        verdict = F.when(test, F.struct(
-            F.lit(tipo).alias("tipo"), F.lit(rol).alias("rol"), F.lit(confidence).alias("confianza"),
-            levels.alias("escala_orden"), reason.alias("justificacion"),
-        )).otherwise(verdict)
-    return metrics.withColumn("_v", verdict).select("*", "_v.*").drop("_v")
 
 
 CLASSIFICATION_FIELDS = ("pos", "columna", "tipo", "rol", "confianza", "justificacion", "escala_orden")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from varscope.functions.columns import numeric_columns, numeric_long, rounded
+from varscope.functions.columns import local_rows, numeric_columns, numeric_long, rounded
 from varscope.functions.vocab import PERCENTILES
 from varscope.operators.frequencies import value_counts
 from varscope.operators.quantiles import quantiles
@@ -116,12 +116,12 @@ def numeric_summary(
     # One row per column: small enough for the driver, and it saves the quantiles a scan.
     first = moments(df, columns)
     base_rows = first.collect()
-    base = df.sparkSession.createDataFrame(base_rows, first.schema)
+    base = local_rows(df.sparkSession, base_rows, first.schema)
     sizes = [{"columna": r["columna"], "n": r["conteo"], "lo": r["minimo"], "hi": r["maximo"]}
              for r in base_rows]
     long = numeric_long(df, columns)
     points = quantiles(long, sorted(probs), sizes=sizes)
-    points = df.sparkSession.createDataFrame(points.collect(), points.schema)
+    points = local_rows(df.sparkSession, points.collect(), points.schema)
     percentile_map = F.map_from_entries(F.array_sort(F.collect_list(F.struct(
         F.concat(F.lit("p"), F.round(F.col("prob") * 100).cast("int").cast("string")),
         rounded(F.col("valor"))))))

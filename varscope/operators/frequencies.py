@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from varscope.functions.columns import (
-    BOOL, DECIMAL, ENTERO, FECHA, TEXTO, finite, kinds, number_text, numeric_long, ref, rounded,
+    BOOL, DECIMAL, ENTERO, FECHA, NUMBER_TEXT_SQL, TEXTO, finite_sql, kinds, local_rows, numeric_long,
+    quoted, rounded,
 )
 from varscope.functions.text import normalize, normalize_name
 from varscope.functions.vocab import CONTINUA, DISCRETA, FREQUENCY_ROWS
@@ -26,25 +27,24 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     for name, kind in kinds(df, columns).items():
         by_kind.setdefault(kind, []).append(name)
 
-    def counted(names: list[str], cell) -> DataFrame:
-        wide = df.select(*[cell(name).alias(name) for name in names])
-        long = wide.unpivot([], [ref(name) for name in names], "columna", "v")
-        return long.filter(F.col("v").isNotNull()).groupBy("columna", "v").agg(F.count("*").alias("n"))
-
-    v = F.col("v")
-    no_number = F.lit(None).cast("double")
-    cells = {
-        ENTERO: (lambda c: ref(c).cast("bigint"), v.cast("string"), v.cast("double")),
-        DECIMAL: (lambda c: finite(df, c), number_text(v), v),
-        TEXTO: (lambda c: ref(c).cast("string"), v, no_number),
-        FECHA: (lambda c: ref(c).cast("timestamp_ntz"), v.cast("string"), no_number),
-        BOOL: (ref, F.when(v, "True").otherwise("False"), no_number),
+    # kind -> (cell on its native type, its text, its number)
+    shapes = {
+        ENTERO: (lambda c: f"CAST({c} AS BIGINT)", "CAST(v AS STRING)", "CAST(v AS DOUBLE)"),
+        DECIMAL: (None, NUMBER_TEXT_SQL.format(x="v"), "v"),
+        TEXTO: (lambda c: f"CAST({c} AS STRING)", "v", "CAST(NULL AS DOUBLE)"),
+        FECHA: (lambda c: f"CAST({c} AS TIMESTAMP_NTZ)", "CAST(v AS STRING)", "CAST(NULL AS DOUBLE)"),
+        BOOL: (lambda c: c, "IF(v, 'True', 'False')", "CAST(NULL AS DOUBLE)"),
     }
-    parts = [
-        counted(by_kind[kind], cell).select("columna", text.alias("valor"),
-                                            number.alias("valor_num"), "n")
-        for kind, (cell, text, number) in cells.items() if kind in by_kind
-    ]
+    parts = []
+    for kind, (cell, text, number) in shapes.items():
+        names = by_kind.get(kind)
+        if not names:
+            continue
+        wide = df.selectExpr(*[
+            f"{finite_sql(c, kind) if cell is None else cell(quoted(c))} AS {quoted(c)}" for c in names])
+        long = wide.unpivot([], [quoted(c) for c in names], "columna", "v").filter("v IS NOT NULL")
+        counted = long.groupBy("columna", "v").agg(F.expr("count(*) AS n"))
+        parts.append(counted.selectExpr("columna", f"{text} AS valor", f"{number} AS valor_num", "n"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -191,7 +191,7 @@ def histogram(df: DataFrame, bounds: Sequence[tuple]) -> DataFrame:
     its class by arithmetic, so only (column, class) counts are shuffled.
     """
     schema = "columna string, total bigint, lo double, hi double, k int"
-    edges = df.sparkSession.createDataFrame([tuple(b) for b in bounds], schema).withColumn(
+    edges = local_rows(df.sparkSession, [tuple(b) for b in bounds], schema).withColumn(
         "w", (F.col("hi") - F.col("lo")) / F.col("k")
     )
     counts = (

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from varscope.functions.columns import local_rows
+
 SMALL_GROUP = 200_000     # rows per group that one task may order
 MAX_LARGE_GROUPS = 5_000  # groups narrowed together; the rest are at most 1/5,000 of the rows each
 BINS = 1_024
@@ -44,8 +46,7 @@ def quantiles(
     narrowed = _by_narrowing(long, large, probs, by)
     if len(large) == len(sizes):
         return narrowed
-    key_table = long.sparkSession.createDataFrame(
-        [(r[by],) for r in large], T.StructType([T.StructField(by, long.schema[by].dataType)])
+    key_table = local_rows(long.sparkSession, [(r[by],) for r in large], T.StructType([T.StructField(by, long.schema[by].dataType)])
     )
     small = long.join(F.broadcast(key_table), by, "left_anti")
     return narrowed.unionByName(_by_percentile(small, probs, by))
@@ -67,7 +68,7 @@ def _bracket_table(spark, key_type: T.DataType, by: str, brackets: list[tuple])
         T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
         T.StructField("antes", T.LongType()), T.StructField("rangos", T.ArrayType(T.LongType())),
     ])
-    return spark.createDataFrame(brackets, schema)
+    return local_rows(spark, brackets, schema)
 
 
 def _inside(long: DataFrame, table: DataFrame, by: str) -> DataFrame:
@@ -132,7 +133,7 @@ def _by_narrowing(long: DataFrame, groups: list, probs: Sequence[float], by: str
         T.StructField("rango", T.LongType()), T.StructField("resto", T.DoubleType()),
     ])
     # Two rows per quantile and large group.
-    targets = spark.createDataFrame(wanted, schema)
+    targets = local_rows(spark, wanted, schema)
     low, high = F.min("x"), F.max("x")
     return (
         chosen.join(F.broadcast(targets), [by, "rango"]).groupBy(by, "prob", "resto")
