@@ -28,12 +28,12 @@ def chart_pie_others(spark, sf):
 
 @query("chart_histogram", classes_sql(stacked("orders", ["o_totalprice"])))
 def chart_histogram(spark, sf):
-    return flat(charts.histogram_chart(table(spark, sf, "orders"), "o_totalprice").select(*CLASS_FIELDS))
+    return flat(charts.histogram_chart(table(spark, sf, "orders"), "o_totalprice").select(*CLASS_FIELDS), 6)
 
 
 @query("chart_histogram_k", classes_sql(stacked("customer", ["c_acctbal"]), 12))
 def chart_histogram_k(spark, sf):
-    return flat(charts.histogram_chart(table(spark, sf, "customer"), "c_acctbal", 12).select(*CLASS_FIELDS))
+    return flat(charts.histogram_chart(table(spark, sf, "customer"), "c_acctbal", 12).select(*CLASS_FIELDS), 6)
 
 
 @query("chart_line", """

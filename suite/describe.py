@@ -113,13 +113,13 @@ def _frequency_sql(source, column, order, limit=None, text=None):
   WHERE {column} IS NOT NULL GROUP BY ALL),
 c AS (SELECT valor, n, row_number() OVER w AS orden, sum(n) OVER (ORDER BY {order} ROWS UNBOUNDED PRECEDING)::BIGINT AS acum,
   sum(n) OVER ()::BIGINT AS total FROM f WINDOW w AS (ORDER BY {order}))
-SELECT orden, valor, n AS frecuencia_absoluta, round(n / total, 4) AS frecuencia_relativa,
-  acum AS frecuencia_acumulada, round(acum / total, 4) AS frecuencia_relativa_acumulada FROM c {cut}"""
+SELECT orden, valor, n AS frecuencia_absoluta, round(n / total, 6) AS frecuencia_relativa,
+  acum AS frecuencia_acumulada, round(acum / total, 6) AS frecuencia_relativa_acumulada FROM c {cut}"""
 
 
 @query("freq_table", _frequency_sql("part", "p_brand", "valor"))
 def freq_table(spark, sf):
-    return flat(frequencies.frequency_table(table(spark, sf, "part"), "p_brand"))
+    return flat(frequencies.frequency_table(table(spark, sf, "part"), "p_brand"), 6)
 
 
 SCALE = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH"]
@@ -129,17 +129,17 @@ SCALE = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH"]
     "orders", "o_orderpriority",
     "CASE valor WHEN '5-LOW' THEN 1 WHEN '4-NOT SPECIFIED' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '2-HIGH' THEN 4 ELSE 5 END, valor"))
 def freq_table_ordinal(spark, sf):
-    return flat(frequencies.frequency_table(table(spark, sf, "orders"), "o_orderpriority", 500, SCALE))
+    return flat(frequencies.frequency_table(table(spark, sf, "orders"), "o_orderpriority", 500, SCALE), 6)
 
 
 @query("freq_table_numeric", _frequency_sql("lineitem", "l_quantity", "k"))
 def freq_table_numeric(spark, sf):
-    return flat(frequencies.frequency_table(table(spark, sf, "lineitem"), "l_quantity"))
+    return flat(frequencies.frequency_table(table(spark, sf, "lineitem"), "l_quantity"), 6)
 
 
 @query("freq_table_limit", _frequency_sql("part", "p_size", "k", 10))
 def freq_table_limit(spark, sf):
-    return flat(frequencies.frequency_table(table(spark, sf, "part"), "p_size", 10))
+    return flat(frequencies.frequency_table(table(spark, sf, "part"), "p_size", 10), 6)
 
 
 def classes_sql(values, classes=None):
@@ -153,9 +153,9 @@ c AS (SELECT columna, n, lo, hi, k, w, unnest(range(0, k)) AS i FROM w),
 b AS (SELECT *, lo + i * w AS inferior, CASE WHEN i = k - 1 THEN hi ELSE lo + (i + 1) * w END AS superior FROM c),
 g AS (SELECT b.columna, b.i, count(v.x) AS f FROM b LEFT JOIN v ON v.columna = b.columna AND v.x >= b.inferior
   AND (v.x < b.superior OR (b.i = b.k - 1 AND v.x <= b.superior)) GROUP BY b.columna, b.i)
-SELECT b.columna, (b.i + 1)::BIGINT AS clase, b.k::BIGINT AS clases, round(b.inferior, 4) AS limite_inferior,
-  round(b.superior, 4) AS limite_superior, round((b.inferior + b.superior) / 2, 4) AS marca_clase,
-  g.f AS frecuencia_absoluta, round(g.f / b.n, 4) AS frecuencia_relativa,
+SELECT b.columna, (b.i + 1)::BIGINT AS clase, b.k::BIGINT AS clases, round(b.inferior, 6) AS limite_inferior,
+  round(b.superior, 6) AS limite_superior, round((b.inferior + b.superior) / 2, 6) AS marca_clase,
+  g.f AS frecuencia_absoluta, round(g.f / b.n, 6) AS frecuencia_relativa,
   sum(g.f) OVER (PARTITION BY b.columna ORDER BY b.i)::BIGINT AS frecuencia_acumulada
 FROM b JOIN g ON g.columna = b.columna AND g.i = b.i"""
 
@@ -167,7 +167,7 @@ CLASS_FIELDS = ["columna", "clase", "clases", "limite_inferior", "limite_superio
 @query("freq_grouped_sturges", classes_sql(stacked("lineitem", ["l_quantity", "l_extendedprice", "l_discount"])))
 def freq_grouped_sturges(spark, sf):
     g = frequencies.grouped_tables(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
-    return flat(g.select(*CLASS_FIELDS))
+    return flat(g.select(*CLASS_FIELDS), 6)
 
 
 def _bundle_part(column, order):

@@ -128,6 +128,8 @@ def numeric_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()
     """
     by_kind = kinds(df, columns)
     kept = [quoted(k) for k in keep]
+    if not by_kind:
+        return df.selectExpr(*kept, "CAST(NULL AS STRING) AS columna", "CAST(NULL AS DOUBLE) AS x").filter("false")
     wide = df.selectExpr(*kept, *[f"{finite_sql(c, kind)} AS {quoted(c)}" for c, kind in by_kind.items()])
     return wide.unpivot(kept, [quoted(c) for c in by_kind], "columna", "x").filter("x IS NOT NULL")
 

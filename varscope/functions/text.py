@@ -9,7 +9,6 @@ from pyspark.sql import Column, functions as F
 
 from varscope.functions.columns import PLAIN_NUMBER
 
-NO_BREAK_SPACES = "  "
 EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
@@ -37,11 +36,15 @@ def blank_to_null(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """Lower case without accents, runs of space, ``_`` and ``-`` as one space; null gives ''."""
+    """Lower case without accents, runs of space, ``_`` and ``-`` as one space; null gives ''.
+
+    Accents are looked for only in text that is not plain ASCII, which its byte length tells.
+    """
     accented, plain = _accent_table()
-    folded = F.translate(F.lower(F.coalesce(text.cast("string"), F.lit(""))), accented, plain)
-    bare = F.regexp_replace(folded, r"\p{Mn}+", "")
-    return strip(F.regexp_replace(bare, r"(?U)[\s_\-]+", " "))
+    lower = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    folded = F.regexp_replace(F.translate(lower, accented, plain), r"\p{Mn}+", "")
+    letters = F.when(F.octet_length(lower) == F.length(lower), lower).otherwise(folded)
+    return F.trim(F.regexp_replace(letters, r"(?U)[\s_\-\x1c-\x1f]+", " "))
 
 
 def normalize_name(name: str) -> str:
@@ -53,43 +56,37 @@ def normalize_name(name: str) -> str:
 
 # --- Fixed value: a number written with dots for thousands and a comma for decimals ------------
 EUROPEAN = r"^-?\d{1,3}(\.\d{3})+(,\d+)?$|^-?\d+,\d+$"
+# Every character that counts as white space, the no-break spaces included.
+WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def parse_number(text: Column) -> Column:
     """Number from ``1.234,56`` or ``1,234.56``; anything else is null. Decided per value."""
-    packed = F.regexp_replace(text, rf"(?U)[\s{NO_BREAK_SPACES}]", "")
-    english = F.replace(packed, F.lit(","), F.lit(""))
-    european = F.replace(F.replace(packed, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    plain = F.when(packed.rlike(EUROPEAN), european).otherwise(english)
-    return F.when(plain.rlike(PLAIN_NUMBER), plain.try_cast("double"))
-
-
-# Day-first date layouts in the order they are tried. ISO comes first because it cannot be
-# mistaken; month-first is the last resort, for days above 12 in second place.
-DATE_LAYOUTS = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", ("yyyy-M-d",)),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", ("yyyy/M/d",)),
-    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}$", ("yyyy-M-d H:mm",)),
-    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}:\d{2}(\.\d{1,6})?$", ("yyyy-M-d H:mm:ss[.SSSSSS]",)),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", ("d/M/yyyy", "M/d/yyyy")),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", ("d-M-yyyy", "M-d-yyyy")),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", ("d/M/yyyy H:mm", "M/d/yyyy H:mm")),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", ("d/M/yyyy H:mm:ss", "M/d/yyyy H:mm:ss")),
-    (r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{2}$", ("d-M-yyyy H:mm", "M-d-yyyy H:mm")),
-    (r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{2}:\d{2}$", ("d-M-yyyy H:mm:ss", "M-d-yyyy H:mm:ss")),
-)
+    packed = F.translate(text, WHITE_SPACE, "")
+    english = F.translate(packed, ",", "")
+    return F.when(packed.rlike(EUROPEAN), F.translate(packed, ",.", ".").try_cast("double")).when(
+        english.rlike(PLAIN_NUMBER), english.try_cast("double"))
+
+
+# Two shapes of date, with an optional time: year first, and day first. Each pattern also allows
+# white space around the date, so that cells need not be trimmed first.
+_TIME = r"(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)"
+YEAR_FIRST = rf"(?U)^\s*(\d{{4}})([-/])(\d{{1,2}})\2(\d{{1,2}})(?:[ T]{_TIME})?\s*$"
+DAY_FIRST = rf"(?U)^\s*(\d{{1,2}})([-/])(\d{{1,2}})\2(\d{{4}})(?: {_TIME})?\s*$"
 DATE_MARK = r"[-/:]"
 
 
 def parse_date(text: Column) -> Column:
-    """Timestamp without zone from the layouts above; anything else is null."""
-    trimmed = strip(text)
-    spaced = F.regexp_replace(trimmed, r"^(\d{4}-\d{1,2}-\d{1,2})T", "$1 ")
-    result = F.lit(None).cast("timestamp_ntz")
-    for shape, layouts in reversed(DATE_LAYOUTS):
-        tried = [F.try_to_timestamp(spaced, F.lit(layout)).cast("timestamp_ntz") for layout in layouts]
-        result = F.when(trimmed.rlike(shape), F.coalesce(*tried)).otherwise(result)
-    return result
+    """Timestamp without zone from a year-first or day-first date; anything else is null.
+
+    Where the day cannot come first (``03/15/2024``) the month does. Dates are rewritten to the
+    ISO form, which the plain cast reads.
+    """
+    def read(pattern: str, iso: str) -> Column:
+        return F.regexp_replace(text, pattern, iso).try_cast("timestamp_ntz")
+
+    return F.when(text.rlike(YEAR_FIRST), read(YEAR_FIRST, "$1-$3-$4 $5")).when(
+        text.rlike(DAY_FIRST), F.coalesce(read(DAY_FIRST, "$4-$3-$1 $5"), read(DAY_FIRST, "$4-$1-$3 $5")))
 
 
 def natural_key(text: Column) -> Column:

@@ -28,14 +28,15 @@ def header_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return column_rows(df, rows, "pos int, columna string, clase string, nombre string")
 
 
-def first_hint(hints: Sequence[str], name: str = "nombre") -> Column:
-    """First hint found in the normalised header column ``name``, or null.
+def first_hint(hints: Sequence[str], padded: str = "_nombre") -> Column:
+    """First hint found in a normalised header with a space on either side, or null.
 
-    One-word hints match whole words, longer hints match as a substring.
+    One-word hints match whole words, which the spaces around them ensure; longer hints match as
+    a substring.
     """
-    return F.expr(
-        f"try_element_at(filter({sql_array(hints)}, h -> IF(contains(h, ' '), contains({name}, h), "
-        f"array_contains(split({name}, ' '), h))), 1)")
+    tests = " ".join(
+        f"WHEN contains({padded}, {sql_text(h if ' ' in h else f' {h} ')}) THEN {sql_text(h)}" for h in hints)
+    return F.expr(f"CASE {tests} END")
 
 
 def header_hints(headers: DataFrame, hints: Mapping[str, Sequence[str]] = vocab.HINTS) -> DataFrame:
@@ -43,11 +44,12 @@ def header_hints(headers: DataFrame, hints: Mapping[str, Sequence[str]] = vocab.
 
     ``headers`` may hold the headers of many tables at once; each row is decided on its own.
     """
+    padded = headers.select("columna", F.concat(F.lit(" "), "nombre", F.lit(" ")).alias("_nombre"))
     found = F.array(*[
-        F.struct(F.lit(group).alias("grupo"), first_hint(words).alias("pista"))
-        for group, words in hints.items()
+        F.struct(F.lit(group).alias("grupo"), first_hint(words).alias("pista")) for group, words in hints.items()
     ])
-    return headers.select("columna", F.inline(found)).filter(F.col("pista").isNotNull())
+    # The outer form keeps the optimizer from adding a filter that would match the hints twice.
+    return padded.select("columna", F.inline_outer(found)).filter(F.col("pista").isNotNull())
 
 
 # --- Metrics of the values ------------------------------------------------------------------------
@@ -189,9 +191,8 @@ def column_metrics(df: DataFrame, columns: Sequence[str] | None = None, counts:
     """Everything the decision needs, one row per column: two passes over the data."""
     columns = list(kinds(df, columns))
     counts = value_counts(df, columns) if counts is None else counts
-    headers = header_table(df, columns)
-    for group, words in vocab.HINTS.items():
-        headers = headers.withColumn(f"pista_{group}", first_hint(words))
+    headers = header_table(df, columns).withColumn("_nombre", F.concat(F.lit(" "), "nombre", F.lit(" ")))
+    headers = headers.withColumns({f"pista_{g}": first_hint(words) for g, words in vocab.HINTS.items()})
     # Every part below has at most one row per column of the table.
     labels = value_profile(counts).select(
         "columna", "unicos", "ratio", fitting_scale()["niveles"].alias("escala"),

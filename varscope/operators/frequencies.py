@@ -26,6 +26,8 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     by_kind: dict[str, list[str]] = {}
     for name, kind in kinds(df, columns).items():
         by_kind.setdefault(kind, []).append(name)
+    if not by_kind:
+        return local_rows(df.sparkSession, [], "columna string, valor string, valor_num double, n bigint")
 
     # kind -> (cell on its native type, its text, its number)
     shapes = {

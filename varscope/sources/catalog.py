@@ -11,15 +11,15 @@ from collections.abc import Mapping
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
 
 from varscope.functions.vocab import HISTORY_PER_CLIENT
 
-ENTRY = T.StructType.fromDDL(
+ENTRY = (
     "id string, nombre_archivo string, hoja string, filas bigint, columnas bigint, tamano_bytes bigint, "
     "resumen_tipos map<string,int>, ruta string, creado_en timestamp, cliente string"
 )
-REMOVED = T.StructType.fromDDL("id string, borrado_en timestamp, cliente string")
+REMOVED = "id string, borrado_en timestamp, cliente string"
 
 
 def newest_per_group(df: DataFrame, group: str, newest_first: list, keep: int = HISTORY_PER_CLIENT) -> DataFrame:
@@ -40,7 +40,7 @@ class Catalog:
         self.spark, self.per_client, self.max_bytes = spark, per_client, max_bytes
         self.added, self.removed = f"{folder.rstrip('/')}/analisis", f"{folder.rstrip('/')}/bajas"
 
-    def _read(self, path: str, schema: T.StructType) -> DataFrame:
+    def _read(self, path: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(path)
         except AnalysisException as error:
@@ -70,7 +70,7 @@ class Catalog:
         """A client's entries, newest first; only that client's partition is read."""
         return self.entries().filter(F.col("cliente") == cliente).orderBy("orden").drop("orden")
 
-    def fetch(self, cliente: str, key: str) -> T.Row | None:
+    def fetch(self, cliente: str, key: str) -> Row | None:
         """One entry by id and client: another client's id gives nothing."""
         return self.list(cliente).filter(F.col("id") == key).first()
 
