@@ -190,7 +190,7 @@ def hinted_levels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def column_metrics(df: DataFrame, columns: Sequence[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Everything the decision needs, one row per column: two passes over the data."""
     columns = list(kinds(df, columns))
-    counts = value_counts(df, columns) if counts is None else counts
+    counts = value_counts(df, columns, compact=True) if counts is None else counts
     headers = header_table(df, columns).withColumn("_nombre", F.concat(F.lit(" "), "nombre", F.lit(" ")))
     headers = headers.withColumns({f"pista_{g}": first_hint(words) for g, words in vocab.HINTS.items()})
     # Every part below has at most one row per column of the table.

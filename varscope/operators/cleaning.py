@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from varscope.functions.columns import PLAIN_NUMBER, TEXTO, kinds, quoted, ref
 from varscope.functions.text import DATE_MARK, blank_to_null, parse_date, parse_number
 from varscope.functions.vocab import NA_TOKENS
-from varscope.operators.classify import cell_metrics
 
 NUMBER_SHARE = 0.9
 DATE_MARK_SHARE = 0.6
@@ -21,11 +20,20 @@ def text_columns(df: DataFrame) -> list[str]:
     return [name for name, kind in kinds(df).items() if kind == TEXTO]
 
 
+def emptiness(df: DataFrame) -> tuple[int, int, list[str]]:
+    """Rows, rows with at least one value, and columns without any: one scan, one row."""
+    real = {name for name, kind in df.dtypes if kind in ("double", "float")}
+    cells = [f"nanvl({quoted(c)}, NULL)" if c in real else quoted(c) for c in df.columns]
+    some = " OR ".join(f"{cell} IS NOT NULL" for cell in cells)
+    row = df.agg(F.expr("count(*) AS filas"), F.expr(f"count_if({some}) AS llenas"),
+                 *[F.expr(f"count({cell}) AS n{i}") for i, cell in enumerate(cells)]).first()
+    return row["filas"], row["llenas"], [c for i, c in enumerate(df.columns) if row[f"n{i}"] == 0]
+
+
 def drop_empty_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """The table without columns that hold no value at all, and their names; one scan."""
-    empty = {r["columna"] for r in cell_metrics(df).filter("n = 0").select("columna").collect()}
-    kept = [c for c in df.columns if c not in empty]
-    return df.select(*[ref(c) for c in kept]), [c for c in df.columns if c in empty]
+    """The table without columns that hold no value at all, and their names."""
+    empty = emptiness(df)[2]
+    return df.drop(*[ref(c) for c in empty]), empty
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:

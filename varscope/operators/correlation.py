@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from varscope.functions.columns import local_rows, finite, numeric_columns, rounded
+from varscope.functions.columns import finite, local_rows, numeric_columns, rounded, sql_text
+
+
+# Pairs whose sums share one scan: more would make one aggregate too large to compile.
+PAIRS_PER_SCAN = 150
 
 
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -32,43 +37,44 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         for i in range(k)
     ])
 
-    sums = []
-    for i in range(k):
-        d = F.col(f"d{i}")
-        if full[i]:
-            sums += [F.sum(d).alias(f"s{i}"), F.sum(d * d).alias(f"q{i}")]
-        for j in range(i + 1, k):
-            e = F.col(f"d{j}")
-            sums.append(F.sum(d * e).alias(f"p{i}_{j}"))
-            if not (full[i] and full[j]):
-                x, y = F.when(e.isNotNull(), d), F.when(d.isNotNull(), e)
-                sums += [
-                    F.count(d + e).alias(f"n{i}_{j}"),
-                    F.sum(x).alias(f"sx{i}_{j}"), F.sum(y).alias(f"sy{i}_{j}"),
-                    F.sum(x * x).alias(f"qx{i}_{j}"), F.sum(y * y).alias(f"qy{i}_{j}"),
-                    (F.min(x) < F.max(x)).alias(f"vx{i}_{j}"), (F.min(y) < F.max(y)).alias(f"vy{i}_{j}"),
-                ]
-    row = centred.agg(*sums)
-
     def varies(i: int) -> bool:
         return first[f"n{i}"] > 1 and first[f"lo{i}"] < first[f"hi{i}"]
 
-    cells_out = []
-    for i, name in enumerate(columns):
-        own = F.lit(1.0) if varies(i) else F.lit(None).cast("double")
-        cells_out.append(F.struct(F.lit(name).alias("col_x"), F.lit(name).alias("col_y"), own.alias("r")))
-        for j in range(i + 1, k):
-            p = F.col(f"p{i}_{j}")
-            if full[i] and full[j]:
-                n = F.lit(float(first["total"]))
-                sx, sy, qx, qy = (F.col(c) for c in (f"s{i}", f"s{j}", f"q{i}", f"q{j}"))
-                defined = F.lit(varies(i) and varies(j))
-            else:
-                n = F.col(f"n{i}_{j}").cast("double")
-                sx, sy, qx, qy = (F.col(f"{c}{i}_{j}") for c in ("sx", "sy", "qx", "qy"))
-                defined = F.col(f"vx{i}_{j}") & F.col(f"vy{i}_{j}")
-            spread = F.sqrt((qx - F.try_divide(sx * sx, n)) * (qy - F.try_divide(sy * sy, n)))
-            r = F.when(defined, F.try_divide(p - F.try_divide(sx * sy, n), spread))
-            for a, b in ((name, columns[j]), (columns[j], name)):
-                cells_out.append(F.struct(F.lit(a).alias("col_x"), F.lit(b).alias("col_y"), r.alias("r")))
-    return row.select(F.inline(F.array(*cells_out))).select("col_x", "col_y", rounded(F.col("r")).alias("r"))
+    def both_full(i: int, j: int) -> bool:
+        return full[i] and full[j]
+
+    def pair_sums(i: int, j: int) -> list[str]:
+        sums = [f"sum(d{i} * d{j}) AS p{i}_{j}"]
+        if both_full(i, j):
+            return sums
+        x, y = f"IF(d{j} IS NOT NULL, d{i}, NULL)", f"IF(d{i} IS NOT NULL, d{j}, NULL)"
+        return sums + [
+            f"count(d{i} + d{j}) AS n{i}_{j}", f"sum({x}) AS sx{i}_{j}", f"sum({y}) AS sy{i}_{j}",
+            f"sum({x} * {x}) AS qx{i}_{j}", f"sum({y} * {y}) AS qy{i}_{j}",
+            f"min({x}) < max({x}) AND min({y}) < max({y}) AS v{i}_{j}",
+        ]
+
+    def pair_r(i: int, j: int) -> str:
+        if both_full(i, j):
+            n, sx, sy, qx, qy = f"{first['total']}D", f"s{i}", f"s{j}", f"q{i}", f"q{j}"
+            defined = "true" if varies(i) and varies(j) else "false"
+        else:
+            n, defined = f"CAST(n{i}_{j} AS DOUBLE)", f"v{i}_{j}"
+            sx, sy, qx, qy = (f"{c}{i}_{j}" for c in ("sx", "sy", "qx", "qy"))
+        spread = f"sqrt(({qx} - try_divide({sx} * {sx}, {n})) * ({qy} - try_divide({sy} * {sy}, {n})))"
+        return f"IF({defined}, try_divide(p{i}_{j} - try_divide({sx} * {sy}, {n}), {spread}), NULL)"
+
+    def cell(i: int, j: int, r: str) -> str:
+        return f"named_struct('col_x', {sql_text(columns[i])}, 'col_y', {sql_text(columns[j])}, 'r', {r})"
+
+    diagonal = [(c, c, 1.0 if varies(i) else None) for i, c in enumerate(columns)]
+    parts = [local_rows(df.sparkSession, diagonal, result_schema)]
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    for start in range(0, len(pairs), PAIRS_PER_SCAN):
+        batch = pairs[start:start + PAIRS_PER_SCAN]
+        shared = sorted({c for pair in batch if both_full(*pair) for c in pair})
+        sums = [e for c in shared for e in (f"sum(d{c}) AS s{c}", f"sum(d{c} * d{c}) AS q{c}")]
+        sums += [e for pair in batch for e in pair_sums(*pair)]
+        rows = [cell(a, b, pair_r(i, j)) for i, j in batch for a, b in ((i, j), (j, i))]
+        parts.append(centred.agg(*[F.expr(e) for e in sums]).select(F.expr(f"inline(array({', '.join(rows)}))")))
+    return reduce(DataFrame.unionByName, parts).select("col_x", "col_y", rounded(F.col("r")).alias("r"))

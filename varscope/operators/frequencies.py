@@ -10,19 +10,36 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from varscope.functions.columns import (
     BOOL, DECIMAL, ENTERO, FECHA, NUMBER_TEXT_SQL, TEXTO, finite_sql, kinds, local_rows, numeric_long,
-    quoted, rounded,
+    quoted, rounded, sql_text,
 )
-from varscope.functions.text import normalize, normalize_name
+from varscope.functions.text import WHITE_SPACE, normalize, normalize_name
 from varscope.functions.vocab import CONTINUA, DISCRETA, FREQUENCY_ROWS
 from varscope.session import freeze
 
-def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+# Text above this length travels as a digest where only the number of distinct values matters.
+LONG_TEXT = 256
+DIGEST_SQL = ("CASE WHEN length({c}) > {limit} AND length(translate({c}, {blank}, '')) > {word} "
+              "THEN concat('#', sha2({c}, 256)) ELSE {c} END")
+LONGEST_WORD = 64
+
+
+def value_counts(df: DataFrame, columns: Sequence[str] | None = None, compact: bool = False) -> DataFrame:
     """``columna, valor, valor_num, n``: how often each value of each column occurs.
 
     Columns of one kind are counted together on their native type (numbers are never printed
     before they are aggregated). Counts combine before the shuffle, so a value that fills a third
     of the table still arrives as one row per task.
+
+    ``compact`` is for counting distinct values of long texts: the SHA-256 of the whole text is
+    shuffled in its place. Text that could still be a known label (short once blanks are left
+    out) is kept.
     """
+    def text_cell(c: str) -> str:
+        cell = f"CAST({c} AS STRING)"
+        if not compact:
+            return cell
+        return DIGEST_SQL.format(c=cell, limit=LONG_TEXT, word=LONGEST_WORD, blank=sql_text(WHITE_SPACE + "_-"))
+
     by_kind: dict[str, list[str]] = {}
     for name, kind in kinds(df, columns).items():
         by_kind.setdefault(kind, []).append(name)
@@ -33,7 +50,7 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     shapes = {
         ENTERO: (lambda c: f"CAST({c} AS BIGINT)", "CAST(v AS STRING)", "CAST(v AS DOUBLE)"),
         DECIMAL: (None, NUMBER_TEXT_SQL.format(x="v"), "v"),
-        TEXTO: (lambda c: f"CAST({c} AS STRING)", "v", "CAST(NULL AS DOUBLE)"),
+        TEXTO: (text_cell, "v", "CAST(NULL AS DOUBLE)"),
         FECHA: (lambda c: f"CAST({c} AS TIMESTAMP_NTZ)", "CAST(v AS STRING)", "CAST(NULL AS DOUBLE)"),
         BOOL: (lambda c: c, "IF(v, 'True', 'False')", "CAST(NULL AS DOUBLE)"),
     }

@@ -52,7 +52,7 @@ def column_profile(
 
     A given classification is kept: filtering rows never reclassifies a column.
     """
-    counts = value_counts(df) if counts is None else counts
+    counts = value_counts(df, compact=True) if counts is None else counts
     fields = ("tipo", "rol", "confianza", "justificacion", "escala_orden")
     if classification is None:
         facts = decide(column_metrics(df, counts=counts)).select(

@@ -4,6 +4,8 @@ Small groups use the built-in ``percentile``, whose state is one map per group.
 would make that map as large as the group, so its order statistics are found by narrowing: count
 the values per bin, keep the bin that holds the wanted rank, repeat inside it, and order only the
 few values of the last bin. Each step is one scan with map-side counts and shuffles almost nothing.
+Should more groups be large than are narrowed together, the remaining ones (each a small share of
+all rows by then) are ranked by a sort that can spill.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from varscope.functions.columns import local_rows
 
 SMALL_GROUP = 200_000     # rows per group that one task may order
-MAX_LARGE_GROUPS = 5_000  # groups narrowed together; the rest are at most 1/5,000 of the rows each
+MAX_LARGE_GROUPS = 5_000  # groups narrowed together; any other is at most 1/5,000 of the rows
 BINS = 1_024
 
 
@@ -46,10 +48,12 @@ def quantiles(
     narrowed = _by_narrowing(long, large, probs, by)
     if len(large) == len(sizes):
         return narrowed
-    key_table = local_rows(long.sparkSession, [(r[by],) for r in large], T.StructType([T.StructField(by, long.schema[by].dataType)])
-    )
-    small = long.join(F.broadcast(key_table), by, "left_anti")
-    return narrowed.unionByName(_by_percentile(small, probs, by))
+    key_table = local_rows(long.sparkSession, [(r[by],) for r in large],
+                           T.StructType([T.StructField(by, long.schema[by].dataType)]))
+    rest = long.join(F.broadcast(key_table), by, "left_anti")
+    biggest_left = sizes[len(large)]["n"]
+    method = _by_percentile if biggest_left <= small_group else _by_sorting
+    return narrowed.unionByName(method(rest, probs, by))
 
 
 def _by_percentile(long: DataFrame, probs: Sequence[float], by: str) -> DataFrame:
@@ -61,6 +65,24 @@ def _by_percentile(long: DataFrame, probs: Sequence[float], by: str) -> DataFram
     )
 
 
+def _by_sorting(long: DataFrame, probs: Sequence[float], by: str) -> DataFrame:
+    """Rank the distinct values of each group by a windowed sort, which spills to disk."""
+    counted = long.groupBy(by, "x").agg(F.count("*").alias("n"))
+    sizes = counted.groupBy(by).agg(F.sum("n").alias("total"))
+    upto = Window.partitionBy(by).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("hasta", F.sum("n").over(upto)).join(sizes, by)
+    places = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: F.struct(
+        p.alias("prob"), ((F.col("total") - 1) * p).alias("lugar")))
+    here = lambda rank: (rank >= F.col("hasta") - F.col("n")) & (rank < F.col("hasta"))
+    hits = F.filter(places, lambda q: here(F.floor(q["lugar"])) | here(F.ceil(q["lugar"])))
+    low, high = F.min("x"), F.max("x")
+    return (
+        ranked.select(by, "x", F.inline(hits)).withColumn("resto", F.col("lugar") - F.floor("lugar"))
+        .groupBy(by, "prob", "resto").agg((low + (high - low) * F.col("resto")).alias("valor"))
+        .select(by, "prob", "valor")
+    )
+
+
 def _bracket_table(spark, key_type: T.DataType, by: str, brackets: list[tuple]) -> DataFrame:
     """Driver-made: at most two brackets per wanted quantile and large group."""
     schema = T.StructType([
