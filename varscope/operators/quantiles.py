@@ -100,6 +100,22 @@ def _inside(long: DataFrame, table: DataFrame, by: str) -> DataFrame:
     return long.join(F.broadcast(edges), match).select("tramo", "lo", "hi", "x")
 
 
+def _ranked_inside(long: DataFrame, table: DataFrame, by: str) -> DataFrame:
+    """``by, rango, x``: the wanted ranks of each bracket, by ordering the values it holds.
+
+    A bracket holds at most SMALL_GROUP rows by now, or numbers too close to be told apart by
+    bins; either way the window streams over a sort that can spill.
+    """
+    counted = _inside(long, table, by).groupBy("tramo", "x").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("tramo").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (
+        counted.withColumn("_n", F.sum("n").over(upto)).join(F.broadcast(table), "tramo")
+        .withColumn("hasta", F.col("antes") + F.col("_n"))
+    )
+    return ranked.select(by, "x", F.explode(F.filter(
+        "rangos", lambda r: (r >= F.col("hasta") - F.col("n")) & (r < F.col("hasta")))).alias("rango"))
+
+
 def _by_narrowing(long: DataFrame, groups: list, probs: Sequence[float], by: str) -> DataFrame:
     spark, key_type = long.sparkSession, long.schema[by].dataType
     # A bracket: group, id, value bounds, rows of the group below it, wanted ranks inside it.
@@ -107,11 +123,13 @@ def _by_narrowing(long: DataFrame, groups: list, probs: Sequence[float], by: str
         (r[by], i, r["lo"], r["hi"], 0, _wanted_ranks(r["n"], probs)) for i, r in enumerate(groups)
     ]
     ready: list[tuple] = []
+    known: list[tuple] = []  # ranks that fell in a bin with a single value: group, rank, value
     while open_brackets:
         table = _bracket_table(spark, key_type, by, open_brackets)
-        span = F.col("hi") - F.col("lo")
+        # Halves, so that the distance between two opposite extremes does not overflow.
+        span = F.col("hi") * 0.5 - F.col("lo") * 0.5
         bin_of = F.when(span > 0, F.least(
-            F.floor((F.col("x") / span - F.col("lo") / span) * BINS), F.lit(BINS - 1))).otherwise(0)
+            F.floor((F.col("x") * 0.5 - F.col("lo") * 0.5) / span * BINS), F.lit(BINS - 1))).otherwise(0)
         bins = _inside(long, table, by).groupBy("tramo", bin_of.alias("bin")).agg(
             F.count("*").alias("n"), F.min("x").alias("_lo"), F.max("x").alias("_hi"))
         below = Window.partitionBy("tramo").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -124,25 +142,23 @@ def _by_narrowing(long: DataFrame, groups: list, probs: Sequence[float], by: str
         hit = placed.withColumn("rangos", F.filter(
             "rangos", lambda r: (r >= F.col("antes")) & (r < F.col("antes") + F.col("n"))))
         found = hit.filter(F.size("rangos") > 0).select(by, "lo", "hi", "antes", "rangos", "n").collect()
+        before = {(b[0], b[2], b[3]) for b in open_brackets}
         open_brackets = []
         for r in found:
             bracket = (r[by], r["lo"], r["hi"], r["antes"], list(r["rangos"]))
-            if r["n"] > SMALL_GROUP and r["lo"] < r["hi"]:
+            if r["lo"] == r["hi"]:
+                known += [(r[by], rank, r["lo"]) for rank in r["rangos"]]
+            elif r["n"] > SMALL_GROUP and (r[by], r["lo"], r["hi"]) not in before:
                 open_brackets.append(bracket)
             else:
                 ready.append(bracket)
         open_brackets = [(k, i, *rest) for i, (k, *rest) in enumerate(open_brackets)]
 
-    table = _bracket_table(spark, key_type, by, [(k, i, *rest) for i, (k, *rest) in enumerate(ready)])
-    counted = _inside(long, table, by).groupBy("tramo", "x").agg(F.count("*").alias("n"))
-    # Each bracket holds at most SMALL_GROUP rows, or one single value.
-    upto = Window.partitionBy("tramo").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (
-        counted.withColumn("_n", F.sum("n").over(upto)).join(F.broadcast(table), "tramo")
-        .withColumn("hasta", F.col("antes") + F.col("_n"))
-    )
-    chosen = ranked.select(by, "x", F.explode(F.filter(
-        "rangos", lambda r: (r >= F.col("hasta") - F.col("n")) & (r < F.col("hasta")))).alias("rango"))
+    chosen = local_rows(spark, known, T.StructType([
+        T.StructField(by, key_type), T.StructField("rango", T.LongType()), T.StructField("x", T.DoubleType())]))
+    if ready:
+        table = _bracket_table(spark, key_type, by, [(k, i, *rest) for i, (k, *rest) in enumerate(ready)])
+        chosen = chosen.unionByName(_ranked_inside(long, table, by))
 
     wanted = []
     for r in groups:
