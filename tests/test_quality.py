@@ -91,3 +91,23 @@ def test_numbers_are_checked_against_a_catalogue_as_text(spark):
     df = spark.createDataFrame([(1,), (2,), (3,)], "zona int")
     rule = Catalogue("Zonas", "u", ("zona",), ("1", "2"))
     assert found(df, catalogues=[rule])[("valor_fuera_de_catalogo", "zona")]["ejemplos"] == ["3 → 1"]
+
+
+def test_long_texts_are_compared_whole(spark):
+    body = "Palabra " * 60
+    texts = [body + "uno", (body + "UNO").upper(), body + "dos", body + "dos", "corto", "  Corto"]
+    df = spark.createDataFrame([(t,) for t in texts], "`id texto` string")
+    f = found(df)
+    assert f[("inconsistencia_de_formato", "id texto")]["filas_afectadas"] == 4
+    assert f[("identificador_duplicado", "id texto")]["filas_afectadas"] == 1
+    assert f[("filas_duplicadas", None)]["filas_afectadas"] == 1
+
+
+def test_compact_counts_match_whole_ones(spark):
+    from varscope.operators.frequencies import value_counts
+
+    blanks = "alto" + " " * 300
+    df = spark.createDataFrame([("a" * 300 + str(i % 3),) for i in range(10)] + [(blanks,), ("x",)], "t string")
+    whole, compact = (value_counts(df, compact=c) for c in (False, True))
+    assert sorted(r["n"] for r in whole.collect()) == sorted(r["n"] for r in compact.collect()) == [1, 1, 3, 3, 4]
+    assert compact.filter(F.col("valor") == blanks).count() == 1

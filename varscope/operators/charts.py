@@ -18,6 +18,7 @@ from varscope.operators.grouping import (
     AGGREGATES, aggregate, crosstab, group_by, group_order, key_cell, key_label, key_number,
     share_of_category, with_label,
 )
+from varscope.operators.ordering import ordered_slice
 from varscope.operators.quantiles import quantiles
 
 PIE_SLICES = 10
@@ -316,5 +317,5 @@ def table_page(
         key = F.when(F.nullif(ref(orden).cast("string"), F.lit("")).isNotNull(), key)
     else:
         key = finite(df, orden) if kind in (ENTERO, DECIMAL) else ref(orden)
-    first = key.asc_nulls_last() if ascendente else key.desc_nulls_last()
-    return df.orderBy(first, *[ref(c) for c in desempate]).offset(pagina * por_pagina).limit(por_pagina)
+    keys = [(key, ascendente), *[(ref(c), True) for c in desempate]]
+    return ordered_slice(df, keys, pagina * por_pagina, por_pagina)

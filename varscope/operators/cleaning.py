@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from varscope.functions.columns import PLAIN_NUMBER, TEXTO, kinds, quoted, ref
 from varscope.functions.text import DATE_MARK, blank_to_null, parse_date, parse_number
 from varscope.functions.vocab import NA_TOKENS
+from varscope.operators.ordering import ordered_slice
 
 NUMBER_SHARE = 0.9
 DATE_MARK_SHARE = 0.6
@@ -119,7 +120,7 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[Da
 
 def cap_rows(df: DataFrame, limit: int, order_by: Sequence[str]) -> DataFrame:
     """The first rows in a given order (a file order does not exist on a cluster)."""
-    return df.orderBy(*[ref(c) for c in order_by]).limit(limit)
+    return ordered_slice(df, [(ref(c), True) for c in order_by], 0, limit)
 
 
 def cap_columns(df: DataFrame, limit: int) -> DataFrame:

@@ -14,37 +14,48 @@ from varscope.functions.columns import (
 )
 from varscope.functions.text import WHITE_SPACE, normalize, normalize_name
 from varscope.functions.vocab import CONTINUA, DISCRETA, FREQUENCY_ROWS
-from varscope.session import freeze
+from varscope.operators.ordering import range_parts
 
-# Text above this length travels as a digest where only the number of distinct values matters.
+# Text above this length travels as its beginning and the digest of the whole.
 LONG_TEXT = 256
-DIGEST_SQL = ("CASE WHEN length({c}) > {limit} AND length(translate({c}, {blank}, '')) > {word} "
-              "THEN concat('#', sha2({c}, 256)) ELSE {c} END")
+HEAD = 80
 LONGEST_WORD = 64
 
 
-def value_counts(df: DataFrame, columns: Sequence[str] | None = None, compact: bool = False) -> DataFrame:
+def _is_long(cell: str) -> str:
+    """SQL test for text that is long and no known label, even once its blanks are left out."""
+    return (f"length({cell}) > {LONG_TEXT} "
+            f"AND length(translate({cell}, {sql_text(WHITE_SPACE + '_-')}, '')) > {LONGEST_WORD}")
+
+
+def _digest(cell: str) -> str:
+    return f"concat(left({cell}, {HEAD}), '… #', sha2({cell}, 256))"
+
+
+def value_counts(
+    df: DataFrame, columns: Sequence[str] | None = None, compact: bool = False, with_norm: bool = False
+) -> DataFrame:
     """``columna, valor, valor_num, n``: how often each value of each column occurs.
 
     Columns of one kind are counted together on their native type (numbers are never printed
     before they are aggregated). Counts combine before the shuffle, so a value that fills a third
     of the table still arrives as one row per task.
 
-    ``compact`` is for counting distinct values of long texts: the SHA-256 of the whole text is
-    shuffled in its place. Text that could still be a known label (short once blanks are left
-    out) is kept.
+    ``compact`` tells long texts apart by the SHA-256 of the whole text, shown after its first
+    characters, so that documents are counted without being shuffled. ``with_norm`` adds the
+    column ``norma``; long texts are normalised where they are read, labels after counting.
     """
-    def text_cell(c: str) -> str:
-        cell = f"CAST({c} AS STRING)"
-        if not compact:
-            return cell
-        return DIGEST_SQL.format(c=cell, limit=LONG_TEXT, word=LONGEST_WORD, blank=sql_text(WHITE_SPACE + "_-"))
-
     by_kind: dict[str, list[str]] = {}
     for name, kind in kinds(df, columns).items():
         by_kind.setdefault(kind, []).append(name)
     if not by_kind:
-        return local_rows(df.sparkSession, [], "columna string, valor string, valor_num double, n bigint")
+        empty = "columna string, valor string, valor_num double, n bigint" + (", norma string" if with_norm else "")
+        return local_rows(df.sparkSession, [], empty)
+
+    def text_cell(c: str) -> str:
+        cell = f"CAST({c} AS STRING)"
+        return f"IF({_is_long(cell)}, {_digest(cell)}, {cell})" if compact else cell
+
 
     # kind -> (cell on its native type, its text, its number)
     shapes = {
@@ -59,14 +70,35 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None, compact: b
         names = by_kind.get(kind)
         if not names:
             continue
+        if kind == TEXTO and compact and with_norm:
+            parts.append(_text_counts_with_norm(df, names))
+            continue
         wide = df.selectExpr(*[
             f"{finite_sql(c, kind) if cell is None else cell(quoted(c))} AS {quoted(c)}" for c in names])
         long = wide.unpivot([], [quoted(c) for c in names], "columna", "v").filter("v IS NOT NULL")
         counted = long.groupBy("columna", "v").agg(F.expr("count(*) AS n"))
-        parts.append(counted.selectExpr("columna", f"{text} AS valor", f"{number} AS valor_num", "n"))
+        part = counted.selectExpr("columna", f"{text} AS valor", f"{number} AS valor_num", "n")
+        parts.append(part.withColumn("norma", normalize(F.col("valor"))) if with_norm else part)
     return reduce(DataFrame.unionByName, parts)
 
 
+def _text_counts_with_norm(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Compact counts of text columns in which long texts carry a digest of their normal form."""
+    cells = {c: f"CAST({quoted(c)} AS STRING)" for c in names}
+    long_forms = [F.when(F.expr(_is_long(cell)), F.sha2(normalize(F.expr(cell)), 256)) for cell in cells.values()]
+    pairs = [
+        F.struct(F.expr(f"IF({_is_long(cell)}, {_digest(cell)}, {cell})").alias("v"), form.alias("f")).alias(c)
+        for (c, cell), form in zip(cells.items(), long_forms)
+    ]
+    counted = (
+        df.select(*pairs).unpivot([], [quoted(c) for c in names], "columna", "p")
+        .select("columna", F.col("p.v").alias("valor"), F.col("p.f").alias("_f")).filter("valor IS NOT NULL")
+        .groupBy("columna", "valor", "_f").agg(F.expr("count(*) AS n"))
+    )
+    return counted.select("columna", "valor", F.lit(None).cast("double").alias("valor_num"), "n",
+                          F.coalesce("_f", normalize(F.col("valor"))).alias("norma"))
+
+
 def scale_position(value: Column, scale: Sequence[str]) -> Column:
     """Place of a label in a scale; labels outside it come last."""
     levels = F.array(*[F.lit(normalize_name(level)) for level in scale])
@@ -138,9 +170,7 @@ def running_totals(counts: DataFrame, order_keys: Sequence[Column]) -> DataFrame
     names = [f"_k{i}" for i in range(len(order_keys))]
     keyed = counts.select("*", *[key.alias(name) for name, key in zip(names, order_keys)])
     keys = [F.col(name).asc_nulls_last() for name in names]
-    parts = freeze(
-        keyed.repartitionByRange("columna", *keys).withColumn("_parte", F.spark_partition_id())
-    )
+    parts = range_parts(keyed, [F.col("columna"), *keys])
     before = Window.partitionBy("columna").orderBy("_parte").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         parts.groupBy("columna", "_parte").agg(F.sum("n").alias("_s"), F.count("*").alias("_r"))

@@ -183,21 +183,25 @@ def null_findings(metrics: DataFrame) -> DataFrame:
                     examples=F.array())
 
 
+def _with_norm(counts: DataFrame) -> DataFrame:
+    return counts if "norma" in counts.columns else counts.withColumn("norma", normalize(F.col("valor")))
+
+
 def spelling_variants(counts: DataFrame) -> DataFrame:
     """``columna, norma, variantes, filas``: normal forms that several raw values share."""
-    return counts.withColumn("norma", normalize(F.col("valor"))).groupBy("columna", "norma").agg(
+    return _with_norm(counts).groupBy("columna", "norma").agg(
         F.count("*").alias("variantes"), F.sum("n").alias("filas")).filter(F.col("variantes") > 1)
 
 
 def variant_findings(counts: DataFrame, text_columns: Sequence[str]) -> DataFrame:
     if not text_columns:
         return _none(counts)
-    texts = counts.filter(F.col("columna").isin(list(text_columns)))
+    texts = _with_norm(counts.filter(F.col("columna").isin(list(text_columns))))
     groups = spelling_variants(texts)
     totals = groups.groupBy("columna").agg(F.count("*").alias("categorias"), F.sum("filas").alias("filas"))
     place = Window.partitionBy("columna").orderBy("norma")
     shown = groups.withColumn("_g", F.row_number().over(place)).filter(F.col("_g") <= VARIANT_EXAMPLES)
-    spelled = texts.withColumn("norma", normalize(F.col("valor"))).join(
+    spelled = texts.join(
         F.broadcast(shown.select("columna", "norma", "_g", "variantes")), ["columna", "norma"])
     forms = _first_examples(spelled, ["columna", "_g", "variantes"], [F.col("valor")], F.col("valor"), VARIANTS_SHOWN)
     line = F.concat(F.array_join("ejemplos", " / "),
@@ -266,13 +270,14 @@ def findings(
     """All findings; empty for a table without rows. Sort with :func:`sorted_findings`.
 
     Only text columns are counted by value; numbers are judged in the scans over the long frame.
+    Long texts are told apart by digests of the whole text and of its normal form.
     """
     by_kind = kinds(df)
     text = [c for c, k in by_kind.items() if k == TEXTO]
     bound = {c for cat in catalogues for c in bound_columns(df.columns, cat.hints)}
     counted = [c for c in df.columns if c in bound or c in text]
     if counts is None and counted:
-        counts = value_counts(df, counted)
+        counts = value_counts(df, counted, compact=True, with_norm=True)
     parts = [range_findings(df, ranges), duplicate_findings(df), null_findings(cell_metrics(df)), zscore_findings(df)]
     if counted:
         parts += [catalogue_findings(counts, df.columns, catalogues), variant_findings(counts, text),

@@ -47,14 +47,18 @@ class Dataset:
     clasificacion: DataFrame
     conteos: DataFrame
 
+    compacto: bool = False
+
     @classmethod
-    def of(cls, df: DataFrame) -> Dataset:
-        counts = value_counts(df).persist()
-        return cls(df, classify(df, counts=counts).persist(), counts)
+    def of(cls, df: DataFrame, compacto: bool = False) -> Dataset:
+        """Classify a table. With ``compacto`` lists show long texts as a beginning and a digest,
+        which spares tables of documents from shuffling whole texts."""
+        counts = value_counts(df, compact=compacto).persist()
+        return cls(df, classify(df, counts=counts).persist(), counts, compacto)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, **options) -> Dataset:
-        return cls.of(load(spark, path, **options).df)
+    def open(cls, spark: SparkSession, path: str, compacto: bool = False, **options) -> Dataset:
+        return cls.of(load(spark, path, **options).df, compacto)
 
     def close(self) -> None:
         self.conteos.unpersist()
@@ -68,7 +72,7 @@ class Dataset:
     def analyse(self, filters: Iterable[Filter] = ()) -> Analysis:
         """Full report of the rows that pass the filters, keeping the classification of the load."""
         visible, active = apply_filters(self.df, filters)
-        counts = self.conteos if not active else value_counts(visible)
+        counts = self.conteos if not active else value_counts(visible, compact=self.compacto)
         return analyse(visible, counts, self.clasificacion, self.scales(), active)
 
     def frequencies(self, columns: Sequence[str], filters: Iterable[Filter] = ()) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +80,7 @@ class Dataset:
         visible, active = apply_filters(self.df, filters)
         rows = self.clasificacion.filter(F.col("columna").isin(list(columns))).select(
             "columna", "tipo", "escala_orden").collect()
-        counts = value_counts(visible, columns) if active else self.conteos.filter(
+        counts = value_counts(visible, columns, self.compacto) if active else self.conteos.filter(
             F.col("columna").isin(list(columns)))
         return frequency_bundle(visible, [tuple(r) for r in rows], counts)
 
@@ -94,7 +98,7 @@ class Dataset:
     def export_report(self, folder: str, filters: Iterable[Filter] = (), fmt: str = "parquet") -> None:
         """Write the data and the three report tables."""
         visible, active = apply_filters(self.df, filters)
-        counts = value_counts(visible).persist() if active else self.conteos
+        counts = value_counts(visible, compact=self.compacto).persist() if active else self.conteos
         profile = column_profile(visible, counts, self.clasificacion)
         tables = {
             "datos": visible, "clasificacion": report.classification_table(profile),
