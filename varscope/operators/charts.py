@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row, Window, functions as F
 
 from varscope.functions import vocab
 from varscope.functions.columns import (
-    DECIMAL, ENTERO, TEXTO, column_rows, finite, kinds, numeric_columns, present, ref, rounded,
+    DECIMAL, ENTERO, INFINITY, TEXTO, column_rows, finite, kinds, numeric_columns, present, ref,
 )
 from varscope.functions.text import natural_key
 from varscope.operators.correlation import correlation
@@ -39,8 +39,7 @@ def pie(df: DataFrame, x: str, y: str | None = None, agregacion: str = "suma", s
     """``orden, categoria, valor``: ten largest slices and the rest as one.
 
     Shares need magnitudes that are not negative, so a negative group is an error. The remainder
-    is the sum of all other groups, taken with one aggregate: the ten are told apart by the sort
-    key of the tenth, not by numbering every group.
+    is one sum over all other groups, however many, and never numbers them.
     """
     groups = group_by(df, x, y, agregacion)
     order = group_order("valor", scale)
@@ -50,7 +49,10 @@ def pie(df: DataFrame, x: str, y: str | None = None, agregacion: str = "suma", s
     numbered = Window.orderBy(*order)
     slices = groups.orderBy(*order).limit(PIE_SLICES).select(
         F.row_number().over(numbered).cast("bigint").alias("orden"), "categoria", "valor")
-    rest = groups.join(F.broadcast(slices.select("categoria")), "categoria", "left_anti").agg(
+    # The key depends on the group's value, which keeps the anti join above the aggregation: both
+    # branches then read the same shuffle instead of scanning the table twice.
+    keyed = groups.withColumn("_c", F.when(F.col("valor") >= -INFINITY, F.col("categoria")))
+    rest = keyed.join(F.broadcast(slices.select(F.col("categoria").alias("_c"))), "_c", "left_anti").agg(
         F.sum("valor").alias("valor"), F.count("*").alias("_g")).filter("_g > 0").select(
         F.lit(PIE_SLICES + 1).cast("bigint").alias("orden"), F.lit(vocab.OTHERS_LABEL).alias("categoria"), "valor")
     return slices.unionByName(rest)
@@ -149,8 +151,9 @@ def _box_values(df: DataFrame, y: str, x: str | None) -> DataFrame:
     if x is None:
         return df.select(F.lit(y).alias("grupo"), number).filter(F.col("x").isNotNull())
     values = with_label(df, x, "grupo", number).filter(F.col("x").isNotNull())
+    # Twelve labels at most; as literals they spare every later scan the count of all groups.
     shown = values.groupBy("grupo").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "grupo").limit(BOXES)
-    return values.join(F.broadcast(shown.select("grupo")), "grupo", "left_semi")
+    return values.filter(F.col("grupo").isin([r["grupo"] for r in shown.collect()]))
 
 
 def _fenced(df: DataFrame, y: str, x: str | None) -> DataFrame:

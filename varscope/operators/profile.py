@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from varscope.functions import vocab
 from varscope.functions.columns import (
-    BOOL, DECIMAL, ENTERO, FECHA, column_rows, finite, kinds, present, ref, rounded,
+    DECIMAL, ENTERO, FECHA, column_rows, kinds, present, ref, rounded,
 )
 from varscope.functions.text import normalize
 from varscope.functions.vocab import CONTINUA, DISCRETA
-from varscope.operators.classify import cell_metrics, classify, column_metrics, decide, value_profile
+from varscope.operators.classify import cell_metrics, classify, column_metrics, decide
 from varscope.operators.duplicates import duplicate_rows
 from varscope.operators.frequencies import display_order, frequency_tables, value_counts
 
