@@ -116,19 +116,19 @@ def chart_box_outliers(spark, sf):
 def correlation_sql(source, columns):
     pairs = [f"SELECT '{a}' AS col_x, '{b}' AS col_y, round(CASE WHEN min({a}) FILTER (WHERE {b} IS NOT NULL) < "
              f"max({a}) FILTER (WHERE {b} IS NOT NULL) AND min({b}) FILTER (WHERE {a} IS NOT NULL) < "
-             f"max({b}) FILTER (WHERE {a} IS NOT NULL) THEN corr({a}, {b}) END, 4) AS r FROM {source}"
+             f"max({b}) FILTER (WHERE {a} IS NOT NULL) THEN corr({a}, {b}) END, 6) AS r FROM {source}"
              for a in columns for b in columns]
     return " UNION ALL ".join(pairs)
 
 
 @query("correlation_matrix", correlation_sql("lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]))
 def correlation_matrix(spark, sf):
-    return flat(correlation(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]))
+    return flat(correlation(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]), 6)
 
 
 @query("chart_heatmap_corr", correlation_sql(DOC_LABELS, ["doc_id", "n_chars", "quality", "toxic"]))
 def chart_heatmap_corr(spark, sf):
-    return flat(charts.heatmap_correlation(documents_with_labels(spark, sf)))
+    return flat(charts.heatmap_correlation(documents_with_labels(spark, sf)), 6)
 
 
 @query("chart_heatmap_cross", """
@@ -178,7 +178,7 @@ def recommend_axes(spark, sf):
 
 
 @query("table_page_sorted", """
-SELECT p_partkey, p_name FROM part ORDER BY p_name DESC, p_partkey LIMIT 100 OFFSET 200""")
+SELECT p_partkey, p_name FROM part ORDER BY p_name DESC, p_partkey LIMIT 100 OFFSET 100""")
 def table_page_sorted(spark, sf):
-    page = charts.table_page(table(spark, sf, "part"), "p_name", False, 2, 100, ["p_partkey"])
+    page = charts.table_page(table(spark, sf, "part"), "p_name", False, 1, 100, ["p_partkey"])
     return flat(page.select("p_partkey", "p_name"))

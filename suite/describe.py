@@ -33,7 +33,7 @@ def describe_quartiles(spark, sf):
 
 def _quantile_sql(letter, points):
     return " UNION ALL ".join(
-        f"SELECT columna, '{letter}{name}' AS estadistico, round(quantile_cont(x, {p}), 4) AS valor "
+        f"SELECT columna, '{letter}{name}' AS estadistico, round(round(quantile_cont(x, {p}), 6), 4) AS valor "
         f"FROM v GROUP BY columna" for name, p in points)
 
 
@@ -91,12 +91,12 @@ def describe_outliers(spark, sf):
 WITH v AS ({VALUES}), q AS ({QUARTILES_SQL}), modas AS ({MODES_SQL}),
 o AS (SELECT v.columna, count(*) FILTER (WHERE q3 > q1 AND
     (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1))) AS atipicos FROM v JOIN q USING (columna) GROUP BY v.columna)
-SELECT v.columna, count(x) AS conteo, round(avg(x), 4) AS media, round(any_value(q.q2), 4) AS mediana,
+SELECT v.columna, count(x) AS conteo, round(round(avg(x), 6), 4) AS media, round(round(any_value(q.q2), 6), 4) AS mediana,
   (SELECT string_agg(CASE WHEN moda = floor(moda) THEN moda::BIGINT::VARCHAR || '.0' ELSE moda::VARCHAR END, '|' ORDER BY orden)
    FROM modas WHERE modas.columna = v.columna) AS moda,
-  round(stddev_samp(x), 4) AS desviacion_estandar, min(x) AS minimo, max(x) AS maximo,
-  round(any_value(q.q1), 4) AS q1, round(any_value(q.q3), 4) AS q3,
-  round(skewness(x), 4) AS asimetria, round(kurtosis(x), 4) AS curtosis, any_value(o.atipicos) AS atipicos
+  round(round(stddev_samp(x), 6), 4) AS desviacion_estandar, min(x) AS minimo, max(x) AS maximo,
+  round(round(any_value(q.q1), 6), 4) AS q1, round(round(any_value(q.q3), 6), 4) AS q3,
+  round(round(skewness(x), 6), 4) AS asimetria, round(round(kurtosis(x), 6), 4) AS curtosis, any_value(o.atipicos) AS atipicos
 FROM v JOIN q USING (columna) JOIN o USING (columna) GROUP BY v.columna""")
 def describe_numeric(spark, sf):
     s = describe.numeric_summary(table(spark, sf, "lineitem"), COLUMNS)

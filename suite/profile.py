@@ -58,14 +58,15 @@ def _list_sql(column, order="valor", limit=200):
 
 
 @query("filter_options", f"""
-SELECT 'p_partkey' AS columna, 'texto' AS tipo_control, {_list_sql('p_partkey', 'n DESC, k')} AS valores, true AS valores_truncados,
-  NULL::DOUBLE AS minimo, NULL::DOUBLE AS maximo, NULL::DOUBLE AS paso, false AS tiene_nulos
+SELECT 'p_partkey' AS columna, CASE WHEN count(DISTINCT p_partkey) > 200 THEN 'texto' ELSE 'categorico' END AS tipo_control,
+  {_list_sql('p_partkey', 'n DESC, k')} AS valores, count(DISTINCT p_partkey) > 200 AS valores_truncados,
+  NULL::DOUBLE AS minimo, NULL::DOUBLE AS maximo, NULL::DOUBLE AS paso, false AS tiene_nulos FROM part
 UNION ALL SELECT 'p_name', 'categorico', {_list_sql('p_name')}, false, NULL, NULL, NULL, false
 UNION ALL SELECT 'p_brand', 'categorico', {_list_sql('p_brand')}, false, NULL, NULL, NULL, false
 UNION ALL SELECT 'p_type', 'categorico', {_list_sql('p_type')}, false, NULL, NULL, NULL, false
 UNION ALL SELECT 'p_size', 'rango', '', false, min(p_size)::DOUBLE, max(p_size)::DOUBLE, 1, false FROM part
 UNION ALL SELECT 'p_retailprice', 'rango', '', false, min(p_retailprice), max(p_retailprice),
-  round(greatest((max(p_retailprice) - min(p_retailprice)) / 100, 1e-6), 4), false FROM part""")
+  round(round(greatest((max(p_retailprice) - min(p_retailprice)) / 100, 1e-6), 6), 4), false FROM part""")
 def filter_options(spark, sf):
     return flat(profile.filter_options(table(spark, sf, "part")).drop("pos"))
 
@@ -75,8 +76,8 @@ CUSTOMER_COLUMNS = [("c_custkey", True), ("c_name", False), ("c_nationkey", True
 
 @query("full_analysis", f"""
 {' UNION ALL '.join(f"SELECT 'columna' AS seccion, '{c}' AS clave, 'unicos' AS medida, count(DISTINCT {c})::DOUBLE AS valor FROM customer" for c, _ in CUSTOMER_COLUMNS)}
-UNION ALL {' UNION ALL '.join(f"SELECT 'numero', '{c}', 'mediana', round(quantile_cont({c}, 0.5), 4) FROM customer" for c, num in CUSTOMER_COLUMNS if num)}
-UNION ALL SELECT 'correlacion', col_x, col_y, r FROM ({correlation_sql('customer', ['c_custkey', 'c_nationkey', 'c_acctbal'])})
+UNION ALL {' UNION ALL '.join(f"SELECT 'numero', '{c}', 'mediana', round(round(quantile_cont({c}, 0.5), 6), 4) FROM customer" for c, num in CUSTOMER_COLUMNS if num)}
+UNION ALL SELECT 'correlacion', col_x, col_y, round(r, 4) FROM ({correlation_sql('customer', ['c_custkey', 'c_nationkey', 'c_acctbal'])})
 UNION ALL SELECT 'filtro', 'c_nationkey', 'maximo', max(c_nationkey)::DOUBLE FROM customer
 UNION ALL SELECT 'filtro', 'c_acctbal', 'maximo', max(c_acctbal) FROM customer
 UNION ALL SELECT 'resumen', 'tabla', 'filas', count(*)::DOUBLE FROM customer

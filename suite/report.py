@@ -24,9 +24,9 @@ def report_classification(spark, sf):
 WITH m AS (SELECT string_agg(p_size::VARCHAR || '.0', ', ' ORDER BY p_size) AS moda FROM (
   SELECT p_size, n, row_number() OVER (ORDER BY p_size) AS i FROM (
     SELECT p_size, count(*) AS n, max(count(*)) OVER () AS top FROM part GROUP BY p_size) WHERE n = top AND top > 1) WHERE i <= 10)
-SELECT 'p_size' AS "Columna", count(p_size) AS "N", round(avg(p_size), 4) AS "Media", quantile_cont(p_size::DOUBLE, 0.5) AS "Mediana",
-  (SELECT coalesce(moda, 'Sin moda') FROM m) AS "Moda", round(stddev_samp(p_size), 4) AS "Desv. estándar", round(var_samp(p_size), 4) AS "Varianza",
-  min(p_size)::DOUBLE AS "Mínimo", max(p_size)::DOUBLE AS "Máximo", round(skewness(p_size), 4) AS "Asimetría", round(kurtosis(p_size), 4) AS "Curtosis",
+SELECT 'p_size' AS "Columna", count(p_size) AS "N", round(round(avg(p_size), 6), 4) AS "Media", quantile_cont(p_size::DOUBLE, 0.5) AS "Mediana",
+  (SELECT coalesce(moda, 'Sin moda') FROM m) AS "Moda", round(round(stddev_samp(p_size), 6), 4) AS "Desv. estándar", round(round(var_samp(p_size), 6), 4) AS "Varianza",
+  min(p_size)::DOUBLE AS "Mínimo", max(p_size)::DOUBLE AS "Máximo", round(round(skewness(p_size), 6), 4) AS "Asimetría", round(round(kurtosis(p_size), 6), 4) AS "Curtosis",
   0::BIGINT AS "Atípicos" FROM part""")
 def report_statistics(spark, sf):
     t = report.statistics_table(numeric_summary(table(spark, sf, "part"), ["p_size"]))
