@@ -4,14 +4,102 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from varscope.llm.embedding_dedup import link_embeddings
 from varscope.llm.exact_dedup import exact_dedup
+from varscope.llm.language_id import fit_languages, identify_languages
+from varscope.llm.common import crc_fold
 from varscope.llm.mixing import mix_sources
+from varscope.llm.packing import pack_documents
 from varscope.llm.registry import ORACLES, QUERIES, query, table
+from varscope.llm.secrets import BASE_KINDS, EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, LEAST_ENTROPY, OWNED, scan_secrets
 from varscope.llm.sharding import shuffle_into_shards
+from varscope.llm.url_filter import judge_urls
 
 __all__ = ["ORACLES", "QUERIES"]
 
 SHARDS = 40
+# Verdict, host, path.
+URL_RULES = (
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+)
+
+
+EMBEDDINGS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links,
+  least(e.vec_id, coalesce((SELECT min(b) FROM reach WHERE a = e.vec_id), e.vec_id)) AS component_id,
+  e.vec_id <= coalesce((SELECT min(b) FROM reach WHERE a = e.vec_id), e.vec_id) AS kept
+FROM embeddings e"""
+
+
+@query("op1_int8_tiles", EMBEDDINGS_SQL)
+def op1(spark, folder):
+    return link_embeddings(table(spark, folder, "embeddings"))
+
+
+def _sql_spans(kind: str, rank: int, pattern: str, group: int, least: int, more: str = "true") -> str:
+    """Spans of one kind: a match starts after the pieces and matches before it."""
+    return f"""SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind, place AS "start", place + length(whole) AS "end", value
+  FROM (SELECT *, sum(length(piece)) OVER o + coalesce(sum(length(whole)) OVER (
+      PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+    FROM (SELECT doc_id, source, unnest(range(len(w))) AS n, unnest(w) AS whole, unnest(v) AS value, unnest(p[1:len(w)]) AS piece
+      FROM (SELECT doc_id, source, regexp_extract_all(text, $q${pattern}$q$) AS w,
+          regexp_extract_all(text, $q${pattern}$q$, {group}) AS v, regexp_split_to_array(text, $q${pattern}$q$) AS p
+        FROM documents WHERE text IS NOT NULL)) WINDOW o AS (PARTITION BY doc_id ORDER BY n))
+  WHERE length(value) >= {least} AND {more}"""
+
+
+SECRETS_SQL = f"""
+WITH base AS ({" UNION ALL ".join(_sql_spans(k, n, p, g, m) for n, (k, p, g, m) in enumerate(BASE_KINDS))}),
+loose AS ({_sql_spans(OWNED[0], 3, *OWNED[1:], more="regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')")}),
+letters AS (SELECT value, c, count(*) AS n FROM (SELECT value, unnest(string_split(value, '')) AS c
+  FROM (SELECT DISTINCT value FROM loose)) GROUP BY ALL),
+busy AS (SELECT value FROM (SELECT value, n / sum(n) OVER (PARTITION BY value) AS share FROM letters)
+  GROUP BY value HAVING sum(-share * log2(share)) >= {LEAST_ENTROPY}),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM loose SEMI JOIN busy USING (value)),
+examples AS (SELECT value FROM (SELECT DISTINCT value, source, doc_id FROM spans) GROUP BY value
+  HAVING count(DISTINCT coalesce(source, chr(0))) >= {EXAMPLE_OWNERS} OR count(*) >= {EXAMPLE_REPOSITORIES}),
+kept AS (SELECT *, value IN (SELECT value FROM examples) AS example FROM spans s
+  WHERE rank < 3 OR (value NOT IN (SELECT value FROM examples) AND NOT EXISTS (
+    SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND b."start" < s."end" AND s."start" < b."end"))),
+told AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access,
+  count(*) FILTER (rank = 2) AS n_hex, count(*) FILTER (example) AS n_example,
+  string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY "start", rank) FILTER (rank < 3) AS base,
+  string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY "start", rank) AS spans FROM kept GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_example, 0) AS n_example
+FROM documents d LEFT JOIN told t ON t.doc_id = d.doc_id"""
+
+
+@query("op2_secret_ownership", SECRETS_SQL)
+def op2(spark, folder):
+    found = scan_secrets(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < len(BASE_KINDS))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("bigint")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["example"])).cast("bigint").alias("n_example"))
+
+
+def public_tokenizer() -> dict:
+    """Files of the public byte-level vocabulary."""
+    import public_tokenizers
+
+    return {"json_path": public_tokenizers.path("byte_bpe_50k.json"),
+            "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+@query("op3_configuration_packing")
+def op3(spark, folder):
+    return pack_documents(table(spark, folder, "documents"), public_tokenizer(), keep_ids=False)
 
 
 @query("op4_mix_sources")
@@ -19,6 +107,14 @@ def op4(spark, folder):
     return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op5_mixture_languages")
+def op5(spark, folder):
+    docs = table(spark, folder, "documents").withColumn("held_out", crc_fold("doc_id", 4) == 2)
+    model = fit_languages(docs.where(~F.col("held_out")))
+    return identify_languages(docs, model).select(
+        "doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 @query("op8_hypergeometric_shards")
 def op8(spark, folder):
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -28,6 +124,11 @@ def op8(spark, folder):
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op9_link_trust_urls")
+def op9(spark, folder):
+    return judge_urls(table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
 @query("op10_exact_dedup", r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
     sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
