@@ -16,7 +16,7 @@ END_ID = 0
 #: Pieces of one length that a task numbers at a time.
 ROWS_PER_CELL = 10_000
 #: Steps of the multiplicative weights and their rate.
-STEPS, RATE = 400, 0.5
+STEPS, RATE = 200, 0.5
 # Texts in which both tokenizer libraries surely split alike: no control or rare characters, no special token.
 PLAIN = "[^\t-\r -~¡-ɏ‐-‧€]|<\\|"
 
@@ -71,27 +71,31 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: dict, c
     return rows.mapInPandas(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary")
 
 
-def best_filling(values: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each length goes into one sequence of greatest value: knapsack by dynamic programming.
+def best_table(values: np.ndarray, stock: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack by dynamic programming: greatest value of each room, and the last length used (0: leave one free).
 
-    ``values[l]`` is the price of a piece of length ``l``; lengths with no limit left are not used. A length may be
-    used more often than its limit, which the caller sees to.
+    ``values[l]`` is the price of a piece of length ``l``. Lengths without stock are not used; others without limit.
     """
-    lengths = np.nonzero(limits[: capacity + 1] > 0)[0]
+    lengths = np.nonzero(stock[: capacity + 1] > 0)[0]
     lengths = lengths[lengths > 0]
+    usable = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     best = np.zeros(capacity + 1)
     last = np.zeros(capacity + 1, dtype=np.int64)
     prices = values[lengths]
     for room in range(1, capacity + 1):
-        usable = int(np.searchsorted(lengths, room, side="right"))
-        best[room], last[room] = best[room - 1], 0
-        if usable:
-            tried = best[room - lengths[:usable]] + prices[:usable]
-            n = int(tried.argmax())
-            if tried[n] > best[room]:
-                best[room], last[room] = tried[n], lengths[n]
+        best[room] = best[room - 1]
+        if n := usable[room]:
+            tried = best[room - lengths[:n]]
+            tried += prices[:n]
+            top = int(tried.argmax())
+            if tried[top] > best[room]:
+                best[room], last[room] = tried[top], lengths[top]
+    return best, last
+
+
+def filling(last: np.ndarray, room: int, capacity: int) -> np.ndarray:
+    """How often each length stands in the best filling of ``room``."""
     used = np.zeros(capacity + 1, dtype=np.int64)
-    room = capacity
     while room > 0:
         if last[room]:
             used[last[room]] += 1
@@ -120,7 +124,7 @@ def solve_configurations(histogram: np.ndarray, capacity: int = CAPACITY, steps:
     price = best_price = np.where(have, size, 0.0)
     bound = 0.0
     for _ in range(steps if have.any() else 0):
-        used = best_filling(price, histogram, capacity)
+        used = filling(best_table(price, histogram, capacity)[1], capacity, capacity)
         now = float((need * price).sum() / (used * price).sum())
         if now > bound * (1 + 1e-9):
             bound, best_price = now, price
@@ -142,9 +146,21 @@ def solve_configurations(histogram: np.ndarray, capacity: int = CAPACITY, steps:
     for key, amount in sorted(amounts.items(), key=lambda x: (-x[1], x[0])):
         take(np.frombuffer(key, dtype="<i8"), amount / over)
     # Of equally dear fillings the one with the longer pieces goes first: short pieces fit in anywhere later.
-    value = best_price * (1 + size / capacity / 1_000)
+    value = best_price * (1 + size / capacity / 8)
+    room, last = -1, np.zeros(0)
     while left.any():
-        take(_within(best_filling(value, left, capacity), left, capacity), np.inf)
+        longest = int(np.nonzero(left)[0][-1])
+        for fresh in (False, True):
+            if fresh or room < capacity - longest:
+                rest = left.copy()
+                rest[longest] -= 1
+                room = capacity - longest
+                last = best_table(value, rest, room)[1]
+            used = filling(last, capacity - longest, capacity)
+            used[longest] += 1
+            if (used <= left).all():
+                break
+        take(_within(used, left, capacity), np.inf)
     return plan
 
 

@@ -8,6 +8,7 @@ from varscope.llm.embedding_dedup import link_embeddings
 from varscope.llm.exact_dedup import exact_dedup
 from varscope.llm.language_id import fit_languages, identify_languages
 from varscope.llm.common import crc_fold
+from varscope.llm.minhash_forest import near_copies
 from varscope.llm.mixing import mix_sources
 from varscope.llm.packing import pack_documents
 from varscope.llm.registry import ORACLES, QUERIES, query, table
@@ -115,6 +116,28 @@ def op5(spark, folder):
         "doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+NEAR_COPIES_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 2 THEN words
+    ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS shingle FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common >= 80 * (x.n + y.n - common)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) AS component_id,
+  d.doc_id <= coalesce(b, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN least_of l ON l.a = d.doc_id"""
+
+
+@query("op6_minhash_forest", NEAR_COPIES_SQL)
+def op6(spark, folder):
+    return near_copies(table(spark, folder, "documents"))
+
+
 @query("op8_hypergeometric_shards")
 def op8(spark, folder):
     text = F.coalesce(F.col("text"), F.lit(""))
