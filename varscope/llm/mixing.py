@@ -75,3 +75,15 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: in
     out = known.join(offsets, "key").withColumn("copies", drawn(F.col("offset")))
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies",
                       (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def repeat_by_mixture(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix_sources`` takes it, with their columns as they are.
+
+    Ids should differ; rows with equal or null ids share the number of the row that takes most.
+    """
+    taken = mix_sources(docs, id_col=id_col, **options).where("copies > 0").groupBy(
+        F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies"))
+    joined = docs.join(taken, docs[id_col].eqNullSafe(taken["__id"]))
+    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(
+        *[docs[c] for c in docs.columns])

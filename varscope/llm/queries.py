@@ -14,6 +14,7 @@ from varscope.llm.packing import pack_documents
 from varscope.llm.registry import ORACLES, QUERIES, query, table
 from varscope.llm.secrets import BASE_KINDS, EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, LEAST_ENTROPY, OWNED, scan_secrets
 from varscope.llm.sharding import shuffle_into_shards
+from varscope.llm.toxicity import fit_toxicity, score_toxicity
 from varscope.llm.url_filter import judge_urls
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -138,6 +139,14 @@ def op6(spark, folder):
     return near_copies(table(spark, folder, "documents"))
 
 
+@query("op7_lexicon_automaton")
+def op7(spark, folder):
+    docs = table(spark, folder, "documents").withColumn("held_out", crc_fold("doc_id", 3) == 1)
+    model = fit_toxicity(docs.where(~F.col("held_out")), table(spark, folder, "labels").select("doc_id", "toxic"))
+    scored = score_toxicity(docs, model, out_col="score")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query("op8_hypergeometric_shards")
 def op8(spark, folder):
     text = F.coalesce(F.col("text"), F.lit(""))
