@@ -110,11 +110,12 @@ class TermAutomaton:
 def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows: int) -> DataFrame:
     """Rows (text, label) of about ``fit_rows`` labelled rows at most, chosen by a hash of the id."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
+        F.col(id_col).alias("__id"), (F.col(label_col) == 1).cast("int").alias("__label"))
     share = min(1.0, fit_rows / max(known.count(), 1))
     chosen = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < F.lit(share * 1_000_000))
     # The chosen labels are bounded by fit_rows, so every task may hold them.
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select(F.col(text_col).alias("text"), "label")
+    rows = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("text")).join(
+        F.broadcast(chosen), F.col("__own") == F.col("__id")).select("text", F.col("__label").alias("label"))
     # Near copies would count one text's rare words many times: of those with the same sketch one stays.
     drawn = rows.where("text IS NOT NULL").mapInPandas(_sketch, "text string, label int, sketch bigint")
     return written(drawn.dropDuplicates(["label", "sketch"]), "toxic-sample")
