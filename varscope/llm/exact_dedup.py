@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from varscope.llm.common import SPACE, new_path, written
 
-#: Buckets of a new index; pick about one per GB of digests for a corpus that grows.
-BUCKETS = 64
-
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, chars, digest): code points of the text, SHA-256 of the text without white space; null is empty."""
@@ -21,11 +18,13 @@ class DigestIndex:
     """Digests seen so far, with the id that stays for each.
 
     A Parquet table bucketed and sorted by digest at ``location``, so that it can be opened again later and a join
-    with it moves only the new rows. Open the same location with the same number of buckets.
+    with it moves only the new rows. Open the same location with the same number of buckets; a new index has as many
+    as the session has shuffle partitions, so that a task of the exchange writes one bucket.
     """
 
-    def __init__(self, spark: SparkSession, location: str | None = None, id_type: str = "bigint", buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, location: str | None = None, id_type: str = "bigint", buckets: int | None = None):
+        self.spark = spark
+        self.buckets = buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.location = location or new_path(spark, "digest-index")
         self.name = "digest_index_" + "".join(c if c.isalnum() else "_" for c in self.location)[-60:]
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id {id_type}, group_size BIGINT) "

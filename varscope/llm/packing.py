@@ -28,22 +28,24 @@ def _encoder(json_path: str, ranks_path: str | None, pattern: str | None):
     the tokenizer file every other text, so that ids are those of the tokenizer file.
     """
     import base64
+    import functools
     import os
     import re
 
     import tokenizers
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    whole = tokenizers.Tokenizer.from_file(json_path)
+    whole = functools.cache(lambda: tokenizers.Tokenizer.from_file(json_path))
     if not ranks_path:
-        return lambda texts: [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+        return lambda texts: [e.ids for e in whole().encode_batch(texts, add_special_tokens=False)]
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     odd = re.compile(PLAIN).search
-    return lambda texts: [whole.encode(t, add_special_tokens=False).ids if odd(t) else fast.encode_ordinary(t) for t in texts]
+    # The tokenizer file is only loaded where a text needs it.
+    return lambda texts: [whole().encode(t, add_special_tokens=False).ids if odd(t) else fast.encode_ordinary(t) for t in texts]
 
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: dict, capacity: int = CAPACITY) -> DataFrame:
