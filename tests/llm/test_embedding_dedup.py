@@ -8,7 +8,7 @@ def _brute(rows, threshold=0.95):
     vectors = {}
     for n, (_, v) in enumerate(rows):
         if v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            vectors[n] = np.array(v, dtype=np.float64)
+            vectors[n] = np.array(v, dtype=np.float64) / max(map(abs, v))
     links = {n: set() for n in range(len(rows))}
     for a, x in vectors.items():
         for b, y in vectors.items():

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 #: White space as the word rules define it: space, tab, line feed, vertical tab, form feed, return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a batch of texts that goes to Python.
+BATCH_KEY, TEXT_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 #: Edges that one task contracts at a time.
 CONTRACT_EDGES = 500_000
 
@@ -30,6 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the rows of an Arrow batch for the session, so that whole texts fit beside the heap on both sides."""
+    if int(spark.conf.get(BATCH_KEY)) > TEXT_BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, TEXT_BATCH_ROWS)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

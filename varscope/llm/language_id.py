@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from varscope.llm.common import small_batches
+
 #: Bins of hashed byte trigrams, documents counted at a time, and iterations of the mixture.
 BINS, CHUNK, ROUNDS = 4_096, 256, 10
 #: Log likelihood that a further language must win, as a multiple of the logarithm of the number of trigrams.
@@ -48,6 +50,7 @@ def count_languages(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             own[_BLANK] = 0
             used = np.nonzero(own)[0]
             yield pd.DataFrame({"lang": lang, "bin": used, "n": own[used]})
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     return rows.mapInPandas(run, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
 
@@ -132,4 +135,5 @@ def language_column(text: str | Column, model: dict) -> Column:
 
 def identify_languages(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "language") -> DataFrame:
     """``docs`` with the struct of ``language_column`` as ``out_col``, which replaces a column of that name."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(out_col, language_column(text_col, model))

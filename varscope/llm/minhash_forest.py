@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from varscope.llm.common import buckets_for, checkpointed, components, written
+from varscope.llm.common import buckets_for, checkpointed, components, small_batches, written
 
 #: MinHash values of a signature, orders of it (trees), and depths at which a tree's groups are looked at.
 VALUES, TREES, FIRST_DEPTH, LAST_DEPTH = 96, 32, 5, 10
@@ -244,6 +244,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one. Repeated rows and equal sets are linked. A null id takes part and is the smallest only where no other id is
     reachable. No rows give no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     kind = dict(plain.dtypes)["id"]

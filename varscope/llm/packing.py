@@ -9,14 +9,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from varscope.llm.common import buckets_for, rank_in_groups, written
+from varscope.llm.common import buckets_for, rank_in_groups, small_batches, written
 
 CAPACITY = 2_048
 END_ID = 0
 #: Pieces of one length that a task numbers at a time.
 ROWS_PER_CELL = 10_000
 #: Steps of the multiplicative weights and their rate.
-STEPS, RATE = 200, 0.5
+STEPS, RATE = 200, 1.0
+#: A filling of the program is used where its price is this share of the best one's.
+TIGHT = 0.995
 # Texts in which both tokenizer libraries surely split alike: no control or rare characters, no special token.
 PLAIN = "[^\t-\r -~¡-ɏ‐-‧€]|<\\|"
 
@@ -68,6 +70,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: dict, c
                         raw = ids[a:b].tobytes()
                         out.append((key, n, a, b - a, zlib.crc32(raw), raw))
                 yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", "ids"])
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["id"]
     return rows.mapInPandas(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary")
@@ -111,19 +114,21 @@ def solve_configurations(histogram: np.ndarray, capacity: int = CAPACITY, steps:
     """Fillings and how often each is used, a whole number, so that all pieces of a length histogram are placed.
 
     The linear program has a variable per filling of a sequence and a row per length, which asks for its pieces to be
-    placed. Multiplicative weights hold a price per length, at first its size: a step finds the filling of greatest
-    price by dynamic programming, uses it until one of its lengths is placed once over, and lowers the prices of its
-    lengths by ``exp(-rate)`` for each time over. All pieces at these prices, divided by the best filling's price, is
-    a lower bound of the program; the prices of the best bound are kept. Then the program's fillings are scaled to
-    place no length twice and rounded down, and what is left is filled at the kept prices, each filling as often as
-    its pieces last.
+    placed. Multiplicative weights hold a price per length, at first its size and a little more for long ones, which
+    are hard to place: a step finds the filling of greatest price by dynamic programming, uses it until one of its
+    lengths is placed once over, and lowers the prices of its lengths by ``exp(-rate)`` for each time over. All pieces
+    at these prices, divided by the best filling's price, is a lower bound of the program; the prices of the best
+    bound are kept. The program's fillings that are about as dear as the best one at the kept prices are scaled to
+    place no length twice and rounded down. What is left is placed longest piece first, with the best filling of the
+    room beside it at the kept prices, each as often as its pieces last.
     """
     need = histogram.astype(np.float64)
     have = need > 0
     size = np.arange(capacity + 1, dtype=np.float64)
     served = np.zeros(capacity + 1)
     amounts: dict[bytes, float] = {}
-    price = best_price = np.where(have, size, 0.0)
+    start = size * (1 + size / capacity / 2)
+    price = best_price = np.where(have, start, 0.0)
     bound = 0.0
     for _ in range(steps if have.any() else 0):
         used = filling(best_table(price, histogram, capacity)[1], capacity, capacity)
@@ -134,7 +139,7 @@ def solve_configurations(histogram: np.ndarray, capacity: int = CAPACITY, steps:
         key = used.astype("<i8").tobytes()
         amounts[key] = amounts.get(key, 0.0) + share
         served[have] += used[have] * share / need[have]
-        price = np.where(have, size * np.exp(-rate * (served - served[have].min())), 0.0)
+        price = np.where(have, start * np.exp(-rate * (served - served[have].min())), 0.0)
     left = histogram.astype(np.int64).copy()
     plan: list[tuple[np.ndarray, int]] = []
 
@@ -145,10 +150,11 @@ def solve_configurations(histogram: np.ndarray, capacity: int = CAPACITY, steps:
             np.subtract(left, used * count, out=left)
 
     over = max(1.0, float(served.max()))
+    dearest = float(best_table(best_price, histogram, capacity)[0][-1])
     for key, amount in sorted(amounts.items(), key=lambda x: (-x[1], x[0])):
-        take(np.frombuffer(key, dtype="<i8"), amount / over)
-    # Of equally dear fillings the one with the longer pieces goes first: short pieces fit in anywhere later.
-    value = best_price * (1 + size / capacity / 8)
+        used = np.frombuffer(key, dtype="<i8")
+        if (used * best_price).sum() >= TIGHT * dearest:
+            take(used, amount / over)
     room, last = -1, np.zeros(0)
     while left.any():
         longest = int(np.nonzero(left)[0][-1])
@@ -157,7 +163,7 @@ def solve_configurations(histogram: np.ndarray, capacity: int = CAPACITY, steps:
                 rest = left.copy()
                 rest[longest] -= 1
                 room = capacity - longest
-                last = best_table(value, rest, room)[1]
+                last = best_table(best_price, rest, room)[1]
             used = filling(last, capacity - longest, capacity)
             used[longest] += 1
             if (used <= left).all():

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from varscope.llm.common import written
+from varscope.llm.common import small_batches, written
 
 #: Labelled rows that the lexicon and the weights are learned from, at most (expected number; chosen by a hash of the id).
 FIT_ROWS = 40_000
@@ -225,6 +225,7 @@ def _design(hits: np.ndarray) -> np.ndarray:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> dict:
     """Terms and weights learned from labelled rows of ``docs``, about ``fit_rows`` of them at most."""
+    small_batches(docs.sparkSession)
     sample = _sampled(docs, labels, id_col, text_col, label_col, fit_rows)
     stems, wholes = learn_terms(sample)
 
@@ -263,4 +264,5 @@ def score_toxicity(docs: DataFrame, model: dict, text_col: str = "text", out_col
 
     Repeated rows score alike; without labelled rows of both kinds every text scores the same; no rows give no rows.
     """
+    small_batches(docs.sparkSession)
     return docs.withColumn(out_col, toxicity_column(text_col, model))

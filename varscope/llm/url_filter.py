@@ -56,21 +56,20 @@ def host_links(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
 def spread_trust(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """Personalised PageRank: rows (host, trust, distrust) from seeds (host, trusted, blocked), each between 0 and 1.
 
-    Trust follows links from trusted seeds; distrust follows them backwards from blocked seeds, to the hosts that
-    link there. Both run in the same jobs, told apart by ``side``. One row per host and side moves in a round.
+    Trust follows links from trusted seeds. Distrust follows them backwards from blocked seeds: a host takes on the
+    distrust of the hosts it links to by the share of its links, so that many links to a blocked host do not thin it.
+    Both run in the same jobs, told apart by ``side``. One row per host and side moves in a round.
     """
-    back = links.groupBy("dst").agg(F.sum("weight").alias("total"))
-    steps = links.select(F.lit("t").alias("side"), F.col("src").alias("from"), F.col("dst").alias("to"), "weight").unionByName(
-        links.join(back, "dst").select(F.lit("d").alias("side"), F.col("dst").alias("from"), F.col("src").alias("to"),
-                                       (F.col("weight") / F.col("total")).alias("weight")))
-    steps = checkpointed(steps)
+    ends = [F.struct(F.lit(side).alias("side"), F.col(a).alias("from"), F.col(b).alias("to"))
+            for side, a, b in (("t", "src", "dst"), ("d", "dst", "src"))]
+    steps = checkpointed(links.select(F.inline(F.array(*ends)), "weight"))
     start = seeds.select("host", F.explode(F.create_map(F.lit("t"), "trusted", F.lit("d"), "blocked")).alias("side", "seed")).where(
         "seed > 0")
     start = checkpointed(start.select("side", "host", (F.col("seed") * (1 - damping)).alias("score")))
     now, moves = start, not steps.isEmpty()
     for _ in range(rounds if moves else 0):
-        sent = (now.join(steps, (now["side"] == steps["side"]) & (now["host"] == steps["from"]))
-                .select(steps["side"], F.col("to").alias("host"), (F.col("score") * F.col("weight") * damping).alias("score")))
+        sent = now.join(steps.withColumnRenamed("from", "host"), ["side", "host"]).select(
+            "side", F.col("to").alias("host"), (F.col("score") * F.col("weight") * damping).alias("score"))
         new = checkpointed(sent.unionByName(start).groupBy("side", "host").agg(F.sum("score").alias("score")))
         change = (new.unionByName(now.withColumn("score", -F.col("score"))).groupBy("side", "host")
                   .agg(F.abs(F.sum("score")).alias("by")).agg(F.avg("by")).first()[0])
