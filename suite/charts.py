@@ -73,14 +73,16 @@ m AS (SELECT x.categoria, s.serie, coalesce(c.v, 0) AS v FROM (SELECT DISTINCT c
 
 @query("chart_stacked", f"{STACK_SQL} SELECT categoria, serie, round(v, 4) AS valor FROM m")
 def chart_stacked(spark, sf):
-    return flat(charts.stacked(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity"))
+    return flat(charts.stacked(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity",
+                               limit_x=25, limit_series=25))
 
 
 @query("chart_stacked_100", f"""{STACK_SQL}
 SELECT categoria, serie, round(CASE WHEN sum(v) OVER (PARTITION BY categoria) = 0 THEN 0
   ELSE v / sum(v) OVER (PARTITION BY categoria) * 100 END, 4) AS valor FROM m""")
 def chart_stacked_100(spark, sf):
-    return flat(charts.stacked(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity", normalizar=True))
+    return flat(charts.stacked(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity", normalizar=True,
+                               limit_x=25, limit_series=25))
 
 
 @query("chart_combo", """
@@ -173,7 +175,7 @@ UNION ALL SELECT 'y', 'p_retailprice'
 UNION ALL SELECT 'serie', c FROM s WHERE i = 2""")
 def recommend_axes(spark, sf):
     part = table(spark, sf, "part")
-    scores = charts.axis_scores(column_profile(part)).collect()
+    scores = charts.axis_scores(column_profile(part))
     return charts.axes_table(part, charts.recommend_axes(scores))
 
 

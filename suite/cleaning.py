@@ -6,7 +6,7 @@ from suite.registry import DOC_LABELS, documents_with_labels, flat, query, table
 from varscope.operators import cleaning
 from varscope.operators.classify import cell_metrics
 from varscope.operators.profile import dataset_metadata
-from varscope.functions.text import parse_number
+from varscope.functions.text import parse_date, parse_number
 
 
 @query("ingest_row_cap", """
@@ -91,3 +91,19 @@ SELECT count(*) AS filas, 3::BIGINT AS columnas,
   count(*) > 5000 AS vista_recortada FROM {DOC_LABELS}""")
 def dataset_metadata_query(spark, sf):
     return flat(dataset_metadata(documents_with_labels(spark, sf).select("lang", "quality", "toxic")))
+
+
+@query("parse_odd_dates", """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || CASE o_orderkey % 5 WHEN 3 THEN ' 15:04:05' WHEN 4 THEN ' 05:30:00' ELSE ' 00:00:00' END AS fecha
+FROM orders""")
+def parse_odd_dates(spark, sf):
+    """Two-digit years, month names, AM and PM, and a zone."""
+    day = F.col("o_orderdate")
+    shapes = F.when(F.col("o_orderkey") % 5 == 0, F.date_format(day, "dd/MM/yy")).when(
+        F.col("o_orderkey") % 5 == 1, F.date_format(day, "dd-MMM-yyyy")).when(
+        F.col("o_orderkey") % 5 == 2, F.date_format(day, "MMM d, yyyy")).when(
+        F.col("o_orderkey") % 5 == 3, F.concat(F.date_format(day, "dd/MM/yyyy"), F.lit(" 3:04:05 PM"))).otherwise(
+        F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:30:00-05:00")))
+    orders = table(spark, sf, "orders").select("o_orderkey", shapes.alias("texto"))
+    return orders.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"),
+                         F.date_format(parse_date(F.col("texto")), "yyyy-MM-dd HH:mm:ss").alias("fecha"))

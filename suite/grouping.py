@@ -74,4 +74,16 @@ SELECT x.categoria, s.serie, round(coalesce(c.v, 0), 2) AS valor
 FROM (SELECT DISTINCT categoria FROM c) x, (SELECT DISTINCT serie FROM c) s
 LEFT JOIN c ON c.categoria = x.categoria AND c.serie = s.serie""")
 def crosstab(spark, sf):
-    return flat(grouping.crosstab(table(spark, sf, "part"), "p_brand", "p_size", "p_retailprice"), 2)
+    return flat(grouping.crosstab(table(spark, sf, "part"), "p_brand", "p_size", "p_retailprice", limit_x=100, limit_series=100), 2)
+
+
+@query("crosstab_sparse", """
+SELECT CAST(user_id AS VARCHAR) AS categoria, event_type AS serie, count(*)::DOUBLE AS valor FROM events GROUP BY ALL""")
+def crosstab_sparse(spark, sf):
+    return flat(grouping.crosstab(table(spark, sf, "events"), "user_id", "event_type"))
+
+
+@query("crosstab_many_series", """
+SELECT l_returnflag AS categoria, CAST(l_suppkey AS VARCHAR) AS serie, sum(l_quantity) AS valor FROM lineitem GROUP BY ALL""")
+def crosstab_many_series(spark, sf):
+    return flat(grouping.crosstab(table(spark, sf, "lineitem"), "l_returnflag", "l_suppkey", "l_quantity"))

@@ -7,7 +7,7 @@ from varscope.functions.text import normalize
 from varscope.functions.vocab import AdmissibleRange, Catalogue
 from varscope.operators import quality
 from varscope.operators.filters import CATEGORICO, Filter, apply_filters
-from varscope.operators.frequencies import value_counts
+from varscope.operators.frequencies import restore_texts, value_counts
 
 RULE_CATALOGUES = (Catalogue("Artículos", "u:a", ("the ", "les "), ()), Catalogue("Verbos", "u:v", ("ierth",), ()))
 RULE_RANGES = (AdmissibleRange("Sílabas", "u:s", ("tion", "ment"), 0.0, 1.0, "u"),)
@@ -181,15 +181,36 @@ def quality_filtered(spark, sf):
     return flat(rows.select("codigo", "severidad", "columna", "filas_afectadas"))
 
 
-@query("quality_sources", """
-SELECT url, registros, estado, (SELECT count(*) FROM customer) AS filas FROM (VALUES
-  ('https://referencia.datos.gob/regiones', 20::BIGINT, 'sin coincidencias'),
-  ('https://referencia.datos.gob/taxonomia-productos', 12, 'consultada'),
-  ('https://referencia.datos.gob/canales', 6, 'sin coincidencias'),
-  ('https://referencia.datos.gob/niveles-educativos', 9, 'sin coincidencias'),
-  ('https://referencia.clima.org/rangos', 6, 'sin coincidencias'),
-  ('https://referencia.datos.gob/demografia', 6, 'sin coincidencias'),
-  ('https://referencia.datos.gob/comercio', 6, 'consultada')) t(url, registros, estado)""")
+@query("quality_sources", f"""
+WITH h AS (SELECT {normal('text')} AS nombre FROM documents),
+s AS (SELECT 0 AS orden, 'Artículos' AS nombre, 'u:a' AS url, 0 AS registros, count(*) FILTER (contains(nombre, 'the ') OR contains(nombre, 'les ')) AS encabezados FROM h
+  UNION ALL SELECT 1, 'Verbos', 'u:v', 0, count(*) FILTER (contains(nombre, 'ierth')) FROM h
+  UNION ALL SELECT 2, 'Sílabas', 'u:s', 1, count(*) FILTER (contains(nombre, 'tion') OR contains(nombre, 'ment')) FROM h)
+SELECT orden::BIGINT AS orden, nombre, url, registros::BIGINT AS registros, encabezados,
+  CASE WHEN encabezados > 0 THEN 'consultada' ELSE 'sin coincidencias' END AS estado FROM s""")
 def quality_sources(spark, sf):
-    df = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("Categoría"), F.col("c_acctbal").alias("Monto"))
-    return flat(quality.sources(df).select("url", "registros", "estado", F.lit(df.count()).alias("filas")))
+    headers = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("columna"), normalize(F.col("text")).alias("nombre"))
+    return flat(quality.source_usage(headers, RULE_CATALOGUES, RULE_RANGES))
+
+
+@query("quality_long_texts", """
+WITH f AS (SELECT text AS valor, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1),
+r AS (SELECT *, row_number() OVER (ORDER BY n DESC, sha256(valor)) AS i FROM f)
+SELECT sum(n - 1)::BIGINT AS repetidas, count(*) AS textos, sum(length(valor))::BIGINT AS caracteres FROM r""")
+def quality_long_texts(spark, sf):
+    """Whole texts put back into compact counts of documents: every repeated text, whatever its length."""
+    docs = table(spark, sf, "documents").select("text")
+    counts = value_counts(docs, compact=True).filter("n > 1")
+    whole = restore_texts(docs)(counts)
+    return flat(whole.agg(F.sum(F.col("n") - 1).alias("repetidas"), F.count("*").alias("textos"),
+                          F.sum(F.length("valor")).alias("caracteres")))
+
+
+@query("quality_variant_forms", f"""
+WITH t AS ({SPELLINGS.format(source='part')}), v AS (SELECT 'marca' AS columna, marca AS valor FROM t UNION ALL SELECT 'tipo', tipo FROM t),
+f AS (SELECT columna, valor, {normal('valor')} AS norma, count(*) AS n FROM v GROUP BY ALL)
+SELECT columna, norma, valor, n FROM f WHERE (columna, norma) IN (SELECT (columna, norma) FROM f GROUP BY columna, norma HAVING count(*) > 1)""")
+def quality_variant_forms(spark, sf):
+    df = spark.sql(SPELLINGS.format(source="{part}"), part=table(spark, sf, "part"))
+    return flat(quality.variant_forms(value_counts(df)))

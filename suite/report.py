@@ -9,7 +9,7 @@ from varscope.operators.describe import numeric_summary
 from varscope.operators.frequencies import value_counts
 from varscope.operators.profile import column_profile
 from varscope.plans import report
-from varscope.sources.catalog import newest_per_group
+from varscope.sources.catalog import beyond_retention, newest_per_group, without_removed
 
 
 @query("report_classification", f"""
@@ -54,9 +54,35 @@ def history_retention(spark, sf):
     return flat(rows.select("conv_id", "turn", "orden"))
 
 
+ENTRIES = ["conv_id AS cliente", "turn AS id", "turn AS creado_en", "role", "text"]
+
+
 @query("history_list", """
-SELECT conv_id, turn, role, orden FROM (SELECT conv_id, turn, role,
-  row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS orden FROM conversations) WHERE orden <= 25""")
+SELECT conv_id AS cliente, turn AS id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS orden FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n BETWEEN 2 AND 5""")
 def history_list(spark, sf):
-    rows = newest_per_group(table(spark, sf, "conversations"), "conv_id", [F.desc("turn")])
-    return flat(rows.select("conv_id", "turn", "role", "orden").orderBy("conv_id", "orden"))
+    """Entries after retention to five per client and the removal of each client's newest one."""
+    saved = table(spark, sf, "conversations").selectExpr(*ENTRIES)
+    removed = beyond_retention(saved, 5).unionByName(
+        newest_per_group(saved, "cliente", [F.desc("creado_en"), F.desc("id")], 1).drop("orden"))
+    left = newest_per_group(without_removed(saved, removed), "cliente", [F.desc("creado_en"), F.desc("id")])
+    return flat(left.select("cliente", "id", "role", "text", "orden"))
+
+
+@query("history_fetch", """
+SELECT conv_id AS cliente, turn AS id, text FROM conversations WHERE (conv_id, turn) IN (
+  SELECT conv_id, max(turn) FROM conversations GROUP BY conv_id)""")
+def history_fetch(spark, sf):
+    saved = table(spark, sf, "conversations").selectExpr(*ENTRIES)
+    newest = saved.groupBy("cliente").agg(F.max("id").alias("id"))
+    return flat(saved.join(newest, ["cliente", "id"]).select("cliente", "id", "text"))
+
+
+@query("history_clear", """
+SELECT conv_id AS cliente, turn AS id FROM conversations c
+WHERE NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.role = 'system')""")
+def history_clear(spark, sf):
+    """What is left after every client with a system message has cleared all its entries."""
+    saved = table(spark, sf, "conversations").selectExpr(*ENTRIES)
+    leaving = saved.filter("role = 'system'").select("cliente").distinct()
+    return flat(without_removed(saved, saved.join(leaving, "cliente", "left_semi")).select("cliente", "id"))

@@ -36,7 +36,7 @@ def test_unknown_aggregate(rows):
 
 def test_scale_and_sequence_order(spark):
     levels = spark.createDataFrame([("Alto", 1.0), ("Bajo", 5.0), ("Medio", 3.0)], "n string, v double")
-    assert [c for c, _ in pairs(grouping.aggregate(levels, "n", "v", scale=["Bajo", "Medio", "Alto"]))] == ["Bajo", "Medio", "Alto"]
+    assert [c for c, _ in pairs(grouping.aggregate(levels, "n", "v", scale=["Bajo", "Medio", "Alto"]))] == ["Leve", "Moderado", "Grave"]
     months = spark.createDataFrame([("2024-03", 1.0), ("2024-01", 2.0), ("2024-02", 3.0)], "mes string, v double")
     assert [c for c, _ in pairs(charts.line(months, "mes", "v"))] == ["2024-01", "2024-02", "2024-03"]
     numbers = spark.createDataFrame([(10,), (9,), (100,)], "k int")
@@ -54,18 +54,21 @@ def cells(df):
     return {(r["categoria"], r["serie"]): r["valor"] for r in df.collect()}
 
 
-def test_crosstab_fills_with_zero(spark, rows):
+def test_crosstab_fills_with_zero_within_limits(spark, rows):
     assert cells(grouping.crosstab(rows, "cat", "sub", "valor"))[("B", "y")] == 40.0
     gaps = spark.createDataFrame([("A", "x", 1.0), ("B", "y", 2.0)], "c string, s string, v double")
-    assert cells(grouping.crosstab(gaps, "c", "s", "v")) == {("A", "x"): 1.0, ("A", "y"): 0.0, ("B", "x"): 0.0, ("B", "y"): 2.0}
+    filled = cells(grouping.crosstab(gaps, "c", "s", "v", limit_x=10, limit_series=10))
+    assert filled == {("A", "x"): 1.0, ("A", "y"): 0.0, ("B", "x"): 0.0, ("B", "y"): 2.0}
+    assert cells(grouping.crosstab(gaps, "c", "s", "v")) == {("A", "x"): 1.0, ("B", "y"): 2.0}
     medians = cells(grouping.crosstab(rows, "cat", "sub", "valor", "mediana"))
     assert medians[("B", "y")] == 20.0
 
 
-def test_crosstab_with_very_many_series_stays_whole(spark, monkeypatch):
-    monkeypatch.setattr(grouping, "FILLED_SERIES", 5)
-    df = spark.range(20).selectExpr("id % 2 as c", "id as s")
-    assert grouping.crosstab(df, "c", "s").count() == 20
+@pytest.mark.parametrize("n", [999, 1_000, 1_001, 1_002])
+def test_crosstab_means_the_same_at_any_number_of_series(spark, n):
+    df = spark.range(n).selectExpr("id % 2 as c", "id as s")
+    assert grouping.crosstab(df, "c", "s").count() == n
+    assert grouping.crosstab(df, "c", "s", limit_x=2, limit_series=2_000).count() == 2 * n
 
 
 def test_stacked_shares(rows):
@@ -145,13 +148,13 @@ def test_kpis(spark, rows):
 
 
 def test_axis_recommendation(mixed):
-    scores = charts.axis_scores(column_profile(mixed)).collect()
-    points = {r["columna"]: (r["puntos_categoria"], r["puntos_medida"]) for r in scores}
-    assert points["ID Cliente"] == (-50.0, -100.0) and points["Monto Total"][1] == 100.0
-    assert points["Ciudad"][0] == 97.0 and points["Número de Compras"] == (94.0, 80.0)
-    assert charts.recommend_axes(scores) == {"x": "Ciudad", "y": "Monto Total", "serie": "Nivel de Satisfacción"}
-    kept = charts.recommend_axes(scores, selection={"x": "Nivel de Satisfacción", "y": "", "serie": "no existe"})
-    assert kept == {"x": "Nivel de Satisfacción", "y": "", "serie": ""}
+    scores = charts.axis_scores(column_profile(mixed))
+    points = {r["columna"]: (r["puntos_categoria"], r["puntos_medida"]) for r in scores.collect()}
+    assert points["ID Sensor"] == (-50.0, -100.0) and points["Temperatura Media"][1] == 100.0
+    assert points["Parque"][0] == 97.0 and points["Cantidad de Lecturas"] == (93.0, 80.0)
+    assert charts.recommend_axes(scores) == {"x": "Parque", "y": "Temperatura Media", "serie": "Nivel de Ruido"}
+    kept = charts.recommend_axes(scores, selection={"x": "Nivel de Ruido", "y": "", "serie": "no existe"})
+    assert kept == {"x": "Nivel de Ruido", "y": "", "serie": ""}
 
 
 def test_table_pages(spark):

@@ -18,10 +18,10 @@ def column(spark, name, values, kind="string"):
 def test_mixed_table(mixed):
     v = verdict(mixed)
     assert {c: v[c]["tipo"] for c in v} == {
-        "ID Cliente": vocab.NOMINAL, "Ciudad": vocab.NOMINAL, "Nivel de Satisfacción": vocab.ORDINAL,
-        "Número de Compras": vocab.DISCRETA, "Monto Total": vocab.CONTINUA}
-    assert v["ID Cliente"]["rol"] == vocab.IDENTIFICADOR
-    assert v["Nivel de Satisfacción"]["escala_orden"] == ["bajo", "medio", "alto"]
+        "ID Sensor": vocab.NOMINAL, "Parque": vocab.NOMINAL, "Nivel de Ruido": vocab.ORDINAL,
+        "Cantidad de Lecturas": vocab.DISCRETA, "Temperatura Media": vocab.CONTINUA}
+    assert v["ID Sensor"]["rol"] == vocab.IDENTIFICADOR
+    assert v["Nivel de Ruido"]["escala_orden"] == ["leve", "moderado", "grave"]
 
 
 @pytest.mark.parametrize("name, values, kind, expected", [

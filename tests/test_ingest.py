@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from varscope.functions.text import natural_key, normalize, normalize_name, parse_date, parse_number
 from varscope.operators import cleaning
 from varscope.sources import delimited
-from varscope.sources.delimited import EmptyDatasetError, UnsupportedFileError, load
+from varscope.sources.delimited import EmptyDatasetError, RaggedRowsError, UnsupportedFileError, load
 
 
 @pytest.fixture()
@@ -140,6 +140,11 @@ def test_locale_numbers(spark, text, value):
     ("2024-03-05", datetime(2024, 3, 5)), ("2024/3/5", datetime(2024, 3, 5)), ("5-3-2024", datetime(2024, 3, 5)),
     ("05/03/2024 14:30", datetime(2024, 3, 5, 14, 30)), ("03/15/2024", datetime(2024, 3, 15)),
     ("2024-03-05T01:02:03.250", datetime(2024, 3, 5, 1, 2, 3, 250000)), (" 31/12/1999 23:59:59 ", datetime(1999, 12, 31, 23, 59, 59)),
+    ("15/03/24", datetime(2024, 3, 15)), ("03/15/99", datetime(1999, 3, 15)), ("15-Mar-2024", datetime(2024, 3, 15)),
+    ("March 5, 2024", datetime(2024, 3, 5)), ("15/03/2024 3:00 PM", datetime(2024, 3, 15, 15)), ("5 sept 2024 12:05:06 am", datetime(2024, 9, 5, 0, 5, 6)),
+    ("2024-03-05 01:02:03.123456789", datetime(2024, 3, 5, 1, 2, 3, 123456)), ("2024-03-05T01:02:03Z", datetime(2024, 3, 5, 1, 2, 3)),
+    ("2024-01-01T00:30:00-05:00", datetime(2024, 1, 1, 5, 30)), ("15/03/2024 23:00 +0130", datetime(2024, 3, 15, 21, 30)),
+    ("15/03/2024 13:00 PM", None), ("15-Foo-2024", None), ("31/02/24", None), ("32-Jan-2024", None),
     ("31/02/2024", None), ("12:30", None), ("2024", None), ("2024-01/02", None), ("x", None),
 ])
 def test_dates(spark, text, value):
@@ -167,3 +172,31 @@ def test_inference_shares(spark):
     typed, chosen = cleaning.infer_types(spark.createDataFrame(rows, "a string, b string, c string, d string"))
     assert chosen == {"a": "numero", "b": "texto", "c": "fecha", "d": "boolean"}
     assert typed.agg(F.count("c")).first()[0] == 19
+
+
+def test_quoted_line_breaks_ragged_rows_and_mixed_encodings(spark, put, tmp_path):
+    loaded = load(spark, put('a,b\n1,"x\ny"\n2,z\n', "q.csv"))
+    assert sorted(tuple(r) for r in loaded.df.collect()) == [(1, "x\ny"), (2, "z")]
+    loaded = load(spark, put("a,b\n1,2\n3,4,5\n6\n", "r.csv"))
+    assert ("campos_de_mas", "filas con más campos que el encabezado", 1) in loaded.avisos
+    assert sorted((r["a"], r["b"]) for r in loaded.df.collect()) == [(1, 2), (3, 4), (6, None)]
+    with pytest.raises(RaggedRowsError):
+        load(spark, put("a,b\n1,2\n3,4,5\n", "r2.csv"), ragged="rechazar")
+    folder = tmp_path / "mezcla.csv"
+    folder.mkdir()
+    (folder / "u.csv").write_bytes("ciudad,n\nCataluña,1\n".encode())
+    (folder / "l.csv").write_bytes("ciudad,n\nAndalucía,2\n".encode("latin-1"))
+    (folder / "q.csv").write_bytes('ciudad,n\n"Los\nRíos",3\n'.encode())
+    loaded = load(spark, str(folder))
+    assert sorted(tuple(r) for r in loaded.df.collect()) == [("Andalucía", 2), ("Cataluña", 1), ("Los\nRíos", 3)]
+    assert ("codificacion", "latin-1", 1) in loaded.avisos
+
+
+def test_long_integers_stay_exact(spark, put):
+    ids = ["9007199254740993", "9007199254740992", "1234567890123456789", "-9223372036854775808"]
+    loaded = load(spark, put("id\n" + "\n".join(ids) + "\n", "i.csv"))
+    assert loaded.tipos == {"id": "bigint"} and sorted(r["id"] for r in loaded.df.collect()) == sorted(map(int, ids))
+    wide = ["12345678901234567890123", "12345678901234567890124"]
+    loaded = load(spark, put("id\n" + "\n".join(wide) + "\n", "w.csv"))
+    assert loaded.tipos == {"id": "decimal(38,0)"} and sorted(int(r["id"]) for r in loaded.df.collect()) == sorted(map(int, wide))
+    assert load(spark, put("id\n" + "\n".join(w * 3 for w in wide) + "\n", "x.csv")).tipos == {"id": "texto"}

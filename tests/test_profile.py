@@ -17,8 +17,8 @@ def by_column(df):
 
 def test_column_reports(spark, mixed):
     p = by_column(profile.column_profile(mixed))
-    assert p["Monto Total"]["es_numerica"] and p["Monto Total"]["unicos"] == 12 and p["Monto Total"]["clave"] == "col4"
-    assert not p["Ciudad"]["es_graficable_y"] and p["Ciudad"]["unicos"] == 3
+    assert p["Temperatura Media"]["es_numerica"] and p["Temperatura Media"]["unicos"] == 15 and p["Temperatura Media"]["clave"] == "col4"
+    assert not p["Parque"]["es_graficable_y"] and p["Parque"]["unicos"] == 3
     gaps = spark.createDataFrame([("a", 1.0), (None, float("nan")), ("a", None)], "t string, x double")
     g = by_column(profile.column_profile(gaps))
     assert (g["t"]["nulos"], g["t"]["porcentaje_nulos"], g["x"]["nulos"], g["x"]["unicos"]) == (1, 33.33, 2, 1)
@@ -42,18 +42,18 @@ def test_duplicates_treat_missing_values_as_equal(spark):
 def test_global_summary_and_metadata(spark, mixed):
     s = profile.global_summary(mixed, profile.column_profile(mixed)).first()
     assert (s["filas"], s["columnas"], s["numericas"], s["nominales"], s["ordinales"], s["discretas"], s["continuas"]) == (
-        12, 5, 2, 2, 1, 1, 1)
+        15, 5, 2, 2, 1, 1, 1)
     assert s["completitud"] == 100.0 and s["filas_duplicadas"] == 0
     m = profile.dataset_metadata(mixed, preview_rows=10).first()
-    assert (m["filas"], m["columnas"], m["celdas_vacias"], m["vista_recortada"]) == (12, 5, 0, True)
+    assert (m["filas"], m["columnas"], m["celdas_vacias"], m["vista_recortada"]) == (15, 5, 0, True)
 
 
 def test_filter_controls(spark, mixed):
     o = by_column(profile.filter_options(mixed))
-    assert o["Nivel de Satisfacción"]["valores"] == ["Bajo", "Medio", "Alto"]
-    assert o["Ciudad"]["tipo_control"] == "categorico" and o["Ciudad"]["valores"] == ["Cusco", "Lima", "Piura"]
-    assert (o["Número de Compras"]["tipo_control"], o["Número de Compras"]["paso"]) == ("rango", 1.0)
-    assert o["Monto Total"]["minimo"] == 42.1 and o["Monto Total"]["paso"] == pytest.approx(3.779)
+    assert o["Nivel de Ruido"]["valores"] == ["Leve", "Moderado", "Grave"]
+    assert o["Parque"]["tipo_control"] == "categorico" and o["Parque"]["valores"] == ["Cumbre", "Olivar", "Ribera"]
+    assert (o["Cantidad de Lecturas"]["tipo_control"], o["Cantidad de Lecturas"]["paso"]) == ("rango", 1.0)
+    assert o["Temperatura Media"]["minimo"] == 11.25 and o["Temperatura Media"]["paso"] == pytest.approx(0.2038)
     many = spark.range(300).selectExpr("concat('v', id % 250) as t", "timestamp_ntz'2024-01-01' as f")
     m = by_column(profile.filter_options(many))
     assert m["t"]["tipo_control"] == "texto" and m["t"]["valores_truncados"] and len(m["t"]["valores"]) == 200
@@ -70,9 +70,9 @@ def test_preview(spark):
 def test_full_analysis(mixed):
     a = analyse(mixed)
     assert a.columnas.count() == 5 and a.resumen_numerico.count() == 2 and a.correlacion.count() == 4
-    top = [r["valor"] for r in a.top_categorias.filter("columna = 'Ciudad'").orderBy("orden").collect()]
-    assert top == ["Cusco", "Lima", "Piura"]
-    assert a.top_categorias.filter("columna = 'Monto Total'").count() == 0
+    top = [r["valor"] for r in a.top_categorias.filter("columna = 'Parque'").orderBy("orden").collect()]
+    assert top == ["Cumbre", "Olivar", "Ribera"]
+    assert a.top_categorias.filter("columna = 'Temperatura Media'").count() == 0
 
 
 def test_analysis_without_numbers_or_rows(spark):
@@ -85,27 +85,27 @@ def test_analysis_without_numbers_or_rows(spark):
 
 def test_filters_never_reclassify(mixed):
     data = Dataset.of(mixed)
-    a = data.analyse([Filter("Ciudad", CATEGORICO, valores=("Lima",)), Filter("Ciudad", CATEGORICO)])
+    a = data.analyse([Filter("Parque", CATEGORICO, valores=("Olivar",)), Filter("Parque", CATEGORICO)])
     rows = by_column(a.columnas)
-    assert a.filtros_activos == 1 and rows["Ciudad"]["total"] == 5 and rows["Ciudad"]["unicos"] == 1
-    assert rows["Nivel de Satisfacción"]["tipo"] == vocab.ORDINAL
-    single, grouped = data.frequencies(["Nivel de Satisfacción", "Monto Total"])
+    assert a.filtros_activos == 1 and rows["Parque"]["total"] == 6 and rows["Parque"]["unicos"] == 1
+    assert rows["Nivel de Ruido"]["tipo"] == vocab.ORDINAL
+    single, grouped = data.frequencies(["Nivel de Ruido", "Temperatura Media"])
     levels = [r["valor"] for r in single.filter("columna like 'Nivel%'").orderBy("orden").collect()]
-    assert levels == ["Bajo", "Medio", "Alto"] and {r["columna"] for r in grouped.collect()} == {"Monto Total"}
+    assert levels == ["Leve", "Moderado", "Grave"] and {r["columna"] for r in grouped.collect()} == {"Temperatura Media"}
     data.close()
 
 
 def test_export_and_reports(spark, mixed, tmp_path):
     data = Dataset.of(mixed)
-    data.export(str(tmp_path / "lima"), [Filter("Ciudad", CATEGORICO, valores=("Cusco",))])
-    assert spark.read.option("header", True).csv(str(tmp_path / "lima")).count() == 4
+    data.export(str(tmp_path / "lima"), [Filter("Parque", CATEGORICO, valores=("Ribera",))])
+    assert spark.read.option("header", True).csv(str(tmp_path / "lima")).count() == 6
     data.export_report(str(tmp_path / "informe"))
     read = lambda name: spark.read.parquet(str(tmp_path / "informe" / name))
     assert len(read("clasificacion").columns) == 9 and read("clasificacion").count() == 5
     stats = {r["Columna"]: r for r in read("estadistica").collect()}
-    assert len(read("estadistica").columns) == 18 and stats["Monto Total"]["Moda"] == "Sin moda"
-    assert stats["Número de Compras"]["Moda"] == "2.0"
-    assert read("frecuencias").count() == 12 + 3 + 3 + 6 + 12 and read("datos").count() == 12
+    assert len(read("estadistica").columns) == 18 and stats["Temperatura Media"]["Moda"] == "Sin moda"
+    assert stats["Cantidad de Lecturas"]["Moda"] == "1.0"
+    assert read("frecuencias").count() == 15 + 3 + 3 + 7 + 15 and read("datos").count() == 15
     data.close()
 
 
@@ -120,10 +120,10 @@ def test_history(spark, mixed, tmp_path):
     assert data.save(catalog, "ana", source, "grande", 101) is None
     entries = catalog.list("ana").collect()
     assert [e["nombre_archivo"] for e in entries] == ["f3", "f2", "f1"]
-    assert entries[0]["filas"] == 12 and entries[0]["resumen_tipos"][vocab.NOMINAL] == 2
+    assert entries[0]["filas"] == 15 and entries[0]["resumen_tipos"][vocab.NOMINAL] == 2
     assert catalog.fetch("luis", keys[3]) is None and catalog.fetch("ana", keys[3])["ruta"] == source
     again = reopen(spark, catalog, "ana", keys[3])
-    assert again.df.count() == 12 and catalog.list("ana").count() == 3
+    assert again.df.count() == 15 and catalog.list("ana").count() == 3
     assert reopen(spark, catalog, "luis", keys[3]) is None
     assert not catalog.delete("luis", keys[3]) and catalog.delete("ana", keys[3])
     assert catalog.clear("ana") >= 2 and catalog.list("ana").count() == 0
@@ -137,3 +137,18 @@ def test_history_reads_one_client_only(spark, mixed, tmp_path):
     catalog.save("luis", "r", "f", 1, 1, {})
     plan = catalog.list("ana")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(cliente" in plan and "= ana" in plan
+
+
+def test_retention_and_deletion_are_for_good(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "h"), per_client=3)
+    keys = [catalog.save("ana", "r", f"f{i}", 1, 1, {}) for i in range(5)]
+    catalog.save("luis", "r", "g", 1, 1, {})
+    names = lambda: [r["nombre_archivo"] for r in catalog.list("ana").collect()]
+    assert names() == ["f4", "f3", "f2"] and catalog.fetch("ana", keys[1]) is None
+    assert catalog.delete("ana", keys[4]) and names() == ["f3", "f2"]
+    before = catalog.entries().select("cliente", "id", "orden").orderBy("cliente", "orden").collect()
+    catalog.compact()
+    assert catalog.entries().select("cliente", "id", "orden").orderBy("cliente", "orden").collect() == before
+    assert spark.read.parquet(catalog.added).count() == 3 and names() == ["f3", "f2"]
+    catalog.save("ana", "r", "f5", 1, 1, {})
+    assert names() == ["f5", "f3", "f2"]

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 
 from varscope.functions.columns import numeric_long
@@ -150,3 +151,18 @@ def test_correlation(spark):
 def test_long_frame_drops_what_is_not_a_number(spark):
     df = spark.createDataFrame([("1 000",), ("texto",), (None,), ("3.5",), ("1.0d",)], "v string")
     assert sorted(r["x"] for r in numeric_long(df, ["v"]).collect()) == [3.5, 1000.0]
+
+
+def test_correlation_scans_do_not_grow_with_the_columns(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 60))
+    x[:, 1] = x[:, 0] * 2 + rng.normal(size=300) * 0.1
+    x[rng.random(x.shape) < 0.1] = np.nan
+    df = spark.createDataFrame([tuple(None if v != v else float(v) for v in row) for row in x], ", ".join(f"c{i} double" for i in range(60)))
+    table = correlation(df.repartition(5))
+    got = {(r["col_x"], r["col_y"]): r["r"] for r in table.collect()}
+    want = pd.DataFrame(x, columns=[f"c{i}" for i in range(60)]).corr()
+    assert len(got) == 3_600 and all(got[a, b] == pytest.approx(want.loc[a, b], abs=1e-6) for a, b in got)
+    assert table._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan")[0].count("MapInPandas") == 1

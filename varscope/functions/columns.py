@@ -53,7 +53,7 @@ def kinds(df: DataFrame, columns: Iterable[str] | None = None) -> dict[str, str]
     by_name = {field.name: kind_of(field.dataType) for field in df.schema.fields}
     missing = [name for name in wanted if name not in by_name]
     if missing:
-        raise ValueError(f"La columna '{missing[0]}' no existe en el dataset.")
+        raise ValueError(f"No hay ninguna columna llamada «{missing[0]}».")
     return {name: by_name[name] for name in wanted}
 
 

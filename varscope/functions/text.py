@@ -76,17 +76,62 @@ DAY_FIRST = rf"(?U)^\s*(\d{{1,2}})([-/])(\d{{1,2}})\2(\d{{4}})(?: {_TIME})?\s*$"
 DATE_MARK = r"[-/:]"
 
 
+# --- Fixed value: month names, by their first three letters ----------------------------------
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+# The less common shapes: two-digit years, month names, AM and PM, long fractions, a zone.
+_MONTH = r"(?:[Jj]an(?:uary)?|[Ff]eb(?:ruary)?|[Mm]ar(?:ch)?|[Aa]pr(?:il)?|[Mm]ay|[Jj]une?|[Jj]uly?|[Aa]ug(?:ust)?" \
+         r"|[Ss]ep(?:t(?:ember)?)?|[Oo]ct(?:ober)?|[Nn]ov(?:ember)?|[Dd]ec(?:ember)?)"
+_ZONE = r"(?:\s*(Z|[+-]\d{2}:?\d{2}))?"
+_CLOCK = rf"(?:[ T]+(\d{{1,2}}):(\d{{2}})(?::(\d{{2}})(?:\.(\d+))?)?(?:\s*([AaPp][Mm]))?{_ZONE})?"
+_ODD_DATES = (
+    # (pattern, groups of year, month and day, whether a month that is none makes it the day)
+    (rf"(?U)^\s*(\d{{4}})([-/])(\d{{1,2}})\2(\d{{1,2}}){_CLOCK}\s*$", (1, 3, 4), False),
+    (rf"(?U)^\s*(\d{{1,2}})([-/])(\d{{1,2}})\2(\d{{4}}|\d{{2}}){_CLOCK}\s*$", (4, 3, 1), True),
+    (rf"(?U)^\s*(\d{{1,2}})([-/ ])({_MONTH})\.?[-/ ,]+(\d{{4}}|\d{{2}}){_CLOCK}\s*$", (4, 3, 1), False),
+    (rf"(?U)^\s*({_MONTH})(\.?)[-/ ](\d{{1,2}}),?[-/ ]+(\d{{4}}){_CLOCK}\s*$", (4, 1, 3), False),
+)
+_CLOCK_GROUPS = (5, 6, 7, 8, 9, 10)
+
+
+def _odd_date(text: Column, pattern: str, groups: tuple[int, int, int], swap: bool) -> Column:
+    """Moment of a text of one of the less common shapes; null where its parts are no date."""
+    part = lambda n: F.regexp_extract(text, pattern, n)
+    year, month, day = (part(n) for n in groups)
+    number = year.try_cast("int")
+    year = F.when(F.length(year) == 4, number).when(number <= 68, number + 2000).otherwise(number + 1900)
+    named = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.left(month, F.lit(3))))
+    month, day = F.when(named > 0, named.cast("int")).otherwise(month.try_cast("int")), day.try_cast("int")
+    hour, minute, second, fraction, half, zone = (part(n) for n in _CLOCK_GROUPS)
+    h = F.coalesce(hour.try_cast("int"), F.lit(0))
+    h = F.when(half == "", h).when(h.between(1, 12), h % 12 + F.when(F.lower(half) == "pm", 12).otherwise(0))
+    clock = F.format_string("%02d:%s:%s.%s", h, F.when(minute == "", "00").otherwise(minute),
+                            F.when(second == "", "00").otherwise(second), F.rpad(F.left(fraction, F.lit(6)), 6, "0"))
+    read = lambda m, d: F.when(h.isNotNull(), F.concat(
+        F.format_string("%04d-%02d-%02d ", year, m, d), clock)).try_cast("timestamp_ntz")
+    moment = F.coalesce(read(month, day), read(day, month)) if swap else read(month, day)
+    # A zone moves the clock to UTC.
+    digits = F.regexp_replace(zone, "[^0-9]", "")
+    minutes = F.left(digits, F.lit(2)).try_cast("int") * 60 + F.right(digits, F.lit(2)).try_cast("int")
+    shift = F.coalesce(F.when(F.startswith(zone, F.lit("-")), -minutes).otherwise(minutes), F.lit(0))
+    return moment - F.make_dt_interval(mins=shift)
+
+
 def parse_date(text: Column) -> Column:
-    """Timestamp without zone from a year-first or day-first date; anything else is null.
+    """Timestamp without zone from a date with an optional time; anything else is null.
 
-    Where the day cannot come first (``03/15/2024``) the month does. Dates are rewritten to the
-    ISO form, which the plain cast reads.
+    Dates are year first or day first; where the day cannot come first (``03/15/2024``) the month
+    does. Years may have two digits (69 to 99 are the last century's), months an English name,
+    times AM or PM, and a zone is applied, which gives the moment in UTC. The common forms are
+    rewritten to the ISO form, which the plain cast reads; the others are taken apart.
     """
     def read(pattern: str, iso: str) -> Column:
         return F.regexp_replace(text, pattern, iso).try_cast("timestamp_ntz")
 
-    return F.when(text.rlike(YEAR_FIRST), read(YEAR_FIRST, "$1-$3-$4 $5")).when(
+    found = F.when(text.rlike(YEAR_FIRST), read(YEAR_FIRST, "$1-$3-$4 $5")).when(
         text.rlike(DAY_FIRST), F.coalesce(read(DAY_FIRST, "$4-$3-$1 $5"), read(DAY_FIRST, "$4-$1-$3 $5")))
+    for pattern, groups, swap in _ODD_DATES:
+        found = found.when(text.rlike(pattern), _odd_date(text, pattern, groups, swap))
+    return found
 
 
 def natural_key(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from varscope.functions import vocab
 from varscope.functions.columns import (
@@ -15,12 +15,13 @@ from varscope.operators.correlation import correlation
 from varscope.operators.describe import quartile_row
 from varscope.operators.frequencies import class_bounds, histogram
 from varscope.operators.grouping import (
-    AGGREGATES, aggregate, crosstab, group_by, group_order, key_cell, key_label, key_number,
+    AGGREGATES, MEDIAN, aggregate, crosstab, group_by, group_order, key_cell, key_label, key_number,
     share_of_category, with_label,
 )
 from varscope.operators.ordering import ordered_slice
 from varscope.operators.quantiles import quantiles
 
+# --- Fixed values: sizes of the charts, points of the axis scores below
 PIE_SLICES = 10
 RADAR_AXES = 12
 LINE_POINTS = 400
@@ -100,14 +101,28 @@ def radar(df: DataFrame, x: str, y: str | None = None, agregacion: str = "suma",
 
 
 def stacked(
-    df: DataFrame, x: str, serie: str, y: str | None = None, agregacion: str = "suma", normalizar: bool = False
+    df: DataFrame, x: str, serie: str, y: str | None = None, agregacion: str = "suma", normalizar: bool = False,
+    limit_x: int | None = None, limit_series: int | None = None,
 ) -> DataFrame:
+    """Segments of each bar; with both limits empty segments are 0, else they are absent."""
     if x == serie:
-        raise ValueError("El desglose debe ser distinto de la categoría.")
-    cells = crosstab(df, x, serie, y, agregacion)
+        raise ValueError("Las barras y su desglose necesitan dos columnas diferentes.")
+    cells = crosstab(df, x, serie, y, agregacion, limit_x, limit_series)
     return share_of_category(cells) if normalizar else cells
 
 
+def _combo_medians(df: DataFrame, x: str, cells: DataFrame, two: bool) -> DataFrame:
+    """Medians of both measures per group; without a second one the line is the mean of the first."""
+    named = cells.select(key_label(df, x, "_k").alias("categoria"), key_number(df, x, "_k").alias("numero"), "y", "z")
+    groups = named.groupBy("categoria").agg(
+        F.first("numero").alias("numero"), F.count("y").alias("_n"), F.avg("y").alias("linea")).filter("_n > 0")
+    middle = lambda c, name: quantiles(
+        named.filter(F.col(c).isNotNull()).select("categoria", F.col(c).alias("x")), [0.5], by="categoria").select(
+        "categoria", F.col("valor").alias(name))
+    groups = groups.join(middle("y", "valor"), "categoria")
+    return groups.drop("linea").join(middle("z", "linea"), "categoria", "left") if two else groups
+
+
 def combo(
     df: DataFrame, x: str, y: str, z: str | None = None, agregacion: str = "suma", scale=None, limit: int = 25
 ) -> DataFrame:
@@ -116,20 +131,23 @@ def combo(
     Without a second measure (or with one that holds no number) the line is the mean of ``y``. One
     grouping computes both; the axis range is that of the line with a margin.
     """
-    if agregacion not in AGGREGATES:
-        raise ValueError(f"Agregación no soportada en el gráfico mixto: {agregacion}.")
+    if agregacion != MEDIAN and agregacion not in AGGREGATES:
+        raise ValueError(f"«{agregacion}» no es un agregado del gráfico mixto.")
     second = z if z and z != y else None
     if second and not df.select(finite(df, second).alias("z")).filter("z is not null").limit(1).count():
         second = None
-    how = AGGREGATES[agregacion]
     own = F.lit(None).cast("double") if second is None else finite(df, second)
     cells = df.select(key_cell(df, x).alias("_k"), finite(df, y).alias("y"), own.alias("z"))
-    line_value = F.avg("y") if second is None else F.when(F.count("z") > 0, how("z"))
-    groups = cells.groupBy("_k").agg(
-        how("y").cast("double").alias("valor"), F.count("y").alias("_n"), line_value.cast("double").alias("linea"),
-    ).filter("_n > 0").select(
-        key_label(df, x, "_k").alias("categoria"), key_number(df, x, "_k").alias("numero"),
-        "valor", "linea")
+    if agregacion == MEDIAN:
+        groups = _combo_medians(df, x, cells, second is not None)
+    else:
+        how = AGGREGATES[agregacion]
+        line_value = F.avg("y") if second is None else F.when(F.count("z") > 0, how("z"))
+        groups = cells.groupBy("_k").agg(
+            how("y").cast("double").alias("valor"), F.count("y").alias("_n"), line_value.cast("double").alias("linea"),
+        ).filter("_n > 0").select(
+            key_label(df, x, "_k").alias("categoria"), key_number(df, x, "_k").alias("numero"),
+            "valor", "linea")
     order = group_order("valor", scale)
     first = groups.orderBy(*order).limit(limit)
     # At most `limit` rows from here on.
@@ -253,50 +271,51 @@ def axis_scores(profile: DataFrame) -> DataFrame:
                           measure.alias("puntos_medida"))
 
 
-# Axes of a chart: name -> (which columns fit, whether it must be set).
+# Axes of a chart in the order they are filled: name -> (which columns fit, whether it must be set).
 ANY_AXES = {"x": ("cualquiera", True), "y": ("numerica", False), "serie": ("categorica", False)}
+AXIS_ORDER = ("x", "y", "serie")
+
+
+def ranked_axes(
+    scores: DataFrame, axes: dict[str, tuple[str, bool]], selection: dict[str, str] | None = None
+) -> DataFrame:
+    """``eje, columna, lugar``: the columns that fit each axis, best first, as many as there are axes.
+
+    A column the user picked comes before all others; then points decide, then table order. With
+    as many candidates as axes one is always left that no other axis has taken.
+    """
+    wanted = F.inline(F.array(*[F.struct(
+        F.lit(a).alias("eje"), F.lit(kind).alias("apta"), F.lit((selection or {}).get(a)).cast("string").alias("elegida"))
+        for a, (kind, _) in axes.items()]))
+    fits = (F.col("apta") == "cualquiera") | (F.col("es_numerica") == (F.col("apta") == "numerica"))
+    points = F.when((F.col("eje") == "y") | (F.col("apta") == "numerica"), F.col("puntos_medida")).otherwise(F.col("puntos_categoria"))
+    order = Window.partitionBy("eje").orderBy(
+        F.coalesce(F.col("columna") == F.col("elegida"), F.lit(False)).desc(), points.desc(), "pos")
+    return scores.select("*", wanted).filter(fits).select(
+        "eje", "columna", F.row_number().over(order).alias("lugar")).filter(F.col("lugar") <= len(AXIS_ORDER))
 
 
 def recommend_axes(
-    scores: Sequence[Row], axes: dict[str, tuple[str, bool]] | None = None,
-    selection: dict[str, str] | None = None,
+    scores: DataFrame, axes: dict[str, tuple[str, bool]] | None = None, selection: dict[str, str] | None = None
 ) -> dict[str, str]:
-    """Column for each axis: what the user chose where it fits, else the best free column.
+    """Column for each axis from :func:`axis_scores`: the user's where it fits, else the best free one.
 
-    ``scores`` are the collected rows of :func:`axis_scores`, one per column of the table. A
-    missing key asks for a suggestion; an empty choice stays empty on an optional axis.
+    A missing key asks for a suggestion; an unfit or empty choice leaves an optional axis empty.
     """
-    axes = ANY_AXES if axes is None else axes
+    axes = {a: (ANY_AXES if axes is None else axes)[a] for a in AXIS_ORDER if a in (ANY_AXES if axes is None else axes)}
     selection = selection or {}
-    chosen: dict[str, str] = {}
-
-    def fitting(kind: str) -> list[Row]:
-        if kind == "cualquiera":
-            return sorted(scores, key=lambda r: r["pos"])
-        return sorted((r for r in scores if r["es_numerica"] == (kind == "numerica")), key=lambda r: r["pos"])
-
-    def best(axis: str, taken: Sequence[str]) -> str:
-        kind = axes[axis][0]
-        points = "puntos_medida" if axis == "y" or kind == "numerica" else "puntos_categoria"
-        free = [r for r in fitting(kind) if r["columna"] not in taken]
-        return max(free, key=lambda r: (r[points], -r["pos"]))["columna"] if free else ""
-
-    for axis in ("x", "y", "serie"):
-        if axis not in axes:
-            chosen[axis] = ""
+    ranked: dict[str, list[str]] = {}
+    for row in ranked_axes(scores, axes, selection).orderBy("eje", "lugar").collect():
+        ranked.setdefault(row["eje"], []).append(row["columna"])
+    chosen = dict.fromkeys(AXIS_ORDER, "")
+    for axis, (_, required) in axes.items():
+        options = ranked.get(axis, [])
+        picked = selection.get(axis)
+        own = bool(options) and options[0] == picked
+        if not own and picked is not None and not required:
             continue
-        kind, required = axes[axis]
-        taken = [c for c in chosen.values() if c]
-        names = [r["columna"] for r in fitting(kind)]
-        current = selection.get(axis)
-        if current in names:
-            chosen[axis] = current
-        elif current is None or required:
-            chosen[axis] = best(axis, taken)
-        else:
-            chosen[axis] = ""
-    if chosen["serie"] and chosen["serie"] == chosen["x"]:
-        chosen["serie"] = best("serie", [chosen["x"]])
+        blocked = {chosen["x"]} if own and axis == "serie" else set() if own else set(chosen.values())
+        chosen[axis] = next((c for c in options if c not in blocked), "")
     return chosen
 
 

@@ -11,10 +11,13 @@ from varscope.functions.text import DATE_MARK, blank_to_null, parse_date, parse_
 from varscope.functions.vocab import NA_TOKENS
 from varscope.operators.ordering import ordered_slice
 
+# --- Fixed values: shares of a column's cells from which it reads as numbers or dates
 NUMBER_SHARE = 0.9
 DATE_MARK_SHARE = 0.6
 DATE_SHARE = 0.9
-WHOLE_NUMBER = r"^[+-]?\d{1,18}$"
+WHOLE_NUMBER = r"^[+-]?\d+$"
+# Digits that the widest exact type holds.
+LONG_NUMBER = r"^[+-]?0*\d{1,38}$"
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -63,7 +66,9 @@ def inference_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     count = lambda test: F.count_if(test)
     return long.groupBy("columna").agg(
         F.count("*").alias("n"),
-        count(v.rlike(WHOLE_NUMBER)).alias("enteros"),
+        count(v.rlike(WHOLE_NUMBER)).alias("digitos"),
+        count(v.rlike(WHOLE_NUMBER) & v.try_cast("bigint").isNotNull()).alias("enteros"),
+        count(v.rlike(LONG_NUMBER)).alias("largos"),
         count(v.rlike(PLAIN_NUMBER)).alias("decimales"),
         count(F.lower(v).isin("true", "false")).alias("booleanos"),
         count(parse_number(v).isNotNull()).alias("numeros"),
@@ -82,6 +87,10 @@ def decide_type(row) -> str:
         return "texto"
     if row["enteros"] == n:
         return "bigint"
+    if row["largos"] == n:
+        return "decimal(38,0)"
+    if row["digitos"] == n:
+        return "texto"  # longer than any exact number: a double would merge different codes
     if row["decimales"] == n:
         return "double"
     if row["booleanos"] == n:
@@ -95,7 +104,7 @@ def decide_type(row) -> str:
 
 def convert(text: Column, target: str) -> Column:
     """A text column read as the chosen type; cells that do not fit become null."""
-    if target in ("bigint", "double", "boolean"):
+    if target in ("bigint", "decimal(38,0)", "double", "boolean"):
         return text.try_cast(target)
     if target == "numero":
         return parse_number(text)

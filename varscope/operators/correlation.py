@@ -2,79 +2,79 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from varscope.functions.columns import finite, local_rows, numeric_columns, rounded, sql_text
+from varscope.functions.columns import column_rows, finite, local_rows, numeric_columns, numeric_long, rounded
 
+RESULT = "col_x string, col_y string, r double"
+SUMS = ("n", "p", "sx", "sy", "qx", "qy")
+BOUNDS = ("lox", "hix", "loy", "hiy")
 
-# Pairs whose sums share one scan: more would make one aggregate too large to compile.
-PAIRS_PER_SCAN = 150
+
+def _pair_sums(means: list[float]):
+    """Per task one row for each pair of columns: sums over the rows in which both hold a number.
+
+    Cells are deviations from the column's mean. With missing cells as 0 and a matrix of ones and
+    zeros for the cells that are there, the sums of all pairs are four matrix products.
+    """
+    k = len(means)
+    shift = np.array(means)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, p, s, q = (np.zeros((k, k)) for _ in range(4))
+        lo, hi = np.full((k, k), np.inf), np.full((k, k), -np.inf)
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=np.float64, na_value=np.nan) - shift
+            there = ~np.isnan(x)
+            known, filled = there.astype(np.float64), np.where(there, x, 0.0)
+            n += known.T @ known
+            p += filled.T @ filled
+            s += filled.T @ known
+            q += (filled * filled).T @ known
+            for j in range(k):
+                rows = x if there[:, j].all() else x[there[:, j]]
+                if len(rows):
+                    lo[:, j] = np.fmin(lo[:, j], np.fmin.reduce(rows, axis=0))
+                    hi[:, j] = np.fmax(hi[:, j], np.fmax.reduce(rows, axis=0))
+        i, j = np.triu_indices(k, 1)
+        yield pd.DataFrame({
+            "i": i, "j": j, "n": n[i, j], "p": p[i, j], "sx": s[i, j], "sy": s[j, i], "qx": q[i, j], "qy": q[j, i],
+            "lox": lo[i, j], "hix": hi[i, j], "loy": lo[j, i], "hiy": hi[j, i]})
+    return run
 
 
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``col_x, col_y, r`` for every ordered pair; null where a side is constant.
 
-    The first scan finds each column's mean, bounds and count. The second sums products of
-    deviations from those means, the upper triangle only. Columns without missing values share
-    their sums; a pair with missing values has sums of its own over its complete rows.
+    Two scans whatever the number of columns: one for the means, and one in which every task sums
+    the products of all pairs and returns a row per pair, which are then added up.
     """
     columns = numeric_columns(df) if columns is None else list(columns)
     k = len(columns)
-    cells = df.select(*[finite(df, name).alias(f"c{i}") for i, name in enumerate(columns)])
-    result_schema = "col_x string, col_y string, r double"
     if k < 2:
-        return local_rows(df.sparkSession, [], result_schema)
-    first = cells.agg(F.count("*").alias("total"), *[
-        f(F.col(f"c{i}")).alias(f"{tag}{i}")
-        for i in range(k) for tag, f in (("n", F.count), ("m", F.avg), ("lo", F.min), ("hi", F.max))
-    ]).first()
-    full = [first[f"n{i}"] == first["total"] for i in range(k)]
-    centred = cells.select(*[
-        (F.col(f"c{i}") - F.lit(first[f"m{i}"] if first[f"m{i}"] is not None else 0.0)).alias(f"d{i}")
-        for i in range(k)
-    ])
-
-    def varies(i: int) -> bool:
-        return first[f"n{i}"] > 1 and first[f"lo{i}"] < first[f"hi{i}"]
-
-    def both_full(i: int, j: int) -> bool:
-        return full[i] and full[j]
-
-    def pair_sums(i: int, j: int) -> list[str]:
-        sums = [f"sum(d{i} * d{j}) AS p{i}_{j}"]
-        if both_full(i, j):
-            return sums
-        x, y = f"IF(d{j} IS NOT NULL, d{i}, NULL)", f"IF(d{i} IS NOT NULL, d{j}, NULL)"
-        return sums + [
-            f"count(d{i} + d{j}) AS n{i}_{j}", f"sum({x}) AS sx{i}_{j}", f"sum({y}) AS sy{i}_{j}",
-            f"sum({x} * {x}) AS qx{i}_{j}", f"sum({y} * {y}) AS qy{i}_{j}",
-            f"min({x}) < max({x}) AND min({y}) < max({y}) AS v{i}_{j}",
-        ]
-
-    def pair_r(i: int, j: int) -> str:
-        if both_full(i, j):
-            n, sx, sy, qx, qy = f"{first['total']}D", f"s{i}", f"s{j}", f"q{i}", f"q{j}"
-            defined = "true" if varies(i) and varies(j) else "false"
-        else:
-            n, defined = f"CAST(n{i}_{j} AS DOUBLE)", f"v{i}_{j}"
-            sx, sy, qx, qy = (f"{c}{i}_{j}" for c in ("sx", "sy", "qx", "qy"))
-        spread = f"sqrt(({qx} - try_divide({sx} * {sx}, {n})) * ({qy} - try_divide({sy} * {sy}, {n})))"
-        return f"IF({defined}, try_divide(p{i}_{j} - try_divide({sx} * {sy}, {n}), {spread}), NULL)"
-
-    def cell(i: int, j: int, r: str) -> str:
-        return f"named_struct('col_x', {sql_text(columns[i])}, 'col_y', {sql_text(columns[j])}, 'r', {r})"
-
-    diagonal = [(c, c, 1.0 if varies(i) else None) for i, c in enumerate(columns)]
-    parts = [local_rows(df.sparkSession, diagonal, result_schema)]
-    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        batch = pairs[start:start + PAIRS_PER_SCAN]
-        shared = sorted({c for pair in batch if both_full(*pair) for c in pair})
-        sums = [e for c in shared for e in (f"sum(d{c}) AS s{c}", f"sum(d{c} * d{c}) AS q{c}")]
-        sums += [e for pair in batch for e in pair_sums(*pair)]
-        rows = [cell(a, b, pair_r(i, j)) for i, j in batch for a, b in ((i, j), (j, i))]
-        parts.append(centred.agg(*[F.expr(e) for e in sums]).select(F.expr(f"inline(array({', '.join(rows)}))")))
-    return reduce(DataFrame.unionByName, parts).select("col_x", "col_y", rounded(F.col("r")).alias("r"))
+        return local_rows(df.sparkSession, [], RESULT)
+    first = {r["columna"]: r for r in numeric_long(df, columns).groupBy("columna").agg(
+        F.avg("x").alias("m"), F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+    means = [first[c]["m"] if c in first else 0.0 for c in columns]
+    cells = df.select(*[finite(df, name).alias(f"c{i}") for i, name in enumerate(columns)])
+    schema = "i int, j int, " + ", ".join(f"{name} double" for name in (*SUMS, *BOUNDS))
+    pairs = cells.mapInPandas(_pair_sums(means), schema).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in SUMS],
+        F.min("lox").alias("lox"), F.max("hix").alias("hix"), F.min("loy").alias("loy"), F.max("hiy").alias("hiy"))
+    spread = lambda q, s: F.col(q) - F.try_divide(F.col(s) * F.col(s), F.col("n"))
+    r = F.try_divide(F.col("p") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n")), F.sqrt(spread("qx", "sx") * spread("qy", "sy")))
+    defined = (F.col("n") > 1) & (F.col("lox") < F.col("hix")) & (F.col("loy") < F.col("hiy"))
+    names = F.array(*[F.lit(c) for c in columns])
+    every = column_rows(df, [(i, j) for i in range(k) for j in range(i + 1, k)], "i int, j int")
+    pairs = every.join(pairs, ["i", "j"], "left")  # an empty table has no sums, but its pairs are there
+    half = pairs.select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), F.when(defined, r).alias("r"))
+    both = half.select(F.inline(F.array(
+        F.struct(F.col("a").alias("col_x"), F.col("b").alias("col_y"), "r"),
+        F.struct(F.col("b").alias("col_x"), F.col("a").alias("col_y"), "r"))))
+    varies = lambda c: c in first and first[c]["n"] > 1 and first[c]["lo"] < first[c]["hi"]
+    diagonal = column_rows(df, [(c, c, 1.0 if varies(c) else None) for c in columns], RESULT)
+    return diagonal.unionByName(both).select("col_x", "col_y", rounded(F.col("r")).alias("r"))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from varscope.functions.columns import (
     BOOL, DECIMAL, ENTERO, FECHA, NUMBER_TEXT_SQL, TEXTO, finite_sql, kinds, local_rows, numeric_long,
@@ -16,10 +16,14 @@ from varscope.functions.text import WHITE_SPACE, normalize, normalize_name
 from varscope.functions.vocab import CONTINUA, DISCRETA, FREQUENCY_ROWS
 from varscope.operators.ordering import range_parts
 
-# Text above this length travels as its beginning and the digest of the whole.
+# Text above this length travels as its beginning and the digest of the whole; what leaves an
+# operator is the whole text again, see :func:`restore_texts`.
 LONG_TEXT = 256
 HEAD = 80
 LONGEST_WORD = 64
+# Digits that every double holds exactly, and the number above which whole doubles have gaps.
+DOUBLE_DIGITS, EXACT_DOUBLE = 15, 2**53
+DIGEST_END = r"(?s)… #[0-9a-f]{64}$"
 
 
 def _is_long(cell: str) -> str:
@@ -41,13 +45,18 @@ def value_counts(
     before they are aggregated). Counts combine before the shuffle, so a value that fills a third
     of the table still arrives as one row per task.
 
-    ``compact`` tells long texts apart by the SHA-256 of the whole text, shown after its first
-    characters, so that documents are counted without being shuffled. ``with_norm`` adds the
+    ``compact`` tells long texts apart by the SHA-256 of the whole text after its first
+    characters, so that documents are counted without being shuffled; rows that are shown get
+    their texts back from :func:`restore_texts`. ``with_norm`` adds the
     column ``norma``; long texts are normalised where they are read, labels after counting.
     """
     by_kind: dict[str, list[str]] = {}
+    exact = {f.name: f.dataType.simpleString() for f in df.schema.fields
+             if isinstance(f.dataType, T.DecimalType) and f.dataType.precision > DOUBLE_DIGITS}
     for name, kind in kinds(df, columns).items():
-        by_kind.setdefault(kind, []).append(name)
+        # Decimals that a double cannot hold are counted on their own type, one group per type.
+        own = exact.get(name) if kind == DECIMAL else None
+        by_kind.setdefault(own or kind, []).append(name)
     if not by_kind:
         empty = "columna string, valor string, valor_num double, n bigint" + (", norma string" if with_norm else "")
         return local_rows(df.sparkSession, [], empty)
@@ -65,6 +74,10 @@ def value_counts(
         FECHA: (lambda c: f"CAST({c} AS TIMESTAMP_NTZ)", "CAST(v AS STRING)", "CAST(NULL AS DOUBLE)"),
         BOOL: (lambda c: c, "IF(v, 'True', 'False')", "CAST(NULL AS DOUBLE)"),
     }
+    for kind in by_kind:
+        if kind.startswith("decimal("):
+            shapes[kind] = (lambda c: c, "regexp_replace(CAST(v AS STRING), '(\\\\.[0-9]*?)0+$', '$1')" if not kind.endswith(",0)")
+                            else "CAST(v AS STRING)", "CAST(v AS DOUBLE)")
     parts = []
     for kind, (cell, text, number) in shapes.items():
         names = by_kind.get(kind)
@@ -99,6 +112,31 @@ def _text_counts_with_norm(df: DataFrame, names: Sequence[str]) -> DataFrame:
                           F.coalesce("_f", normalize(F.col("valor"))).alias("norma"))
 
 
+def restore_texts(df: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Function that puts whole texts back into a few rows ``columna, valor, …`` of compact counts.
+
+    ``df`` is the table that was counted. Only texts whose digest is among the rows leave the scan,
+    once per task. The rows are the winners of a group limit, so their digests may be broadcast.
+    """
+    names = [c for c, kind in kinds(df).items() if kind == TEXTO]
+
+    def restore(rows: DataFrame) -> DataFrame:
+        if not names:
+            return rows
+        cells = {c: f"CAST({quoted(c)} AS STRING)" for c in names}
+        pairs = df.selectExpr(*[
+            f"IF({_is_long(cell)}, named_struct('v', {_digest(cell)}, 't', {cell}), NULL) AS {quoted(c)}"
+            for c, cell in cells.items()])
+        long = pairs.unpivot([], [quoted(c) for c in names], "columna", "p").filter("p IS NOT NULL").select(
+            "columna", F.col("p.v").alias("valor"), F.col("p.t").alias("_entero"))
+        wanted = rows.select("columna", "valor").filter(F.col("valor").rlike(DIGEST_END)).distinct()
+        found = long.join(F.broadcast(wanted), ["columna", "valor"], "left_semi").groupBy("columna", "valor").agg(
+            F.first("_entero").alias("_entero"))
+        whole = F.coalesce("_entero", "valor")
+        return rows.join(found, ["columna", "valor"], "left").withColumn("valor", whole).drop("_entero")
+    return restore
+
+
 def scale_position(value: Column, scale: Sequence[str]) -> Column:
     """Place of a label in a scale; labels outside it come last."""
     levels = F.array(*[F.lit(normalize_name(level)) for level in scale])
@@ -113,7 +151,9 @@ def display_keys(scales: dict[str, Sequence[str]] | None = None) -> list[Column]
         here = F.col("columna") == name
         place = F.when(here, scale_position(F.col("valor"), scale)).otherwise(place)
         number = F.when(~here, number)
-    return [place, number, F.col("valor")]
+    # Beyond the whole numbers that a double tells apart the digits themselves decide.
+    digits = F.when(F.abs(number) >= EXACT_DOUBLE, F.col("valor").try_cast("decimal(38,0)"))
+    return [place, number, digits, F.col("valor")]
 
 
 def display_order(scales: dict[str, Sequence[str]] | None = None) -> list[Column]:

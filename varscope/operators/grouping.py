@@ -16,8 +16,6 @@ AGGREGATES = {
 }
 MEDIAN = "mediana"
 DEFAULT_LIMIT = 25
-# Series that a matrix fills with zeros; above it missing combinations are simply absent.
-FILLED_SERIES = 1_000
 
 
 def key_cell(df: DataFrame, name: str) -> Column:
@@ -162,23 +160,24 @@ def crosstab(
     df: DataFrame, x: str, serie: str, y: str | None = None, agregacion: str = "suma",
     limit_x: int | None = None, limit_series: int | None = None,
 ) -> DataFrame:
-    """Long matrix ``categoria, serie, valor``; combinations that do not occur are 0.
+    """Long matrix ``categoria, serie, valor``.
 
-    Limits keep the categories and series with the highest totals. The series labels (checked to
-    be few) are spread over each category as an array, so no pairwise join is needed.
+    Limits keep the categories and series with the highest totals. With both limits every category
+    gets every series, 0 where the two never meet: at most ``limit_x`` times ``limit_series`` rows.
+    With one limit or none only combinations that occur are returned, whatever their number, and
+    an absent one stands for 0: filling would pair all categories with all series.
     """
     cells = group_by_two(df, x, serie, y, agregacion)
     if limit_x is not None:
         cells = cells.join(F.broadcast(_largest(cells, "categoria", limit_x)), "categoria", "left_semi")
     if limit_series is not None:
         cells = cells.join(F.broadcast(_largest(cells, "serie", limit_series)), "serie", "left_semi")
-    names = [r["serie"] for r in cells.select("serie").distinct().limit(FILLED_SERIES + 1).collect()]
-    if not names or len(names) > FILLED_SERIES:
+    if limit_x is None or limit_series is None:
         return cells.select("categoria", "serie", "valor")
+    # Both aggregates hold no more than the limits.
+    every = cells.agg(F.array_sort(F.collect_set("serie"))).scalar()
     found = cells.groupBy("categoria").agg(
-        # At most FILLED_SERIES entries per category: the series were just counted.
         F.map_from_entries(F.collect_list(F.struct("serie", "valor"))).alias("_celdas"))
-    every = F.array(*[F.lit(name) for name in sorted(names)])
     return found.select("categoria", "_celdas", F.explode(every).alias("serie")).select(
         "categoria", "serie",
         F.coalesce(F.try_element_at("_celdas", F.col("serie")), F.lit(0.0)).alias("valor"),

@@ -19,11 +19,12 @@ from varscope.operators.frequencies import display_order, frequency_tables, valu
 SAMPLE_VALUES = 5
 
 
-def samples(counts: DataFrame) -> DataFrame:
+def samples(counts: DataFrame, restore=None) -> DataFrame:
     """``columna, muestra``: the first five distinct values in display order."""
     order = Window.partitionBy("columna").orderBy(*display_order())
+    first = counts.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SAMPLE_VALUES)
     return (
-        counts.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SAMPLE_VALUES)
+        (restore(first) if restore else first)
         .groupBy("columna").agg(F.array_sort(F.collect_list(F.struct("_n", "valor"))).alias("_m"))
         .select("columna", F.transform("_m", lambda s: s["valor"]).alias("muestra"))
     )
@@ -117,7 +118,7 @@ def dataset_metadata(df: DataFrame, preview_rows: int = 5_000) -> DataFrame:
 
 
 def filter_options(
-    df: DataFrame, counts: DataFrame | None = None, classification: DataFrame | None = None
+    df: DataFrame, counts: DataFrame | None = None, classification: DataFrame | None = None, restore=None
 ) -> DataFrame:
     """The filter control of each column: kind, values, bounds, step and a null flag.
 
@@ -142,8 +143,9 @@ def filter_options(
     as_number = F.when(scaled.isNull(), F.coalesce("valor_num", F.col("valor").try_cast("double")))
     order = Window.partitionBy("columna").orderBy(
         F.coalesce(frequent, F.lit(0)), scaled.asc_nulls_first(), as_number.asc_nulls_last(), "valor")
+    first = wanted.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= vocab.MAX_FILTER_VALUES)
     values = (
-        wanted.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= vocab.MAX_FILTER_VALUES)
+        (restore(first) if restore else first)
         .groupBy("columna").agg(
             F.array_sort(F.collect_list(F.struct("_n", "valor"))).alias("_v"), F.max("_u").alias("_u"))
         .select("columna", F.transform("_v", lambda s: s["valor"]).alias("valores"), "_u")
@@ -166,11 +168,17 @@ def filter_options(
 
 def top_categories(
     counts: DataFrame, profile: DataFrame, limit: int = vocab.TOP_CATEGORIES,
-    scales: dict[str, Sequence[str]] | None = None,
+    scales: dict[str, Sequence[str]] | None = None, restore=None,
 ) -> DataFrame:
-    """First values in display order of the columns that are not numeric or are discrete."""
-    shown = profile.filter(~F.col("es_numerica") | (F.col("tipo") == DISCRETA)).select("columna")
-    return frequency_tables(counts.join(F.broadcast(shown), "columna", "left_semi"), limit, scales)
+    """First values in display order of the columns that are not numeric or are discrete.
+
+    Which columns these are is settled first, one name per column: the rules of the classification
+    inside this query would make its generated code too large.
+    """
+    shown = [r["columna"] for r in profile.filter(
+        ~F.col("es_numerica") | (F.col("tipo") == DISCRETA)).select("columna").collect()]
+    rows = frequency_tables(counts.filter(F.col("columna").isin(shown)), limit, scales)
+    return restore(rows) if restore else rows
 
 
 def safe_rows(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -15,11 +15,12 @@ from varscope.functions.text import normalize, normalize_name
 from varscope.functions.vocab import ADVERTENCIA, AdmissibleRange, CRITICO, Catalogue, INFO
 from varscope.operators.classify import cell_metrics
 from varscope.operators.duplicates import duplicate_rows
-from varscope.operators.frequencies import value_counts
+from varscope.operators.frequencies import restore_texts, value_counts
 
+Restore = Callable[[DataFrame], DataFrame] | None
+# --- Fixed values: examples per finding and per variant finding, limit and least rows of the z-score
 EXAMPLES = 5
 VARIANT_EXAMPLES = 3
-VARIANTS_SHOWN = 10
 Z_LIMIT = 4.0
 Z_MIN_ROWS = 10
 
@@ -53,11 +54,13 @@ def rule_binding(
 
 
 # --- Examples -------------------------------------------------------------------------------------
-def _first_examples(rows: DataFrame, by: Sequence[str], order: Sequence[Column], text: Column, k: int = EXAMPLES) -> DataFrame:
-    """``by…, ejemplos``: the first ``k`` texts of each group, kept by a group limit."""
+def _first_examples(rows: DataFrame, by: Sequence[str], order: Sequence[Column], text: Column,
+                    k: int = EXAMPLES, restore: Restore = None) -> DataFrame:
+    """``by…, ejemplos``: the first ``k`` texts of each group, kept by a group limit, long ones whole."""
     place = Window.partitionBy(*by).orderBy(*order)
+    first = rows.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= k)
     return (
-        rows.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= k)
+        (restore(first) if restore else first)
         .groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_n", text.alias("t")))).alias("_e"))
         .select(*by, F.transform("_e", lambda s: s["t"]).alias("ejemplos"))
     )
@@ -115,7 +118,8 @@ def unknown_values(
 
 
 def catalogue_findings(
-    counts: DataFrame, names: Sequence[str], catalogues: Sequence[Catalogue] = vocab.CATALOGUES
+    counts: DataFrame, names: Sequence[str], catalogues: Sequence[Catalogue] = vocab.CATALOGUES,
+    restore: Restore = None,
 ) -> DataFrame:
     if not any(bound_columns(names, c.hints) for c in catalogues):
         return _none(counts)
@@ -123,7 +127,7 @@ def catalogue_findings(
     by = ["columna", "catalogo"]
     totals = unknown.groupBy(*by).agg(F.count("*").alias("valores"), F.sum("n").alias("filas"))
     shown = F.when(F.col("sugerido").isNotNull(), F.concat("valor", F.lit(" → "), "sugerido")).otherwise(F.col("valor"))
-    examples = _first_examples(unknown, by, [F.desc("n"), F.col("valor")], shown)
+    examples = _first_examples(unknown, by, [F.desc("n"), F.col("valor")], shown, restore=restore)
     titles = F.array(*[F.lit(c.name) for c in catalogues])
     rows = totals.join(F.broadcast(examples), by)
     message = F.concat(F.col("valores").cast("string"), F.lit(" valor(es) de '"), "columna", F.lit("' fuera de «"),
@@ -193,7 +197,14 @@ def spelling_variants(counts: DataFrame) -> DataFrame:
         F.count("*").alias("variantes"), F.sum("n").alias("filas")).filter(F.col("variantes") > 1)
 
 
-def variant_findings(counts: DataFrame, text_columns: Sequence[str]) -> DataFrame:
+def variant_forms(counts: DataFrame, restore: Restore = None) -> DataFrame:
+    """``columna, norma, valor, n``: every raw value of the normal forms that several of them share."""
+    shared = spelling_variants(counts).select("columna", "norma")
+    forms = _with_norm(counts).join(shared, ["columna", "norma"]).select("columna", "norma", "valor", "n")
+    return restore(forms) if restore else forms
+
+
+def variant_findings(counts: DataFrame, text_columns: Sequence[str], restore: Restore = None) -> DataFrame:
     if not text_columns:
         return _none(counts)
     texts = _with_norm(counts.filter(F.col("columna").isin(list(text_columns))))
@@ -201,12 +212,12 @@ def variant_findings(counts: DataFrame, text_columns: Sequence[str]) -> DataFram
     totals = groups.groupBy("columna").agg(F.count("*").alias("categorias"), F.sum("filas").alias("filas"))
     place = Window.partitionBy("columna").orderBy("norma")
     shown = groups.withColumn("_g", F.row_number().over(place)).filter(F.col("_g") <= VARIANT_EXAMPLES)
-    spelled = texts.join(
-        F.broadcast(shown.select("columna", "norma", "_g", "variantes")), ["columna", "norma"])
-    forms = _first_examples(spelled, ["columna", "_g", "variantes"], [F.col("valor")], F.col("valor"), VARIANTS_SHOWN)
-    line = F.concat(F.array_join("ejemplos", " / "),
-                    F.when(F.col("variantes") > VARIANTS_SHOWN, " / …").otherwise(""))
-    examples = forms.groupBy("columna").agg(F.array_sort(F.collect_list(F.struct("_g", line.alias("t")))).alias("_e")).select(
+    # Three normal forms per column, each with all its spellings.
+    spelled = texts.join(F.broadcast(shown.select("columna", "norma", "_g")), ["columna", "norma"]).select(
+        "columna", "_g", "valor")
+    forms = (restore(spelled) if restore else spelled).groupBy("columna", "_g").agg(
+        F.array_join(F.array_sort(F.collect_list("valor")), " / ").alias("t"))
+    examples = forms.groupBy("columna").agg(F.array_sort(F.collect_list(F.struct("_g", "t"))).alias("_e")).select(
         "columna", F.transform("_e", lambda s: s["t"]).alias("ejemplos"))
     message = F.concat(F.lit("'"), "columna", F.lit("' tiene "), F.col("categorias").cast("string"),
                        F.lit(" categoría(s) escritas de varias formas."))
@@ -218,16 +229,16 @@ def identifier_columns(text_columns: Sequence[str]) -> list[str]:
     return [c for c in text_columns if normalize_name(c).startswith(vocab.IDENTIFIER_PREFIXES)]
 
 
-def duplicate_id_findings(counts: DataFrame, text_columns: Sequence[str]) -> DataFrame:
+def duplicate_id_findings(counts: DataFrame, text_columns: Sequence[str], restore: Restore = None) -> DataFrame:
     """Repeated values in text columns whose header starts like an identifier."""
     ids = identifier_columns(text_columns)
     if not ids:
         return _none(counts)
     repeated = counts.filter(F.col("columna").isin(ids) & (F.col("n") > 1))
     totals = repeated.groupBy("columna").agg(F.sum(F.col("n") - 1).alias("filas"))
-    examples = _first_examples(repeated, ["columna"], [F.col("valor")], F.col("valor"))
-    message = F.concat(F.lit("'"), "columna", F.lit("' parece un identificador y repite "),
-                       F.col("filas").cast("string"), F.lit(" valor(es)."))
+    examples = _first_examples(repeated, ["columna"], [F.col("valor")], F.col("valor"), restore=restore)
+    message = F.concat(F.col("filas").cast("string"), F.lit(" fila(s) de '"), "columna",
+                       F.lit("' llevan un código que ya apareció antes."))
     return _finding(totals.join(F.broadcast(examples), "columna"), "identificador_duplicado", CRITICO, message,
                     "Buscar registros duplicados en el origen.")
 
@@ -270,18 +281,21 @@ def findings(
     """All findings; empty for a table without rows. Sort with :func:`sorted_findings`.
 
     Only text columns are counted by value; numbers are judged in the scans over the long frame.
-    Long texts are told apart by digests of the whole text and of its normal form.
+    Long texts are told apart by digests of the whole text and of its normal form; examples show
+    the whole texts.
     """
     by_kind = kinds(df)
     text = [c for c, k in by_kind.items() if k == TEXTO]
     bound = {c for cat in catalogues for c in bound_columns(df.columns, cat.hints)}
     counted = [c for c in df.columns if c in bound or c in text]
+    restore = None
     if counts is None and counted:
         counts = value_counts(df, counted, compact=True, with_norm=True)
+        restore = restore_texts(df)
     parts = [range_findings(df, ranges), duplicate_findings(df), null_findings(cell_metrics(df)), zscore_findings(df)]
     if counted:
-        parts += [catalogue_findings(counts, df.columns, catalogues), variant_findings(counts, text),
-                  duplicate_id_findings(counts, text)]
+        parts += [catalogue_findings(counts, df.columns, catalogues, restore), variant_findings(counts, text, restore),
+                  duplicate_id_findings(counts, text, restore)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -303,24 +317,35 @@ def score(rows: DataFrame, total: int | Column) -> DataFrame:
     return penalty.select(F.when(total == 0, 0.0).otherwise(value).alias("puntuacion"))
 
 
-def sources(
-    df: DataFrame, catalogues: Sequence[Catalogue] = vocab.CATALOGUES, ranges: Sequence[AdmissibleRange] = vocab.RANGES,
+def source_usage(
+    headers: DataFrame, catalogues: Sequence[Catalogue] = vocab.CATALOGUES, ranges: Sequence[AdmissibleRange] = vocab.RANGES,
 ) -> DataFrame:
-    """``orden, nombre, url, registros, estado``: each rule source and whether a column matched.
+    """``orden, nombre, url, registros, encabezados, estado``: each rule source and how many headers use it.
 
-    Ranges that come from one address count as one source.
+    ``headers`` has ``columna, nombre`` and may have ``es_numerica``: ranges bind numeric columns
+    only. Rules with one address are one source, named after the first of them.
     """
-    rows: list[tuple] = []
-    for catalogue in catalogues:
-        hit = bool(bound_columns(df.columns, catalogue.hints))
-        rows.append((catalogue.name, catalogue.url, len(catalogue.values), hit))
-    numeric = numeric_columns(df)
-    by_url: dict[str, list[AdmissibleRange]] = {}
-    for r in ranges:
-        by_url.setdefault(r.url, []).append(r)
-    for url, group in by_url.items():
-        hit = any(bound_columns(numeric, r.hints) for r in group)
-        rows.append((group[0].name, url, len(ranges), hit))
-    return column_rows(df, [
-        (i, name, url, n, "consultada" if hit else "sin coincidencias") for i, (name, url, n, hit) in enumerate(rows)
-    ], "orden int, nombre string, url string, registros bigint, estado string")
+    numeric = F.col("es_numerica") if "es_numerica" in headers.columns else F.lit(True)
+    marked = rule_binding(headers, catalogues, ranges).join(
+        headers.select("columna", numeric.alias("_num")), "columna").filter((F.col("clase_regla") == "catalogo") | F.col("_num"))
+    used = marked.select("columna", "clase_regla", F.col("regla").cast("int").alias("regla"))
+    listed = [("catalogo", i, c.name, c.url, len(c.values)) for i, c in enumerate(catalogues)]
+    listed += [("rango", i, r.name, r.url, len(ranges)) for i, r in enumerate(ranges)]
+    rules = column_rows(headers, [(n, *row) for n, row in enumerate(listed)],
+                        "n int, clase_regla string, regla int, nombre string, url string, registros bigint")
+    by_url = F.broadcast(rules).join(used, ["clase_regla", "regla"], "left").groupBy("url").agg(
+        F.min(F.struct("n", "nombre", "registros")).alias("_r"), F.count_distinct("columna").alias("encabezados"))
+    place = F.row_number().over(Window.orderBy("_r.n")) - 1  # one row per source
+    return by_url.select(
+        place.cast("int").alias("orden"), "_r.nombre", "url", "_r.registros", "encabezados",
+        F.when(F.col("encabezados") > 0, "consultada").otherwise("sin coincidencias").alias("estado"))
+
+
+def sources(
+    df: DataFrame, catalogues: Sequence[Catalogue] = vocab.CATALOGUES, ranges: Sequence[AdmissibleRange] = vocab.RANGES,
+) -> DataFrame:
+    """``orden, nombre, url, registros, estado``: each rule source and whether a column of the table uses it."""
+    numeric = set(numeric_columns(df))
+    headers = column_rows(df, [(c, normalize_name(c), c in numeric) for c in df.columns],
+                          "columna string, nombre string, es_numerica boolean")
+    return source_usage(headers, catalogues, ranges).drop("encabezados")

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from varscope.functions.columns import numeric_columns
+from varscope.functions.columns import local_rows, numeric_columns, numeric_long
 from varscope.operators import quality
 from varscope.operators.classify import classify, type_summary
 from varscope.operators.correlation import correlation
 from varscope.operators.describe import numeric_summary
-from varscope.operators.filters import Filter, apply_filters
-from varscope.operators.frequencies import frequency_bundle, value_counts
+from varscope.operators.filters import Filter, RANGO, apply_filters, drop_full_ranges
+from varscope.operators.frequencies import frequency_bundle, restore_texts, value_counts
 from varscope.operators.profile import (
     column_profile, filter_options, global_summary, samples, top_categories,
 )
@@ -34,6 +34,12 @@ class Analysis:
     filtros: DataFrame
     resumen: DataFrame
     filtros_activos: int = 0
+    guardadas: list[DataFrame] = field(default_factory=list)
+
+    def close(self) -> None:
+        """Release what the report persisted for itself."""
+        while self.guardadas:
+            self.guardadas.pop().unpersist()
 
 
 @dataclass
@@ -51,8 +57,8 @@ class Dataset:
 
     @classmethod
     def of(cls, df: DataFrame, compacto: bool = False) -> Dataset:
-        """Classify a table. With ``compacto`` lists show long texts as a beginning and a digest,
-        which spares tables of documents from shuffling whole texts."""
+        """Classify a table. With ``compacto`` long texts are counted by digest, which spares tables of
+        documents from shuffling whole texts; lists then read the texts they show from the table."""
         counts = value_counts(df, compact=compacto).persist()
         return cls(df, classify(df, counts=counts).persist(), counts, compacto)
 
@@ -69,11 +75,28 @@ class Dataset:
         rows = self.clasificacion.filter(F.col("escala_orden").isNotNull()).select("columna", "escala_orden").collect()
         return {r["columna"]: list(r["escala_orden"]) for r in rows}
 
+    def domains(self, filters: Iterable[Filter]) -> dict[str, tuple[float, float]]:
+        """Smallest and largest number of each column with an active range filter; one row per column."""
+        ranged = {f.columna for f in filters if f.tipo == RANGO and f.active}
+        names = [c for c in numeric_columns(self.df) if c in ranged]
+        if not names:
+            return {}
+        rows = numeric_long(self.df, names).groupBy("columna").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        return {r["columna"]: (r["lo"], r["hi"]) for r in rows}
+
     def analyse(self, filters: Iterable[Filter] = ()) -> Analysis:
-        """Full report of the rows that pass the filters, keeping the classification of the load."""
-        visible, active = apply_filters(self.df, filters)
-        counts = self.conteos if not active else value_counts(visible, compact=self.compacto)
-        return analyse(visible, counts, self.clasificacion, self.scales(), active)
+        """Full report of the rows that pass the filters, keeping the classification of the load.
+
+        A range over a column's whole domain is no filter.
+        """
+        filters = list(filters)
+        visible, active = apply_filters(self.df, drop_full_ranges(filters, self.domains(filters)))
+        counts = value_counts(visible, compact=self.compacto).persist() if active else self.conteos
+        result = analyse(visible, counts, self.clasificacion, self.scales(), active,
+                         restore_texts(visible) if self.compacto else None)
+        if active:
+            result.guardadas.append(counts)
+        return result
 
     def frequencies(self, columns: Sequence[str], filters: Iterable[Filter] = ()) -> tuple[DataFrame, DataFrame]:
         """Ungrouped and grouped tables of the given columns only."""
@@ -82,12 +105,16 @@ class Dataset:
             "columna", "tipo", "escala_orden").collect()
         counts = value_counts(visible, columns, self.compacto) if active else self.conteos.filter(
             F.col("columna").isin(list(columns)))
-        return frequency_bundle(visible, [tuple(r) for r in rows], counts)
+        plain, grouped = frequency_bundle(visible, [tuple(r) for r in rows], counts)
+        return (restore_texts(visible)(plain) if self.compacto else plain), grouped
 
     def validate(self, filters: Iterable[Filter] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Findings in order, sources and score of the rows that pass the filters."""
+        """Findings in order, sources and score of the rows that pass the filters.
+
+        The findings are a few rows; they are settled once, so that nothing stays persisted.
+        """
         visible, _ = apply_filters(self.df, filters)
-        found = quality.findings(visible).persist()
+        found = local_rows(visible.sparkSession, [tuple(r) for r in quality.findings(visible).collect()], quality.FINDING)
         return quality.sorted_findings(found), quality.sources(visible), quality.score(found, visible.count())
 
     def export(self, folder: str, filters: Iterable[Filter] = (), fmt: str = "csv") -> None:
@@ -102,11 +129,14 @@ class Dataset:
         profile = column_profile(visible, counts, self.clasificacion)
         tables = {
             "datos": visible, "clasificacion": report.classification_table(profile),
-            "frecuencias": report.frequencies_table(counts, visible.columns, self.scales()),
+            "frecuencias": report.frequencies_table(counts, visible.columns, self.scales(),
+                                                    restore_texts(visible) if self.compacto else None),
         }
         if numeric_columns(visible):
             tables["estadistica"] = report.statistics_table(numeric_summary(visible, counts=counts))
         sinks.write_report(tables, folder, fmt)
+        if active:
+            counts.unpersist()
 
     def save(self, catalog: Catalog, cliente: str, ruta: str, nombre_archivo: str, tamano_bytes: int = 0) -> str | None:
         types = {r["tipo"]: r["columnas"] for r in type_summary(self.clasificacion).collect()}
@@ -121,19 +151,26 @@ def reopen(spark: SparkSession, catalog: Catalog, cliente: str, key: str, **opti
 
 def analyse(
     df: DataFrame, counts: DataFrame | None = None, classification: DataFrame | None = None,
-    scales: dict[str, Sequence[str]] | None = None, active: int = 0,
+    scales: dict[str, Sequence[str]] | None = None, active: int = 0, restore=None,
 ) -> Analysis:
-    """All report tables of one table over shared value counts."""
-    counts = value_counts(df).persist() if counts is None else counts
-    classification = classify(df, counts=counts).persist() if classification is None else classification
+    """All report tables of one table over shared value counts.
+
+    Counts and classification that are not given are persisted until :meth:`Analysis.close`.
+    """
+    held = []
+    if counts is None:
+        held.append(counts := value_counts(df).persist())
+    if classification is None:
+        held.append(classification := classify(df, counts=counts).persist())
     profile = column_profile(df, counts, classification)
     numeric = numeric_columns(df)
     return Analysis(
-        columnas=profile.join(F.broadcast(samples(counts)), "columna", "left"),
+        columnas=profile.join(F.broadcast(samples(counts, restore)), "columna", "left"),
         resumen_numerico=numeric_summary(df, numeric, counts) if numeric else None,
-        top_categorias=top_categories(counts, profile, scales=scales),
+        top_categorias=top_categories(counts, profile, scales=scales, restore=restore),
         correlacion=correlation(df, numeric),
-        filtros=filter_options(df, counts, classification),
+        filtros=filter_options(df, counts, classification, restore),
         resumen=global_summary(df, profile),
         filtros_activos=active,
+        guardadas=held,
     )

@@ -44,11 +44,12 @@ def statistics_table(summary: DataFrame) -> DataFrame:
 
 
 def frequencies_table(
-    counts: DataFrame, columns: Sequence[str], scales: dict[str, Sequence[str]] | None = None
+    counts: DataFrame, columns: Sequence[str], scales: dict[str, Sequence[str]] | None = None, restore=None
 ) -> DataFrame:
     """First hundred values in display order of the first ten columns."""
     shown = list(columns[:REPORT_COLUMNS])
     tables = frequency_tables(counts.filter(F.col("columna").isin(shown)), REPORT_VALUES, scales)
+    tables = restore(tables) if restore else tables
     place = F.array_position(F.array(*[F.lit(c) for c in shown]), F.col("columna"))
     return tables.orderBy(place, "orden").select(
         F.col("columna").alias("Columna"), F.col("valor").alias("Valor"),

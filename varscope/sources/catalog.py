@@ -2,6 +2,8 @@
 
 Saving appends one row. Deleting appends the id to a second table, so that no file is rewritten
 and a lost executor cannot leave half a catalogue. Readers take what was added and not removed.
+What retention drops is removed in the same way, so that it never comes back. :meth:`Catalog.compact`
+writes the live entries to a new generation of the tables when the small files have become many.
 """
 
 from __future__ import annotations
@@ -32,13 +34,40 @@ def newest_per_group(df: DataFrame, group: str, newest_first: list, keep: int =
     return df.withColumn("orden", F.row_number().over(order).cast("bigint")).filter(F.col("orden") <= keep)
 
 
+def without_removed(added: DataFrame, removed: DataFrame) -> DataFrame:
+    """Entries that were added and not removed; both tables are keyed by client and id."""
+    return added.join(removed.select("cliente", "id"), ["cliente", "id"], "left_anti")
+
+
+def beyond_retention(live: DataFrame, keep: int = HISTORY_PER_CLIENT) -> DataFrame:
+    """Entries older than the newest ``keep`` of their client, for all clients in one job."""
+    order = Window.partitionBy("cliente").orderBy(F.desc("creado_en"), F.desc("id"))
+    return live.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") > keep).drop("_n")
+
+
 class Catalog:
     """Saved analyses under one folder."""
 
     def __init__(self, spark: SparkSession, folder: str, per_client: int = HISTORY_PER_CLIENT,
                  max_bytes: int | None = None):
         self.spark, self.per_client, self.max_bytes = spark, per_client, max_bytes
-        self.added, self.removed = f"{folder.rstrip('/')}/analisis", f"{folder.rstrip('/')}/bajas"
+        self.folder = folder.rstrip("/")
+
+    @property
+    def generation(self) -> int:
+        """The newest finished generation; its number is written last, so half a one is never seen."""
+        return self._read(f"{self.folder}/generaciones", "numero int").agg(F.coalesce(F.max("numero"), F.lit(0))).first()[0]
+
+    @property
+    def added(self) -> str:
+        return f"{self.folder}/analisis-{self.generation}"
+
+    @property
+    def removed(self) -> str:
+        return f"{self.folder}/bajas-{self.generation}"
+
+    def _live(self) -> DataFrame:
+        return without_removed(self._read(self.added, ENTRY), self._read(self.removed, REMOVED))
 
     def _read(self, path: str, schema: str) -> DataFrame:
         try:
@@ -58,13 +87,25 @@ class Catalog:
         when = creado_en or datetime.now(timezone.utc)
         row = (key, nombre_archivo, hoja, filas, columnas, tamano_bytes, dict(resumen_tipos), ruta, when, cliente)
         self.spark.createDataFrame([row], ENTRY).write.mode("append").partitionBy("cliente").parquet(self.added)
+        self.prune(cliente)
         return key
 
+    def prune(self, cliente: str | None = None) -> None:
+        """Remove for good what retention drops, of one client or of all clients in one job."""
+        live = self._live()
+        live = live if cliente is None else live.filter(F.col("cliente") == cliente)
+        self._remove(beyond_retention(live, self.per_client))
+
+    def compact(self) -> None:
+        """Write the live entries to a new generation, without the files of removed ones."""
+        number = self.generation + 1
+        live = self._live().repartition("cliente")
+        live.write.mode("overwrite").partitionBy("cliente").parquet(f"{self.folder}/analisis-{number}")
+        self.spark.createDataFrame([(number,)], "numero int").write.mode("append").parquet(f"{self.folder}/generaciones")
+
     def entries(self) -> DataFrame:
         """Entries that have not been removed, within the newest ones kept per client."""
-        live = self._read(self.added, ENTRY).join(self._read(self.removed, REMOVED).select("cliente", "id"),
-                                                  ["cliente", "id"], "left_anti")
-        return newest_per_group(live, "cliente", [F.desc("creado_en"), F.desc("id")], self.per_client)
+        return newest_per_group(self._live(), "cliente", [F.desc("creado_en"), F.desc("id")], self.per_client)
 
     def list(self, cliente: str) -> DataFrame:
         """A client's entries, newest first; only that client's partition is read."""
