@@ -175,8 +175,8 @@ def top_categories(
     Which columns these are is settled first, one name per column: the rules of the classification
     inside this query would make its generated code too large.
     """
-    shown = [r["columna"] for r in profile.filter(
-        ~F.col("es_numerica") | (F.col("tipo") == DISCRETA)).select("columna").collect()]
+    shown = [r["columna"] for r in profile.select("columna", "tipo", "es_numerica").collect()
+             if not r["es_numerica"] or r["tipo"] == DISCRETA]
     rows = frequency_tables(counts.filter(F.col("columna").isin(shown)), limit, scales)
     return restore(rows) if restore else rows
 
