@@ -95,8 +95,9 @@ def test_edges(edge_docs, no_docs):
     assert near_copies(no_docs).count() == 0
 
 
-def test_components_of_long_paths_and_stars(spark):
+@pytest.mark.parametrize("local_edges", [0, 500_000])
+def test_components_of_long_paths_and_stars(spark, local_edges):
     edges = [(i, i + 1) for i in range(100, 400)] + [(1, i) for i in range(500, 700)] + [(9, 9), (7, 8), (8, 7)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(8)).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(8), local_edges).collect()}
     assert got == {i: 100 for i in range(101, 401)} | {i: 1 for i in range(500, 700)} | {8: 7}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0

@@ -15,6 +15,8 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a batch of texts that goes to Python.
 BATCH_KEY, TEXT_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+#: Rows of a counted table of numbers and short keys that every task may hold.
+BROADCAST_ROWS = 50_000
 #: Edges that one task contracts at a time.
 CONTRACT_EDGES = 500_000
 
@@ -108,11 +110,12 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield stars(whole["a"].to_numpy(), whole["b"].to_numpy())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, local_edges: int = CONTRACT_EDGES) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): rows (node, component), component the smallest node.
 
-    Large-star and small-star rounds, each cut with a checkpoint, after parts have contracted their own edges.
-    The number of rounds grows with the logarithm of the longest path. Nodes without an edge are not returned.
+    Parts contract their own edges. Where at most ``local_edges`` are left, one task of that bounded size contracts
+    the rest; more go through large-star and small-star rounds, each cut with a checkpoint, whose number grows with
+    the logarithm of the longest path. Nodes without an edge are not returned.
     """
     a, b = F.col("a"), F.col("b")
     now = checkpointed(edges.select(a.cast("bigint"), b.cast("bigint")).where(a != b)
@@ -120,6 +123,9 @@ def components(edges: DataFrame) -> DataFrame:
     print_of = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     mark = now.agg(*print_of).first()
     while mark[0]:
+        if mark[0] <= local_edges:
+            now = now.coalesce(1).mapInPandas(_contract, "a bigint, b bigint")
+            break
         # Large star: every larger neighbour of a node goes to the smallest node around it.
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
@@ -136,6 +142,11 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(a.alias("node"), b.alias("component"))
 
 
+def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, marked for broadcast if it was counted and has no more than ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def crc_fold(id_col: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds

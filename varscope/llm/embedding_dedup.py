@@ -183,8 +183,9 @@ def link_embeddings(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
     # From row numbers back to ids: the smallest id among the rows of a component.
     root = F.coalesce("component", "row")
     known = rows.select("row", "id").join(links, "row", "left").join(reached.withColumnRenamed("node", "row"), "row", "left")
-    known = known.withColumn("root", root)
-    best = known.groupBy("root").agg(F.min("id").alias("component_id"))
+    known = checkpointed(known.withColumn("root", root))
+    # Settled first, so that both sides of the join are exchanges and a hot root can be split.
+    best = checkpointed(known.groupBy("root").agg(F.min("id").alias("component_id")))
     return known.join(best, "root").select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "component_id",
         F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -34,6 +34,11 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def lookup(self) -> DataFrame:
+        """The same rows without the buckets: a join exchanges both sides, so that a digest with a third of all rows
+        can be split."""
+        return self.spark.read.schema(self.table().schema).parquet(self.location)
+
     def add(self, rows: DataFrame) -> None:
         """Append the digests of ``rows`` (id, chars, digest) that the index lacks.
 
@@ -64,7 +69,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     if index is None:
         index = DigestIndex(spark, id_type=dict(rows.dtypes)["id"])
     index.add(rows)
-    return rows.join(index.table().hint("merge"), "digest").select(
+    return rows.join(index.lookup(), "digest").select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("digest"))
 

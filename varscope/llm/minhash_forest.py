@@ -274,7 +274,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         reached = components(edges.unionByName(more))
     known = groups.join(reached, "node", "left").withColumn("root", F.coalesce("component", "node"))
     known = checkpointed(known.select("d1", "d2", "least", "root"))
-    smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Settled first, so that both sides of the join are exchanges and a hot root can be split.
+    smallest = checkpointed(known.groupBy("root").agg(F.min("least").alias("component_id")))
     labels = known.join(smallest, "root").select("d1", "d2", "component_id")
     linked = rows.where("n > 0").select("id", "n", "d1", "d2").join(labels, ["d1", "d2"]).select("id", "n", "component_id")
     alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from varscope.llm.common import WORD, buckets_for, rank_in_groups, written
+from varscope.llm.common import WORD, bounded_broadcast, buckets_for, rank_in_groups, written
 
 #: Rows of one cell in which a task numbers documents of equal size.
 ROWS_PER_CELL = 10_000
@@ -58,6 +58,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: in
     rows = written(docs.select(F.col(id_col).alias("id"), key.alias("key"), word_count(text_col).alias("size")), "mix-sizes")
     totals = rows.groupBy("key").agg(F.sum("size").alias("source_size"))
     first = F.conv(F.substring(F.md5(F.col("key")), 1, 8), 16, 10).cast("double") / float(2**32)
+    sources = rows.select("key").distinct().count()
     targets = fill_targets(totals, weights, limit).withColumns({
         "rate": F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0), "first": first})
     # A cell holds documents of one source and size; a size that many share is split by a hash.
@@ -65,14 +66,15 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: in
     hashed = rows.withColumn("order", F.xxhash64("id")).withColumn("cell", F.pmod("order", F.lit(cells)).cast("int"))
     ranked = written(rank_in_groups(hashed, ["key"], ["size", "cell"], ["order", "id"]).select("id", "key", "size", "rank"),
                      "mix-ranks")
-    known = ranked.join(targets, "key")
+    # One row per source, counted: a hot source's documents stay where they are.
+    known = ranked.join(bounded_broadcast(written(targets, "mix-targets"), sources), "key")
     shift = lambda n: F.pmod(F.col("first") + n / OFFSETS, F.lit(1.0))
     drawn = lambda offset: _copies(F.col("rank"), F.col("rate"), offset, limit)
     sums = known.groupBy("key").agg(F.first("target").alias("target"), F.first("first").alias("first"), F.array(
         *[F.sum(drawn(shift(n)) * F.col("size")) for n in range(OFFSETS)]).alias("sums"))
     gaps = F.transform("sums", lambda x, n: F.struct(F.abs(x - F.col("target")).alias("gap"), n.alias("n")))
     offsets = sums.select("key", F.pmod(F.col("first") + F.array_min(gaps)["n"] / float(OFFSETS), F.lit(1.0)).alias("offset"))
-    out = known.join(offsets, "key").withColumn("copies", drawn(F.col("offset")))
+    out = known.join(bounded_broadcast(offsets, sources), "key").withColumn("copies", drawn(F.col("offset")))
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies",
                       (F.col("copies") * F.col("size")).alias("taken"))
 
