@@ -256,6 +256,7 @@ def axis_scores(profile: DataFrame) -> DataFrame:
     """``pos, columna, es_numerica, puntos_categoria, puntos_medida`` per column of a profile.
 
     A category axis reads best with 2 to 12 values; a measure axis prefers continuous magnitudes.
+    The points are fixed values.
     """
     u, role = F.col("unicos"), F.col("rol")
     identifier = role == vocab.IDENTIFICADOR

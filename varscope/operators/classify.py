@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from varscope.functions import vocab
 from varscope.functions.columns import (
-    DECIMAL, ENTERO, TEXTO, column_rows, finite_sql, kinds, quoted, ref, sql_array, sql_text,
+    DECIMAL, ENTERO, TEXTO, column_rows, finite_sql, kinds, quoted, sql_array, sql_text,
 )
 from varscope.functions.text import normalize, normalize_name
 from varscope.functions.vocab import (
@@ -120,15 +120,6 @@ def distinct_counts(counts: DataFrame) -> DataFrame:
     ).withColumn("ratio", F.col("unicos") / F.col("n"))
 
 
-def approx_distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``columna, unicos`` estimated without shuffling values; only where asked for."""
-    names = list(kinds(df, columns))
-    row = df.agg(*[F.approx_count_distinct(ref(c), 0.01).alias(f"_u{i}") for i, c in enumerate(names)])
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("columna"), F.col(f"_u{i}").alias("unicos")) for i, c in enumerate(names)
-    ])))
-
-
 def fitting_scale(scales: Sequence[Sequence[str]] = vocab.ORDINAL_SCALES) -> Column:
     """First known scale that holds every label of a column: ``escala_id, niveles`` or null.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from varscope.functions.columns import local_rows
 
@@ -27,6 +27,13 @@ def _wanted_ranks(n: int, probs: Sequence[float]) -> list[int]:
     return sorted({r for h in places for r in (math.floor(h), math.ceil(h))})
 
 
+def _between(rest: Column) -> Column:
+    """Point between the two order statistics of a group, by the arithmetic of ``percentile``, so that
+    a result does not change in its last bit with the size of the group."""
+    low, high = F.min("x"), F.max("x")
+    return F.when(low == high, low).otherwise(low * (1 - rest) + high * rest)
+
+
 def quantiles(
     long: DataFrame, probs: Sequence[float], by: str = "columna", small_group: int = SMALL_GROUP,
     sizes: Sequence | None = None,
@@ -36,7 +43,9 @@ def quantiles(
     ``sizes`` may hold rows ``by, n, lo, hi`` of every group when the caller already knows them.
     """
     probs = sorted(set(probs))
-    if sizes is None:
+    if sizes is not None:
+        sizes = sorted(sizes, key=lambda r: -r["n"])
+    else:
         # The largest groups only: a bounded driver table whatever the number of groups.
         sizes = (
             long.groupBy(by).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -75,10 +84,9 @@ def _by_sorting(long: DataFrame, probs: Sequence[float], by: str) -> DataFrame:
         p.alias("prob"), ((F.col("total") - 1) * p).alias("lugar")))
     here = lambda rank: (rank >= F.col("hasta") - F.col("n")) & (rank < F.col("hasta"))
     hits = F.filter(places, lambda q: here(F.floor(q["lugar"])) | here(F.ceil(q["lugar"])))
-    low, high = F.min("x"), F.max("x")
     return (
         ranked.select(by, "x", F.inline(hits)).withColumn("resto", F.col("lugar") - F.floor("lugar"))
-        .groupBy(by, "prob", "resto").agg((low + (high - low) * F.col("resto")).alias("valor"))
+        .groupBy(by, "prob", "resto").agg(_between(F.col("resto")).alias("valor"))
         .select(by, "prob", "valor")
     )
 
@@ -172,8 +180,7 @@ def _by_narrowing(long: DataFrame, groups: list, probs: Sequence[float], by: str
     ])
     # Two rows per quantile and large group.
     targets = local_rows(spark, wanted, schema)
-    low, high = F.min("x"), F.max("x")
     return (
         chosen.join(F.broadcast(targets), [by, "rango"]).groupBy(by, "prob", "resto")
-        .agg((low + (high - low) * F.col("resto")).alias("valor")).select(by, "prob", "valor")
+        .agg(_between(F.col("resto")).alias("valor")).select(by, "prob", "valor")
     )
