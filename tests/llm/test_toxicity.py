@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from varscope.llm.common import crc_fold
-from varscope.llm.toxicity import TermAutomaton, fit_toxicity, hit_features, score_toxicity
+from varscope.llm.toxicity import TermAutomaton, fit_toxicity, hit_features, learn_terms, score_toxicity
 
 
 def _distance(a, b):
@@ -68,3 +68,22 @@ def test_edges(talk, edge_docs, no_docs, spark):
     assert score_toxicity(no_docs, model).count() == 0
     flat = fit_toxicity(edge_docs, labels.where("false"))
     assert len({r["toxicity"] for r in score_toxicity(edge_docs, flat).collect()}) == 1
+
+
+def _sample(spark, toxic, clean):
+    return spark.createDataFrame([(t, 1) for t in toxic] + [(t, 0) for t in clean], "text string, label int")
+
+
+def test_a_long_row_counts_once_for_a_beginning(spark):
+    many = " ".join(f"plain{a}{b}" for a in "abcdefg" for b in "abcdefg")
+    toxic = [f"gruntfool ordinary {i}" for i in range(20)] + [many]
+    stems, wholes = learn_terms(_sample(spark, toxic, [f"ordinary talk {i}" for i in range(60)]))
+    assert stems == ["grun"] and wholes == ["gruntfool"]
+
+
+def test_purity_is_measured_on_rows(spark):
+    many = " ".join(f"plain{a}{b}" for a in "abcdefg" for b in "abcdefg")
+    toxic = [f"gruntfool {many}"] * 20
+    clean = ["plainaa"] * 6 + ["ordinary talk"] * 14
+    assert learn_terms(_sample(spark, toxic, clean))[0][:1] == ["grun"]
+    assert "plai" not in learn_terms(_sample(spark, toxic, clean))[0]

@@ -18,7 +18,8 @@ from varscope.llm.common import small_batches, written
 FIT_ROWS = 40_000
 #: Letters of the shortest and longest term learned as the beginning of words.
 SHORTEST, LONGEST = 4, 10
-#: Share of toxic rows that a term must occur in, the least number of them, and the least share of toxic rows among its rows.
+#: Share of toxic rows that a term must occur in, the least number of them, and the least share of toxic rows among its rows,
+#: both kinds of rows weighted alike. All are counted in rows: a row counts once, however many of its words begin with a term.
 LEAST_SHARE, LEAST_ROWS, LEAST_PURITY = 0.015, 5, 0.97
 #: Terms in the trie at most: the most frequent ones; with the share above there are far fewer.
 MOST_TERMS = 2_000
@@ -133,14 +134,17 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    """Numbers of rows by term, whole (a word) or not (a beginning), and label."""
+    counts: dict[tuple[bool, int], Counter] = {(whole, label): Counter() for whole in (False, True) for label in (0, 1)}
     for pdf in batches:
         for text, label in zip(pdf["text"], pdf["label"]):
-            counts[int(label)].update({w for w in words_of(text) if len(w) >= SHORTEST})
-    for label, words in counts.items():
-        items = iter(words.items())
+            words = {w for w in words_of(text) if len(w) >= SHORTEST}
+            counts[True, int(label)].update(words)
+            counts[False, int(label)].update({w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)})
+    for (whole, label), terms in counts.items():
+        items = iter(terms.items())
         while part := list(itertools.islice(items, 50_000)):
-            yield pd.DataFrame({"word": [w for w, _ in part], "label": label, "n": [n for _, n in part]})
+            yield pd.DataFrame({"term": [t for t, _ in part], "whole": whole, "label": label, "n": [n for _, n in part]})
 
 
 def learn_terms(sample: DataFrame) -> tuple[list[str], list[str]]:
@@ -154,12 +158,11 @@ def learn_terms(sample: DataFrame) -> tuple[list[str], list[str]]:
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return [], []
-    words = rows.mapInPandas(_count_words, "word string, label int, n bigint").groupBy("word").agg(
+    terms = written(rows.mapInPandas(_count_words, "term string, whole boolean, label int, n bigint").groupBy("term", "whole").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"),
-        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"))
-    stems = words.select("word", "toxic", "clean", F.explode(F.sequence(F.lit(SHORTEST), F.least(F.char_length("word"), F.lit(LONGEST)))).alias("n"))
-    stems = stems.select(F.expr("substring(word, 1, n)").alias("stem"), "toxic", "clean").groupBy("stem").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean")), "toxic-terms")
+    stems = terms.where("not whole").withColumnRenamed("term", "stem")
+    words = terms.where("whole").withColumnRenamed("term", "word")
     rate = F.col("toxic") / toxic
     purity = rate / (rate + F.col("clean") / clean)
     good = (F.col("toxic") >= max(LEAST_ROWS, LEAST_SHARE * toxic)) & (purity >= LEAST_PURITY)
