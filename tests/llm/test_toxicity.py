@@ -87,3 +87,20 @@ def test_purity_is_measured_on_rows(spark):
     clean = ["plainaa"] * 6 + ["ordinary talk"] * 14
     assert learn_terms(_sample(spark, toxic, clean))[0][:1] == ["grun"]
     assert "plai" not in learn_terms(_sample(spark, toxic, clean))[0]
+
+
+def test_every_frequent_form_of_a_root_is_caught_misspelled(spark):
+    toxic = [f"{w} ordinary" for w, n in (("gruntfool", 9), ("gruntfools", 6), ("gruntfoolish", 5), ("glip", 20)) for _ in range(n)]
+    stems, wholes = learn_terms(_sample(spark, toxic, ["ordinary talk"] * 60))
+    assert stems == ["glip", "grun"] and wholes == ["glip", "gruntfool", "gruntfoolish", "gruntfools"]
+    match = TermAutomaton(stems, wholes).match
+    assert [match(w) for w in ("gxuntfool", "gxuntfools", "guntfoolish", "glap", "xlip")] == [2] * 5
+    assert [match(w) for w in ("gli", "gliip", "gip", "gxip", "gxap", "axlip", "lip")] == [0, 0, 0, 2, 0, 0, 0]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", max_size=7))
+def test_short_words_take_a_replaced_letter_only(word):
+    wholes = ["abca", "ccab", "abcab"]
+    near = any(len(word) == len(w) and sum(x != y for x, y in zip(word, w)) <= 1 for w in wholes[:2]) or _distance(word, wholes[2]) <= 1
+    assert TermAutomaton([], wholes).match(word) == 2 * near

@@ -23,9 +23,9 @@ SHORTEST, LONGEST = 4, 10
 LEAST_SHARE, LEAST_ROWS, LEAST_PURITY = 0.015, 5, 0.97
 #: Terms in the trie at most: the most frequent ones; with the share above there are far fewer.
 MOST_TERMS = 2_000
-#: A whole word of this many letters or more is also caught with one edit.
+#: A whole word of this many letters or more is also caught with one edit, a shorter one with one letter replaced.
 FUZZY_LETTERS = 5
-#: A whole word is a term of its own where it makes up this share of the words that begin with its term.
+#: A whole word is a term of its own where it is in this share of the toxic rows of the term that it begins with.
 WORD_SHARE = 0.05
 #: Words on either side that are looked through for quotation.
 WINDOW = 6
@@ -33,6 +33,8 @@ WINDOW = 6
 MOST_HITS = 3
 #: Words that a task remembers before it starts over.
 MEMORY = 500_000
+#: Mark of a replaced letter in a short word.
+SWAP = 2
 # Marks and words of quotation and report.
 OPENING, CLOSING = "\"'“”„«»‘’‹›", "\"'“”«»‘’‹›"
 REPORTING = frozenset((
@@ -50,20 +52,24 @@ class TermAutomaton:
     """Accepts words that begin with a term, or are one edit away from a whole-word term.
 
     A state is the set of (trie node, edits) that the letters so far can have led to: the Levenshtein automaton of one
-    edit run over the trie instead of over one word. Sets are numbered and their steps kept as they come up.
+    edit run over the trie instead of over one word. Sets are numbered and their steps kept as they come up. Whole
+    words under ``FUZZY_LETTERS`` letters take a replaced letter only, which is marked as ``SWAP`` in place of 1.
     """
 
     def __init__(self, stems: list[str], wholes: list[str]):
         self.children: list[dict[str, int]] = [{}]
         self.stem_end: set[int] = set()
         self.word_end: set[int] = set()
+        self.swap_end: set[int] = set()
         self.fuzzy: set[int] = {0}
+        self.swap: set[int] = {0}
         for term in stems:
             self.stem_end.add(self._insert(term)[-1])
         for term in wholes:
             path = self._insert(term)
-            self.word_end.add(path[-1])
-            self.fuzzy.update(path)
+            ends, nodes = (self.word_end, self.fuzzy) if len(term) >= FUZZY_LETTERS else (self.swap_end, self.swap)
+            ends.add(path[-1])
+            nodes.update(path)
         self.start = self._closed({(0, 0)})
         self.steps: dict[tuple[frozenset, str], frozenset] = {}
 
@@ -88,8 +94,10 @@ class TermAutomaton:
             new: set[tuple[int, int]] = set()
             for node, edits in states:
                 child = self.children[node].get(letter)
-                if child is not None and (edits == 0 or child in self.fuzzy):
+                if child is not None and (edits == 0 or child in (self.swap if edits == SWAP else self.fuzzy)):
                     new.add((child, edits))
+                if edits == 0 and node in self.swap:
+                    new.update((n, SWAP) for n in self.children[node].values() if n in self.swap and n != child)
                 if edits == 0 and node in self.fuzzy:
                     new.add((node, 1))
                     new.update((n, 1) for n in self.children[node].values() if n in self.fuzzy)
@@ -105,7 +113,7 @@ class TermAutomaton:
                 return 0
             if any(e == 0 and n in self.stem_end for n, e in states):
                 return 1
-        return 2 if any(n in self.word_end for n, _ in states) else 0
+        return 2 if any(e != SWAP and n in self.word_end or e != 1 and n in self.swap_end for n, e in states) else 0
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows: int) -> DataFrame:
@@ -171,12 +179,12 @@ def learn_terms(sample: DataFrame) -> tuple[list[str], list[str]]:
     roots = sorted(s for s in found if not any(s[:k] in found for k in range(SHORTEST, len(s))))
     if not roots:
         return [], []
-    frequent = words.where(good & (F.char_length("word") >= FUZZY_LETTERS)).orderBy(F.desc("toxic"), "word").limit(MOST_TERMS).collect()
-    wholes = []
-    for r in frequent:
-        root = next((r["word"][:k] for k in range(SHORTEST, len(r["word"]) + 1) if r["word"][:k] in found), None)
-        if root in found and r["toxic"] >= WORD_SHARE * found[root] and r["toxic"] > 0.5 * found[root]:
-            wholes.append(r["word"])
+    # Each word with the one root that it begins with; roots are MOST_TERMS at most.
+    begins = sample.sparkSession.createDataFrame([(r, found[r]) for r in roots], "root string, root_rows bigint")
+    upto = F.sequence(F.lit(SHORTEST), F.least(F.char_length("word"), F.lit(LONGEST)))
+    forms = words.select("*", F.explode(upto).alias("k")).withColumn("root", F.expr("substring(word, 1, k)")).join(F.broadcast(begins), "root")
+    frequent = (F.col("toxic") >= LEAST_ROWS) & (F.col("toxic") >= WORD_SHARE * F.col("root_rows")) & (purity >= LEAST_PURITY)
+    wholes = [r["word"] for r in forms.where(frequent).orderBy(F.desc("toxic"), "word").limit(MOST_TERMS).collect()]
     return roots, sorted(wholes)
 
 
