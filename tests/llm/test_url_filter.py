@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from varscope.llm.url_filter import judge_urls
+from varscope.llm.url_filter import judge_urls, spread_trust
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -73,3 +73,24 @@ def test_rules_links_and_edges_match_brute_force(spark):
         assert r["verdict"] == (said or ("block" if bad else "allow"))
     assert next(r for r in rows if r["page_id"] == 4)["verdict"] == "block"  # most of its links go to a blocked host
     assert judge_urls(df.where("false"), RULES).count() == 0
+
+
+def test_isolated_seeds_change_no_verdict(spark):
+    """A chain of hosts that links to a blocked one, beside any number of trusted hosts without links."""
+    link = lambda host: f'<a href="https://{host}/x">y</a>'
+    chain = [(0, "http://b.net/es/", None), *((n, f"http://h{n}.org/", link(f"h{n - 1}.org" if n > 1 else "b.net")) for n in range(1, 8))]
+    df = spark.createDataFrame(chain, "page_id bigint, url string, html string")
+    more = spark.range(100, 400_100).selectExpr("id AS page_id", "concat('http://s', id, '.com/') AS url", "CAST(NULL AS STRING) AS html")
+    few = {r["page_id"]: r for r in judge_urls(df, RULES).collect()}
+    many = {r["page_id"]: r for r in judge_urls(df.unionByName(more), RULES).where("page_id < 100").collect()}
+    assert [few[n]["verdict"] for n in range(8)] == ["block"] * 5 + ["allow"] * 3
+    for n in range(8):
+        assert many[n]["verdict"] == few[n]["verdict"]
+        assert many[n]["distrust"] == pytest.approx(0.15 * 0.85 ** n, abs=2e-6) == few[n]["distrust"]
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    seeds = spark.createDataFrame([("h0", 1.0, 0.0)], "host string, trusted double, blocked double")
+    links = spark.createDataFrame([(f"h{n}", f"h{n + 1}", 1.0) for n in range(30)], "src string, dst string, weight double")
+    got = {r["host"]: r["trust"] for r in spread_trust(seeds, links).collect()}
+    assert got["h25"] == pytest.approx(0.15 * 0.85 ** 25, abs=2e-6)

@@ -12,8 +12,8 @@ ALLOW, BLOCK = "allow", "block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Share of a score that follows links, the rest returns to the seeds.
 DAMPING = 0.85
-#: Iterations at most, and the change of all scores per host at which they end.
-ROUNDS, CLOSE = 20, 1e-6
+#: What the rounds still to come may change any one score by at most when they end.
+CLOSE = 1e-6
 #: A host is blocked where distrust exceeds trust by this share of what a seed keeps for itself.
 THRESHOLD = 0.5
 
@@ -53,12 +53,16 @@ def host_links(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
     return pairs.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("weight"))
 
 
-def spread_trust(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread_trust(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """Personalised PageRank: rows (host, trust, distrust) from seeds (host, trusted, blocked), each between 0 and 1.
 
     Trust follows links from trusted seeds. Distrust follows them backwards from blocked seeds: a host takes on the
     distrust of the hosts it links to by the share of its links, so that many links to a blocked host do not thin it.
     Both run in the same jobs, told apart by ``side``. One row per host and side moves in a round.
+
+    Rounds go on until no score can change by ``CLOSE`` any more, or for ``rounds`` where given. A round passes on at
+    most ``damping`` of the sum of all changes in trust, and of the largest change in distrust (the weights of a host's
+    links add up to one), so both bound what follows, whatever the number of seeds that never move.
     """
     ends = [F.struct(F.lit(side).alias("side"), F.col(a).alias("from"), F.col(b).alias("to"))
             for side, a, b in (("t", "src", "dst"), ("d", "dst", "src"))]
@@ -67,14 +71,16 @@ def spread_trust(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, r
         "seed > 0")
     start = checkpointed(start.select("side", "host", (F.col("seed") * (1 - damping)).alias("score")))
     now, moves = start, not steps.isEmpty()
-    for _ in range(rounds if moves else 0):
+    done = 0
+    while moves and (rounds is None or done < rounds):
         sent = now.join(steps.withColumnRenamed("from", "host"), ["side", "host"]).select(
             "side", F.col("to").alias("host"), (F.col("score") * F.col("weight") * damping).alias("score"))
         new = checkpointed(sent.unionByName(start).groupBy("side", "host").agg(F.sum("score").alias("score")))
-        change = (new.unionByName(now.withColumn("score", -F.col("score"))).groupBy("side", "host")
-                  .agg(F.abs(F.sum("score")).alias("by")).agg(F.avg("by")).first()[0])
-        now = new
-        if change < CLOSE:
+        moved = new.unionByName(now.withColumn("score", -F.col("score"))).groupBy("side", "host").agg(
+            F.abs(F.sum("score")).alias("by"))
+        change = moved.agg(F.greatest(F.sum(F.when(F.col("side") == "t", F.col("by"))), F.max(F.when(F.col("side") == "d", F.col("by"))))).first()[0]
+        now, done = new, done + 1
+        if (change or 0.0) * damping < CLOSE * (1 - damping):
             break
     score = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("score"))), F.lit(0.0))
     return now.groupBy("host").agg(score("t").alias("trust"), score("d").alias("distrust"))
