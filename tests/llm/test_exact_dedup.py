@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from varscope.llm.common import new_path
 from varscope.llm.exact_dedup import DigestIndex, digests, drop_exact_copies, exact_dedup
 
@@ -41,3 +43,25 @@ def test_index_persists_and_takes_only_new_digests(spark, edge_docs):
     assert again.table().count() == before + 1
     plan = digests(batch).join(again.table().hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+
+
+def test_index_reopens_with_its_own_buckets_in_another_session(spark, edge_docs):
+    place, key = new_path(spark, "index-reopen"), "spark.sql.shuffle.partitions"
+    parts = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 7)
+        first = DigestIndex(spark, place)
+        before = sorted(map(str, exact_dedup(edge_docs, first).collect()))
+        size = first.table().count()
+        spark.sql(f"DROP TABLE {first.name}")  # a later session has no catalog entry
+        spark.conf.set(key, 3)
+        again = DigestIndex(spark, place)
+        assert again.buckets == 7
+        assert sorted(map(str, exact_dedup(edge_docs, again).collect())) == before
+        assert again.table().count() == size
+        for other in ({"buckets": 3}, {"id_type": "string"}):
+            with pytest.raises(ValueError, match="7 buckets"):
+                DigestIndex(spark, place, **other)
+        assert DigestIndex(spark, place, "long", 7).buckets == 7
+    finally:
+        spark.conf.set(key, parts)

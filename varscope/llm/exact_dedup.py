@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from varscope.llm.common import SPACE, new_path, written
 
@@ -18,19 +19,49 @@ class DigestIndex:
     """Digests seen so far, with the id that stays for each.
 
     A Parquet table bucketed and sorted by digest at ``location``, so that it can be opened again later and a join
-    with it moves only the new rows. Open the same location with the same number of buckets; a new index has as many
-    as the session has shuffle partitions, so that a task of the exchange writes one bucket.
+    with it moves only the new rows. A new index has as many buckets as the session has shuffle partitions, so that a
+    task of the exchange writes one bucket, and ids of type bigint, unless told otherwise. Both are kept beside the
+    table, at ``location`` with ``.layout`` added, and hold for all who open it again; other arguments are refused.
+    An index without a layout, from before it was kept, opens with the number of buckets that it was made with.
     """
 
-    def __init__(self, spark: SparkSession, location: str | None = None, id_type: str = "bigint", buckets: int | None = None):
+    def __init__(self, spark: SparkSession, location: str | None = None, id_type: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.buckets = buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.location = location or new_path(spark, "digest-index")
+        self.location = (location or new_path(spark, "digest-index")).rstrip("/")
+        self.buckets, id_type = self._layout(id_type, buckets)
+        buckets = self.buckets
         self.name = "digest_index_" + "".join(c if c.isalnum() else "_" for c in self.location)[-60:]
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id {id_type}, group_size BIGINT) "
                   f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS "
                   f"LOCATION '{self.location}'")
 
+    def _layout(self, id_type: str | None, buckets: int | None) -> tuple[int, str]:
+        """Number of buckets and type of ids as kept beside the index; a new index keeps those asked for."""
+        spark, place = self.spark, f"{self.location}.layout"
+        known = self._read(place, "buckets int, id_type string")
+        if known is None:
+            if buckets is None and self._read(self.location, "digest binary") is not None:
+                raise ValueError(f"{self.location} holds an index without a layout: give its number of buckets")
+            kept = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), self._type(id_type or "bigint")
+            spark.range(1).select(F.lit(kept[0]).alias("buckets"), F.lit(kept[1]).alias("id_type")).coalesce(1).write.parquet(place)
+            return kept
+        kept = known["buckets"], known["id_type"]
+        if buckets not in (None, kept[0]) or id_type is not None and self._type(id_type) != kept[1]:
+            raise ValueError(f"{self.location} has {kept[0]} buckets and ids of type {kept[1]}, not {buckets} and {id_type}")
+        return kept
+
+    def _type(self, name: str) -> str:
+        return self.spark.range(0).select(F.lit(None).cast(name).alias("id")).dtypes[0][1]
+
+    def _read(self, place: str, schema: str) -> Row | None:
+        """The first row at ``place``, None where there is none."""
+        try:
+            return self.spark.read.schema(schema).parquet(place).first()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
