@@ -14,6 +14,8 @@ from varscope.llm.queries import public_tokenizer
 
 #: A document whose largest language has a smaller share than this has no clear language.
 LEAST_LANGUAGE_SHARE = 0.4
+#: Words of a shingle by which near copies are told.
+SHINGLE_WORDS = 5
 #: SQL cannot express expectation-maximisation, the forest, or the packing; the stages have tests of their own.
 ORACLE_SQL = None
 
@@ -38,8 +40,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest id."""
-    return drop_near_copies(docs)
+    """One document of each group of near copies, told by shingles of five words: the smallest id."""
+    return drop_near_copies(docs, words=SHINGLE_WORDS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ NEIGHBOURS = 2
 LEAST_AGREEMENT = 0.6
 #: Bits of a value in a path, and rows of one part of a group of equal paths.
 PATH_BITS, ROWS_PER_PART = 12, 10_000
+#: Words of a shingle, where the caller names no number.
+WORDS = 2
 #: Bytes of text hashed at a time.
 CHUNK_BYTES = 1 << 19
 
@@ -54,8 +57,16 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mixed(hashes ^ ((ends - starts).astype(np.uint64) << np.uint64(48))), starts
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the 2-word shingles of each text; one word is a shingle of its own."""
+def _joined(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of every ``words`` words that follow each other."""
+    out = hashes[:max(0, len(hashes) - words + 1)]
+    for k in range(1, words):
+        out = mixed(out * np.uint64(3) + (hashes[k:k + len(out)] ^ np.uint64(_ODD)))
+    return out
+
+
+def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of ``words`` words; a shorter text is a shingle of its own."""
     found: list[np.ndarray] = []
     encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
     at = 0
@@ -68,9 +79,9 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
         hashes, starts = word_hashes(b"\n".join(part))
         begins = np.cumsum([0, *[len(x) + 1 for x in part]])
         bounds = np.searchsorted(starts, begins)
-        pairs = mixed(hashes[:-1] * np.uint64(3) + (hashes[1:] ^ np.uint64(_ODD))) if len(hashes) > 1 else hashes[:0]
+        runs = _joined(hashes, words)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            own = pairs[a:b - 1] if b - a > 1 else mixed(hashes[a:b] ^ np.uint64(0x5851F42D4C957F2D))
+            own = runs[a:b - words + 1] if b - a >= words else mixed(_joined(hashes[a:b], b - a) ^ np.uint64(0x5851F42D4C957F2D))
             found.append(np.unique(own))
         at = end
     return found
@@ -103,11 +114,11 @@ def signatures(own: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sign(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for at in range(0, len(pdf), 64):
             part = pdf.iloc[at:at + 64]
-            sets = shingle_sets(part["text"].tolist())
+            sets = shingle_sets(part["text"].tolist(), words)
             digests = [set_digest(x) for x in sets]
             full = [n for n, x in enumerate(sets) if len(x)]
             signed: list[bytes | None] = [None] * len(sets)
@@ -216,11 +227,11 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[keep, ["a", "b"]]
 
 
-def _own_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _own_sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for at in range(0, len(pdf), 64):
             part = pdf.iloc[at:at + 64]
-            sets = shingle_sets(part["text"].tolist())
+            sets = shingle_sets(part["text"].tolist(), words)
             fit = [set_digest(x) == (d1, d2) for x, d1, d2 in zip(sets, part["d1"].tolist(), part["d2"].tolist())]
             yield pd.DataFrame({"node": part["node"][fit], "shingles": [x.tobytes() for x, good in zip(sets, fit) if good]})
 
@@ -232,23 +243,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(_confirm, "a bigint, b bigint")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable by links) and kept (id is that id).
 
     Texts with equal shingle sets are one node. Candidates come from the forest, are thinned by the share of equal
     signature values, and are confirmed on full sets, first the likeliest partner of each node, then every pair whose
     ends are still in different components, so that dense groups confirm about one pair per node. A shingle is a
-    64-bit hash of its words.
+    64-bit hash of its ``words`` words.
 
-    Null and empty texts and texts of white space have an empty set and link with nothing; a single word is a set of
-    one. Repeated rows and equal sets are linked. A null id takes part and is the smallest only where no other id is
+    Null and empty texts and texts of white space have an empty set and link with nothing; a text of fewer words than
+    a shingle is a set of one. Repeated rows and equal sets are linked. A null id takes part and is the smallest only where no other id is
     reachable. No rows give no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     kind = dict(plain.dtypes)["id"]
-    signed = plain.mapInPandas(_sign, f"id {kind}, n bigint, d1 bigint, d2 bigint, signature binary")
+    signed = plain.mapInPandas(partial(_sign, words=words), f"id {kind}, n bigint, d1 bigint, d2 bigint, signature binary")
     rows = written(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
     groups = written(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("id").alias("least")), "shingle-groups")
     nodes = written(rows.join(groups.select(F.col("node").alias("row")), "row", "left_semi"), "forest-nodes")
@@ -261,7 +272,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ends = likely.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     wanted = rows.join(ends, "row").select(F.col("id").alias("__id"), "d1", "d2", F.col("row").alias("node"))
     sets = written(plain.join(wanted, F.col("id").eqNullSafe(F.col("__id"))).select("text", "d1", "d2", "node")
-                   .mapInPandas(_own_sets, "node bigint, shingles binary").dropDuplicates(["node"]), "shingle-sets")
+                   .mapInPandas(partial(_own_sets, words=words), "node bigint, shingles binary").dropDuplicates(["node"]), "shingle-sets")
     best = likely.groupBy("b").agg(F.max(F.struct("share", (-F.col("a")).alias("a"))).alias("best")).select(
         (-F.col("best.a")).alias("a"), "b")
     edges = written(confirmed(best, sets), "links")
@@ -284,7 +295,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """The rows of ``docs`` that stay, one id of each group, with their columns as they are."""
-    kept = near_copies(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id")).distinct()
+    kept = near_copies(docs, id_col, text_col, words).where("kept").select(F.col(id_col).alias("__id")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
