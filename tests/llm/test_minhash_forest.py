@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from varscope.llm.common import components
-from varscope.llm.minhash_forest import drop_near_copies, near_copies, shingle_sets, word_hashes
+from varscope.llm.minhash_forest import _overlaps, drop_near_copies, near_copies, shingle_sets, word_hashes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -101,3 +101,44 @@ def test_components_of_long_paths_and_stars(spark, local_edges):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(8), local_edges).collect()}
     assert got == {i: 100 for i in range(101, 401)} | {i: 1 for i in range(500, 700)} | {8: 7}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_template_cluster_matches_brute_force(spark):
+    """Thousands of texts round one template that are no copies of each other, and twins that are."""
+    rng, size, shape = np.random.default_rng(11), 3_000, 200
+    rows = []
+    for n in range(size):
+        places = 2 * rng.choice(shape // 2 - 1, 8, replace=False) + 1
+        words = [f"t{k}" for k in range(shape)]
+        for k in places:
+            words[k] = f"o{n}x{k}"
+        rows.append(" ".join(words))
+        if n % 5 == 0:
+            for k in 2 * rng.choice(shape // 2 - 1, 10, replace=False) + 1:
+                words[k] = f"p{n}x{k}"
+            rows.append(" ".join(words))
+    vocabulary, hits = {}, []
+    for text in rows:
+        hits.append([vocabulary.setdefault(s, len(vocabulary)) for s in _set(text)])
+    common = [c for c, k in zip(*np.unique(np.concatenate(hits), return_counts=True)) if k > 1]
+    place = {c: k for k, c in enumerate(common)}
+    ones = np.zeros((len(rows), len(common)), dtype=np.float32)
+    for n, own in enumerate(hits):
+        ones[n, [place[c] for c in own if c in place]] = 1
+    both, sizes = ones @ ones.T, np.array([len(x) for x in hits])
+    linked = 100 * both >= 80 * (sizes[:, None] + sizes[None, :] - both)
+    label = np.arange(len(rows))
+    while not np.array_equal(label, new := np.array([label[own].min() for own in linked])):
+        label = new
+    got = near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(6)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(label.tolist()))
+    assert len(set(label.tolist())) > 1_000
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12), min_size=1), min_size=2, max_size=40), st.integers(1, 39))
+def test_tile_products_are_intersections(sets, cut):
+    cut = min(cut, len(sets) - 1)
+    arrays = [np.array(sorted(x), dtype=np.uint64) for x in sets]
+    got = _overlaps(arrays[:cut], arrays[cut:])
+    assert got.tolist() == [[len(a & b) for b in sets[cut:]] for a in sets[:cut]]

@@ -21,6 +21,11 @@ NEIGHBOURS = 2
 LEAST_AGREEMENT = 0.6
 #: Bits of a value in a path, and rows of one part of a group of equal paths.
 PATH_BITS, ROWS_PER_PART = 12, 10_000
+#: Rows and shingles of a tile of dense nodes, about, and the ratio of the set sizes of a class: sets that are alike by 0.8
+#: are in the same class or in the next.
+TILE_ROWS, TILE_SHINGLES, CLASS_RATIO = 2_048, 1 << 20, 1.25
+#: Shingles of a tile that are multiplied at a time.
+TILE_COLUMNS = 1_024
 #: Words of a shingle, where the caller names no number.
 WORDS = 2
 #: Bytes of text hashed at a time.
@@ -156,8 +161,9 @@ def _ahead(rows: DataFrame, group: list[str], order: list[str], reach: int) -> D
     return rows.withColumn("others", F.collect_list("node").over(window)).select("node", F.explode("others").alias("other"))
 
 
-def forest_candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of nodes (row, signature) that are neighbours in some tree.
+def forest_candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct pairs (a < b) of nodes (row, signature) that are neighbours in some tree, and the members (key, node) of
+    the groups that were too large to pair all of them, None where there are none.
 
     A group is the nodes that share a prefix of a tree's order. Up to ``GROUP`` members all are neighbours. A larger
     group is split by the next value, as deep as it stays too large, so that dense regions are cut finer than sparse
@@ -170,7 +176,7 @@ def forest_candidates(nodes: DataFrame) -> DataFrame:
     seen = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= GROUP + 1)
     seen = written(seen.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1"), "forest-groups")
     small = _ahead(seen.where(F.col("size") <= GROUP), ["key"], ["path", "node"], GROUP)
-    pairs = [small]
+    pairs, dense = [small], None
     large_keys = seen.where((F.col("size") > GROUP) & (F.col("place") == 1)).select("key")
     if not large_keys.isEmpty():
         dense = written(rows.join(large_keys, "key", "left_semi"), "forest-dense")
@@ -196,7 +202,8 @@ def forest_candidates(nodes: DataFrame) -> DataFrame:
     found = pairs[0]
     for more in pairs[1:]:
         found = found.unionByName(more)
-    return found.where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    found = found.where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return found, None if dense is None else dense.select("key", "node")
 
 
 def _agreement(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,12 +250,110 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(_confirm, "a bigint, b bigint")
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two tiles, by products of the shingles that both tiles have."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    flat = [np.concatenate(x) for x in (left, right)]
+    shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    if not len(shared):
+        return out
+    places = []
+    for sets, values in zip((left, right), flat):
+        column = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        hit = shared[column] == values
+        row, column = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[hit], column[hit]
+        order = np.argsort(column, kind="stable")
+        places.append((row[order], column[order]))
+    bounds = [np.searchsorted(column, np.arange(len(shared) + 1)) for _, column in places]
+    (rows_a, _), (rows_b, _) = places
+    # A shingle of few rows adds its pairs; the others are multiplied.
+    work = np.diff(bounds[0]) * np.diff(bounds[1])
+    often = work > max(16, len(left) * len(right) // 200)
+    for k in np.nonzero(~often)[0].tolist():
+        a, b = rows_a[bounds[0][k]:bounds[0][k + 1]], rows_b[bounds[1][k]:bounds[1][k + 1]]
+        out[a[:, None], b[None, :]] += 1
+    rank = np.cumsum(often) - 1
+    for at in range(0, int(often.sum()), TILE_COLUMNS):
+        sides = []
+        for (row, column), count in zip(places, (len(left), len(right))):
+            pick = often[column] & (rank[column] >= at) & (rank[column] < at + TILE_COLUMNS)
+            ones = np.zeros((count, TILE_COLUMNS), dtype=np.float32)
+            ones[row[pick], rank[column[pick]] - at] = 1
+            sides.append(ones)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _tile_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of components of which two nodes, one on either side of a pair of tiles, are alike by 0.8."""
+    sides = [pdf[pdf["side"] == k] for k in (0, 1)]
+    if pdf["own"].iloc[0]:
+        sides[1] = sides[0]
+    if not len(sides[0]) or not len(sides[1]):
+        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+    sets = [[np.frombuffer(x, dtype=np.uint64) for x in side["shingles"]] for side in sides]
+    sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in sets]
+    roots = [side["root"].to_numpy(dtype=np.int64) for side in sides]
+    both = _overlaps(*sets).astype(np.int64)
+    fit = (100 * both >= 80 * (sizes[0][:, None] + sizes[1][None, :] - both)) & (roots[0][:, None] != roots[1][None, :])
+    one, two = np.nonzero(fit)
+    return pd.DataFrame({"a": roots[0][one], "b": roots[1][two]}).drop_duplicates()
+
+
+def dense_links(dense: DataFrame, reached: DataFrame, rows: DataFrame, plain: DataFrame, words: int) -> DataFrame | None:
+    """Links between components (a, b) that the trees' neighbours leave out in large groups; None where none can be.
+
+    ``dense`` holds the members of the large groups, ``reached`` the components found so far. Groups with a member in
+    common form a cluster. Each pair of a cluster whose ends are in different components is compared on full sets if
+    the sizes allow 0.8: tile by tile, a tile being some nodes of about the same size. The members of the cluster's
+    largest component are compared with the rest only, so that a cluster that is one component costs nothing.
+    """
+    heads = dense.groupBy("key").agg(F.min("node").alias("head"))
+    clusters = components(dense.join(heads, "key").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
+    ends = clusters.select(F.explode(F.array("node", "component")).alias("node")).distinct()
+    nodes = ends.join(clusters, "node", "left").join(reached.withColumnRenamed("component", "root"), "node", "left").select(
+        "node", F.coalesce("component", "node").alias("cluster"), F.coalesce("root", "node").alias("root"))
+    nodes = written(nodes, "dense-nodes")
+    parts = checkpointed(nodes.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("size")))
+    most = parts.groupBy("cluster").agg(F.max(F.struct("size", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    mixed_up = nodes.join(checkpointed(most.select("cluster", F.col("most.root").alias("main"))), "cluster")
+    info = rows.select(F.col("row").alias("node"), "id", "n", "d1", "d2")
+    member = mixed_up.join(info, "node").withColumn("rest", F.col("root") != F.col("main")).withColumn(
+        "class", F.floor(F.log("n") / F.lit(float(np.log(CLASS_RATIO)))).cast("int"))
+    member = written(member, "dense-members")
+    if member.isEmpty():
+        return None
+    cell = ["cluster", "class", "rest"]
+    room = F.greatest(F.lit(16), F.least(F.lit(TILE_ROWS), F.floor(F.lit(float(TILE_SHINGLES)) / F.pow(F.lit(CLASS_RATIO), F.col("class") + 1))))
+    counts = checkpointed(member.groupBy(*cell).agg(F.count(F.lit(1)).alias("size")).withColumn("tiles", F.ceil(F.col("size") / room)))
+    # The pairs of cells that are compared, once each; a cell of the largest component never with another such cell.
+    other = counts.select("cluster", F.col("class").alias("class2"), F.col("rest").alias("rest2"), F.col("tiles").alias("tiles2"))
+    cells = counts.join(other, "cluster").where(
+        "(rest OR rest2) AND (class2 BETWEEN class AND class + 2) AND (class < class2 OR rest AND NOT rest2 OR rest AND rest2)")
+    tiles = cells.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn(
+        "tile2", F.explode(F.sequence(F.lit(0), F.col("tiles2") - 1)))
+    own = (F.col("class") == F.col("class2")) & (F.col("rest") == F.col("rest2"))
+    tiles = checkpointed(tiles.where(~own | (F.col("tile") <= F.col("tile2"))).withColumn("own", own & (F.col("tile") == F.col("tile2")))
+                         .select(*cell, "tile", "class2", "rest2", "tile2", "own", F.monotonically_increasing_id().alias("pair")))
+    sides = tiles.select(*cell, "tile", "pair", "own", F.lit(0).alias("side")).unionByName(
+        tiles.where("NOT own").select("cluster", F.col("class2").alias("class"), F.col("rest2").alias("rest"), F.col("tile2").alias("tile"),
+                                      "pair", "own", F.lit(1).alias("side")))
+    wanted = checkpointed(member.join(sides.select(*cell).distinct(), cell, "left_semi").join(counts.drop("size"), cell).select(
+        *cell, F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile"), "root", "node", F.col("id").alias("__id"), "d1", "d2"))
+    sets = written(plain.join(wanted.select("__id", "d1", "d2", "node"), F.col("id").eqNullSafe(F.col("__id")))
+                   .select("text", "d1", "d2", "node").mapInPandas(partial(_own_sets, words=words), "node bigint, shingles binary")
+                   .dropDuplicates(["node"]), "dense-sets")
+    laid = wanted.select(*cell, "tile", "root", "node").join(sides, [*cell, "tile"]).join(sets, "node")
+    return laid.select("pair", "own", "side", "root", "shingles").groupBy("pair").applyInPandas(_tile_links, "a bigint, b bigint").distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable by links) and kept (id is that id).
 
     Texts with equal shingle sets are one node. Candidates come from the forest, are thinned by the share of equal
     signature values, and are confirmed on full sets, first the likeliest partner of each node, then every pair whose
-    ends are still in different components, so that dense groups confirm about one pair per node. A shingle is a
+    ends are still in different components, so that dense groups confirm about one pair per node. What the trees leave
+    out in large groups is compared exactly (``dense_links``). A shingle is a
     64-bit hash of its ``words`` words.
 
     Null and empty texts and texts of white space have an empty set and link with nothing; a text of fewer words than
@@ -264,7 +369,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = written(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("id").alias("least")), "shingle-groups")
     nodes = written(rows.join(groups.select(F.col("node").alias("row")), "row", "left_semi"), "forest-nodes")
     low = nodes.select("row", "n", "signature").mapInPandas(_low_bytes, "row bigint, n bigint, low binary")
-    candidates = forest_candidates(nodes)
+    candidates, dense = forest_candidates(nodes)
     both = (candidates.join(low.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("low").alias("left")), "a")
             .join(low.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("low").alias("right")), "b")
             .where("least(na, nb) * 100 >= greatest(na, nb) * 80"))
@@ -281,8 +386,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = likely.join(label("a"), "a", "left").join(label("b"), "b", "left").where(
         "coalesce(ca, a) <> coalesce(cb, b)").join(best, ["a", "b"], "left_anti")
     more = written(confirmed(rest, sets), "more-links")
+    found = edges.unionByName(more)
     if not more.isEmpty():
-        reached = components(edges.unionByName(more))
+        reached = components(found)
+    left_out = None if dense is None else dense_links(dense, checkpointed(reached), rows, plain, words)
+    if left_out is not None:
+        reached = components(found.unionByName(left_out))
     known = groups.join(reached, "node", "left").withColumn("root", F.coalesce("component", "node"))
     known = checkpointed(known.select("d1", "d2", "least", "root"))
     # Settled first, so that both sides of the join are exchanges and a hot root can be split.
