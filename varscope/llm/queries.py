@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from varscope.llm.embedding_dedup import link_embeddings
 from varscope.llm.exact_dedup import exact_dedup
 from varscope.llm.language_id import fit_languages, identify_languages
-from varscope.llm.common import crc_fold
+from varscope.llm.common import crc_fold, new_path
 from varscope.llm.minhash_forest import near_copies
 from varscope.llm.mixing import mix_sources
 from varscope.llm.packing import pack_documents
 from varscope.llm.registry import ORACLES, QUERIES, query, table
 from varscope.llm.secrets import BASE_KINDS, EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, LEAST_ENTROPY, OWNED, scan_secrets
 from varscope.llm.sharding import shuffle_into_shards
+from varscope.llm.token_files import read_token_files, write_token_files
 from varscope.llm.toxicity import fit_toxicity, score_toxicity
 from varscope.llm.url_filter import judge_urls
 
@@ -170,3 +171,21 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DES
 FROM d""")
 def op10(spark, folder):
     return exact_dedup(table(spark, folder, "documents")).withColumnRenamed("digest", "text_sha256")
+
+
+def word_tokenizer() -> dict:
+    """File of the public vocabulary of words, whose tokens end with white space, a letter or a mark."""
+    import public_tokenizers
+
+    return {"json_path": public_tokenizers.path("word_bpe_49k.json"), "by_words": True}
+
+
+#: Token id that ends a document in the files of op13.
+FILE_END_ID = 2
+
+
+@query("op13_token_files")
+def op13(spark, folder):
+    location = new_path(spark, "token-files")
+    write_token_files(table(spark, folder, "documents"), location, word_tokenizer(), FILE_END_ID)
+    return read_token_files(spark, location).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
