@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from varscope.llm.divergence import audit_divergence
 from varscope.llm.embedding_dedup import link_embeddings
 from varscope.llm.exact_dedup import exact_dedup
+from varscope.llm.filter_audit import audit_filters, corpus_filters
 from varscope.llm.language_id import fit_languages, identify_languages
 from varscope.llm.common import crc_fold, new_path
 from varscope.llm.minhash_forest import near_copies
@@ -173,6 +175,72 @@ def op10(spark, folder):
     return exact_dedup(table(spark, folder, "documents")).withColumnRenamed("digest", "text_sha256")
 
 
+FILTER_AUDIT_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+told AS (SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, good, toxic, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS bits
+  FROM w LEFT JOIN told ON told.doc_id = w.doc_id),
+cells AS (SELECT part, bits, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letter a, letter b, letter c, letter d, letter e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+steps AS (SELECT filter_order, step::INTEGER AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+told_steps AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER ((bits & (before | bit)) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER ((bits & bit) > 0 AND (bits & before) = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER ((bits & bit) > 0 AND (bits & before) > 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (bits = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER ((bits & bit) > 0 AND (bits & before) = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER ((bits & bit) > 0 AND (bits & before) = 0), 0)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM told_steps"""
+
+
+@query("op11_filter_postings", FILTER_AUDIT_SQL)
+def op11(spark, folder):
+    labels = table(spark, folder, "labels").select(
+        F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    return audit_filters(table(spark, folder, "documents"), corpus_filters(), labels)
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+freq AS (SELECT lang, source, term, count(*) AS c, count(DISTINCT n) AS documents
+  FROM (SELECT n, lang, source, unnest(terms) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(c) AS c FROM freq GROUP BY ALL HAVING sum(documents) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+grid AS (SELECT g.lang, g.source, k.term, coalesce(f.c, 0) AS c, k.c AS lang_c FROM groups g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN freq f ON f.lang = g.lang AND f.source = g.source AND f.term = k.term),
+sizes AS (SELECT lang, source, sum(c) AS n FROM grid GROUP BY ALL),
+shares AS (SELECT g.lang, g.source, g.term, g.c, 1 + (1000000000::HUGEINT * (g.c + 1)) // (s.n + l.v) AS p,
+    1 + (1000000000::HUGEINT * (g.lang_c + 1)) // (l.n + l.v) AS q
+  FROM grid g JOIN sizes s ON s.lang = g.lang AND s.source = g.source JOIN langs l ON l.lang = g.lang),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+own AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM shares WHERE c > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM own)
+QUALIFY part = 'pair' OR rank <= 200"""
+
+
+@query("op12_term_runs", DIVERGENCE_SQL)
+def op12(spark, folder):
+    return audit_divergence(table(spark, folder, "documents"))
+
+
 def word_tokenizer() -> dict:
     """File of the public vocabulary of words, whose tokens end with white space, a letter or a mark."""
     import public_tokenizers
