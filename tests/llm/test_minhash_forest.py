@@ -1,11 +1,14 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from varscope.llm import minhash_forest
 from varscope.llm.common import components
-from varscope.llm.minhash_forest import _overlaps, drop_near_copies, near_copies, shingle_sets, word_hashes
+from varscope.llm.minhash_forest import (GROUP, PATH_BITS, _scan, confirmed, drop_near_copies, near_copies, prefix_candidates, shingle_sets,
+                                         sorted_neighbours, word_hashes)
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -135,10 +138,74 @@ def test_template_cluster_matches_brute_force(spark):
     assert len(set(label.tolist())) > 1_000
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.sets(st.integers(0, 12), min_size=1), min_size=2, max_size=40), st.integers(1, 39))
-def test_tile_products_are_intersections(sets, cut):
-    cut = min(cut, len(sets) - 1)
-    arrays = [np.array(sorted(x), dtype=np.uint64) for x in sets]
-    got = _overlaps(arrays[:cut], arrays[cut:])
-    assert got.tolist() == [[len(a & b) for b in sets[cut:]] for a in sets[:cut]]
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.lists(st.integers(0, 2), min_size=5, max_size=5)), max_size=120))
+def test_neighbours_of_sorted_rows(rows):
+    """All pairs of small groups; in large ones all pairs of the first part that is small, and no row without a neighbour."""
+    rows = sorted((k, sum(v << PATH_BITS * (4 - n) for n, v in enumerate(path))) for k, path in rows)
+    key, path = (np.array([r[n] for r in rows], dtype=np.int64) for n in (0, 1))
+    first, second, large = sorted_neighbours(key, path)
+    pairs = set(zip(first.tolist(), second.tolist()))
+    assert all(a < b and key[a] == key[b] for a, b in pairs)
+    groups = {}
+    for i, (k, p) in enumerate(rows):
+        for level in range(6):
+            groups.setdefault((level, k, p >> PATH_BITS * (5 - level)), []).append(i)
+    assert large.tolist() == [len(groups[0, k, p >> PATH_BITS * 5]) > GROUP for k, p in rows]
+    for (level, k, prefix), own in groups.items():
+        above = groups[level - 1, k, prefix >> PATH_BITS] if level else None
+        if len(own) <= GROUP and (above is None or len(above) > GROUP):
+            assert pairs >= {(a, b) for a in own for b in own if a < b}
+    # Neighbours join every group to one component.
+    part = list(range(len(rows)))
+    for a, b in sorted(pairs):
+        part = [part[a] if x == part[b] else x for x in part]
+    assert all(len({part[i] for i in own}) == 1 for (level, _, _), own in groups.items() if level == 0)
+
+
+def test_scan_of_ranges_finds_what_one_range_finds(spark):
+    rng = np.random.default_rng(5)
+    rows = sorted((int(k), int(p)) for k, p in zip(rng.integers(0, 30, 600) ** 2 // 25, rng.integers(0, 1 << 60, 600)))
+    whole = pa.record_batch({"key": [r[0] for r in rows], "path": [r[1] for r in rows], "node": list(range(600))})
+    want = [r for b in _scan(iter([whole]), False) for r in b.to_pylist()]
+    cuts, parts = sorted(rng.choice(600, 12, replace=False).tolist()), []
+    for a, b in zip([0, *cuts], [*cuts, 600]):
+        parts += [r for batch in _scan(iter([whole.slice(a, b - a)]), True) for r in batch.to_pylist()]
+    edges = pa.RecordBatch.from_pylist(sorted(({"key": r["key"], "path": r["path"], "node": r["a"]} for r in parts if r["kind"] == 2),
+                                              key=lambda r: (r["key"], r["path"], r["node"])))
+    parts += [r for batch in _scan(iter([edges]), False) for r in batch.to_pylist()]
+    small = {k for k in {r[0] for r in rows} if sum(r[0] == k for r in rows) <= GROUP}
+    pairs = lambda found: {(r["a"], r["b"]) for r in found if r["kind"] == 0 and rows[r["a"]][0] in small}
+    assert pairs(parts) == pairs(want)
+    # Rows of large groups are told in either scan.
+    members = lambda found: {r["a"] for r in found if r["kind"] == 1}
+    assert members(parts) == members(want) and len(members(want)) > 100
+
+
+@pytest.mark.parametrize("cell_rows", [3, 1_000])
+def test_prefix_filter_loses_no_pair(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(minhash_forest, "CELL_ROWS", cell_rows)
+    rng = np.random.default_rng(8)
+    base, sets = rng.choice(400, 40, replace=False), []
+    for _ in range(120):
+        own = set(base.tolist()) if rng.random() < 0.7 else set(rng.choice(400, rng.integers(1, 40), replace=False).tolist())
+        for _ in range(rng.integers(0, 8)):
+            own.discard(int(rng.choice(sorted(own)))) if len(own) > 1 else None
+            own.add(int(rng.integers(0, 400)))
+        sets.append(own)
+    roots = rng.integers(0, 60, 120).tolist()
+    frame = spark.createDataFrame([(n, [int(x) for x in sorted(own)]) for n, own in enumerate(sets)], "node bigint, shingles array<bigint>")
+    nodes = spark.createDataFrame([(n, r) for n, r in enumerate(roots)], "node bigint, root bigint")
+    candidates = prefix_candidates(nodes, frame)
+    alike = {(a, b) for b in range(120) for a in range(b) if roots[a] != roots[b]
+             and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    found = {tuple(r) for r in candidates.collect()}
+    assert alike and alike <= found and len(found) < 120 * 119 // 4
+    assert {tuple(r) for r in confirmed(candidates, frame).collect()} == alike
+
+
+def test_repeated_ids_with_other_texts(spark):
+    text = " ".join(f"w{n}" for n in range(60))
+    rows = [(1, text), (1, text + " end"), (1, "something else entirely"), (None, text), (None, "x y z"), (2, "x y z"), (2, "x y z")]
+    got = near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == _brute(rows)

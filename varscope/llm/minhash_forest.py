@@ -7,9 +7,10 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-from varscope.llm.common import buckets_for, checkpointed, components, small_batches, written
+from varscope.llm.common import components, small_batches, written
 
 #: MinHash values of a signature, orders of it (trees), and depths at which a tree's groups are looked at.
 VALUES, TREES, FIRST_DEPTH, LAST_DEPTH = 96, 32, 5, 10
@@ -19,13 +20,10 @@ GROUP = 16
 NEIGHBOURS = 2
 #: Share of equal signature values from which a pair is confirmed on full sets (0.8 less five deviations).
 LEAST_AGREEMENT = 0.6
-#: Bits of a value in a path, and rows of one part of a group of equal paths.
-PATH_BITS, ROWS_PER_PART = 12, 10_000
-#: Rows and shingles of a tile of dense nodes, about, and the ratio of the set sizes of a class: sets that are alike by 0.8
-#: are in the same class or in the next.
-TILE_ROWS, TILE_SHINGLES, CLASS_RATIO = 2_048, 1 << 20, 1.25
-#: Shingles of a tile that are multiplied at a time.
-TILE_COLUMNS = 1_024
+#: Bits of a value in a path.
+PATH_BITS = 12
+#: Nodes of a frequent shingle that meet in one cell.
+CELL_ROWS = 1_000
 #: Words of a shingle, where the caller names no number.
 WORDS = 2
 #: Bytes of text hashed at a time.
@@ -130,7 +128,7 @@ def _sign(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]
             if full:
                 for n, row in zip(full, signatures([sets[n] for n in full])):
                     signed[n] = row.tobytes()
-            yield pd.DataFrame({"id": part["id"].tolist(), "n": [len(x) for x in sets], "d1": [d[0] for d in digests],
+            yield pd.DataFrame({"id": part["id"].tolist(), "mix": part["mix"].tolist(), "n": [len(x) for x in sets], "d1": [d[0] for d in digests],
                                 "d2": [d[1] for d in digests], "signature": signed}, dtype=object)
 
 
@@ -155,55 +153,90 @@ def _plant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                 "node": np.tile(part["row"].to_numpy(), len(orders))})
 
 
-def _ahead(rows: DataFrame, group: list[str], order: list[str], reach: int) -> DataFrame:
-    """Pairs of each row with the next ``reach`` rows of its group in sorted order."""
-    window = Window.partitionBy(*group).orderBy(*order).rowsBetween(1, reach)
-    return rows.withColumn("others", F.collect_list("node").over(window)).select("node", F.explode("others").alias("other"))
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the run of equal values that each row is in, and the size of that run."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for column in columns:
+        new[1:] |= column[1:] != column[:-1]
+    run = np.cumsum(new) - 1
+    return run, np.bincount(run)[run] if len(run) else run
 
 
-def forest_candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def sorted_neighbours(key: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (first, second) of neighbours in rows sorted by key and path, and whether a row is in a large group.
+
+    A group is the rows of one key. Up to ``GROUP`` rows all are neighbours. A larger group is split by the next value
+    of its order, as deep as it stays too large, so that dense regions are cut finer than sparse ones; the first rows of
+    parts that follow each other are neighbours too. Rows of equal paths are neighbours of the next ``NEIGHBOURS``.
+    """
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def ahead(run: np.ndarray, chosen: np.ndarray, reach: int) -> None:
+        for step in range(1, reach + 1):
+            first = np.nonzero(chosen[:-step] & (run[step:] == run[:-step]))[0]
+            if not len(first):
+                break
+            pairs.append((first, first + step))
+
+    run, size = _runs(key)
+    large = size > GROUP
+    ahead(run, ~large, GROUP - 1)
+    open_rows, above = large.copy(), run
+    for level in range(FIRST_DEPTH + 1, LAST_DEPTH + 1):
+        if not open_rows.any():
+            break
+        run, size = _runs(key, path >> np.int64(PATH_BITS * (LAST_DEPTH - level)))
+        heads = np.nonzero(open_rows & np.concatenate([[True], run[1:] != run[:-1]]))[0]
+        beside = above[heads[1:]] == above[heads[:-1]]
+        pairs.append((heads[:-1][beside], heads[1:][beside]))
+        fine = open_rows & (size <= GROUP)
+        ahead(run, fine, GROUP - 1)
+        open_rows, above = open_rows & ~fine, run
+    ahead(above, open_rows, NEIGHBOURS)
+    first, second = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, int), np.zeros(0, int))
+    return first, second, large
+
+
+def _scan(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.RecordBatch]:
+    """Neighbours (kind 0: a, b) and members of large groups (kind 1: key, a) of a sorted partition, and with ``ends``
+    the rows (kind 2: key, path, a) of its first and last group that a row of another partition may be next to."""
+    held = [b for b in batches if len(b)]
+    if not held:
+        return
+    key, path, node = (np.concatenate([b[n].to_numpy() for b in held]) for n in ("key", "path", "node"))
+    first, second, large = sorted_neighbours(key, path)
+    dense = np.nonzero(large)[0]
+    edge = np.zeros(len(key), dtype=bool)
+    if ends:
+        edge[:GROUP] = key[:GROUP] == key[0]
+        edge[-GROUP:] |= key[-GROUP:] == key[-1]
+    edge = np.nonzero(edge)[0]
+    none = lambda rows: np.zeros(len(rows), dtype=np.int64)
+    for kind, columns in enumerate(((none(first), none(first), node[first], node[second]), (key[dense], none(dense), node[dense], none(dense)),
+                                    (key[edge], path[edge], node[edge], none(edge)))):
+        for at in range(0, len(columns[0]), 100_000):
+            part = [pa.array(c[at:at + 100_000]) for c in columns]
+            yield pa.record_batch([pa.array(np.full(len(part[0]), kind, dtype=np.int32)), *part], names=["kind", "key", "path", "a", "b"])
+
+
+def forest_candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs (a < b) of nodes (row, signature) that are neighbours in some tree, and the members (key, node) of
-    the groups that were too large to pair all of them, None where there are none.
+    the groups that were too large to pair all of them.
 
-    A group is the nodes that share a prefix of a tree's order. Up to ``GROUP`` members all are neighbours. A larger
-    group is split by the next value, as deep as it stays too large, so that dense regions are cut finer than sparse
-    ones; the first members of the parts follow each other as neighbours too. Nodes that share the last depth are
-    neighbours of the next ``NEIGHBOURS``. No task holds a whole large group: a task keeps at most ``GROUP`` + 1 rows of
-    a key to tell its size, deeper sizes are counts that combine before they are shuffled.
+    The rows of all trees are sorted by range, so that a group of any size is spread over tasks and each task scans its
+    rows once (``sorted_neighbours``). Rows at the ends of the ranges are scanned once more, together with the rows at
+    the ends of the ranges beside them.
     """
+    schema = "kind int, key bigint, path bigint, a bigint, b bigint"
     rows = nodes.select("row", "signature").mapInPandas(_plant, "key bigint, path bigint, node bigint")
-    order = Window.partitionBy("key").orderBy("path", "node")
-    seen = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= GROUP + 1)
-    seen = written(seen.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1"), "forest-groups")
-    small = _ahead(seen.where(F.col("size") <= GROUP), ["key"], ["path", "node"], GROUP)
-    pairs, dense = [small], None
-    large_keys = seen.where((F.col("size") > GROUP) & (F.col("place") == 1)).select("key")
-    if not large_keys.isEmpty():
-        dense = written(rows.join(large_keys, "key", "left_semi"), "forest-dense")
-        shift = lambda level: F.expr(f"shiftright(path, cast({PATH_BITS} * ({LAST_DEPTH} - {level}) as int))")
-        deep = dense.select("*", F.explode(F.sequence(F.lit(FIRST_DEPTH + 1), F.lit(LAST_DEPTH))).alias("level"))
-        deep = deep.withColumn("prefix", shift("level"))
-        parts = written(deep.groupBy("key", "level", "prefix").agg(
-            F.count(F.lit(1)).alias("size"), F.min("node").alias("node")), "forest-parts")
-        # The first members of the parts of one group, in the order of their values.
-        heads = parts.withColumn("above", F.shiftright("prefix", PATH_BITS))
-        pairs.append(_ahead(heads, ["key", "level", "above"], ["prefix"], 1))
-        # Every node at the first depth where its group is small enough.
-        fine = deep.join(parts.where(F.col("size") <= GROUP).drop("node"), ["key", "level", "prefix"])
-        first = fine.groupBy("key", "node", "path").agg(F.min(F.struct("level", "prefix")).alias("at")).select(
-            "key", "node", "path", "at.level", "at.prefix")
-        pairs.append(_ahead(first, ["key", "level", "prefix"], ["path", "node"], GROUP))
-        same = parts.where((F.col("level") == LAST_DEPTH) & (F.col("size") > GROUP)).select("key", F.col("prefix").alias("path"))
-        count = buckets_for(dense.count(), ROWS_PER_PART)
-        alike = dense.join(same, ["key", "path"], "left_semi").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(count)))
-        pairs.append(_ahead(alike, ["key", "path", "part"], ["node"], NEIGHBOURS))
-        ends = alike.groupBy("key", "path", "part").agg(F.min("node").alias("node"))
-        pairs.append(_ahead(ends, ["key", "path"], ["part"], 1))
-    found = pairs[0]
-    for more in pairs[1:]:
-        found = found.unionByName(more)
-    found = found.where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    return found, None if dense is None else dense.select("key", "node")
+    order = ["key", "path", "node"]
+    found = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(partial(_scan, ends=True), schema), "forest-scan")
+    edges = found.where("kind = 2").select("key", "path", F.col("a").alias("node")).repartition("key").sortWithinPartitions(*order)
+    more = edges.mapInArrow(partial(_scan, ends=False), schema)
+    both = found.where("kind < 2").unionByName(more)
+    pairs = both.where("kind = 0 AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs, both.where("kind = 1").select("key", F.col("a").alias("node")).distinct()
 
 
 def _agreement(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,7 +258,7 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         keep = []
         for one, two in zip(pdf["one"], pdf["two"]):
-            one, two = np.frombuffer(one, dtype=np.uint64), np.frombuffer(two, dtype=np.uint64)
+            one, two = one.view(np.uint64), two.view(np.uint64)
             if len(one) > len(two):
                 one, two = two, one
             place = np.minimum(np.searchsorted(two, one), len(two) - 1)
@@ -240,7 +273,7 @@ def _own_sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFr
             part = pdf.iloc[at:at + 64]
             sets = shingle_sets(part["text"].tolist(), words)
             fit = [set_digest(x) == (d1, d2) for x, d1, d2 in zip(sets, part["d1"].tolist(), part["d2"].tolist())]
-            yield pd.DataFrame({"node": part["node"][fit], "shingles": [x.tobytes() for x, good in zip(sets, fit) if good]})
+            yield pd.DataFrame({"node": part["node"][fit], "shingles": [x.view(np.int64) for x, good in zip(sets, fit) if good]})
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -250,101 +283,39 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(_confirm, "a bigint, b bigint")
 
 
-def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets of two tiles, by products of the shingles that both tiles have."""
-    out = np.zeros((len(left), len(right)), dtype=np.float32)
-    flat = [np.concatenate(x) for x in (left, right)]
-    shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
-    if not len(shared):
-        return out
-    places = []
-    for sets, values in zip((left, right), flat):
-        column = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
-        hit = shared[column] == values
-        row, column = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[hit], column[hit]
-        order = np.argsort(column, kind="stable")
-        places.append((row[order], column[order]))
-    bounds = [np.searchsorted(column, np.arange(len(shared) + 1)) for _, column in places]
-    (rows_a, _), (rows_b, _) = places
-    # A shingle of few rows adds its pairs; the others are multiplied.
-    work = np.diff(bounds[0]) * np.diff(bounds[1])
-    often = work > max(16, len(left) * len(right) // 200)
-    for k in np.nonzero(~often)[0].tolist():
-        a, b = rows_a[bounds[0][k]:bounds[0][k + 1]], rows_b[bounds[1][k]:bounds[1][k + 1]]
-        out[a[:, None], b[None, :]] += 1
-    rank = np.cumsum(often) - 1
-    for at in range(0, int(often.sum()), TILE_COLUMNS):
-        sides = []
-        for (row, column), count in zip(places, (len(left), len(right))):
-            pick = often[column] & (rank[column] >= at) & (rank[column] < at + TILE_COLUMNS)
-            ones = np.zeros((count, TILE_COLUMNS), dtype=np.float32)
-            ones[row[pick], rank[column[pick]] - at] = 1
-            sides.append(ones)
-        out += sides[0] @ sides[1].T
-    return out
+def apart_in_dense(dense: DataFrame, reached: DataFrame) -> DataFrame:
+    """Nodes (node, root) of the large groups whose members are in several components; ``reached`` holds those found.
 
-
-def _tile_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of components of which two nodes, one on either side of a pair of tiles, are alike by 0.8."""
-    sides = [pdf[pdf["side"] == k] for k in (0, 1)]
-    if pdf["own"].iloc[0]:
-        sides[1] = sides[0]
-    if not len(sides[0]) or not len(sides[1]):
-        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-    sets = [[np.frombuffer(x, dtype=np.uint64) for x in side["shingles"]] for side in sides]
-    sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in sets]
-    roots = [side["root"].to_numpy(dtype=np.int64) for side in sides]
-    both = _overlaps(*sets).astype(np.int64)
-    fit = (100 * both >= 80 * (sizes[0][:, None] + sizes[1][None, :] - both)) & (roots[0][:, None] != roots[1][None, :])
-    one, two = np.nonzero(fit)
-    return pd.DataFrame({"a": roots[0][one], "b": roots[1][two]}).drop_duplicates()
-
-
-def dense_links(dense: DataFrame, reached: DataFrame, rows: DataFrame, plain: DataFrame, words: int) -> DataFrame | None:
-    """Links between components (a, b) that the trees' neighbours leave out in large groups; None where none can be.
-
-    ``dense`` holds the members of the large groups, ``reached`` the components found so far. Groups with a member in
-    common form a cluster. Each pair of a cluster whose ends are in different components is compared on full sets if
-    the sizes allow 0.8: tile by tile, a tile being some nodes of about the same size. The members of the cluster's
-    largest component are compared with the rest only, so that a cluster that is one component costs nothing.
+    A large group that is one component has no link to add, whatever its size.
     """
-    heads = dense.groupBy("key").agg(F.min("node").alias("head"))
-    clusters = components(dense.join(heads, "key").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
-    ends = clusters.select(F.explode(F.array("node", "component")).alias("node")).distinct()
-    nodes = ends.join(clusters, "node", "left").join(reached.withColumnRenamed("component", "root"), "node", "left").select(
-        "node", F.coalesce("component", "node").alias("cluster"), F.coalesce("root", "node").alias("root"))
-    nodes = written(nodes, "dense-nodes")
-    parts = checkpointed(nodes.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("size")))
-    most = parts.groupBy("cluster").agg(F.max(F.struct("size", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    mixed_up = nodes.join(checkpointed(most.select("cluster", F.col("most.root").alias("main"))), "cluster")
-    info = rows.select(F.col("row").alias("node"), "id", "n", "d1", "d2")
-    member = mixed_up.join(info, "node").withColumn("rest", F.col("root") != F.col("main")).withColumn(
-        "class", F.floor(F.log("n") / F.lit(float(np.log(CLASS_RATIO)))).cast("int"))
+    member = dense.join(reached.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     member = written(member, "dense-members")
-    if member.isEmpty():
-        return None
-    cell = ["cluster", "class", "rest"]
-    room = F.greatest(F.lit(16), F.least(F.lit(TILE_ROWS), F.floor(F.lit(float(TILE_SHINGLES)) / F.pow(F.lit(CLASS_RATIO), F.col("class") + 1))))
-    counts = checkpointed(member.groupBy(*cell).agg(F.count(F.lit(1)).alias("size")).withColumn("tiles", F.ceil(F.col("size") / room)))
-    # The pairs of cells that are compared, once each; a cell of the largest component never with another such cell.
-    other = counts.select("cluster", F.col("class").alias("class2"), F.col("rest").alias("rest2"), F.col("tiles").alias("tiles2"))
-    cells = counts.join(other, "cluster").where(
-        "(rest OR rest2) AND (class2 BETWEEN class AND class + 2) AND (class < class2 OR rest AND NOT rest2 OR rest AND rest2)")
-    tiles = cells.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn(
-        "tile2", F.explode(F.sequence(F.lit(0), F.col("tiles2") - 1)))
-    own = (F.col("class") == F.col("class2")) & (F.col("rest") == F.col("rest2"))
-    tiles = checkpointed(tiles.where(~own | (F.col("tile") <= F.col("tile2"))).withColumn("own", own & (F.col("tile") == F.col("tile2")))
-                         .select(*cell, "tile", "class2", "rest2", "tile2", "own", F.monotonically_increasing_id().alias("pair")))
-    sides = tiles.select(*cell, "tile", "pair", "own", F.lit(0).alias("side")).unionByName(
-        tiles.where("NOT own").select("cluster", F.col("class2").alias("class"), F.col("rest2").alias("rest"), F.col("tile2").alias("tile"),
-                                      "pair", "own", F.lit(1).alias("side")))
-    wanted = checkpointed(member.join(sides.select(*cell).distinct(), cell, "left_semi").join(counts.drop("size"), cell).select(
-        *cell, F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile"), "root", "node", F.col("id").alias("__id"), "d1", "d2"))
-    sets = written(plain.join(wanted.select("__id", "d1", "d2", "node"), F.col("id").eqNullSafe(F.col("__id")))
-                   .select("text", "d1", "d2", "node").mapInPandas(partial(_own_sets, words=words), "node bigint, shingles binary")
-                   .dropDuplicates(["node"]), "dense-sets")
-    laid = wanted.select(*cell, "tile", "root", "node").join(sides, [*cell, "tile"]).join(sets, "node")
-    return laid.select("pair", "own", "side", "root", "shingles").groupBy("pair").applyInPandas(_tile_links, "a bigint, b bigint").distinct()
+    mixed_keys = member.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("key")
+    return written(member.join(mixed_keys, "key", "left_semi").select("node", "root").distinct(), "dense-nodes")
+
+
+def prefix_candidates(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a < b) of ``nodes`` (node, root) with different roots that contain every such pair alike by 0.8.
+
+    Shingles are ordered by how few of the nodes have them. Sets alike by 0.8 share a shingle within their first
+    n - ceil(0.8 n) + 1, and at the first one that they share enough of both is left to reach 0.8. A shingle whose nodes
+    have one root links nothing new. The nodes of a frequent shingle meet in cells of ``CELL_ROWS``.
+    """
+    rows = sets.join(nodes, "node").select("node", "root", F.explode("shingles").alias("shingle"))
+    rows = written(rows, "dense-shingles")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"), (F.min("root") != F.max("root")).alias("apart"))
+    ordered = rows.join(often, "shingle").groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("often", "shingle", "apart"))).alias("own"))
+    n = F.size("own")
+    first = ordered.select("node", "root", n.alias("n"), F.posexplode(F.slice("own", F.lit(1), n - F.ceil(n * 80 / F.lit(100)).cast("int") + 1)))
+    first = written(first.where("col.apart").select("node", "root", "n", "pos", F.col("col.shingle").alias("shingle")), "dense-prefixes")
+    cells = first.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("cells"))
+    first = first.join(cells, "shingle")
+    one = first.select("shingle", F.pmod(F.xxhash64("node"), F.col("cells")).alias("cell"), F.col("node").alias("a"), F.col("root").alias("ra"),
+                       F.col("n").alias("na"), (F.col("n") - F.col("pos")).alias("la"))
+    two = first.select("shingle", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cells") - 1)).alias("cell"), F.col("node").alias("b"),
+                       F.col("root").alias("rb"), F.col("n").alias("nb"), (F.col("n") - F.col("pos")).alias("lb"))
+    fit = "a < b AND ra <> rb AND 100 * least(na, nb) >= 80 * greatest(na, nb) AND 180 * least(la, lb) >= 80 * (na + nb)"
+    return one.join(two, ["shingle", "cell"]).where(fit).select("a", "b").distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -352,9 +323,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts with equal shingle sets are one node. Candidates come from the forest, are thinned by the share of equal
     signature values, and are confirmed on full sets, first the likeliest partner of each node, then every pair whose
-    ends are still in different components, so that dense groups confirm about one pair per node. What the trees leave
-    out in large groups is compared exactly (``dense_links``). A shingle is a
-    64-bit hash of its ``words`` words.
+    ends are still in different components, so that dense groups confirm about one pair per node. Large groups that are
+    then in several components are searched for every further link by an exact prefix filter. A shingle is a 64-bit hash
+    of its ``words`` words.
 
     Null and empty texts and texts of white space have an empty set and link with nothing; a text of fewer words than
     a shingle is a set of one. Repeated rows and equal sets are linked. A null id takes part and is the smallest only where no other id is
@@ -362,40 +333,50 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    # Rows of one id differ in their texts' hashes; rows equal in both have one set.
+    plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mix"), text.alias("text"))
     kind = dict(plain.dtypes)["id"]
-    signed = plain.mapInPandas(partial(_sign, words=words), f"id {kind}, n bigint, d1 bigint, d2 bigint, signature binary")
+    signed = plain.mapInPandas(partial(_sign, words=words), f"id {kind}, mix bigint, n bigint, d1 bigint, d2 bigint, signature binary")
     rows = written(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
     groups = written(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("id").alias("least")), "shingle-groups")
     nodes = written(rows.join(groups.select(F.col("node").alias("row")), "row", "left_semi"), "forest-nodes")
-    low = nodes.select("row", "n", "signature").mapInPandas(_low_bytes, "row bigint, n bigint, low binary")
+    low = written(nodes.select("row", "n", "signature").mapInPandas(_low_bytes, "row bigint, n bigint, low binary"), "low-bytes")
     candidates, dense = forest_candidates(nodes)
+    dense = written(dense, "forest-dense")
     both = (candidates.join(low.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("low").alias("left")), "a")
             .join(low.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("low").alias("right")), "b")
             .where("least(na, nb) * 100 >= greatest(na, nb) * 80"))
     likely = written(both.select("a", "b", "left", "right").mapInPandas(_agreement, "a bigint, b bigint, share double"), "likely-pairs")
-    ends = likely.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    wanted = rows.join(ends, "row").select(F.col("id").alias("__id"), "d1", "d2", F.col("row").alias("node"))
-    sets = written(plain.join(wanted, F.col("id").eqNullSafe(F.col("__id"))).select("text", "d1", "d2", "node")
-                   .mapInPandas(partial(_own_sets, words=words), "node bigint, shingles binary").dropDuplicates(["node"]), "shingle-sets")
-    best = likely.groupBy("b").agg(F.max(F.struct("share", (-F.col("a")).alias("a"))).alias("best")).select(
-        (-F.col("best.a")).alias("a"), "b")
+
+    def sets_of(ends: DataFrame, name: str) -> DataFrame:
+        wanted = nodes.join(ends, nodes["row"] == ends["node"]).select("id", "mix", "d1", "d2", "node")
+        wanted = wanted.select(F.col("id").alias("__id"), F.col("mix").alias("__mix"), "d1", "d2", "node")
+        found = plain.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("mix") == F.col("__mix")))
+        found = found.select("text", "d1", "d2", "node").mapInPandas(partial(_own_sets, words=words), "node bigint, shingles array<bigint>")
+        return written(found.dropDuplicates(["node"]), name)
+
+    sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "shingle-sets")
+    best = written(likely.groupBy("b").agg(F.max(F.struct("share", (-F.col("a")).alias("a"))).alias("best")).select(
+        (-F.col("best.a")).alias("a"), "b"), "best-pairs")
     edges = written(confirmed(best, sets), "links")
-    reached = components(edges)
+    reached = written(components(edges), "reached")
     label = lambda end: reached.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
     rest = likely.join(label("a"), "a", "left").join(label("b"), "b", "left").where(
         "coalesce(ca, a) <> coalesce(cb, b)").join(best, ["a", "b"], "left_anti")
     more = written(confirmed(rest, sets), "more-links")
-    found = edges.unionByName(more)
     if not more.isEmpty():
-        reached = components(found)
-    left_out = None if dense is None else dense_links(dense, checkpointed(reached), rows, plain, words)
-    if left_out is not None:
-        reached = components(found.unionByName(left_out))
+        edges = edges.unionByName(more)
+        reached = written(components(edges), "reached")
+    apart = apart_in_dense(dense, reached)
+    if not apart.isEmpty():
+        sets = sets_of(apart.select("node"), "dense-sets")
+        left_out = written(confirmed(prefix_candidates(apart, sets), sets), "dense-links")
+        if not left_out.isEmpty():
+            reached = written(components(edges.unionByName(left_out)), "reached")
     known = groups.join(reached, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    known = checkpointed(known.select("d1", "d2", "least", "root"))
+    known = written(known.select("d1", "d2", "least", "root"), "known-groups")
     # Settled first, so that both sides of the join are exchanges and a hot root can be split.
-    smallest = checkpointed(known.groupBy("root").agg(F.min("least").alias("component_id")))
+    smallest = written(known.groupBy("root").agg(F.min("least").alias("component_id")), "smallest-ids")
     labels = known.join(smallest, "root").select("d1", "d2", "component_id")
     linked = rows.where("n > 0").select("id", "n", "d1", "d2").join(labels, ["d1", "d2"]).select("id", "n", "component_id")
     alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
