@@ -10,8 +10,11 @@ reader of some documents reads the footer, the seek table, and the frames that h
 from __future__ import annotations
 
 import struct
+import sys
+import types
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -179,14 +182,26 @@ class TokenFileReader:
         self.source.close()
 
 
+def kept_by_worker(name: str, make: Callable):
+    """What ``make`` returned when the running Python worker first asked for ``name``; workers serve many tasks."""
+    store = sys.modules.setdefault("varscope_worker_store", types.ModuleType("varscope_worker_store")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 def word_encoder(json_path: str, by_words: bool):
     """Function from texts to little-endian token ids of the width that it also returns: (function, width).
 
     ``by_words`` says that no token of the vocabulary spans white space or a letter and a mark, and that case is
-    ignored, so that a text's ids are those of its words. Words are then encoded by the tokenizer once and remembered,
-    many at a time with a special token between them, which the tokenizer never joins to anything. Texts that hold a
-    special token's name are encoded whole.
+    ignored, so that a text's ids are those of its words. Words are then encoded by the tokenizer once and remembered
+    by the worker: words of plain letters by its model alone, others many at a time with a special token between them,
+    which the tokenizer never joins to anything. Texts that hold a special token's name are encoded whole.
     """
+    return kept_by_worker(f"encoder {json_path} {by_words}", partial(_make_encoder, json_path, by_words))
+
+
+def _make_encoder(json_path: str, by_words: bool):
     import os
     import re
 
@@ -204,8 +219,12 @@ def word_encoder(json_path: str, by_words: bool):
     if not by_words or not special:
         return whole, width
     between, stop = next(iter(special.items()))
-    # One mark between a letter or digit and white space is a token's end on both sides.
-    mark = re.compile("(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])([.,;:!?])(?=[ \n]|$)")
+    letters = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+    plain = re.compile(f"[{letters}]+").fullmatch
+    # How the tokenizer itself writes these letters for its model.
+    written_as = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
+    pieces = tokenizer.model.tokenize
+    marks = {m: np.array(tokenizer.encode(m, add_special_tokens=False).ids, dtype=kind).tobytes() for m in ".,;:!?"}
     known: dict[str, bytes] = {}
 
     def words_of(text: str) -> list[str] | None:
@@ -216,15 +235,30 @@ def word_encoder(json_path: str, by_words: bool):
             pass
         if any(name in text for name in special):
             return None
-        return mark.sub(r" \1", text).replace("\n", " ").split(" ")
+        return text.replace("\n", " ").split(" ")
+
+    def encoded(word: str) -> bytes:
+        return struct.pack(f"<{len(found := pieces(word.translate(written_as)))}{'H' if width == 2 else 'I'}", *[t.id for t in found])
 
     def by_word(texts: list[str]) -> list[bytes]:
         if len(known) > REMEMBERED_WORDS:
             known.clear()
         split = [words_of(t) for t in texts]
-        new = sorted({w for words in split if words for w in words if w not in known})
-        for at in range(0, len(new), JOINED_WORDS):
-            part = new[at:at + JOINED_WORDS]
+        new = set().union(*[words for words in split if words]).difference(known)
+        odd, marked = [], []
+        for word in new:
+            if plain(word):
+                known[word] = encoded(word)
+            elif word[-1:] in marks and plain(word[:-1]):
+                marked.append(word)
+            else:
+                odd.append(word)
+        # One mark after a word of letters is a token of its own.
+        for word in marked:
+            own = known.get(word[:-1])
+            known[word] = (encoded(word[:-1]) if own is None else own) + marks[word[-1]]
+        for at in range(0, len(odd), JOINED_WORDS):
+            part = odd[at:at + JOINED_WORDS]
             ids = np.array(tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, dtype=kind)
             raw = ids.tobytes()
             cuts = [0, *((np.nonzero(ids == stop)[0] + 1) * width).tolist(), len(raw) + width]
