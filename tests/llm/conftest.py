@@ -3,6 +3,11 @@ import pytest
 LONG = "very long text with token = \"0123456789abcdef0123456789abcdef\" inside " * 4_000
 
 
+#: Names that an operator might want for columns of its own.
+CLASHING = ("__digest", "__key", "__copies", "__n", "__language", "__part", "__id", "__mix", "__place", "__cell", "__start", "__local",
+            "part", "place", "number", "list0", "bits", "mix", "from", "a.b")
+
+
 @pytest.fixture(scope="session")
 def edge_docs(spark):
     """Nulls in every column, empty, blank and very long texts, ties, repeated rows and clashing column names."""
@@ -23,7 +28,8 @@ def edge_docs(spark):
     return spark.createDataFrame(
         rows, "doc_id bigint, text string, lang string, source string, id string, size int, label int").selectExpr(
         "*", "1 AS n_chars", "'k' AS key", "'r' AS row", "0 AS rank", "'d' AS digest", "true AS kept", "5 AS shard", "9L AS slot",
-        "'n' AS node", "'h' AS host", "1 AS piece", "2 AS target", "3 AS copies", "4 AS score", "'l' AS language")
+        "'n' AS node", "'h' AS host", "1 AS piece", "2 AS target", "3 AS copies", "4 AS score", "'l' AS language",
+        *[f"concat('{name}', coalesce(doc_id, 0)) AS `{name}`" for name in CLASHING])
 
 
 @pytest.fixture(scope="session")

@@ -27,6 +27,7 @@ def test_edges_match_brute_force(edge_docs):
 def test_kept_rows_are_one_per_text_with_their_columns(edge_docs, no_docs):
     kept = drop_exact_copies(edge_docs)
     assert kept.columns == edge_docs.columns
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in edge_docs.collect()}
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 2, 5, 6, 7, 8, 9, 10]
     assert drop_exact_copies(no_docs).count() == 0 and exact_dedup(no_docs).count() == 0
 
@@ -65,3 +66,13 @@ def test_index_reopens_with_its_own_buckets_in_another_session(spark, edge_docs)
         assert DigestIndex(spark, place, "long", 7).buckets == 7
     finally:
         spark.conf.set(key, parts)
+
+
+def test_indexes_whose_locations_differ_in_a_sign(spark, edge_docs):
+    """Names are told apart by the whole location, also where long paths end alike."""
+    place = new_path(spark, "index")
+    ends = ["idx-a", "idx_a", "x/" + "y" * 80, "z/" + "y" * 80]
+    for n, end in enumerate(ends):
+        batch = spark.createDataFrame([(n, f"text of {end}")], "doc_id bigint, text string")
+        assert [r["keep_id"] for r in exact_dedup(batch, DigestIndex(spark, f"{place}/{end}")).collect()] == [n]
+    assert [DigestIndex(spark, f"{place}/{end}").table().count() for end in ends] == [1] * 4

@@ -29,7 +29,8 @@ def test_held_out_accuracy_and_sets(docs):
     rows = identify_languages(marked, model).where("held_out and lang is not null").collect()
     assert len(rows) > 80 and all(r["language"]["lang"] == r["lang"] and r["language"]["score"] > 0.8 for r in rows)
     both = " ".join([LINES["en"]] * 6 + [LINES["fr"]] * 3)
-    own = language_sets(trigram_counts([both, LINES["de"]]), model["shares"])
+    own, chosen = language_sets(trigram_counts([both, LINES["de"]]), model["shares"])
+    assert chosen.tolist() == [[False, True, True], [True, False, False]]
     assert own[0].argmax() == 1 and 0.15 < own[0][2] < 0.45 and own[0][0] < 0.05
     assert own[1].argmax() == 0 and own[1][0] > 0.9 and np.allclose(own.sum(1), 1)
 
@@ -43,3 +44,13 @@ def test_edges(docs, edge_docs, no_docs):
     nothing = fit_languages(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r["language"]["lang"] for r in identify_languages(edge_docs, nothing).collect()} == {"und"}
     assert fit_languages(no_docs)["langs"] == []
+
+
+def test_every_chosen_language_is_listed(spark, docs):
+    """A share of a few hundredths is listed too, where the penalised likelihood chose its language."""
+    model = fit_languages(docs)
+    text = " ".join([LINES["fr"]] * 50 + [LINES["en"]] * 2)
+    rows = spark.createDataFrame([(1, text), (2, LINES["fr"])], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["language"] for r in identify_languages(rows, model).collect()}
+    assert found[1]["lang"] == "fr" and sorted(found[1]["langs"]) == ["en", "fr"] and found[1]["score"] > 0.9
+    assert found[2]["langs"] == ["fr"]

@@ -48,4 +48,25 @@ def test_edges(edge_docs, no_docs):
     assert sizes[0] == (-1, 8) and (3, 0) in sizes and (5, 0) in sizes and (6, 1) in sizes and len(rows) == 12
     copies = repeat_by_mixture(edge_docs)
     assert copies.columns == edge_docs.columns and copies.count() >= 1
+    assert {tuple(r) for r in copies.collect()} <= {tuple(r) for r in edge_docs.collect()}
     assert mix_sources(no_docs).count() == 0 and repeat_by_mixture(no_docs).count() == 0
+
+
+def test_rows_of_one_id_are_taken_each_by_its_own_count(spark):
+    """The rows written are those of the mix, also where ids repeat or are null."""
+    docs = spark.range(400).select(
+        F.when(F.col("id") % 3 != 0, F.col("id") % 5).alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"),
+        F.repeat(F.lit("w "), (F.col("id") % 11).cast("int")).alias("text"), F.col("id").alias("__copies"))
+    words = repeat_by_mixture(docs).groupBy("source").agg(F.sum(F.size(F.array_remove(F.split("text", " "), ""))).alias("n"))
+    mixed = mix_sources(docs.withColumn("doc_id", F.col("__copies")), row_col="__copies")
+    wanted = mixed.groupBy("target", "source_size").agg(F.sum("taken").alias("n"))
+    got = sorted(r["n"] for r in words.collect())
+    targets = sorted(r["target"] for r in wanted.collect())
+    assert len(got) == 4 and all(abs(a - b) <= 11 for a, b in zip(got, targets))
+
+
+def test_copies_are_the_rate_rounded_up_or_down(spark):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"),
+                                   F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"))
+    for r in mix_sources(docs).collect():
+        assert r["copies"] in {int(r["target"] / r["source_size"]), int(r["target"] / r["source_size"]) + 1}

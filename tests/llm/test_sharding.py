@@ -38,7 +38,16 @@ def test_shards_are_even_gapless_and_repeatable(spark, edge_docs, no_docs, tmp_p
     shard = {r["doc_id"]: r["shard"] for r in first}
     assert 0.08 < sum(shard[i] == shard[i + 1] for i in range(1_002)) / 1_002 < 0.21
     edge = shuffle_into_shards(edge_docs, 5).collect()
+    assert {tuple(r)[:-2] for r in edge} <= {tuple(r) for r in edge_docs.drop("shard", "slot").collect()}
     assert len(edge) == 12 and max(Counter(r["shard"] for r in edge).values()) == 3
     assert shuffle_into_shards(no_docs, 5).count() == 0
     write_shards(docs, f"{tmp_path}/out", 3)
     assert {r["shard"]: r["count"] for r in spark.read.parquet(f"{tmp_path}/out").groupBy("shard").count().collect()} == {0: 335, 1: 334, 2: 334}
+
+
+def test_partitions_stop_growing_before_the_matrix_does(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MOST_DRAWS", 20)
+    docs = spark.range(1_000).withColumnRenamed("id", "doc_id")
+    rows = shuffle_into_shards(docs, 7, rows_per_partition=10).collect()
+    assert sorted(Counter(r["shard"] for r in rows).values()) == [142, 143, 143, 143, 143, 143, 143]
+    assert len({(r["shard"], r["slot"]) for r in rows}) == 1_000

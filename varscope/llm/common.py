@@ -51,6 +51,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, beside which an operator can put columns of any name."""
+    return F.struct(*["`" + c.replace("`", "``") + "`" for c in df.columns])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()

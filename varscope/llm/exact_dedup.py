@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
-from varscope.llm.common import SPACE, new_path, written
+from varscope.llm.common import SPACE, new_path, whole_row, written
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,7 +32,8 @@ class DigestIndex:
         self.location = (location or new_path(spark, "digest-index")).rstrip("/")
         self.buckets, id_type = self._layout(id_type, buckets)
         buckets = self.buckets
-        self.name = "digest_index_" + "".join(c if c.isalnum() else "_" for c in self.location)[-60:]
+        # A hash of the whole location, so that two indexes never share a name.
+        self.name = "digest_index_" + hashlib.sha256(self.location.encode()).hexdigest()[:40]
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id {id_type}, group_size BIGINT) "
                   f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS "
                   f"LOCATION '{self.location}'")
@@ -109,10 +112,11 @@ def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None, id_col:
                       text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one per distinct text, with their columns as they are."""
     kept = exact_dedup(docs, index, id_col, text_col).where("kept").select(
-        F.col(id_col).alias("__id"), F.col("digest").alias("__digest"))
+        F.col(id_col).alias("keep_id"), F.col("digest").alias("kept_digest"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("__digest", F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256))
+    # The whole row is one value beside the keys, so that no column of its own can clash with them.
+    keyed = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("id"),
+                        F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256).alias("digest"))
     # Joined on id and digest together: copies differ in their ids, so that no key is hot.
-    chosen = keyed.join(kept.distinct(), (keyed["__digest"] == kept["__digest"])
-                        & keyed[id_col].eqNullSafe(kept["__id"]), "left_semi")
-    return chosen.dropDuplicates([id_col, "__digest"]).select(*docs.columns)
+    chosen = keyed.join(kept.distinct(), (F.col("digest") == F.col("kept_digest")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return chosen.dropDuplicates(["id", "digest"]).select("row.*")

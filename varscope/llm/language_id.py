@@ -78,8 +78,8 @@ def mixture(counts: np.ndarray, shares: np.ndarray, allowed: np.ndarray, rounds:
     return parts, np.einsum("ij,ij->i", counts, np.log(parts @ shares.T))
 
 
-def language_sets(counts: np.ndarray, shares: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """Proportions within the language set of best penalised likelihood, for each document.
+def language_sets(counts: np.ndarray, shares: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions of the languages of each document, and the language set of best penalised likelihood as a mask.
 
     Sets grow in order of the languages' share in the mixture of all. A document whose full mixture cannot pay for a
     second language keeps its single best one; the others try every size of set.
@@ -90,6 +90,7 @@ def language_sets(counts: np.ndarray, shares: np.ndarray, penalty: float = PENAL
     single = counts @ np.log(shares)
     order = np.argsort(-full, axis=1, kind="stable")
     best = np.eye(kinds)[single.argmax(1)]
+    chosen = best > 0
     value = single.max(1)
     open_ = np.nonzero(most - value > cost)[0]
     for k in range(2, kinds + 1):
@@ -100,8 +101,8 @@ def language_sets(counts: np.ndarray, shares: np.ndarray, penalty: float = PENAL
         parts, likely = mixture(counts[open_], shares, allowed)
         likely = likely - (k - 1) * cost[open_]
         better = likely > value[open_]
-        best[open_[better]], value[open_[better]] = parts[better], likely[better]
-    return best * 0.9 + full * 0.1
+        best[open_[better]], value[open_[better]], chosen[open_[better]] = parts[better], likely[better], allowed[better] > 0
+    return best * 0.9 + full * 0.1, chosen
 
 
 def language_column(text: str | Column, model: dict) -> Column:
@@ -122,10 +123,10 @@ def language_column(text: str | Column, model: dict) -> Column:
                 known = [n for n, t in enumerate(part) if t is not None] if langs else []
                 rows = [(NO_LANGUAGE, 0.0, [])] * len(part)
                 if known:
-                    parts = language_sets(trigram_counts([part[n] for n in known]), shares)
-                    for n, own in zip(known, parts):
+                    parts, chosen = language_sets(trigram_counts([part[n] for n in known]), shares)
+                    for n, own, members in zip(known, parts, chosen):
                         top = int(own.argmax())
-                        rows[n] = (langs[top], float(min(own[top], 1.0)), [langs[i] for i in np.nonzero(own > 0.1)[0]])
+                        rows[n] = (langs[top], float(min(own[top], 1.0)), [langs[i] for i in np.nonzero(members)[0]])
                 found += rows
             yield pd.DataFrame(found, columns=["lang", "score", "langs"])
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from varscope.llm.common import WORD, bounded_broadcast, buckets_for, rank_in_groups, written
+from varscope.llm.common import WORD, bounded_broadcast, buckets_for, rank_in_groups, whole_row, written
 
 #: Rows of one cell in which a task numbers documents of equal size.
 ROWS_PER_CELL = 10_000
@@ -44,7 +44,8 @@ def _copies(rank: Column, rate: Column, offset: Column, limit: float) -> Column:
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: int = 3, id_col: str = "doc_id",
-                text_col: str = "text", source_col: str = "source", rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+                text_col: str = "text", source_col: str = "source", rows_per_cell: int = ROWS_PER_CELL,
+                row_col: str | None = None) -> DataFrame:
     """One row per document: id, size (words), source_size, target, copies and taken (copies times size).
 
     Documents of a source stand in order of size, then of a hash of the id. Each expects target / source size copies,
@@ -52,10 +53,16 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: in
     keeps the words taken within one long document of the target at any offset; of ``OFFSETS`` equally spaced ones,
     beginning at one drawn from the source's name, a source takes the nearest to its target. Null sources are one
     source, last in order. Null or empty texts have size 0. A source of size 0 has target 0 and takes nothing.
-    Repeated rows count as often as they occur. The same rows always give the same result. Other columns are not read.
+    Repeated rows count as often as they occur. The same rows always give the same result. ``row_col`` names a column
+    that tells rows with equal ids apart and is returned too. Other columns are not read.
+
+    Choosing the offset departs from one random draw: the expected copies of a document are no longer its rate. They
+    stay between the floor and the ceiling of it; what is lost is that rate as an average over seeds.
     """
     key = F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1"))
-    rows = written(docs.select(F.col(id_col).alias("id"), key.alias("key"), word_count(text_col).alias("size")), "mix-sizes")
+    own = [] if row_col is None else ["row"]
+    rows = written(docs.select(F.col(id_col).alias("id"), *[F.col(row_col).alias(n) for n in own], key.alias("key"),
+                               word_count(text_col).alias("size")), "mix-sizes")
     totals = rows.groupBy("key").agg(F.sum("size").alias("source_size"))
     first = F.conv(F.substring(F.md5(F.col("key")), 1, 8), 16, 10).cast("double") / float(2**32)
     sources = rows.select("key").distinct().count()
@@ -64,7 +71,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: in
     # A cell holds documents of one source and size; a size that many share is split by a hash.
     cells = buckets_for(rows.count(), rows_per_cell)
     hashed = rows.withColumn("order", F.xxhash64("id")).withColumn("cell", F.pmod("order", F.lit(cells)).cast("int"))
-    ranked = written(rank_in_groups(hashed, ["key"], ["size", "cell"], ["order", "id"]).select("id", "key", "size", "rank"),
+    ranked = written(rank_in_groups(hashed, ["key"], ["size", "cell"], ["order", "id", *own]).select("id", *own, "key", "size", "rank"),
                      "mix-ranks")
     # One row per source, counted: a hot source's documents stay where they are.
     known = ranked.join(bounded_broadcast(written(targets, "mix-targets"), sources), "key")
@@ -75,17 +82,16 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: in
     gaps = F.transform("sums", lambda x, n: F.struct(F.abs(x - F.col("target")).alias("gap"), n.alias("n")))
     offsets = sums.select("key", F.pmod(F.col("first") + F.array_min(gaps)["n"] / float(OFFSETS), F.lit(1.0)).alias("offset"))
     out = known.join(bounded_broadcast(offsets, sources), "key").withColumn("copies", drawn(F.col("offset")))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies",
+    return out.select(F.col("id").alias(id_col), *[F.col(n).alias(row_col) for n in own], "size", "source_size", "target", "copies",
                       (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def repeat_by_mixture(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def repeat_by_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix_sources`` takes it, with their columns as they are.
 
-    Ids should differ; rows with equal or null ids share the number of the row that takes most.
+    Rows are numbered and kept with their numbers, so that rows with equal or null ids are taken each by its own count.
     """
-    taken = mix_sources(docs, id_col=id_col, **options).where("copies > 0").groupBy(
-        F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(taken, docs[id_col].eqNullSafe(taken["__id"]))
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(
-        *[docs[c] for c in docs.columns])
+    rows = written(docs.select(whole_row(docs).alias("row"), F.monotonically_increasing_id().alias("number")), "mix-rows")
+    plain = rows.select(*[F.col("row").getField(c).alias(n) for n, c in (("id", id_col), ("text", text_col), ("source", source_col))], "number")
+    taken = mix_sources(plain, id_col="id", row_col="number", **options).where("copies > 0").select("number", "copies")
+    return rows.join(taken, "number").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -8,10 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from varscope.llm.common import buckets_for, rank_in_groups, written
+from varscope.llm.common import buckets_for, rank_in_groups, whole_row, written
 
 #: Rows of one logical partition, and of one cell of the second permutation.
 ROWS_PER_PARTITION = 10_000
+#: Numbers of the communication matrix, which the driver draws.
+MOST_DRAWS = 1_000_000
 #: Above this many rows the library sampler refuses; the ratio sampler below has no limit.
 SAMPLER_ROWS = 10**9
 
@@ -57,29 +59,31 @@ def shuffle_into_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", se
     Rows are dealt to logical partitions by a hash of the id; the matrix says how many rows of each partition go to
     each shard; a partition orders its rows by a seeded hash and deals them out; every shard orders what it got by
     another seeded hash. The same ids, seed and number of rows give the same result. Only partition counts reach the
-    driver, one number per ``rows_per_partition`` rows. Null ids are one id; repeated rows take different slots;
+    driver, one number per ``rows_per_partition`` rows until the matrix has ``MOST_DRAWS`` numbers; from there on the
+    partitions grow instead. Null ids are one id; repeated rows take different slots;
     columns named shard or slot are replaced; no rows give no rows; shards without a row do not appear.
     """
     spark = docs.sparkSession
-    own = written(docs.drop("shard", "slot"), "shard-rows")
+    plain = docs.drop("shard", "slot")
+    own = written(plain.select(whole_row(plain).alias("row"), F.col(id_col).alias("id")), "shard-rows")
     total = own.count()
-    parts = buckets_for(total, rows_per_partition)
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("\x00"))
+    parts = min(buckets_for(total, rows_per_partition), max(1, MOST_DRAWS // shards))
+    ident = F.coalesce(F.col("id").cast("string"), F.lit("\x00"))
     key = lambda n: F.xxhash64(F.lit(seed + n), ident)
-    dealt = own.withColumns({"__part": F.pmod(key(0), F.lit(parts)).cast("int"), "__key": key(1)})
-    counted = dealt.groupBy("__part").count().orderBy("__part").collect()
+    dealt = own.withColumns({"part": F.pmod(key(0), F.lit(parts)).cast("int"), "key": key(1)})
+    counted = dealt.groupBy("part").count().orderBy("part").collect()
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     matrix = communication_matrix([r["count"] for r in counted], sizes, seed)
-    ends = pd.DataFrame({"__part": np.array([r["__part"] for r in counted], dtype=np.int32),
-                         "__ends": [x.tolist() for x in np.cumsum(matrix, axis=1)]})
-    limits = spark.createDataFrame(ends if len(ends) else [], "__part int, __ends array<bigint>")
-    place = F.row_number().over(Window.partitionBy("__part").orderBy("__key", id_col)) - 1
-    first = dealt.withColumn("__place", place).join(limits, "__part")
-    shard = F.size(F.filter("__ends", lambda end: end <= F.col("__place"))).cast("int")
-    sent = first.withColumn("shard", shard).drop("__part", "__place", "__ends")
+    ends = pd.DataFrame({"part": np.array([r["part"] for r in counted], dtype=np.int32),
+                         "ends": [x.tolist() for x in np.cumsum(matrix, axis=1)]})
+    limits = spark.createDataFrame(ends if len(ends) else [], "part int, ends array<bigint>")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("key", "id")) - 1
+    first = dealt.withColumn("place", place).join(limits, "part")
+    shard = F.size(F.filter("ends", lambda end: end <= F.col("place"))).cast("int")
+    sent = first.withColumn("shard", shard).drop("part", "place", "ends")
     cells = buckets_for(total, rows_per_partition * shards)
-    again = sent.withColumns({"__key": key(2), "__cell": F.pmod(key(3), F.lit(cells)).cast("int")})
-    return rank_in_groups(again, ["shard"], ["__cell"], ["__key", id_col], "slot").select(*own.columns, "shard", "slot")
+    again = sent.withColumns({"key": key(2), "cell": F.pmod(key(3), F.lit(cells)).cast("int")})
+    return rank_in_groups(again, ["shard"], ["cell"], ["key", "id"], "slot").select("row.*", "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id", **options) -> None:
