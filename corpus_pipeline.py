@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from varscope.llm.common import new_path
+from varscope.llm.common import new_path, small_batches, whole_row
 from varscope.llm.exact_dedup import drop_exact_copies
-from varscope.llm.language_id import NO_LANGUAGE, fit_languages, identify_languages
+from varscope.llm.language_id import NO_LANGUAGE, fit_languages, language_column
 from varscope.llm.minhash_forest import drop_near_copies
 from varscope.llm.mixing import repeat_by_mixture
 from varscope.llm.packing import pack_documents
@@ -29,23 +29,36 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_languages(docs)
     if not model["langs"]:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = identify_languages(docs, model, out_col="__language")
-    clear = (F.col("__language.lang") != NO_LANGUAGE) & (F.col("__language.score") >= LEAST_LANGUAGE_SHARE)
-    return found.where(clear).drop("__language")
+    small_batches(spark)
+    # The whole row is one value, so that no column of its own can clash with the language found.
+    found = docs.select(whole_row(docs).alias("row"), language_column("text", model).alias("language"))
+    clear = (F.col("language.lang") != NO_LANGUAGE) & (F.col("language.score") >= LEAST_LANGUAGE_SHARE)
+    return found.where(clear).select("row.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text: the longest, then the smallest id."""
+    """One document of each text: the longest, then the smallest id.
+
+    Null texts are empty and one text; of rows with equal ids and texts one stays; a null id stays only where no other
+    row is as long.
+    """
     return drop_exact_copies(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, told by shingles of five words: the smallest id."""
+    """One document of each group of near copies, told by shingles of five words: the smallest id.
+
+    Texts without a word are in no group. Rows with equal ids stay or go together.
+    """
     return drop_near_copies(docs, words=SHINGLE_WORDS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for, from none to three times."""
+    """Each document as often as its source's target asks for, from none to three times.
+
+    A null source is a source; a document without words adds none however often it is taken; rows with equal ids are taken each by
+    its own count.
+    """
     return repeat_by_mixture(docs)
 
 
