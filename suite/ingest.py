@@ -64,11 +64,11 @@ LATIN_SQL = "regexp_full_match(text, '[\\x{0}-\\x{7e}\\x{a1}-\\x{ff}]*')"
 
 
 @query("csv_encodings", f"""
-SELECT doc_id, sha256(text) AS texto, 1::BIGINT AS avisos FROM documents WHERE {LATIN_SQL} AND text NOT IN {NA_SQL} AND text NOT LIKE '%' || chr(13) || '%'""")
+SELECT doc_id, sha256(text) AS texto, 1::BIGINT AS avisos FROM documents WHERE {LATIN_SQL} AND text NOT IN {NA_SQL}""")
 def csv_encodings(spark, sf):
     """Half of the files in UTF-8 and half in Latin-1, read side by side."""
     docs = table(spark, sf, "documents").select("doc_id", "text").filter(
-        F.col("text").rlike(r"^[\x00-\x7e\xa1-\xff]*$") & ~F.col("text").isin(list(delimited.cleaning.NA_TOKENS)) & ~F.col("text").contains("\r"))
+        F.col("text").rlike(r"^[\x00-\x7e\xa1-\xff]*$") & ~F.col("text").isin(list(delimited.cleaning.NA_TOKENS)))
     base = scratch(spark, "mixed")
     for encoding, rest in ((delimited.UTF8, 0), (delimited.LATIN1, 1)):
         docs.filter(F.col("doc_id") % 2 == rest).write.mode("append").options(
@@ -86,8 +86,8 @@ def csv_warnings(spark, sf):
     lines = table(spark, sf, "orders").select(F.concat_ws(
         ",", "o_orderkey", F.lit(""), "o_orderstatus", "o_custkey", F.when(F.col("o_orderkey") % 10 == 0, F.lit("resto"))).alias("value"))
     path = scratch(spark, "lines")
-    header = spark.range(1).select(F.lit("clave,nada,clave,").alias("value"))
-    header.unionByName(lines).coalesce(1).write.text(path)
+    # Lines as they are, every file with the header line of its own.
+    lines.toDF("clave,nada,clave,").write.options(header=True, sep="\x01", quote="\x00", escapeQuotes=False).csv(path)
     return flat(delimited.load(spark, path).warnings().select("codigo", "n"))
 
 
