@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from suite.registry import flat, query, stacked, stacked_text, table
+from varscope.functions.columns import numeric_long
 from varscope.functions.vocab import PERCENTILES
 from varscope.operators import describe, frequencies
 from varscope.operators.profile import column_profile, top_categories
+from varscope.operators.quantiles import APPROX, RANK_ERROR
 
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 VALUES = stacked("lineitem", COLUMNS)
@@ -47,6 +49,24 @@ def describe_deciles(spark, sf):
     return flat(describe.decile_rows(table(spark, sf, "lineitem"), COLUMNS))
 
 
+@query("describe_percentiles_approx", f"""
+SELECT columna, 'p' || p AS estadistico, count(x) AS n, true AS dentro
+FROM ({VALUES}), (SELECT unnest([{', '.join(map(str, PERCENTILES))}]) AS p) GROUP BY ALL""")
+def describe_percentiles_approx(spark, sf):
+    """Sketched percentiles, each held against its rank in the table: off by ``RANK_ERROR`` of the rows at most."""
+    lines = table(spark, sf, "lineitem")
+    found = describe.percentile_rows(lines, COLUMNS, mode=APPROX)
+    long = numeric_long(lines, COLUMNS)
+    # Nine rows per column, rounded to four places, which all values of these columns keep.
+    ranked = long.join(F.broadcast(found), "columna").groupBy("columna", "estadistico").agg(
+        F.count("*").alias("n"), F.count_if(F.col("x") < F.col("valor")).alias("menores"),
+        F.count_if(F.col("x") <= F.col("valor")).alias("hasta"))
+    rank = F.col("n") * F.substring("estadistico", 2, 2).cast("double") / 100
+    error = F.col("n") * RANK_ERROR + 1
+    return flat(ranked.select("columna", "estadistico", "n", (
+        (F.col("menores") - error <= rank) & (rank <= F.col("hasta") + error)).alias("dentro")))
+
+
 MODES_SQL = f"""WITH f AS (SELECT columna, x, count(*) AS n FROM ({VALUES}) GROUP BY columna, x),
 t AS (SELECT *, max(n) OVER (PARTITION BY columna) AS top FROM f),
 m AS (SELECT columna, x AS moda, n, row_number() OVER (PARTITION BY columna ORDER BY x) AS orden

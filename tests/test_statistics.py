@@ -166,3 +166,66 @@ def test_correlation_scans_do_not_grow_with_the_columns(spark):
     want = pd.DataFrame(x, columns=[f"c{i}" for i in range(60)]).corr()
     assert len(got) == 3_600 and all(got[a, b] == pytest.approx(want.loc[a, b], abs=1e-6) for a, b in got)
     assert table._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan")[0].count("MapInPandas") == 1
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan ")
+
+
+def test_exact_quantiles_of_large_columns_take_two_scans(spark, monkeypatch, tmp_path):
+    """One scan sketches all columns, one ranks the values inside the brackets; neither depends on the values."""
+    monkeypatch.setattr(quantiles, "SMALL_GROUP", 1_000)
+    rng = random.Random(6)
+    values = [(rng.gauss(0, 1) ** 5, float(rng.randint(0, 9)), math.exp(rng.gauss(0, 6))) for _ in range(40_000)]
+    spark.createDataFrame(values, "a double, b double, c double").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    jobs = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: (jobs.append(scans(self)), collect(self))[1])
+    monkeypatch.setattr(quantiles, "_by_narrowing", lambda *_: pytest.fail("no bracket may miss its rank"))
+    probs = [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0]
+    got = {(r["columna"], r["prob"]): r["valor"] for r in quantiles.quantiles(numeric_long(df, ["a", "b", "c"]), probs, small_group=1_000, few=True).collect()}
+    assert [n for n in jobs if n] == [1, 1]
+    for i, name in enumerate("abc"):
+        for p in probs:
+            assert got[name, p] == pytest.approx(brute([v[i] for v in values], p), rel=1e-12)
+
+
+def test_brackets_that_miss_or_hold_too_much_are_narrowed(spark, monkeypatch):
+    """Sketches so coarse that ranks are missed, and brackets with more rows than a task may order."""
+    rng = random.Random(7)
+    values = [rng.expovariate(1) ** 3 for _ in range(3_000)]
+    long = spark.createDataFrame([("g", v) for v in values], "columna string, x double").repartition(5)
+    for setting in ({"INSIDE_ROWS": 1}, {"SKETCH_ACCURACY": 3}):
+        with monkeypatch.context() as patch:
+            patch.setattr(quantiles, "SMALL_GROUP", 50)
+            for name, value in setting.items():
+                patch.setattr(quantiles, name, value)
+            got = {r["prob"]: r["valor"] for r in quantiles.quantiles(long, [0.1, 0.5, 0.99], small_group=50, few=True).collect()}
+        assert got == {p: pytest.approx(brute(values, p), rel=1e-12) for p in (0.1, 0.5, 0.99)}
+
+
+@pytest.mark.parametrize("shape", ["normal", "ties", "sorted"])
+def test_approximate_quantiles_keep_their_error(spark, monkeypatch, shape):
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 200)
+    rng = random.Random(8)
+    values = {"normal": [rng.gauss(0, 1) for _ in range(60_000)], "ties": [float(rng.randint(0, 50)) for _ in range(60_000)],
+              "sorted": [float(n) for n in range(60_000)]}[shape]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(7)
+    rows = quantiles.quantiles(numeric_long(df, ["x"]), [0.01, 0.25, 0.5, 0.9], mode="approx")
+    for r in rows.collect():
+        low, high = sum(v < r["valor"] for v in values), sum(v <= r["valor"] for v in values)
+        assert low - 300 <= r["prob"] * len(values) <= high + 300
+        assert r["valor"] in values
+    with pytest.raises(ValueError, match="mode"):
+        quantiles.quantiles(df, [0.5], mode="about")
+
+
+def test_approximate_summary_is_close_to_the_exact_one(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(rng.gauss(10, 2),) for _ in range(20_000)], "x double")
+    exact, close = describe.numeric_summary(df).first(), describe.numeric_summary(df, mode="approx").first()
+    assert (exact["conteo"], exact["media"]) == (close["conteo"], close["media"])
+    for name in ("mediana", "q1", "q3"):
+        assert close[name] == pytest.approx(exact[name], abs=0.01)
+    assert abs(close["atipicos"] - exact["atipicos"]) <= 10

@@ -19,7 +19,7 @@ from varscope.operators.grouping import (
     share_of_category, with_label,
 )
 from varscope.operators.ordering import ordered_slice
-from varscope.operators.quantiles import quantiles
+from varscope.operators.quantiles import EXACT, quantiles
 
 # --- Fixed values: sizes of the charts, points of the axis scores below
 PIE_SLICES = 10
@@ -174,19 +174,22 @@ def _box_values(df: DataFrame, y: str, x: str | None) -> DataFrame:
     return values.filter(F.col("grupo").isin([r["grupo"] for r in shown.collect()]))
 
 
-def _fenced(df: DataFrame, y: str, x: str | None) -> DataFrame:
+def _fenced(df: DataFrame, y: str, x: str | None, mode: str = EXACT) -> DataFrame:
     values = _box_values(df, y, x)
-    boxes = quartile_row(quantiles(values, (0.25, 0.5, 0.75), by="grupo"), "grupo").select(
+    boxes = quartile_row(quantiles(values, (0.25, 0.5, 0.75), by="grupo", few=True, mode=mode), "grupo").select(
         "*", (F.col("q1") - 1.5 * F.col("iqr")).alias("valla_inf"),
         (F.col("q3") + 1.5 * F.col("iqr")).alias("valla_sup"))
     # One row per box: twelve at most.
     return values.join(F.broadcast(boxes), "grupo")
 
 
-def box(df: DataFrame, y: str, x: str | None = None) -> DataFrame:
-    """``grupo, n, q1, mediana, q3, bigote_inf, bigote_sup, atipicos`` per box."""
+def box(df: DataFrame, y: str, x: str | None = None, mode: str = EXACT) -> DataFrame:
+    """``grupo, n, q1, mediana, q3, bigote_inf, bigote_sup, atipicos`` per box.
+
+    With ``mode`` ``approx`` the quartiles are sketched; counts and whiskers are those of their fences.
+    """
     inside = F.col("x").between(F.col("valla_inf"), F.col("valla_sup"))
-    return _fenced(df, y, x).groupBy("grupo", "q1", "q2", "q3").agg(
+    return _fenced(df, y, x, mode).groupBy("grupo", "q1", "q2", "q3").agg(
         F.count("*").alias("n"), F.min(F.when(inside, F.col("x"))).alias("bigote_inf"),
         F.max(F.when(inside, F.col("x"))).alias("bigote_sup"), F.count_if(~inside).alias("atipicos"),
     ).withColumnRenamed("q2", "mediana")

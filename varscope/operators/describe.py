@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from varscope.functions.columns import local_rows, numeric_columns, numeric_long, rounded
 from varscope.functions.vocab import PERCENTILES
 from varscope.operators.frequencies import value_counts
-from varscope.operators.quantiles import quantiles
+from varscope.operators.quantiles import EXACT, quantiles
 
 MAX_MODES = 10
 
@@ -42,9 +42,9 @@ def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     )
 
 
-def quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def quartiles(df: DataFrame, columns: Sequence[str], mode: str = EXACT) -> DataFrame:
     """One row per column: ``q1, q2, q3, iqr``."""
-    long = quantiles(numeric_long(df, columns), (0.25, 0.5, 0.75))
+    long = quantiles(numeric_long(df, columns), (0.25, 0.5, 0.75), few=True, mode=mode)
     return quartile_row(long, "columna")
 
 
@@ -55,15 +55,15 @@ def quartile_row(long: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
-def percentile_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``columna, estadistico, valor`` for p1 … p99."""
-    rows = quantiles(numeric_long(df, columns), [p / 100 for p in PERCENTILES])
+def percentile_rows(df: DataFrame, columns: Sequence[str], mode: str = EXACT) -> DataFrame:
+    """``columna, estadistico, valor`` for p1 … p99; ``approx`` is off by ``RANK_ERROR`` of the ranks at most."""
+    rows = quantiles(numeric_long(df, columns), [p / 100 for p in PERCENTILES], few=True, mode=mode)
     return _named_quantiles(rows, "p", 100)
 
 
-def decile_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def decile_rows(df: DataFrame, columns: Sequence[str], mode: str = EXACT) -> DataFrame:
     """``columna, estadistico, valor`` for d1 … d10."""
-    rows = quantiles(numeric_long(df, columns), [d / 10 for d in range(1, 11)])
+    rows = quantiles(numeric_long(df, columns), [d / 10 for d in range(1, 11)], few=True, mode=mode)
     return _named_quantiles(rows, "d", 10)
 
 
@@ -104,23 +104,23 @@ def outliers(df: DataFrame, columns: Sequence[str], fences: DataFrame | None = N
 
 
 def numeric_summary(
-    df: DataFrame, columns: Sequence[str] | None = None, counts: DataFrame | None = None
+    df: DataFrame, columns: Sequence[str] | None = None, counts: DataFrame | None = None, mode: str = EXACT
 ) -> DataFrame:
     """Whole numeric summary, one row per column with numbers (none for an empty column).
 
+    ``mode`` ``approx`` takes quartiles, percentiles, deciles and fences from a sketch of one scan.
+
     The parts have one row per column each, so the joins between them are broadcasts.
     """
     columns = numeric_columns(df) if columns is None else list(columns)
     counts = value_counts(df, columns) if counts is None else counts
     probs = {p / 100 for p in PERCENTILES} | {d / 10 for d in range(1, 11)}
-    # One row per column: small enough for the driver, and it saves the quantiles a scan.
+    # One row per column: small enough for the driver.
     first = moments(df, columns)
     base_rows = first.collect()
     base = local_rows(df.sparkSession, base_rows, first.schema)
-    sizes = [{"columna": r["columna"], "n": r["conteo"], "lo": r["minimo"], "hi": r["maximo"]}
-             for r in base_rows]
     long = numeric_long(df, columns)
-    points = quantiles(long, sorted(probs), sizes=sizes)
+    points = quantiles(long, sorted(probs), few=True, mode=mode)
     points = local_rows(df.sparkSession, points.collect(), points.schema)
     percentile_map = F.map_from_entries(F.array_sort(F.collect_list(F.struct(
         F.concat(F.lit("p"), F.round(F.col("prob") * 100).cast("int").cast("string")),

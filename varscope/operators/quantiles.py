@@ -1,11 +1,16 @@
 """Exact quantiles (linear interpolation) for groups of any size.
 
 Small groups use the built-in ``percentile``, whose state is one map per group. A large group
-would make that map as large as the group, so its order statistics are found by narrowing: count
-the values per bin, keep the bin that holds the wanted rank, repeat inside it, and order only the
-few values of the last bin. Each step is one scan with map-side counts and shuffles almost nothing.
-Should more groups be large than are narrowed together, the remaining ones (each a small share of
+would make that map as large as the group, so a mergeable sketch of fixed size first brackets each
+quantile: its rank error is at most ``RANK_ERROR`` of the rows. A second scan counts the rows
+between the brackets and the values inside them, which places every wanted rank exactly; should a
+bracket miss its rank, or be too large to be ordered at once, it is narrowed: count the values per
+bin, keep the bin that holds the rank, repeat inside it. Every scan counts before its shuffle.
+Should more groups be large than are bracketed together, the remaining ones (each a small share of
 all rows by then) are ranked by a sort that can spill.
+
+The mode ``approx`` stops at the sketch: one scan, values of the column itself, ranks off by at
+most ``RANK_ERROR`` of the rows of the group.
 """
 
 from __future__ import annotations
@@ -20,6 +25,10 @@ from varscope.functions.columns import local_rows
 SMALL_GROUP = 200_000     # rows per group that one task may order
 MAX_LARGE_GROUPS = 5_000  # groups narrowed together; any other is at most 1/5,000 of the rows
 BINS = 1_024
+SKETCH_ACCURACY = 20_000  # entries of a sketch, about
+RANK_ERROR = 1 / SKETCH_ACCURACY
+INSIDE_ROWS = 2_000_000   # values inside the brackets of a group that one task may order
+EXACT, APPROX = "exact", "approx"
 
 
 def _wanted_ranks(n: int, probs: Sequence[float]) -> list[int]:
@@ -36,13 +45,21 @@ def _between(rest: Column) -> Column:
 
 def quantiles(
     long: DataFrame, probs: Sequence[float], by: str = "columna", small_group: int = SMALL_GROUP,
-    sizes: Sequence | None = None,
+    sizes: Sequence | None = None, few: bool = False, mode: str = EXACT,
 ) -> DataFrame:
     """``by, prob, valor`` for a frame with columns ``by`` (not null) and ``x`` (double, not null).
 
     ``sizes`` may hold rows ``by, n, lo, hi`` of every group when the caller already knows them.
+    ``few`` says that there are few groups (columns, boxes), so that their sketches are made by the
+    scan that finds their sizes. ``mode`` is ``exact`` or ``approx``.
     """
     probs = sorted(set(probs))
+    if mode not in (EXACT, APPROX):
+        raise ValueError(f"mode must be {EXACT} or {APPROX}, not {mode}")
+    if mode == APPROX:
+        return _by_sketch(long, probs, by)
+    if few:
+        sizes = _sketches(long, probs, by).collect()
     if sizes is not None:
         sizes = sorted(sizes, key=lambda r: -r["n"])
     else:
@@ -54,15 +71,119 @@ def quantiles(
     large = [r for r in sizes[:MAX_LARGE_GROUPS] if r["n"] > small_group]
     if not large:
         return _by_percentile(long, probs, by)
-    narrowed = _by_narrowing(long, large, probs, by)
-    if len(large) == len(sizes):
-        return narrowed
     key_table = local_rows(long.sparkSession, [(r[by],) for r in large],
                            T.StructType([T.StructField(by, long.schema[by].dataType)]))
+    if not few:
+        large = _sketches(long.join(F.broadcast(key_table), by), probs, by).collect()
+    placed = _interpolated(long, large, _ranked_values(long, large, probs, by), probs, by)
+    if len(large) == len(sizes):
+        return placed
     rest = long.join(F.broadcast(key_table), by, "left_anti")
     biggest_left = sizes[len(large)]["n"]
     method = _by_percentile if biggest_left <= small_group else _by_sorting
-    return narrowed.unionByName(method(rest, probs, by))
+    return placed.unionByName(method(rest, probs, by))
+
+
+def _by_sketch(long: DataFrame, probs: Sequence[float], by: str) -> DataFrame:
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    return (
+        long.groupBy(by).agg(F.percentile_approx("x", wanted, SKETCH_ACCURACY).alias("q"))
+        .select(by, F.explode(F.arrays_zip(wanted.alias("prob"), F.col("q").alias("valor"))).alias("z"))
+        .select(by, F.col("z.prob").alias("prob"), F.col("z.valor").alias("valor"))
+    )
+
+
+def _margins(prob: float) -> tuple[float, float]:
+    """Ranks, as shares, whose sketched values lie on either side of a quantile, whatever the error."""
+    return max(0.0, prob - 3 * RANK_ERROR), min(1.0, prob + 3 * RANK_ERROR)
+
+
+def _sketches(long: DataFrame, probs: Sequence[float], by: str) -> DataFrame:
+    """``by, n, lo, hi, bordes``: one row per group, ``bordes`` the values at all margins in order."""
+    margins = F.array(*[F.lit(m) for m in sorted({m for p in probs for m in _margins(p)})])
+    return long.groupBy(by).agg(
+        F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+        F.percentile_approx("x", margins, SKETCH_ACCURACY).alias("bordes"))
+
+
+def _brackets(group, probs: Sequence[float]) -> list[list]:
+    """Disjoint brackets ``[lo, hi, ranks]`` of a sketched group, in order."""
+    at = dict(zip(sorted({m for p in probs for m in _margins(p)}), group["bordes"]))
+    found: list[list] = []
+    for p in probs:
+        low, high = (at[m] for m in _margins(p))
+        # The ends of the ranking are known, the sketch need not hold them.
+        low = group["lo"] if _margins(p)[0] == 0.0 else low
+        high = group["hi"] if _margins(p)[1] == 1.0 else high
+        ranks = _wanted_ranks(group["n"], [p])
+        if found and low <= found[-1][1]:
+            found[-1][1] = max(high, found[-1][1])
+            found[-1][2] = sorted({*found[-1][2], *ranks})
+        else:
+            found.append([low, high, ranks])
+    return found
+
+
+def _ranked_values(long: DataFrame, groups: list, probs: Sequence[float], by: str) -> list[tuple]:
+    """Rows ``group, rank, value`` of the wanted ranks of sketched groups: a few per group.
+
+    One scan gives each row of a group the bracket it is in or the gap between two brackets. Gaps
+    are counted, brackets are counted by value, and the running total places the ranks.
+    """
+    spark, key_type = long.sparkSession, long.schema[by].dataType
+    schema = T.StructType([
+        T.StructField(by, key_type), T.StructField("tramo", T.IntegerType()), T.StructField("dentro", T.BooleanType()),
+        T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()), T.StructField("rangos", T.ArrayType(T.LongType()))])
+    parts, narrow = [], []
+    for group in groups:
+        brackets = _brackets(group, probs)
+        if 6 * RANK_ERROR * group["n"] * len(brackets) > INSIDE_ROWS:
+            narrow.append(group)
+            continue
+        last = -math.inf
+        for lo, hi, ranks in brackets:
+            parts.append((group[by], len(parts), False, last, lo, []))
+            parts.append((group[by], len(parts), True, lo, hi, ranks))
+            last = hi
+        parts.append((group[by], len(parts), False, last, math.inf, []))
+    found = []
+    if parts:
+        table = F.broadcast(local_rows(spark, parts, schema).withColumnRenamed(by, "_clave"))
+        here = F.when(F.col("dentro"), F.col("x").between(F.col("lo"), F.col("hi"))).otherwise(
+            (F.col("x") > F.col("lo")) & (F.col("x") < F.col("hi")))
+        counted = long.join(table, (F.col(by) == F.col("_clave")) & here).groupBy(
+            by, "tramo", F.when(F.col("dentro"), F.col("x")).alias("x")).agg(F.count("*").alias("n"))
+        upto = Window.partitionBy(by).orderBy("tramo", "x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = counted.withColumn("hasta", F.sum("n").over(upto)).join(table.select("tramo", "rangos"), "tramo")
+        hits = F.filter("rangos", lambda r: (r >= F.col("hasta") - F.col("n")) & (r < F.col("hasta")))
+        found = [tuple(r) for r in ranked.select(by, F.explode(hits).alias("rango"), "x").collect()]
+    known = {(k, rank) for k, rank, _ in found}
+    missed = [g for g in groups if g not in narrow and any((g[by], r) not in known for r in _wanted_ranks(g["n"], probs))]
+    missed += narrow
+    again = {g[by] for g in missed}
+    return [f for f in found if f[0] not in again] + (_by_narrowing(long, missed, probs, by) if missed else [])
+
+
+def _interpolated(long: DataFrame, groups: list, values: list[tuple], probs: Sequence[float], by: str) -> DataFrame:
+    """Quantiles from the values at their ranks: two rows per quantile and group, made on the driver."""
+    spark, key_type = long.sparkSession, long.schema[by].dataType
+    chosen = local_rows(spark, values, T.StructType([
+        T.StructField(by, key_type), T.StructField("rango", T.LongType()), T.StructField("x", T.DoubleType())]))
+    wanted = []
+    for r in groups:
+        for p in probs:
+            h = (r["n"] - 1) * p
+            for rank in {math.floor(h), math.ceil(h)}:
+                wanted.append((r[by], float(p), rank, h - math.floor(h)))
+    schema = T.StructType([
+        T.StructField(by, key_type), T.StructField("prob", T.DoubleType()),
+        T.StructField("rango", T.LongType()), T.StructField("resto", T.DoubleType()),
+    ])
+    targets = local_rows(spark, wanted, schema)
+    return (
+        chosen.join(F.broadcast(targets), [by, "rango"]).groupBy(by, "prob", "resto")
+        .agg(_between(F.col("resto")).alias("valor")).select(by, "prob", "valor")
+    )
 
 
 def _by_percentile(long: DataFrame, probs: Sequence[float], by: str) -> DataFrame:
@@ -124,7 +245,8 @@ def _ranked_inside(long: DataFrame, table: DataFrame, by: str) -> DataFrame:
         "rangos", lambda r: (r >= F.col("hasta") - F.col("n")) & (r < F.col("hasta")))).alias("rango"))
 
 
-def _by_narrowing(long: DataFrame, groups: list, probs: Sequence[float], by: str) -> DataFrame:
+def _by_narrowing(long: DataFrame, groups: list, probs: Sequence[float], by: str) -> list[tuple]:
+    """Rows ``group, rank, value`` of the wanted ranks, by bins within bins."""
     spark, key_type = long.sparkSession, long.schema[by].dataType
     # A bracket: group, id, value bounds, rows of the group below it, wanted ranks inside it.
     open_brackets = [
@@ -162,25 +284,7 @@ def _by_narrowing(long: DataFrame, groups: list, probs: Sequence[float], by: str
                 ready.append(bracket)
         open_brackets = [(k, i, *rest) for i, (k, *rest) in enumerate(open_brackets)]
 
-    chosen = local_rows(spark, known, T.StructType([
-        T.StructField(by, key_type), T.StructField("rango", T.LongType()), T.StructField("x", T.DoubleType())]))
     if ready:
         table = _bracket_table(spark, key_type, by, [(k, i, *rest) for i, (k, *rest) in enumerate(ready)])
-        chosen = chosen.unionByName(_ranked_inside(long, table, by))
-
-    wanted = []
-    for r in groups:
-        for p in probs:
-            h = (r["n"] - 1) * p
-            for rank in {math.floor(h), math.ceil(h)}:
-                wanted.append((r[by], float(p), rank, h - math.floor(h)))
-    schema = T.StructType([
-        T.StructField(by, key_type), T.StructField("prob", T.DoubleType()),
-        T.StructField("rango", T.LongType()), T.StructField("resto", T.DoubleType()),
-    ])
-    # Two rows per quantile and large group.
-    targets = local_rows(spark, wanted, schema)
-    return (
-        chosen.join(F.broadcast(targets), [by, "rango"]).groupBy(by, "prob", "resto")
-        .agg(_between(F.col("resto")).alias("valor")).select(by, "prob", "valor")
-    )
+        known += [(r[by], r["rango"], r["x"]) for r in _ranked_inside(long, table, by).collect()]
+    return known
