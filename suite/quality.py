@@ -6,6 +6,7 @@ from suite.registry import DOC_LABELS, documents_with_labels, flat, normal, quer
 from varscope.functions.text import normalize
 from varscope.functions.vocab import AdmissibleRange, Catalogue
 from varscope.operators import quality
+from varscope.operators.catalogues import missing_from, nearest_entries
 from varscope.operators.filters import CATEGORICO, Filter, apply_filters
 from varscope.operators.frequencies import restore_texts, value_counts
 
@@ -214,3 +215,24 @@ SELECT columna, norma, valor, n FROM f WHERE (columna, norma) IN (SELECT (column
 def quality_variant_forms(spark, sf):
     df = spark.sql(SPELLINGS.format(source="{part}"), part=table(spark, sf, "part"))
     return flat(quality.variant_forms(value_counts(df)))
+
+
+WORDS = "[a-zà-ÿ]+"
+CATALOGUE_WORDS = f"""known AS (SELECT DISTINCT {normal('w')} AS entrada FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORDS}')) AS w FROM documents)),
+asked AS (SELECT DISTINCT {normal('w')} AS norma FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORDS}')) AS w FROM conversations))"""
+
+
+@query("quality_large_catalogue", f"""
+WITH {CATALOGUE_WORDS},
+missing AS (SELECT norma, greatest(1, length(norma) // 3) AS limite FROM asked WHERE norma NOT IN (SELECT entrada FROM known)),
+near AS (SELECT norma, arg_min(entrada, (d, entrada)) AS sugerido FROM (
+    SELECT norma, entrada, limite, levenshtein(norma, entrada) AS d FROM missing JOIN known
+      ON length(entrada) BETWEEN length(norma) - limite AND length(norma) + limite) WHERE d <= limite GROUP BY norma)
+SELECT m.norma, n.sugerido FROM missing m LEFT JOIN near n ON n.norma = m.norma""")
+def quality_large_catalogue(spark, sf):
+    """Words of conversations that no document has, each with the nearest word of the documents."""
+    words = lambda name: table(spark, sf, name).select(F.explode(F.regexp_extract_all(
+        F.lower("text"), F.lit(f"({WORDS})"), F.lit(1))).alias("w")).distinct().select(normalize(F.col("w")).alias("norma")).distinct()
+    # Entries without an order of their own: ties go to the first by its letters.
+    known = words("documents").select(F.col("norma").alias("entrada"), F.lit(0).cast("bigint").alias("orden"))
+    return flat(nearest_entries(missing_from(words("conversations"), known), known))

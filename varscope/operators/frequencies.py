@@ -116,11 +116,12 @@ def restore_texts(df: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """Function that puts whole texts back into a few rows ``columna, valor, …`` of compact counts.
 
     ``df`` is the table that was counted. Only texts whose digest is among the rows leave the scan,
-    once per task. The rows are the winners of a group limit, so their digests may be broadcast.
+    once per task. The function takes rows of any number, whose digests are joined by a shuffle; only
+    where they are ``limited``, the winners of a group limit, the digests are broadcast.
     """
     names = [c for c, kind in kinds(df).items() if kind == TEXTO]
 
-    def restore(rows: DataFrame) -> DataFrame:
+    def restore(rows: DataFrame, limited: bool = False) -> DataFrame:
         if not names:
             return rows
         cells = {c: f"CAST({quoted(c)} AS STRING)" for c in names}
@@ -130,7 +131,7 @@ def restore_texts(df: DataFrame) -> Callable[[DataFrame], DataFrame]:
         long = pairs.unpivot([], [quoted(c) for c in names], "columna", "p").filter("p IS NOT NULL").select(
             "columna", F.col("p.v").alias("valor"), F.col("p.t").alias("_entero"))
         wanted = rows.select("columna", "valor").filter(F.col("valor").rlike(DIGEST_END)).distinct()
-        found = long.join(F.broadcast(wanted), ["columna", "valor"], "left_semi").groupBy("columna", "valor").agg(
+        found = long.join(F.broadcast(wanted) if limited else wanted, ["columna", "valor"], "left_semi").groupBy("columna", "valor").agg(
             F.first("_entero").alias("_entero"))
         whole = F.coalesce("_entero", "valor")
         return rows.join(found, ["columna", "valor"], "left").withColumn("valor", whole).drop("_entero")

@@ -13,14 +13,18 @@ from varscope.functions.columns import (
 )
 from varscope.functions.text import normalize, normalize_name
 from varscope.functions.vocab import ADVERTENCIA, AdmissibleRange, CRITICO, Catalogue, INFO
+from varscope.operators.catalogues import LITERAL_ENTRIES, catalogue_table, missing_from, nearest_entries
 from varscope.operators.classify import cell_metrics
 from varscope.operators.duplicates import duplicate_rows
 from varscope.operators.frequencies import restore_texts, value_counts
+from varscope.session import freeze
 
-Restore = Callable[[DataFrame], DataFrame] | None
+Restore = Callable[..., DataFrame] | None
 # --- Fixed values: examples per finding and per variant finding, limit and least rows of the z-score
 EXAMPLES = 5
 VARIANT_EXAMPLES = 3
+#: Spellings of a normal form that a finding quotes; :func:`variant_forms` has them all.
+SPELLINGS_SHOWN = 20
 Z_LIMIT = 4.0
 Z_MIN_ROWS = 10
 
@@ -60,7 +64,7 @@ def _first_examples(rows: DataFrame, by: Sequence[str], order: Sequence[Column],
     place = Window.partitionBy(*by).orderBy(*order)
     first = rows.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= k)
     return (
-        (restore(first) if restore else first)
+        (restore(first, limited=True) if restore else first)
         .groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_n", text.alias("t")))).alias("_e"))
         .select(*by, F.transform("_e", lambda s: s["t"]).alias("ejemplos"))
     )
@@ -100,18 +104,24 @@ def unknown_values(
 ) -> DataFrame:
     """``columna, catalogo, valor, n, sugerido``: distinct values missing from a bound catalogue.
 
-    Catalogues are short fixed lists, so membership is a literal set test on distinct values.
+    A short catalogue is a literal list, tested and searched on distinct values. A long one is a table: membership is
+    an anti-join, and the nearest entry is found by segments, see :func:`catalogues.nearest_entries`.
     """
     parts = []
     for i, catalogue in enumerate(catalogues):
         bound = bound_columns(names, catalogue.hints)
         if not bound:
             continue
-        parts.append(
-            counts.filter(F.col("columna").isin(bound) & ~normalize(F.col("valor")).isin(list(catalogue.values)))
-            .select("columna", F.lit(i).alias("catalogo"), "valor", "n",
-                    suggestion(F.col("valor"), catalogue.values).alias("sugerido"))
-        )
+        mine = counts.filter(F.col("columna").isin(bound))
+        if len(catalogue.values) > LITERAL_ENTRIES:
+            table = catalogue_table(counts.sparkSession, catalogue.values)
+            unknown = freeze(missing_from(_with_norm(mine), table).select("columna", "valor", "n", "norma"))
+            near = nearest_entries(unknown, table)
+            part = unknown.join(near, "norma").select("columna", F.lit(i).alias("catalogo"), "valor", "n", "sugerido")
+        else:
+            part = mine.filter(~normalize(F.col("valor")).isin(list(catalogue.values))).select(
+                "columna", F.lit(i).alias("catalogo"), "valor", "n", suggestion(F.col("valor"), catalogue.values).alias("sugerido"))
+        parts.append(part)
     if not parts:
         return local_rows(counts.sparkSession, [], "columna string, catalogo int, valor string, n bigint, sugerido string")
     return reduce(DataFrame.unionByName, parts)
@@ -212,11 +222,15 @@ def variant_findings(counts: DataFrame, text_columns: Sequence[str], restore: Re
     totals = groups.groupBy("columna").agg(F.count("*").alias("categorias"), F.sum("filas").alias("filas"))
     place = Window.partitionBy("columna").orderBy("norma")
     shown = groups.withColumn("_g", F.row_number().over(place)).filter(F.col("_g") <= VARIANT_EXAMPLES)
-    # Three normal forms per column, each with all its spellings.
-    spelled = texts.join(F.broadcast(shown.select("columna", "norma", "_g")), ["columna", "norma"]).select(
-        "columna", "_g", "valor")
-    forms = (restore(spelled) if restore else spelled).groupBy("columna", "_g").agg(
-        F.array_join(F.array_sort(F.collect_list("valor")), " / ").alias("t"))
+    # Three normal forms per column, each with its first spellings; a form can have as many as the column has rows.
+    spelled = texts.join(F.broadcast(shown.select("columna", "norma", "_g", "variantes")), ["columna", "norma"])
+    place = Window.partitionBy("columna", "_g").orderBy("valor")
+    first = spelled.withColumn("_s", F.row_number().over(place)).filter(F.col("_s") <= SPELLINGS_SHOWN).select(
+        "columna", "_g", "valor", "variantes")
+    more = F.first("variantes") - SPELLINGS_SHOWN
+    forms = (restore(first, limited=True) if restore else first).groupBy("columna", "_g").agg(F.concat(
+        F.array_join(F.array_sort(F.collect_list("valor")), " / "),
+        F.when(more > 0, F.concat(F.lit(" / … y "), more.cast("string"), F.lit(" más"))).otherwise("")).alias("t"))
     examples = forms.groupBy("columna").agg(F.array_sort(F.collect_list(F.struct("_g", "t"))).alias("_e")).select(
         "columna", F.transform("_e", lambda s: s["t"]).alias("ejemplos"))
     message = F.concat(F.lit("'"), "columna", F.lit("' tiene "), F.col("categorias").cast("string"),
