@@ -166,3 +166,28 @@ def classify_columns(spark, sf):
 @query("type_summary", f"SELECT tipo, count(*) AS columnas FROM ({PART_SQL}) GROUP BY tipo")
 def type_summary(spark, sf):
     return flat(classify.type_summary(classify.classify(renamed_part(spark, sf))))
+
+
+@query("classify_columns_estimated", f"SELECT columna, tipo, rol, confianza FROM ({PART_SQL})")
+def classify_columns_estimated(spark, sf):
+    return flat(classify.classify(renamed_part(spark, sf), estimated=True).select("columna", "tipo", "rol", "confianza"))
+
+
+DOCUMENT_HINTS = [
+    ("doc_id", "entero", True, False, False, False), ("text", "texto", False, False, False, False),
+    ("lang", "texto", False, False, False, False), ("source", "texto", False, False, False, False),
+    ("n_chars", "entero", False, False, False, False),
+]
+
+
+@query("classify_documents_estimated", f"SELECT columna, tipo, rol, confianza FROM ({classified_sql('documents', DOCUMENT_HINTS)})")
+def classify_documents_estimated(spark, sf):
+    """Whole texts are told apart by a sketch; none is shuffled."""
+    return flat(classify.classify(table(spark, sf, "documents"), estimated=True).select("columna", "tipo", "rol", "confianza"))
+
+
+@query("normalize_forms", f"SELECT sha256({normal('text')}) AS huella, count(*) AS n FROM documents GROUP BY 1")
+def normalize_forms(spark, sf):
+    """Texts by their normal form: how many share it."""
+    forms = table(spark, sf, "documents").select(F.sha2(normalize(F.col("text")), 256).alias("huella"))
+    return flat(forms.groupBy("huella").agg(F.count("*").alias("n")))

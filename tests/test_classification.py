@@ -75,3 +75,24 @@ def test_hints_match_words_or_phrases(spark):
     got = {(r["columna"], r["grupo"]): r["pista"] for r in classify.header_hints(classify.header_table(df)).collect()}
     assert got == {("ID_Pedido", "identificador"): "id", ("Humedad", "continua"): "humedad",
                    ("Talla en cm", "ordinal"): "talla", ("Talla en cm", "continua"): "talla en"}
+
+
+def test_measures_and_near_unique_columns_are_not_counted_by_value(spark):
+    df = spark.range(3_000).selectExpr(
+        "id AS codigo", "id * 0.37 AS precio", "id * 7 AS numero", "concat('text ', id) AS nota", "id % 5 AS grado",
+        "IF(id % 2 = 0, 'si', 'no') AS activo", "CAST(NULL AS DOUBLE) AS vacio", "id % 700 AS lote", "id + 0.5 AS id_fraccion")
+    names = df.columns
+    _, counted, known = classify.counting_gate(df, names)
+    assert "precio" not in counted and set(counted) == set(names) - {"precio"} and not known
+    _, counted, known = classify.counting_gate(df, names, estimated=True)
+    assert set(counted) == {"grado", "activo", "vacio"} and set(known) == {"codigo", "numero", "nota", "lote", "id_fraccion"}
+    fields = ("columna", "tipo", "rol", "confianza", "escala_orden")
+    whole = [[r[f] for f in fields] for r in classify.decide(classify.column_metrics(df)).collect()]
+    for estimated in (False, True):
+        assert sorted([r[f] for f in fields] for r in classify.classify(df, estimated=estimated).collect()) == sorted(whole)
+
+
+def test_estimates_near_a_threshold_are_counted(spark):
+    # 95 % and 90 % and 60 % of the values are distinct: an estimate cannot tell on which side a rule falls.
+    df = spark.range(10_000).selectExpr("id % 9500 AS a", "concat('x', id % 9000) AS b", "concat('y', id % 6000) AS c", "id % 31 AS d")
+    assert classify.counting_gate(df, df.columns, estimated=True)[1] == ["a", "b", "c", "d"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from varscope.functions import vocab
 from varscope.functions.columns import (
-    DECIMAL, ENTERO, TEXTO, column_rows, finite_sql, kinds, quoted, sql_array, sql_text,
+    DECIMAL, ENTERO, TEXTO, column_rows, finite_sql, kinds, local_rows, quoted, sql_array, sql_text,
 )
 from varscope.functions.text import normalize, normalize_name
 from varscope.functions.vocab import (
@@ -19,6 +19,10 @@ from varscope.operators.frequencies import value_counts
 
 WHOLE_TOLERANCE = 1e-9
 MAX_ORDINAL_LEVELS = 12
+#: Relative standard deviation of an estimated number of distinct values, and how many of them it may be off by.
+DISTINCT_ERROR, DEVIATIONS = 0.005, 5
+#: Shares of distinct values that a rule compares with.
+RATIOS = (0.6, 0.9, vocab.IDENTIFIER_UNIQUE_RATIO)
 
 
 # --- Headers ------------------------------------------------------------------------------------
@@ -53,11 +57,12 @@ def header_hints(headers: DataFrame, hints: Mapping[str, Sequence[str]] = vocab.
 
 
 # --- Metrics of the values ------------------------------------------------------------------------
-def cell_metrics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def cell_metrics(df: DataFrame, columns: Sequence[str] | None = None, estimated: bool = False) -> DataFrame:
     """One row per column from one scan: ``columna, total, n, entera, minimo, maximo, largo``.
 
     ``n`` counts cells with a value; ``entera`` tells whether all finite values are whole;
-    ``largo`` is the mean text length.
+    ``largo`` is the mean text length. With ``estimated`` the field ``distintos`` holds the number
+    of distinct values as a HyperLogLog sketch estimates it.
     """
     parts: list[str] = ["count(*) AS _total"]
     rows: list[str] = []
@@ -65,6 +70,10 @@ def cell_metrics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     for i, (name, kind) in enumerate(kinds(df, columns).items()):
         cell, x = quoted(name), finite_sql(name, kind)
         n, whole, low, high, length = f"_n{i}", "true", none, none, none
+        distinct = ""
+        if estimated:
+            parts.append(f"approx_count_distinct({x if kind in (ENTERO, DECIMAL) else cell}, {DISTINCT_ERROR}) AS _d{i}")
+            distinct = f", 'distintos', _d{i}"
         if kind in (ENTERO, DECIMAL):
             parts += [f"count({x}) AS _n{i}", f"min({x}) AS _lo{i}", f"max({x}) AS _hi{i}"]
             low, high = f"_lo{i}", f"_hi{i}"
@@ -77,7 +86,7 @@ def cell_metrics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
                 parts.append(f"avg(length(CAST({cell} AS STRING))) AS _len{i}")
                 length = f"_len{i}"
         rows.append(f"named_struct('columna', {sql_text(name)}, 'total', _total, 'n', {n}, 'entera', {whole}, "
-                    f"'minimo', {low}, 'maximo', {high}, 'largo', {length})")
+                    f"'minimo', {low}, 'maximo', {high}, 'largo', {length}{distinct})")
     return df.agg(*[F.expr(p) for p in parts]).select(F.expr(f"inline(array({', '.join(rows)}))"))
 
 
@@ -178,21 +187,70 @@ def hinted_levels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 # --- Decision -----------------------------------------------------------------------------------
-def column_metrics(df: DataFrame, columns: Sequence[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
-    """Everything the decision needs, one row per column: two passes over the data."""
+def _hinted(name: str, hints: Sequence[str]) -> bool:
+    normal = normalize_name(name)
+    return any(h in normal if " " in h else h in normal.split() for h in hints)
+
+
+def _far_from_all(estimate: int, n: int) -> bool:
+    """Whatever the error of an estimate, every rule reads the number of distinct values alike."""
+    error = DEVIATIONS * DISTINCT_ERROR
+    low, high = estimate * (1 - error), min(n, estimate * (1 + error))
+    words = max(len({w for many in vocab.ORDINAL_SCALES for w in many}), len({w for pair in vocab.BOOLEAN_PAIRS for w in pair}))
+    fewest = max(MAX_ORDINAL_LEVELS, vocab.DISCRETE_MAX_UNIQUE, words)
+    return low > fewest and all((low >= r * n) == (high >= r * n) for r in RATIOS)
+
+
+def counting_gate(df: DataFrame, columns: Sequence[str], estimated: bool = False) -> tuple[DataFrame, list[str], dict[str, int]]:
+    """The cell metrics of one scan, the columns whose values have to be counted, and estimates of the others.
+
+    A measure, a column with fractions, is continuous however many values it has; only a header that names an
+    identifier asks for their number. With ``estimated`` a column is left out too where every rule reads its
+    estimated number of distinct values alike, so that neither ids nor near-unique texts are shuffled by value.
+    """
+    kind = kinds(df, columns)
+    first = cell_metrics(df, columns, estimated)
+    rows = {r["columna"]: r for r in first.collect()}
+    counted, known = [], {}
+    for name in columns:
+        row = rows[name]
+        if kind[name] == DECIMAL and not row["entera"] and not _hinted(name, vocab.HINTS["identificador"]):
+            continue
+        if estimated and row["n"] and kind[name] in (ENTERO, DECIMAL, TEXTO) and _far_from_all(row["distintos"], row["n"]):
+            known[name] = min(row["distintos"], row["n"])
+        else:
+            counted.append(name)
+    # One row per column.
+    return local_rows(df.sparkSession, [rows[c] for c in columns], first.schema).drop("distintos"), counted, known
+
+
+def column_metrics(
+    df: DataFrame, columns: Sequence[str] | None = None, counts: DataFrame | None = None, estimated: bool | None = None
+) -> DataFrame:
+    """Everything the decision needs, one row per column: two passes over the data.
+
+    Where ``estimated`` is given, the first pass decides whose values the second one counts (:func:`counting_gate`);
+    ``unicos`` and ``ratio`` of the other columns are estimates, or null for measures. Otherwise all are counted.
+    """
     columns = list(kinds(df, columns))
-    counts = value_counts(df, columns, compact=True) if counts is None else counts
+    cells, counted, known = None, columns, {}
+    if counts is None and estimated is not None:
+        cells, counted, known = counting_gate(df, columns, estimated)
+    cells = cell_metrics(df, columns) if cells is None else cells
+    counts = value_counts(df, counted, compact=True) if counts is None else counts
     headers = header_table(df, columns).withColumn("_nombre", F.concat(F.lit(" "), "nombre", F.lit(" ")))
     headers = headers.withColumns({f"pista_{g}": first_hint(words) for g, words in vocab.HINTS.items()})
     # Every part below has at most one row per column of the table.
     labels = value_profile(counts).select(
         "columna", "unicos", "ratio", fitting_scale()["niveles"].alias("escala"),
         in_boolean_pair().alias("booleana"))
-    result = headers.join(F.broadcast(cell_metrics(df, columns)), "columna").join(
+    result = headers.join(F.broadcast(cells), "columna").join(
         F.broadcast(labels), "columna", "left")
-    words = {hint: (" " in hint) for hint in vocab.ORDINAL_HINTS}
-    hinted = [c for c in columns if any(
-        h in normalize_name(c) if phrase else h in normalize_name(c).split() for h, phrase in words.items())]
+    if known:
+        guessed = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+        result = result.withColumn("unicos", F.coalesce("unicos", guessed[F.col("columna")].cast("bigint"))).withColumn(
+            "ratio", F.coalesce("ratio", guessed[F.col("columna")] / F.col("n"))).withColumn("booleana", F.coalesce("booleana", F.lit(False)))
+    hinted = [c for c in counted if _hinted(c, vocab.ORDINAL_HINTS)]
     if hinted:
         result = result.join(F.broadcast(hinted_levels(df, hinted)), "columna", "left")
     else:
@@ -263,9 +321,15 @@ def decide(metrics: DataFrame) -> DataFrame:
 CLASSIFICATION_FIELDS = ("pos", "columna", "tipo", "rol", "confianza", "justificacion", "escala_orden")
 
 
-def classify(df: DataFrame, columns: Sequence[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
-    """``pos, columna, tipo, rol, confianza, justificacion, escala_orden``, one row per column."""
-    return decide(column_metrics(df, columns, counts)).select(*CLASSIFICATION_FIELDS)
+def classify(
+    df: DataFrame, columns: Sequence[str] | None = None, counts: DataFrame | None = None, estimated: bool = False
+) -> DataFrame:
+    """``pos, columna, tipo, rol, confianza, justificacion, escala_orden``, one row per column.
+
+    Without ``counts`` only the columns are counted by value whose type asks for it. ``estimated`` lets a sketch
+    decide for near-unique columns too: types, roles and scales are the same, numbers in a reason may be estimates.
+    """
+    return decide(column_metrics(df, columns, counts, estimated)).select(*CLASSIFICATION_FIELDS)
 
 
 def type_summary(classification: DataFrame) -> DataFrame:
