@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from collections.abc import Iterable
 from functools import cache
 
 from pyspark.sql import Column, functions as F
@@ -12,18 +14,58 @@ from varscope.functions.columns import PLAIN_NUMBER
 EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
+# --- Fixed values: where Hangul syllables and the letters that they are made of begin, and how many there are ---
+HANGUL, LEADS, VOWELS, TAILS = 0xAC00, (0x1100, 19), (0x1161, 21), (0x11A7, 28)
+
+
 @cache
-def _accent_table() -> tuple[str, str]:
-    """Accented Latin letters and their base letters, derived from canonical decomposition."""
-    accented, plain = [], []
-    for code in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Characters with their bases, marks without, and the characters with more than one base.
+
+    Derived for all scripts from canonical decomposition, applied to the end and without the marks it
+    leaves; Hangul syllables are left to arithmetic.
+    """
+    folded, bases, marks, several = [], [], [], {}
+    hangul = range(HANGUL, HANGUL + LEADS[1] * VOWELS[1] * TAILS[1])
+    for code in (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)):
         letter = chr(code)
-        parts = unicodedata.normalize("NFD", letter)
-        base = "".join(p for p in parts if unicodedata.category(p) != "Mn")
-        if len(base) == 1 and base != letter:
-            accented.append(letter)
-            plain.append(base)
-    return "".join(accented), "".join(plain)
+        if unicodedata.category(letter) == "Mn":
+            marks.append(letter)
+        elif unicodedata.decomposition(letter) and code not in hangul:
+            base = "".join(c for c in unicodedata.normalize("NFD", letter) if unicodedata.category(c) != "Mn")
+            if len(base) > 1:
+                several[letter] = base
+            elif base != letter:
+                folded.append(letter)
+                bases.append(base)
+    return "".join(folded) + "".join(marks), "".join(bases), several
+
+
+def fold_marks(text: Column) -> Column:
+    """Canonical decomposition without its marks, in every script: what is left of ``é``, ``ά``, ``й``, ``ệ`` is the
+    base letter, and Hangul syllables become their letters.
+
+    Characters with one base are translated in one pass; the few with more, and Hangul, are looked for first.
+    """
+    folded, bases, several = _fold_tables()
+    letters = lambda block: F.array(*[F.lit(chr(block[0] + n)) for n in range(block[1])])
+    tails = F.array(F.lit(""), *[F.lit(chr(TAILS[0] + n)) for n in range(1, TAILS[1])])
+    more = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+
+    def taken_apart(letter: Column) -> Column:
+        place = F.ascii(letter) - HANGUL
+        syllable = F.concat(F.element_at(letters(LEADS), F.floor(place / (VOWELS[1] * TAILS[1])).cast("int") + 1),
+                            F.element_at(letters(VOWELS), F.floor(place / TAILS[1]).cast("int") % VOWELS[1] + 1),
+                            F.element_at(tails, (place % TAILS[1] + 1).cast("int")))
+        return F.when(letter.between(chr(HANGUL), chr(HANGUL + LEADS[1] * VOWELS[1] * TAILS[1] - 1)), syllable).otherwise(
+            F.coalesce(F.try_element_at(more, letter), letter))
+
+    rare = "".join(several) + f"{chr(HANGUL)}-{chr(HANGUL + LEADS[1] * VOWELS[1] * TAILS[1] - 1)}"
+    apart = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1)), taken_apart), "")
+    # One comparison a character tells most texts apart from those that may have such characters.
+    first = min(map(ord, several))
+    found = text.rlike(rf"[\x{{{first:X}}}-\x{{10FFFF}}]") & text.rlike(f"[{rare}]")
+    return F.translate(F.when(found, apart).otherwise(text), folded, bases)
 
 
 def strip(text: Column) -> Column:
@@ -40,10 +82,8 @@ def normalize(text: Column) -> Column:
 
     Accents are looked for only in text that is not plain ASCII, which its byte length tells.
     """
-    accented, plain = _accent_table()
     lower = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    folded = F.regexp_replace(F.translate(lower, accented, plain), r"\p{Mn}+", "")
-    letters = F.when(F.octet_length(lower) == F.length(lower), lower).otherwise(folded)
+    letters = F.when(F.octet_length(lower) == F.length(lower), lower).otherwise(fold_marks(lower))
     return F.trim(F.regexp_replace(letters, r"(?U)[\s_\-\x1c-\x1f]+", " "))
 
 
@@ -116,24 +156,50 @@ def _odd_date(text: Column, pattern: str, groups: tuple[int, int, int], swap: bo
     return moment - F.make_dt_interval(mins=shift)
 
 
-def parse_date(text: Column) -> Column:
+ODD_DATES = range(len(_ODD_DATES))
+
+
+def odd_date(text: Column, shape: int) -> Column:
+    """Timestamp of a date of one of the less common shapes; anything else is null."""
+    pattern, groups, swap = _ODD_DATES[shape]
+    return F.when(text.rlike(pattern), _odd_date(text, pattern, groups, swap))
+
+
+def common_date(text: Column) -> Column:
+    """Timestamp of a date of the two common shapes; anything else is null."""
+    def read(pattern: str, iso: str) -> Column:
+        return F.regexp_replace(text, pattern, iso).try_cast("timestamp_ntz")
+
+    return F.when(text.rlike(YEAR_FIRST), read(YEAR_FIRST, "$1-$3-$4 $5")).when(
+        text.rlike(DAY_FIRST), F.coalesce(read(DAY_FIRST, "$4-$3-$1 $5"), read(DAY_FIRST, "$4-$1-$3 $5")))
+
+
+def in_common_shape(text: Column) -> Column:
+    return text.rlike(YEAR_FIRST) | text.rlike(DAY_FIRST)
+
+
+def parse_date(text: Column, odd: Iterable[int] = ODD_DATES) -> Column:
     """Timestamp without zone from a date with an optional time; anything else is null.
 
     Dates are year first or day first; where the day cannot come first (``03/15/2024``) the month
     does. Years may have two digits (69 to 99 are the last century's), months an English name,
     times AM or PM, and a zone is applied, which gives the moment in UTC. The common forms are
-    rewritten to the ISO form, which the plain cast reads; the others are taken apart.
+    rewritten to the ISO form, which the plain cast reads; the others are taken apart. ``odd`` names the less common
+    shapes to look for: each makes the expression much longer, and a column has few of them.
     """
-    def read(pattern: str, iso: str) -> Column:
-        return F.regexp_replace(text, pattern, iso).try_cast("timestamp_ntz")
-
-    found = F.when(text.rlike(YEAR_FIRST), read(YEAR_FIRST, "$1-$3-$4 $5")).when(
-        text.rlike(DAY_FIRST), F.coalesce(read(DAY_FIRST, "$4-$3-$1 $5"), read(DAY_FIRST, "$4-$1-$3 $5")))
-    for pattern, groups, swap in _ODD_DATES:
+    found = F.when(in_common_shape(text), common_date(text))
+    for shape in odd:
+        pattern, groups, swap = _ODD_DATES[shape]
         found = found.when(text.rlike(pattern), _odd_date(text, pattern, groups, swap))
     return found
 
 
+def reads_as_number(text: Column) -> Column:
+    """Whether :func:`parse_number` gives a number."""
+    packed = F.translate(text, WHITE_SPACE, "")
+    return packed.rlike(EUROPEAN) | F.translate(packed, ",", "").rlike(PLAIN_NUMBER)
+
+
 def natural_key(text: Column) -> Column:
     """Sort key in which digit runs compare as numbers (``b2`` before ``b10``).
 

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from varscope.functions.columns import PLAIN_NUMBER, TEXTO, kinds, quoted, ref
-from varscope.functions.text import DATE_MARK, blank_to_null, parse_date, parse_number
+from varscope.functions.text import (
+    DATE_MARK, ODD_DATES, blank_to_null, common_date, in_common_shape, odd_date, parse_date, parse_number, reads_as_number,
+)
 from varscope.functions.vocab import NA_TOKENS
 from varscope.operators.ordering import ordered_slice
 
@@ -57,24 +59,44 @@ def missing_tokens_to_null(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) ->
     return df.withColumns({c: F.when(~ref(c).isin(list(tokens)), ref(c)) for c in texts}) if texts else df
 
 
+def _text_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``columna, v``: the cells of text columns that hold a value."""
+    return df.selectExpr(*[f"CAST({quoted(c)} AS STRING) AS {quoted(c)}" for c in columns]).unpivot(
+        [], [quoted(c) for c in columns], "columna", "v").filter("v IS NOT NULL")
+
+
 def inference_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``columna, n`` and how many values read as each type, one row per text column, one scan."""
+    """``columna, n`` and how many values read as each type, one row per text column, one scan.
+
+    ``fechas`` counts dates of the common shapes; ``raras`` counts cells of no common shape that have a digit, among
+    which dates of less common shapes can be (:func:`odd_date_counts`).
+    """
     columns = text_columns(df) if columns is None else list(columns)
-    long = df.selectExpr(*[f"CAST({quoted(c)} AS STRING) AS {quoted(c)}" for c in columns]).unpivot(
-        [], [quoted(c) for c in columns], "columna", "v").filter("v IS NOT NULL")
     v = F.col("v")
-    count = lambda test: F.count_if(test)
-    return long.groupBy("columna").agg(
-        F.count("*").alias("n"),
-        count(v.rlike(WHOLE_NUMBER)).alias("digitos"),
-        count(v.rlike(WHOLE_NUMBER) & v.try_cast("bigint").isNotNull()).alias("enteros"),
-        count(v.rlike(LONG_NUMBER)).alias("largos"),
-        count(v.rlike(PLAIN_NUMBER)).alias("decimales"),
-        count(F.lower(v).isin("true", "false")).alias("booleanos"),
-        count(parse_number(v).isNotNull()).alias("numeros"),
-        count(v.rlike(DATE_MARK)).alias("marcas"),
-        count(parse_date(v).isNotNull()).alias("fechas"),
-    )
+    whole = v.rlike(WHOLE_NUMBER)
+    tests = {
+        "digitos": whole, "enteros": whole & v.try_cast("bigint").isNotNull(), "largos": v.rlike(LONG_NUMBER),
+        "decimales": v.rlike(PLAIN_NUMBER), "booleanos": F.lower(v).isin("true", "false"), "numeros": reads_as_number(v),
+        "marcas": v.rlike(DATE_MARK), "fechas": common_date(v).isNotNull(), "raras": ~in_common_shape(v) & v.rlike(r"\d"),
+    }
+    # Cells are counted by the tests they pass, one number, so that one short aggregate serves all tests.
+    passed = sum((F.when(test, 1 << i).otherwise(0) for i, test in enumerate(tests.values())), F.lit(0))
+    counted = _text_cells(df, columns).select("columna", passed.alias("_m")).groupBy("columna", "_m").agg(F.count("*").alias("_n"))
+    return counted.groupBy("columna").agg(F.sum("_n").alias("n"), *[
+        F.sum(F.when(F.col("_m").bitwiseAND(1 << i) > 0, F.col("_n")).otherwise(0)).alias(name) for i, name in enumerate(tests)])
+
+
+def odd_date_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``columna, forma, n``: dates of each less common shape among the cells of no common one."""
+    v = F.col("v")
+    cells = _text_cells(df, columns).filter(~in_common_shape(v) & v.rlike(r"\d"))
+    shapes = F.array(*[F.when(odd_date(v, shape).isNotNull(), shape) for shape in ODD_DATES])
+    return cells.select("columna", F.explode(F.array_compact(shapes)).alias("forma")).groupBy("columna", "forma").agg(
+        F.count("*").alias("n"))
+
+
+def _could_be_dates(row) -> bool:
+    return row["marcas"] / row["n"] >= DATE_MARK_SHARE and (row["fechas"] + row["raras"]) / row["n"] >= DATE_SHARE
 
 
 def decide_type(row) -> str:
@@ -102,28 +124,35 @@ def decide_type(row) -> str:
     return "texto"
 
 
-def convert(text: Column, target: str) -> Column:
+def convert(text: Column, target: str, odd: Sequence[int] = ODD_DATES) -> Column:
     """A text column read as the chosen type; cells that do not fit become null."""
     if target in ("bigint", "decimal(38,0)", "double", "boolean"):
         return text.try_cast(target)
     if target == "numero":
         return parse_number(text)
     if target == "fecha":
-        return parse_date(text)
+        return parse_date(text, odd)
     return text
 
 
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """The table with text columns converted where their content allows, and the chosen types.
 
-    The only thing that reaches the driver is one row of counts per text column.
+    The only thing that reaches the driver is one row of counts per text column. Less common shapes of dates are looked
+    for in a second scan, of the columns in which they can decide or occur, and only those found are read.
     """
     columns = text_columns(df) if columns is None else list(columns)
     if not columns:
         return df, {}
-    chosen = {c: "texto" for c in columns}
-    chosen |= {r["columna"]: decide_type(r) for r in inference_counts(df, columns).collect()}
-    changed = {c: convert(ref(c), t) for c, t in chosen.items() if t != "texto"}
+    rows = {r["columna"]: r.asDict() for r in inference_counts(df, columns).collect()}
+    shapes: dict[str, list[int]] = {}
+    rare = [c for c, r in rows.items() if r["raras"] and _could_be_dates(r)]
+    if rare:
+        for r in odd_date_counts(df, rare).orderBy("columna", "forma").collect():
+            rows[r["columna"]]["fechas"] += r["n"]
+            shapes.setdefault(r["columna"], []).append(r["forma"])
+    chosen = {c: "texto" for c in columns} | {c: decide_type(r) for c, r in rows.items()}
+    changed = {c: convert(ref(c), t, shapes.get(c, ())) for c, t in chosen.items() if t != "texto"}
     return (df.withColumns(changed) if changed else df), chosen
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from varscope.functions.columns import column_rows, finite, local_rows, numeric_columns, numeric_long, rounded
 
+#: Columns up to which pairs are rows: 36 pairs and 8 columns with themselves.
+FEW_COLUMNS = 8
 RESULT = "col_x string, col_y string, r double"
 SUMS = ("n", "p", "sx", "sy", "qx", "qy")
 BOUNDS = ("lox", "hix", "loy", "hiy")
@@ -47,16 +49,38 @@ def _pair_sums(means: list[float]):
     return run
 
 
+def _by_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Every pair as rows of a long frame, with built-in moments; a column with itself tells whether it varies."""
+    k = len(columns)
+    cells = df.select(*[finite(df, name).alias(f"c{i}") for i, name in enumerate(columns)])
+    pairs = ", ".join(f"{i}, {j}, c{i}, c{j}" for i in range(k) for j in range(i, k))
+    long = cells.selectExpr(f"stack({k * (k + 1) // 2}, {pairs}) AS (i, j, x, y)").filter("x IS NOT NULL AND y IS NOT NULL")
+    sums = long.groupBy("i", "j").agg(
+        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"), F.count("*").alias("n"), (F.min("x") < F.max("x")).alias("vx"), (F.min("y") < F.max("y")).alias("vy"))
+    every = column_rows(df, [(i, j) for i in range(k) for j in range(i, k)], "i int, j int")
+    names = F.array(*[F.lit(c) for c in columns])
+    value = F.when((F.col("n") > 1) & F.col("vx") & F.col("vy"), F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.col("r")))
+    half = every.join(sums, ["i", "j"], "left").select("i", "j", names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), value.alias("r"))
+    both = half.select(F.inline(F.when(F.col("i") == F.col("j"), F.array(
+        F.struct(F.col("a").alias("col_x"), F.col("b").alias("col_y"), "r"))).otherwise(F.array(
+            F.struct(F.col("a").alias("col_x"), F.col("b").alias("col_y"), "r"),
+            F.struct(F.col("b").alias("col_x"), F.col("a").alias("col_y"), "r")))))
+    return both.select("col_x", "col_y", rounded(F.col("r")).alias("r"))
+
+
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``col_x, col_y, r`` for every ordered pair; null where a side is constant.
 
-    Two scans whatever the number of columns: one for the means, and one in which every task sums
-    the products of all pairs and returns a row per pair, which are then added up.
+    A table of few columns takes one scan in the JVM, in which each row is a row per pair. A wide one takes two scans
+    whatever the number of columns: one for the means, and one in which every task sums the products of all pairs and
+    returns a row per pair, which are then added up.
     """
     columns = numeric_columns(df) if columns is None else list(columns)
     k = len(columns)
     if k < 2:
         return local_rows(df.sparkSession, [], RESULT)
+    if k <= FEW_COLUMNS:
+        return _by_pairs(df, columns)
     first = {r["columna"]: r for r in numeric_long(df, columns).groupBy("columna").agg(
         F.avg("x").alias("m"), F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
     means = [first[c]["m"] if c in first else 0.0 for c in columns]
