@@ -1,4 +1,5 @@
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -37,3 +38,14 @@ def test_ownership_separates_examples_from_live_values(spark):
     spans = {r["doc_id"]: r["spans"] for r in scan_secrets(docs).collect()}
     assert all(not spans[i] for i in range(8))  # copied by several owners: an example
     assert [(s["kind"], s["start"], s["example"]) for s in spans[20]] == [("owned", 4, False), ("assign", 31, True)]
+
+
+def test_a_text_of_very_many_matches(spark):
+    """The work grows little faster than the matches: a hundred thousand of them in one text take seconds."""
+    text = "".join(f"token=abc{n:06d} é " for n in range(100_000))
+    docs = spark.createDataFrame([(1, text, "s"), (2, "token=abcdef", "s")], "doc_id bigint, text string, source string")
+    start = time.monotonic()
+    spans = {r["doc_id"]: r["spans"] for r in scan_secrets(docs).collect()}
+    assert time.monotonic() - start < 60
+    assert [(s["kind"], s["start"], s["end"]) for s in spans[1]] == _base(text)
+    assert len(spans[1]) == 100_000 and len(spans[2]) == 1

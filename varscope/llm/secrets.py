@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from varscope.llm.common import written
@@ -17,31 +19,51 @@ OWNED = ("owned", r"[A-Za-z0-9+/_=-]{20,}", 0, 20)
 #: A value that so many owners or repositories hold is an example that was copied.
 EXAMPLE_OWNERS = 2
 EXAMPLE_REPOSITORIES = 5
+#: Matches of a block whose places are summed up together, at least.
+LEAST_BLOCK = 16
 #: Bits per character from which a value looks generated.
 LEAST_ENTROPY = 3.0
 
-SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint,value:string>"
 
+def _sum(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
-def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Leftmost non-overlapping matches with their places: a match starts after the pieces and matches before it."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
 
-    def step(state: Column, item: Column) -> Column:
-        begin = state["at"] + F.char_length(item["piece"])
-        end = begin + F.char_length(item["whole"])
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"),
-                        item["value"].alias("value"))
-        keep = F.char_length(item["value"]) >= least
-        return F.struct(end.cast("bigint").alias("at"),
-                        F.when(keep, F.array_append(state["found"], span.cast(SPAN))).otherwise(state["found"]).alias("found"))
+def _steps(n: int, kind: str, pattern: str, group: int, least: int) -> list[dict[str, Column]]:
+    """Projections, one after the other, that add ``spans<n>``: leftmost non-overlapping matches with their places.
 
-    # The last piece has no match after it; arrays_zip gives it a null match, which is left out.
-    items = F.slice(F.arrays_zip(pieces.alias("piece"), whole.alias("whole"), values.alias("value")), F.lit(1), F.size(whole))
-    return F.when(text.rlike(pattern), F.aggregate(items, start, step)["found"]).otherwise(F.array().cast(f"array<{SPAN}>"))
+    A match ends after the pieces and matches up to it. These sums are taken in blocks of about the root of the number
+    of matches: first what each block adds, then where each begins, then the places inside, so that a text of very many
+    matches takes no sum over all of them for each.
+    """
+    text, hit = F.col("text"), F.col("text").rlike(pattern)
+    whole, value, piece, step, size, block, begin, end = (
+        F.col(f"{name}{n}") for name in ("whole", "value", "piece", "step", "size", "block", "begin", "end"))
+    no_text, no_number = F.array().cast("array<string>"), F.array().cast("array<bigint>")
+    found = lambda k: F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(k))).otherwise(no_text)
+    part = lambda i, m: F.slice(step, i * size + 1, m)
+    last = F.ceil(F.size(step) / size).cast("int") - 1
+    # The last piece has no match after it.
+    length = F.zip_with(F.slice(piece, F.lit(1), F.size(whole)), whole, lambda p, w: (F.char_length(p) + F.char_length(w)).cast("bigint"))
+    span = lambda e, i: F.struct(
+        (e - F.char_length(F.get(whole, i))).alias("start"), F.lit(n).alias("rank"), F.lit(kind).alias("kind"), e.alias("end"),
+        F.get(value, i).alias("value"))
+    return [
+        {f"whole{n}": found(0), f"value{n}": found(group), f"piece{n}": F.when(hit, F.split(text, pattern, -1)).otherwise(no_text)},
+        {f"step{n}": length},
+        {f"size{n}": F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.sqrt(F.size(step)))).cast("int")},
+        {f"block{n}": F.when(F.size(step) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: _sum(part(i, size)))).otherwise(no_number)},
+        {f"begin{n}": F.transform(block, lambda _, i: _sum(F.slice(block, F.lit(1), i)))},
+        {f"end{n}": F.flatten(F.transform(begin, lambda at, i: F.transform(part(i, size), lambda _, j: at + _sum(part(i, j + 1)))))},
+        {f"spans{n}": F.filter(F.transform(end, span), lambda s: F.char_length(s["value"]) >= least)},
+    ]
+
+
+def _matches(rows: DataFrame, kinds: Sequence[tuple]) -> DataFrame:
+    """Add ``spans0``, ``spans1`` …, one per kind, for the column ``text``. Each step names its arrays once."""
+    for level in zip(*[_steps(n, *kind) for n, kind in enumerate(kinds)]):
+        rows = rows.withColumns({name: column for part in level for name, column in part.items()})
+    return rows
 
 
 def entropy(value: Column) -> Column:
@@ -54,14 +76,15 @@ def entropy(value: Column) -> Column:
 
 def candidate_spans(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repository_col: str) -> DataFrame:
     """Rows (row, id, owner, repository, spans), one per document; values appear only as hashes."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = F.concat(*[_spans(text, n, *kind) for n, kind in enumerate(BASE_KINDS)],
-                     F.filter(_spans(text, len(BASE_KINDS), *OWNED), lambda s: s["value"].rlike("[0-9]")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
+                       F.col(owner_col).cast("string").alias("owner"), F.col(repository_col).cast("string").alias("repository"),
+                       F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = _matches(rows, [*BASE_KINDS, OWNED])
+    found = F.concat(*[F.col(f"spans{n}") for n in range(len(BASE_KINDS))],
+                     F.filter(f"spans{len(BASE_KINDS)}", lambda s: s["value"].rlike("[0-9]")
                               & s["value"].rlike("[A-Za-z]") & (entropy(s["value"]) >= LEAST_ENTROPY)))
     hashed = F.transform(found, lambda s: s.withField("value", F.unhex(F.sha2(s["value"], 256))))
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
-                       F.col(owner_col).cast("string").alias("owner"), F.col(repository_col).cast("string").alias("repository"),
-                       hashed.alias("spans"))
+    return rows.select("row", "id", "owner", "repository", hashed.alias("spans"))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -88,7 +111,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = F.col("rank") < len(BASE_KINDS)
     order = Window.partitionBy("row").orderBy("start", "rank")
     ended = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    begun = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # The rows that follow are those before it in the other direction: a frame that grows is added to, not read anew.
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("rank"))
+    begun = F.min(F.when(base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, 0))
     clear = (F.coalesce(ended, F.lit(-1)) <= F.col("start")) & (F.coalesce(begun, F.col("end")) >= F.col("end"))
     kept = judged.withColumn("clear", clear).where(base | (F.col("clear") & ~F.col("example")))
     spans = kept.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end", "example"))).alias("spans"))
