@@ -165,13 +165,16 @@ def odd_date(text: Column, shape: int) -> Column:
     return F.when(text.rlike(pattern), _odd_date(text, pattern, groups, swap))
 
 
-def common_date(text: Column) -> Column:
-    """Timestamp of a date of the two common shapes; anything else is null."""
+def common_date(text: Column, year_first: Column | None = None, day_first: Column | None = None) -> Column:
+    """Timestamp of a date of the two common shapes; anything else is null. The tests of the shapes may be given."""
+    year_first = text.rlike(YEAR_FIRST) if year_first is None else year_first
+    day_first = text.rlike(DAY_FIRST) if day_first is None else day_first
+
     def read(pattern: str, iso: str) -> Column:
         return F.regexp_replace(text, pattern, iso).try_cast("timestamp_ntz")
 
-    return F.when(text.rlike(YEAR_FIRST), read(YEAR_FIRST, "$1-$3-$4 $5")).when(
-        text.rlike(DAY_FIRST), F.coalesce(read(DAY_FIRST, "$4-$3-$1 $5"), read(DAY_FIRST, "$4-$1-$3 $5")))
+    return F.when(year_first, read(YEAR_FIRST, "$1-$3-$4 $5")).when(
+        day_first, F.coalesce(read(DAY_FIRST, "$4-$3-$1 $5"), read(DAY_FIRST, "$4-$1-$3 $5")))
 
 
 def in_common_shape(text: Column) -> Column:
@@ -194,9 +197,8 @@ def parse_date(text: Column, odd: Iterable[int] = ODD_DATES) -> Column:
     return found
 
 
-def reads_as_number(text: Column) -> Column:
-    """Whether :func:`parse_number` gives a number."""
-    packed = F.translate(text, WHITE_SPACE, "")
+def reads_as_number(packed: Column) -> Column:
+    """Whether :func:`parse_number` gives a number for a text, given without its white space."""
     return packed.rlike(EUROPEAN) | F.translate(packed, ",", "").rlike(PLAIN_NUMBER)
 
 

@@ -19,8 +19,9 @@ from varscope.operators.frequencies import value_counts
 
 WHOLE_TOLERANCE = 1e-9
 MAX_ORDINAL_LEVELS = 12
-#: Relative standard deviation of an estimated number of distinct values, and how many of them it may be off by.
-DISTINCT_ERROR, DEVIATIONS = 0.005, 5
+#: Buckets of a sketch of distinct values, as a power of two; the relative standard deviation of its estimate is below
+#: the error given, and an estimate is taken to be off by so many of them.
+SKETCH_BITS, DISTINCT_ERROR, DEVIATIONS = 16, 0.005, 5
 #: Shares of distinct values that a rule compares with.
 RATIOS = (0.6, 0.9, vocab.IDENTIFIER_UNIQUE_RATIO)
 
@@ -72,7 +73,8 @@ def cell_metrics(df: DataFrame, columns: Sequence[str] | None = None, estimated:
         n, whole, low, high, length = f"_n{i}", "true", none, none, none
         distinct = ""
         if estimated:
-            parts.append(f"approx_count_distinct({x if kind in (ENTERO, DECIMAL) else cell}, {DISTINCT_ERROR}) AS _d{i}")
+            value = x if kind in (ENTERO, DECIMAL) else f"CAST({cell} AS STRING)"
+            parts.append(f"hll_sketch_estimate(hll_sketch_agg(IF({value} IS NULL, NULL, xxhash64({value})), {SKETCH_BITS})) AS _d{i}")
             distinct = f", 'distintos', _d{i}"
         if kind in (ENTERO, DECIMAL):
             parts += [f"count({x}) AS _n{i}", f"min({x}) AS _lo{i}", f"max({x}) AS _hi{i}"]

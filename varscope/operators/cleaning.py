@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from varscope.functions.columns import PLAIN_NUMBER, TEXTO, kinds, quoted, ref
 from varscope.functions.text import (
-    DATE_MARK, ODD_DATES, blank_to_null, common_date, in_common_shape, odd_date, parse_date, parse_number, reads_as_number,
+    DATE_MARK, DAY_FIRST, ODD_DATES, WHITE_SPACE, YEAR_FIRST, blank_to_null, common_date, in_common_shape, odd_date, parse_date,
+    parse_number, reads_as_number,
 )
 from varscope.functions.vocab import NA_TOKENS
 from varscope.operators.ordering import ordered_slice
@@ -73,15 +74,19 @@ def inference_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     """
     columns = text_columns(df) if columns is None else list(columns)
     v = F.col("v")
-    whole = v.rlike(WHOLE_NUMBER)
+    # What several tests ask for is a column first, so that no expression is repeated in the ones that follow.
+    cells = _text_cells(df, columns).select(
+        "columna", "v", v.rlike(WHOLE_NUMBER).alias("_w"), v.rlike(YEAR_FIRST).alias("_y"), v.rlike(DAY_FIRST).alias("_d"),
+        F.translate(v, WHITE_SPACE, "").alias("_p"))
+    whole, year, day = F.col("_w"), F.col("_y"), F.col("_d")
     tests = {
         "digitos": whole, "enteros": whole & v.try_cast("bigint").isNotNull(), "largos": v.rlike(LONG_NUMBER),
-        "decimales": v.rlike(PLAIN_NUMBER), "booleanos": F.lower(v).isin("true", "false"), "numeros": reads_as_number(v),
-        "marcas": v.rlike(DATE_MARK), "fechas": common_date(v).isNotNull(), "raras": ~in_common_shape(v) & v.rlike(r"\d"),
+        "decimales": v.rlike(PLAIN_NUMBER), "booleanos": F.lower(v).isin("true", "false"), "numeros": reads_as_number(F.col("_p")),
+        "marcas": v.rlike(DATE_MARK), "fechas": common_date(v, year, day).isNotNull(), "raras": ~(year | day) & v.rlike(r"\d"),
     }
     # Cells are counted by the tests they pass, one number, so that one short aggregate serves all tests.
     passed = sum((F.when(test, 1 << i).otherwise(0) for i, test in enumerate(tests.values())), F.lit(0))
-    counted = _text_cells(df, columns).select("columna", passed.alias("_m")).groupBy("columna", "_m").agg(F.count("*").alias("_n"))
+    counted = cells.select("columna", passed.alias("_m")).groupBy("columna", "_m").agg(F.count("*").alias("_n"))
     return counted.groupBy("columna").agg(F.sum("_n").alias("n"), *[
         F.sum(F.when(F.col("_m").bitwiseAND(1 << i) > 0, F.col("_n")).otherwise(0)).alias(name) for i, name in enumerate(tests)])
 
