@@ -48,15 +48,16 @@ def fold_marks(text: Column) -> Column:
     Characters with one base are translated in one pass; the few with more, and Hangul, are looked for first.
     """
     folded, bases, several = _fold_tables()
-    letters = lambda block: F.array(*[F.lit(chr(block[0] + n)) for n in range(block[1])])
-    tails = F.array(F.lit(""), *[F.lit(chr(TAILS[0] + n)) for n in range(1, TAILS[1])])
-    more = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    # Texts as tables: a literal each, where arrays and maps would be hundreds of expressions in every plan.
+    letter_of = lambda block, place: F.substr(F.lit("".join(chr(block[0] + n) for n in range(block[1]))), place + 1, F.lit(1))
+    more = F.str_to_map(F.lit("|".join(f"{a}={b}" for a, b in several.items())), F.lit("\\|"), F.lit("="))
 
     def taken_apart(letter: Column) -> Column:
         place = F.ascii(letter) - HANGUL
-        syllable = F.concat(F.element_at(letters(LEADS), F.floor(place / (VOWELS[1] * TAILS[1])).cast("int") + 1),
-                            F.element_at(letters(VOWELS), F.floor(place / TAILS[1]).cast("int") % VOWELS[1] + 1),
-                            F.element_at(tails, (place % TAILS[1] + 1).cast("int")))
+        tail = (place % TAILS[1]).cast("int")
+        syllable = F.concat(letter_of(LEADS, F.floor(place / (VOWELS[1] * TAILS[1])).cast("int")),
+                            letter_of(VOWELS, F.floor(place / TAILS[1]).cast("int") % VOWELS[1]),
+                            F.when(tail > 0, letter_of(TAILS, tail)).otherwise(""))
         return F.when(letter.between(chr(HANGUL), chr(HANGUL + LEADS[1] * VOWELS[1] * TAILS[1] - 1)), syllable).otherwise(
             F.coalesce(F.try_element_at(more, letter), letter))
 
