@@ -9,6 +9,7 @@ from varscope.operators import quality
 from varscope.operators.catalogues import missing_from, nearest_entries
 from varscope.operators.filters import CATEGORICO, Filter, apply_filters
 from varscope.operators.frequencies import restore_texts, value_counts
+from varscope.session import freeze
 
 RULE_CATALOGUES = (Catalogue("Artículos", "u:a", ("the ", "les "), ()), Catalogue("Verbos", "u:v", ("ierth",), ()))
 RULE_RANGES = (AdmissibleRange("Sílabas", "u:s", ("tion", "ment"), 0.0, 1.0, "u"),)
@@ -234,5 +235,5 @@ def quality_large_catalogue(spark, sf):
     words = lambda name: table(spark, sf, name).select(F.explode(F.regexp_extract_all(
         F.lower("text"), F.lit(f"({WORDS})"), F.lit(1))).alias("w")).distinct().select(normalize(F.col("w")).alias("norma")).distinct()
     # Entries without an order of their own: ties go to the first by its letters.
-    known = words("documents").select(F.col("norma").alias("entrada"), F.lit(0).cast("bigint").alias("orden"))
+    known = freeze(words("documents")).select(F.col("norma").alias("entrada"), F.lit(0).cast("bigint").alias("orden"))
     return flat(nearest_entries(missing_from(words("conversations"), known), known))
