@@ -122,3 +122,21 @@ def test_query_against_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in op13(spark, folder).collect()) == expected(rows)
+
+
+def test_words_in_use_stay_remembered(monkeypatch):
+    """op13_token_files fails the check (CPU): a full memory of words loses those that were not met lately, not all."""
+    from varscope.llm import token_files
+    from varscope.llm.queries import word_tokenizer
+
+    monkeypatch.setattr(token_files, "REMEMBERED_WORDS", 40)
+    encode, _ = token_files._make_encoder(**word_tokenizer())
+    whole, _ = token_files._make_encoder(word_tokenizer()["json_path"], False)
+    known = lambda: dict(zip(encode.__code__.co_freevars, encode.__closure__))["known"].cell_contents
+    encode(["house"])
+    first = known()["house"]
+    for n in range(12):
+        texts = ["house " + " ".join(f"{a}{b}{'abcdefghijkl'[n]}" for a in "bcdfg" for b in "aei") + ", Ünder 12 " + "x" * 90]
+        assert encode(texts) == whole(texts)
+    assert known()["house"] is first
+    assert len(known()) < 80

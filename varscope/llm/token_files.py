@@ -30,8 +30,8 @@ FRAMES_PER_READ = 64
 MOST_READS = 10_000
 #: Compression level of zstandard.
 LEVEL = 3
-#: Words that an encoder remembers, and the longest one.
-REMEMBERED_WORDS, LONGEST_WORD = 400_000, 64
+#: Words that an encoder remembers, in two halves of which the older goes, and the longest one.
+REMEMBERED_WORDS, LONGEST_WORD = 1_000_000, 64
 #: Words that are encoded at a time.
 JOINED_WORDS = 1_000
 # Fixed values of the format: start of a skippable frame, and the footer: bytes of the seek table, its checksum, bytes of
@@ -223,9 +223,12 @@ def _make_encoder(json_path: str, by_words: bool):
     plain = re.compile(f"[{letters}]+").fullmatch
     # How the tokenizer itself writes these letters for its model.
     written_as = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
+    own_ascii = all(written_as[ord(c)] == c for c in letters if c.isascii())
     pieces = tokenizer.model.tokenize
     marks = {m: np.array(tokenizer.encode(m, add_special_tokens=False).ids, dtype=kind).tobytes() for m in ".,;:!?"}
     known: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
+    packers = [struct.Struct(f"<{n}{'H' if width == 2 else 'I'}").pack for n in range(LONGEST_WORD + 1)]
 
     def words_of(text: str) -> list[str] | None:
         try:
@@ -238,13 +241,21 @@ def _make_encoder(json_path: str, by_words: bool):
         return text.replace("\n", " ").split(" ")
 
     def encoded(word: str) -> bytes:
-        return struct.pack(f"<{len(found := pieces(word.translate(written_as)))}{'H' if width == 2 else 'I'}", *[t.id for t in found])
+        found = pieces(word if own_ascii and word.isascii() else word.translate(written_as))
+        if len(found) <= LONGEST_WORD:
+            return packers[len(found)](*[t.id for t in found])
+        return np.array([t.id for t in found], dtype=kind).tobytes()
 
     def by_word(texts: list[str]) -> list[bytes]:
-        if len(known) > REMEMBERED_WORDS:
-            known.clear()
+        nonlocal known, older
+        if len(known) > REMEMBERED_WORDS // 2:
+            known, older = {}, known
         split = [words_of(t) for t in texts]
         new = set().union(*[words for words in split if words]).difference(known)
+        # Words in use stay when the older half goes.
+        again = new.intersection(older)
+        known.update(zip(again, map(older.__getitem__, again)))
+        new -= again
         odd, marked = [], []
         for word in new:
             if plain(word):
@@ -264,9 +275,8 @@ def _make_encoder(json_path: str, by_words: bool):
             cuts = [0, *((np.nonzero(ids == stop)[0] + 1) * width).tolist(), len(raw) + width]
             known.update((w, raw[a:b - width]) for w, a, b in zip(part, cuts, cuts[1:]))
         out = [b"".join(map(known.__getitem__, words)) if words else whole([t])[0] for t, words in zip(texts, split)]
-        for word in new:
-            if len(word) > LONGEST_WORD:
-                del known[word]
+        for word in [w for w in new if len(w) > LONGEST_WORD]:
+            del known[word]
         return out
 
     return by_word, width
