@@ -106,3 +106,12 @@ def test_shares_of_very_large_counts(spark):
     big = 10 ** 15
     row = spark.range(1).select(share(F.lit(big), F.lit(3 * big)).alias("p"), share(F.lit(0), F.lit(1)).alias("one")).first()
     assert row["p"] == 1 + 10 ** 9 * (big + 1) // (3 * big) and row["one"] == 1 + 10 ** 9
+
+
+def test_runs_are_merged_by_term_first(spark):
+    """op12_term_runs fails the check (CPU): a sort tells rows of many terms and few languages apart by the term."""
+    docs = spark.createDataFrame([("bb aa", "de", "s"), ("cc aa", "de", "t"), ("aa bb", "en", "s")], "text string, lang string, source string")
+    found = term_frequencies(docs, run_postings=2)
+    assert "Sort [term" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["lang"], r["source"], r["term"], r["documents"], r["count"]) for r in found.collect()) == [
+        ("de", "s", "aa", 1, 1), ("de", "s", "bb", 1, 1), ("de", "t", "aa", 1, 1), ("de", "t", "cc", 1, 1), ("en", "s", "aa", 1, 1), ("en", "s", "bb", 1, 1)]
