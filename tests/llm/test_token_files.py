@@ -140,3 +140,32 @@ def test_words_in_use_stay_remembered(monkeypatch):
         assert encode(texts) == whole(texts)
     assert known()["house"] is first
     assert len(known()) < 80
+
+
+def test_older_words_are_looked_up_not_walked():
+    """op13_token_files fails the check (CPU): the older half of the memory was walked for every few texts."""
+    from varscope.llm import token_files
+
+    class Unwalked(dict):
+        def __iter__(self):
+            raise AssertionError("all older words are walked")
+
+    encode, width = token_files._make_encoder(**word_tokenizer())
+    whole, _ = token_files._make_encoder(word_tokenizer()["json_path"], False)
+    cells = dict(zip(encode.__code__.co_freevars, encode.__closure__))
+    cells["older"].cell_contents = Unwalked(house=whole(["house"])[0])
+    for texts in (["house of mice, house", ""], ["house"], [""], [], ODD):
+        assert encode(texts) == whole(texts)
+    assert cells["known"].cell_contents["house"] is cells["older"].cell_contents["house"]
+
+
+def test_slices_hold_little_text(monkeypatch):
+    """op13_token_files fails the check (CPU): texts are encoded by their bytes at a time, not by their number."""
+    from varscope.llm import token_files
+
+    monkeypatch.setattr(token_files, "SLICE_BYTES", 10)
+    texts = ["", "é" * 4, "ab", "x" * 35, "", "abc", "a" * 9, ""]
+    parts = [s["text"].to_pylist() for s in token_files.text_slices(pa.record_batch({"text": texts}))]
+    assert [t for p in parts for t in p] == texts and len(parts) > 2
+    assert all(sum(len(t.encode()) for t in p) - max(len(t.encode()) for t in p) < 10 for p in parts)
+    assert [len(s) for s in token_files.text_slices(pa.record_batch({"text": ["", ""]}))] == [2]

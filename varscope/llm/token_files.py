@@ -18,6 +18,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from varscope.llm.common import small_batches
@@ -34,6 +35,8 @@ LEVEL = 3
 REMEMBERED_WORDS, LONGEST_WORD = 1_000_000, 64
 #: Words that are encoded at a time.
 JOINED_WORDS = 1_000
+#: Bytes of text whose words are looked up at a time.
+SLICE_BYTES = 1 << 21
 # Fixed values of the format: start of a skippable frame, and the footer: bytes of the seek table, its checksum, bytes of
 # a token id, mark.
 SKIPPABLE, FOOTER, FOOTER_BYTES, MARK = 0x184D2A50, "<QQB7s", 24, b"TOKENS1"
@@ -230,7 +233,7 @@ def _make_encoder(json_path: str, by_words: bool):
     older: dict[str, bytes] = {}
     packers = [struct.Struct(f"<{n}{'H' if width == 2 else 'I'}").pack for n in range(LONGEST_WORD + 1)]
 
-    def words_of(text: str) -> list[str] | None:
+    def lowered(text: str) -> str | None:
         try:
             text.encode("latin-1")
             text = text.lower()
@@ -238,7 +241,7 @@ def _make_encoder(json_path: str, by_words: bool):
             pass
         if any(name in text for name in special):
             return None
-        return text.replace("\n", " ").split(" ")
+        return text.replace("\n", " ")
 
     def encoded(word: str) -> bytes:
         found = pieces(word if own_ascii and word.isascii() else word.translate(written_as))
@@ -250,12 +253,15 @@ def _make_encoder(json_path: str, by_words: bool):
         nonlocal known, older
         if len(known) > REMEMBERED_WORDS // 2:
             known, older = {}, known
-        split = [words_of(t) for t in texts]
-        new = set().union(*[words for words in split if words]).difference(known)
-        # Words in use stay when the older half goes.
-        again = new.intersection(older)
+        plains = [lowered(t) for t in texts]
+        split = pc.split_pattern(pa.array([t or "" for t in plains], pa.string()), " ")
+        places = split.flatten().dictionary_encode()
+        words = places.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = set(words).difference(known)
+        # Words in use stay when the older half goes. Of the two, the new words are few: they are looked up.
+        again = [w for w in new if w in older]
         known.update(zip(again, map(older.__getitem__, again)))
-        new -= again
+        new.difference_update(again)
         odd, marked = [], []
         for word in new:
             if plain(word):
@@ -274,7 +280,16 @@ def _make_encoder(json_path: str, by_words: bool):
             raw = ids.tobytes()
             cuts = [0, *((np.nonzero(ids == stop)[0] + 1) * width).tolist(), len(raw) + width]
             known.update((w, raw[a:b - width]) for w, a, b in zip(part, cuts, cuts[1:]))
-        out = [b"".join(map(known.__getitem__, words)) if words else whole([t])[0] for t, words in zip(texts, split)]
+        # Distinct words are looked up once; their ids are then copied to wherever the words stand.
+        found = list(map(known.__getitem__, words))
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // width
+        at_word = places.indices.to_numpy()
+        lasting = lengths[at_word]
+        ends = np.concatenate([[0], np.cumsum(lasting)])
+        shift = (np.cumsum(lengths) - lengths)[at_word] - ends[:-1]
+        raw = np.frombuffer(b"".join(found), dtype=kind)[np.repeat(shift, lasting) + np.arange(ends[-1])].tobytes()
+        bounds = (ends[split.offsets.to_numpy()] * width).tolist()
+        out = [whole([t])[0] if p is None else raw[a:b] for t, p, a, b in zip(texts, plains, bounds, bounds[1:])]
         for word in [w for w in new if len(w) > LONGEST_WORD]:
             del known[word]
         return out
@@ -282,6 +297,14 @@ def _make_encoder(json_path: str, by_words: bool):
     return by_word, width
 
 
+def text_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold ``SLICE_BYTES`` of text and one more text at most."""
+    size = np.cumsum(pc.binary_length(batch["text"]).to_numpy().astype(np.int64))
+    cuts = [0, *(np.nonzero(np.diff(size // SLICE_BYTES))[0] + 1).tolist(), len(batch)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
 def write_token_files(docs: DataFrame, location: str, tokenizer: dict, end_id: int, id_col: str = "doc_id",
                       text_col: str = "text", files: int | None = None, frame_ids: int = FRAME_IDS) -> DataFrame:
     """Encode the texts, add ``end_id`` to each, and write token files to ``location`` in ascending order of the ids.
@@ -320,8 +343,7 @@ def write_token_files(docs: DataFrame, location: str, tokenizer: dict, end_id: i
                 # Each attempt writes a file of its own; the list of files names the one that counts.
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.tokens"
                 file = TokenFile(f"{location}/{name}", batch["id"].type, width, frame_ids)
-            for at in range(0, len(batch), 200):
-                some = batch.slice(at, 200)
+            for some in text_slices(batch):
                 for key, raw in zip(some["id"].to_pylist(), encode(some["text"].to_pylist())):
                     file.add(key, raw + end)
         if file is not None:
@@ -374,7 +396,7 @@ def read_token_files(spark: SparkSession, location: str, wanted: Sequence | None
                     bounds = np.concatenate([[0], np.cumsum(counts)])
                     pick = range(len(keys))
                     if asked is not None:
-                        pick = np.nonzero(pa.compute.is_in(keys, pa.array(asked, keys.type)).to_numpy(zero_copy_only=False))[0].tolist()
+                        pick = np.nonzero(pc.is_in(keys, pa.array(asked, keys.type)).to_numpy(zero_copy_only=False))[0].tolist()
                     yield pa.record_batch({
                         id_col: keys.take(pa.array(pick, pa.int64())), "start": pa.array(row["start"] + starts[pick], pa.int64()),
                         "n_tokens": pa.array(counts[pick], pa.int64()),
