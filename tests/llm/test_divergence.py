@@ -115,3 +115,43 @@ def test_runs_are_merged_by_term_first(spark):
     assert "Sort [term" in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["lang"], r["source"], r["term"], r["documents"], r["count"]) for r in found.collect()) == [
         ("de", "s", "aa", 1, 1), ("de", "s", "bb", 1, 1), ("de", "t", "aa", 1, 1), ("de", "t", "cc", 1, 1), ("en", "s", "aa", 1, 1), ("en", "s", "bb", 1, 1)]
+
+
+def test_folded_runs_merge_to_the_same_sums(monkeypatch):
+    """op12_term_runs fails the check (CPU): a row is shuffled for each term of a run, not for each of its sources."""
+    from varscope.llm.divergence import fold_runs, unfold_runs
+
+    batch = pa.record_batch({"lang": ["de", "en", "de", ""] * 30, "source": [f"s{n % 9}" for n in range(120)],
+                             "text": pa.array([b"aa Bb aa cc" if n % 2 else b"\xc3\xa9t\xc3\xa9 bb" if n % 5 else b"12 ;" for n in range(120)], pa.binary())})
+    count, documents = Counter(), Counter()
+    for row in batch.to_pylist():
+        words = terms_of(row["text"].decode())
+        count.update((row["lang"], row["source"], w) for w in words)
+        documents.update({(row["lang"], row["source"], w) for w in words})
+    want = {k: (documents[k], count[k]) for k in count}
+    for postings, cells, longest, at_once in ((10 ** 6, 1, 256, 50_000), (20, 1, 2, 1), (20, 3, 256, 5), (20, 3, 2, 40)):
+        monkeypatch.setattr(divergence, "LIST_POSTINGS", longest)
+        monkeypatch.setattr(divergence, "FOLDED_POSTINGS", at_once)
+        runs = list(index_runs(iter([batch.slice(0, 70), batch.slice(70)]), postings))
+        folded = [r for b in fold_runs(iter(runs), cells) for r in b.to_pylist()]
+        assert all(len(r["source"]) == len(r["count"]) == len(r["documents"]) <= longest for r in folded)
+        if len(runs) == cells == 1:
+            assert len(folded) == len({(lang, term) for lang, _, term in want}) < len(want)
+        folded.sort(key=lambda r: (r["term"], r["lang"], r["cell"]))
+        table = pa.Table.from_pylist(folded, schema=next(fold_runs(iter(runs), cells)).schema)
+        for size in (1, 4, 1_000):
+            found = [r for b in merge_runs(unfold_runs(iter(table.to_batches(max_chunksize=size)))) for r in b.to_pylist()]
+            assert len(found) == len(want) and {(r["lang"], r["source"], r["term"].decode()): (r["documents"], r["count"]) for r in found} == want
+
+
+def test_many_sources_are_dealt_by_cells(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "CELL_SOURCES", 2)
+    rows = corpus(6, 150, 9)
+    assert got(audit_divergence(frame(spark, rows), run_postings=50)) == brute(rows)
+
+
+def test_shares_of_counts_beside_the_range_of_64_bits(spark):
+    edge = ((1 << 63) - 1) // 10 ** 9
+    counts = [0, 1, edge - 2, edge - 1, edge, edge + 1]
+    rows = spark.createDataFrame([(c, c + 7) for c in counts], "c bigint, t bigint").select("c", share(F.col("c"), F.col("t")).alias("p")).collect()
+    assert {r["c"]: r["p"] for r in rows} == {c: 1 + 10 ** 9 * (c + 1) // (c + 7) for c in counts}

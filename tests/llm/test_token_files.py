@@ -159,13 +159,12 @@ def test_older_words_are_looked_up_not_walked():
     assert cells["known"].cell_contents["house"] is cells["older"].cell_contents["house"]
 
 
-def test_slices_hold_little_text(monkeypatch):
+def test_slices_hold_little_text():
     """op13_token_files fails the check (CPU): texts are encoded by their bytes at a time, not by their number."""
-    from varscope.llm import token_files
+    from varscope.llm.common import text_slices
 
-    monkeypatch.setattr(token_files, "SLICE_BYTES", 10)
     texts = ["", "é" * 4, "ab", "x" * 35, "", "abc", "a" * 9, ""]
-    parts = [s["text"].to_pylist() for s in token_files.text_slices(pa.record_batch({"text": texts}))]
+    parts = [s["text"].to_pylist() for s in text_slices(pa.record_batch({"text": texts}), 10)]
     assert [t for p in parts for t in p] == texts and len(parts) > 2
     assert all(sum(len(t.encode()) for t in p) - max(len(t.encode()) for t in p) < 10 for p in parts)
-    assert [len(s) for s in token_files.text_slices(pa.record_batch({"text": ["", ""]}))] == [2]
+    assert [len(s) for s in text_slices(pa.record_batch({"text": ["", ""]}), 10)] == [2]

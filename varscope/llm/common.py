@@ -8,6 +8,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: White space as the word rules define it: space, tab, line feed, vertical tab, form feed, return.
@@ -40,6 +42,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_KEY, TEXT_BATCH_ROWS)
 
 
+def text_slices(batch: pa.RecordBatch, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose ``text`` has ``most_bytes`` and one more text at most."""
+    size = np.cumsum(pc.binary_length(batch["text"]).to_numpy().astype(np.int64))
+    cuts = [0, *(np.nonzero(np.diff(size // most_bytes))[0] + 1).tolist(), len(batch)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

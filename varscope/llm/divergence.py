@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count as numbers_from
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from varscope.llm.common import rank_in_groups, small_batches, written
+from varscope.llm.common import buckets_for, rank_in_groups, small_batches, text_slices, written
 from varscope.llm.vector_sums import add_vectors, vector_batches
 
 #: Postings (a term in a group) that a task holds before it lets go of a run.
-RUN_POSTINGS = 600_000
+RUN_POSTINGS = 1_000_000
 #: Rows of a batch of a run.
 RUN_BATCH = 50_000
+#: Sources of a cell, on average at most: the postings of a term in the sources of a cell are merged together.
+CELL_SOURCES = 4_096
+#: Postings of a row of a run that is shuffled, and postings that are merged at a time.
+LIST_POSTINGS, FOLDED_POSTINGS = 256, 50_000
 #: Shares are whole numbers of this unit.
 UNIT = 1_000_000_000
 #: Sources of a tile: the sums of a pair of tiles are a matrix.
@@ -31,51 +36,173 @@ LOW_BITS = 30
 # A letter is A to Z in either case or any character beyond ASCII; everything else parts words.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _POSTING = ["lang", "term", "source"]
+_COLUMNS = ["lang", "source", "term", "documents", "count"]
+_FOLDED = ["lang", "term", "cell"]
 # Of many runs, the term first: Spark's sort tells most rows apart by the first bytes of its first key.
-_MERGED = ["term", "lang", "source"]
+_MERGED = ["term", "lang", "cell"]
 
 
 def index_runs(batches: Iterator[pa.RecordBatch], run_postings: int) -> Iterator[pa.RecordBatch]:
     """Term-sorted runs of postings (lang, source, term, documents, count) of the texts of a task.
 
-    Each group (lang, source) counts its terms in memory; when the postings held reach ``run_postings``, they are
-    sorted, let go as one run, and counting starts anew.
+    Some texts at a time are counted by group (lang, source) and term, as numbers; when the counts held reach
+    ``run_postings``, equal ones are added, and if they stay half as many, they are let go as one sorted run, and
+    counting starts anew.
     """
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    groups, terms = _numbering(), _numbering()
+    held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
     def run() -> Iterator[pa.RecordBatch]:
-        groups = list(held)
-        lengths = [len(held[g][0]) for g in groups]
-        which = pa.array(np.repeat(np.arange(len(groups)), lengths))
-        counts, documents = [np.fromiter(chain.from_iterable(n), dtype=np.int64, count=sum(lengths)) for n in (
-            (held[g][0].values() for g in groups), (map(held[g][1].__getitem__, held[g][0]) for g in groups))]
-        table = pa.table({
+        key, documents, counts = held[0]
+        names = pa.array(list(terms), pa.binary())
+        langs, sources = (np.unique(np.array([g[n] for g in groups], dtype=object), return_inverse=True)[1] for n in (0, 1))
+        group, term = key >> 32, key & 0xFFFFFFFF
+        rank = np.empty(len(names), dtype=np.int64)
+        rank[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+        order = np.lexsort((sources[group], langs[group] * len(names) + rank[term]))
+        which, term = pa.array(group[order]), pa.array(term[order])
+        table = pa.record_batch({
             "lang": pa.array([g[0] for g in groups], pa.string()).take(which), "source": pa.array([g[1] for g in groups], pa.string()).take(which),
-            "term": pa.array([t for g in groups for t in held[g][0]], pa.binary()), "documents": documents, "count": counts})
-        table = table.sort_by([(c, "ascending") for c in _POSTING])
-        yield from table.combine_chunks().to_batches(max_chunksize=RUN_BATCH)
+            "term": names.take(term), "documents": documents[order], "count": counts[order]})
+        for at in range(0, len(table), RUN_BATCH):
+            yield table.slice(at, RUN_BATCH)
 
     for batch in batches:
-        for lang, source, text in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), batch["text"]):
-            words = text.as_py().translate(_LETTERS).split()
-            if not words:
+        for some in text_slices(batch, 2 * run_postings):
+            found = _counted(some, groups, terms)
+            held.append(found)
+            size += len(found[0])
+            if size < run_postings:
                 continue
-            group = held.get((lang, source))
-            if group is None:
-                group = held[lang, source] = Counter(), Counter()
-            counts, documents = group
-            size -= len(counts)
-            counts.update(words)
-            documents.update(set(words))
-            size += len(counts)
-            if size >= run_postings:
+            held = [_added(held)]
+            size = len(held[0][0])
+            if 2 * size >= run_postings:
                 yield from run()
-                held, size = {}, 0
-    if held:
+                groups, terms, held, size = _numbering(), _numbering(), [], 0
+    if size:
+        held = [_added(held)]
         yield from run()
 
 
+def _numbering() -> dict:
+    """A dictionary that numbers new keys as they are asked for."""
+    return defaultdict(numbers_from().__next__)
+
+
+def _counted(texts: pa.RecordBatch, groups: dict[tuple[str, str], int], terms: dict[bytes, int]) -> tuple[np.ndarray, ...]:
+    """Documents and count of each group and term of some texts; keys are the number of the group and, in the lower 32
+    bits, that of the term. ``groups`` and ``terms`` number what is new to them."""
+    lowered = pa.array([t.translate(_LETTERS) for t in texts["text"].to_pylist()], pa.binary())
+    split = pc.split_pattern(lowered.view(pa.string()), " ")
+    words = split.flatten().dictionary_encode()
+    names = words.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    word = words.indices.to_numpy().astype(np.int64)
+    document = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    if b"" in names:
+        there = word != names.index(b"")
+        word, document = word[there], document[there]
+    # A group is known by its first document here; numbers of what occurs here are short, so that two make a key.
+    pairs = list(zip(texts["lang"].to_pylist(), texts["source"].to_pylist()))
+    first: dict[tuple[str, str], int] = {}
+    group = np.array([first.setdefault(pair, n) for n, pair in enumerate(pairs)], dtype=np.int64)
+    bits = len(names).bit_length()
+    low = (1 << bits) - 1
+    keys, counts = _distinct(group[document] << bits | word)
+    once, _ = _distinct(document << bits | word)
+    _, documents = _distinct(group[once >> bits] << bits | once & low)
+    group_number, term_number = np.zeros(len(texts), dtype=np.int64), np.array(list(map(terms.__getitem__, names)), dtype=np.int64)
+    used = np.unique(keys >> bits).tolist()
+    group_number[used] = [groups[pairs[n]] for n in used]
+    return group_number[keys >> bits] << 32 | term_number[keys & low], documents, counts
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often they occur."""
+    keys = np.sort(keys)
+    starts = np.nonzero(np.diff(keys, prepend=-1))[0]
+    return keys[starts], np.diff(starts, append=len(keys))
+
+
+def _added(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Documents and counts of equal keys added up, in order of the keys."""
+    key, documents, counts = (np.concatenate(part) for part in zip(*held))
+    order = np.argsort(key)
+    key = key[order]
+    starts = np.nonzero(np.diff(key, prepend=-1))[0]
+    return key[starts], np.add.reduceat(documents[order], starts), np.add.reduceat(counts[order], starts)
+
+
+def _changes(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """Whether a row differs from the row before in one of the columns; the first row does."""
+    new = np.zeros(len(batch), dtype=bool)
+    new[:1] = True
+    for name in names:
+        column = batch[name]
+        new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    return new
+
+
+def fold_runs(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, term, cell, source, documents, count) of runs: the last three are lists of ``LIST_POSTINGS`` postings at
+    most, whose sources are of one cell."""
+    for batch in batches:
+        source = batch["source"].dictionary_encode()
+        cell = np.array([zlib.crc32(s.encode()) % cells for s in source.dictionary.to_pylist()], dtype=np.int64)[source.indices.to_numpy()]
+        if cells > 1:
+            # Rows of a language and term are together; among them, those of a cell are put together.
+            order = np.lexsort((cell, np.cumsum(_changes(batch, ["lang", "term"]))))
+            batch, cell = batch.take(pa.array(order)), cell[order]
+        starts = np.nonzero(_changes(batch, ["lang", "term"]) | (np.diff(cell, prepend=-1) != 0))[0]
+        place = np.arange(len(batch)) - np.repeat(starts, np.diff(starts, append=len(batch)))
+        starts = np.nonzero(place % LIST_POSTINGS == 0)[0]
+        first, offsets = pa.array(starts), pa.array(np.append(starts, len(batch)), pa.int32())
+        yield pa.record_batch({"lang": batch["lang"].take(first), "term": batch["term"].take(first), "cell": cell[starts]} | {
+            name: pa.ListArray.from_arrays(offsets, batch[name]) for name in ("source", "documents", "count")})
+
+
+def unfold_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of rows of ``fold_runs`` in order of language, term and cell; those of equal keys follow each other.
+
+    Rows are taken together until they hold ``FOLDED_POSTINGS``. The postings of their last language, term and cell
+    wait, added up, for the next rows.
+    """
+    def postings(folded: pa.RecordBatch) -> pa.RecordBatch:
+        row = pa.array(np.repeat(np.arange(len(folded)), np.diff(folded["source"].offsets.to_numpy())))
+        return pa.record_batch({n: folded[n].take(row) if n in _FOLDED else folded[n].flatten() for n in folded.schema.names})
+
+    def ordered(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, int]:
+        """The postings with those of equal keys together, and where the last language, term and cell begins."""
+        key = np.cumsum(_changes(batch, _FOLDED))
+        source = batch["source"].dictionary_encode()
+        order = np.argsort(key * len(source.dictionary) + source.indices.to_numpy())
+        return batch.take(pa.array(order)), int(np.searchsorted(key, key[-1]))
+
+    waiting: list[pa.RecordBatch] = []
+    rows: list[pa.RecordBatch] = []
+    size = 0
+    for batch in chain(batches, [None]):
+        if batch is not None and len(batch):
+            rows.append(postings(batch))
+            size += len(rows[-1])
+        if not rows or batch is not None and size < FOLDED_POSTINGS:
+            continue
+        found, last = ordered(pa.Table.from_batches([*waiting, *rows]).combine_chunks().to_batches()[0])
+        rows, size = [], 0
+        if last:
+            yield found.slice(0, last).select(_COLUMNS)
+        waiting = _merged(found.slice(last))
+    for batch in waiting:
+        yield batch.select(_COLUMNS)
+
+
+def _merged(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+    """The postings of one language, term and cell with those of equal keys added."""
+    cell = batch["cell"][0]
+    return [pa.record_batch([*b.columns, pa.array([cell.as_py()] * len(b), pa.int64())], names=[*b.schema.names, "cell"]).select(
+        batch.schema.names) for b in merge_runs(iter([batch.select(_COLUMNS)]))]
+
+
 def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add the postings of equal keys, which follow each other; the last key of a batch waits for the next batch."""
     waiting = None
@@ -85,12 +212,7 @@ def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = pa.record_batch(batch.columns, names=batch.schema.names)
         if waiting is not None:
             batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
-        new = np.zeros(len(batch), dtype=bool)
-        new[0] = True
-        for name in _POSTING:
-            column = batch[name]
-            new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
-        starts = np.nonzero(new)[0]
+        starts = np.nonzero(_changes(batch, _POSTING))[0]
         sums = {n: pa.array(np.add.reduceat(batch[n].to_numpy(), starts)) for n in ("documents", "count")}
         keys = batch.take(pa.array(starts))
         added = pa.record_batch([sums.get(n, keys[n]) for n in batch.schema.names], names=batch.schema.names)
@@ -105,15 +227,20 @@ def term_frequencies(docs: DataFrame, text_col: str = "text", lang_col: str = "l
                      run_postings: int = RUN_POSTINGS) -> DataFrame:
     """Rows (lang, source, term, documents, count): documents of the group with the term, and its occurrences.
 
-    Tasks index their texts in memory and write term-sorted runs. A shard is a hash of the whole key, so that a common
-    term is spread by source; there Spark's sort merges the runs by a heap, and equal keys are added as they pass.
+    Tasks index their texts in memory and write term-sorted runs, a row with lists for each language and term. A shard
+    is a hash of language, term and cell of sources, of which a language with many sources has several, so that a common
+    term of many sources is spread; there Spark's sort merges the runs, and equal keys are added as they pass.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(_named(lang_col).alias("lang"), _named(source_col).alias("source"),
                        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    schema = "lang string, source string, term binary, documents bigint, count bigint"
-    runs = rows.mapInArrow(lambda batches: index_runs(batches, run_postings), schema)
-    merged = runs.repartition(*_POSTING).sortWithinPartitions(*_MERGED).mapInArrow(merge_runs, schema)
+    most = rows.select("lang", "source").distinct().groupBy("lang").count().agg(F.max("count")).first()[0]
+    cells = buckets_for(most or 0, CELL_SOURCES)
+    runs = rows.mapInArrow(
+        lambda batches: fold_runs(index_runs(batches, run_postings), cells),
+        "lang string, term binary, cell bigint, source array<string>, documents array<bigint>, count array<bigint>")
+    merged = runs.repartition(*_FOLDED).sortWithinPartitions(*_MERGED).mapInArrow(
+        lambda batches: merge_runs(unfold_runs(batches)), "lang string, source string, term binary, documents bigint, count bigint")
     return merged.withColumn("term", F.col("term").cast("string"))
 
 
@@ -122,9 +249,11 @@ def _named(column: str) -> Column:
 
 
 def share(count: Column, total: Column) -> Column:
-    """1 + floor(UNIT * (count + 1) / total), in whole numbers of any size."""
+    """1 + floor(UNIT * (count + 1) / total), in whole numbers of any size; in 64 bits where the product fits them."""
+    short = F.call_function("div", (count + 1).cast("bigint") * F.lit(UNIT).cast("bigint"), total.cast("bigint"))
     wide = (count + 1).cast("decimal(20,0)") * F.lit(UNIT).cast("decimal(10,0)")
-    return F.lit(1).cast("bigint") + F.call_function("div", wide, total.cast("decimal(20,0)"))
+    wide = F.call_function("div", wide, total.cast("decimal(20,0)"))
+    return F.lit(1).cast("bigint") + F.when(count < F.lit(((1 << 63) - 1) // UNIT - 1), short).otherwise(wide)
 
 
 def excess(p: Column, q: Column) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from varscope.llm.common import small_batches
+from varscope.llm.common import small_batches, text_slices
 
 #: Token ids after which a frame ends, at the end of a document.
 FRAME_IDS = 1 << 16
@@ -297,14 +297,6 @@ def _make_encoder(json_path: str, by_words: bool):
     return by_word, width
 
 
-def text_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold ``SLICE_BYTES`` of text and one more text at most."""
-    size = np.cumsum(pc.binary_length(batch["text"]).to_numpy().astype(np.int64))
-    cuts = [0, *(np.nonzero(np.diff(size // SLICE_BYTES))[0] + 1).tolist(), len(batch)]
-    for a, b in zip(cuts, cuts[1:]):
-        yield batch.slice(a, b - a)
-
-
 def write_token_files(docs: DataFrame, location: str, tokenizer: dict, end_id: int, id_col: str = "doc_id",
                       text_col: str = "text", files: int | None = None, frame_ids: int = FRAME_IDS) -> DataFrame:
     """Encode the texts, add ``end_id`` to each, and write token files to ``location`` in ascending order of the ids.
@@ -343,7 +335,7 @@ def write_token_files(docs: DataFrame, location: str, tokenizer: dict, end_id: i
                 # Each attempt writes a file of its own; the list of files names the one that counts.
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.tokens"
                 file = TokenFile(f"{location}/{name}", batch["id"].type, width, frame_ids)
-            for some in text_slices(batch):
+            for some in text_slices(batch, SLICE_BYTES):
                 for key, raw in zip(some["id"].to_pylist(), encode(some["text"].to_pylist())):
                     file.add(key, raw + end)
         if file is not None:
